@@ -277,7 +277,7 @@ def q_report_basket(spark, d):
 def q_forecast_features(spark, d):
     f = forecast.features(trend.daily(_sales(spark, d)))
     return f.select(_day("period").alias("period"), _r("y", 2), "day_index", "dow", "month", "weekend",
-                    _r("roll7", 4), _r("roll30", 4), _r("lag1", 4), _r("lag7", 4))
+                    _r("roll7", 6), _r("roll30", 6), _r("lag1", 6), _r("lag7", 6))
 
 
 def q_forecast_split(spark, d):

@@ -315,15 +315,15 @@ SELECT rank, substr(antecedents, 1, 30) AS antecedent, substr(consequents, 1, 30
 f AS (SELECT period, total_value AS y,
              CAST(row_number() OVER w - 1 AS DOUBLE) AS day_index,
              CAST(isodow(period) - 1 AS DOUBLE) AS dow, CAST(month(period) AS DOUBLE) AS month,
-             CASE WHEN isodow(period) - 1 IN (5, 6) THEN 1.0 ELSE 0.0 END AS weekend,
+             CAST(CASE WHEN isodow(period) - 1 IN (5, 6) THEN 1 ELSE 0 END AS DOUBLE) AS weekend,
              avg(total_value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS roll7,
              avg(total_value) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS roll30,
              coalesce(lag(total_value, 1) OVER w, (SELECT avg(total_value) FROM series)) AS lag1,
              coalesce(lag(total_value, 7) OVER w, (SELECT avg(total_value) FROM series)) AS lag7
       FROM series WINDOW w AS (ORDER BY period))"""
     q["forecast_features"] = (f"{feats} SELECT {_day('period')} AS period, round(y, 2) AS y, day_index, dow, "
-                              "month, weekend, round(roll7, 4) AS roll7, round(roll30, 4) AS roll30, "
-                              "round(lag1, 4) AS lag1, round(lag7, 4) AS lag7 FROM f")
+                              "month, weekend, round(roll7, 6) AS roll7, round(roll30, 6) AS roll30, "
+                              "round(lag1, 6) AS lag1, round(lag7, 6) AS lag7 FROM f")
     q["forecast_split"] = f"""{feats},
 k AS (SELECT floor(count(*) * 0.8) AS k FROM f)
 SELECT CASE WHEN day_index < k THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows,

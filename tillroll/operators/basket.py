@@ -124,11 +124,11 @@ def association_rules(itemsets: DataFrame, min_lift: float = DEFAULT_MIN_LIFT) -
     consequent, with support, confidence, lift, leverage and conviction;
     rules with ``lift >= min_lift`` are kept."""
     multi = itemsets.filter(F.col("n_items") >= 2)
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.col("n_items")) - 2)
+    masks = F.expr("sequence(1, (1 << n_items) - 2)")
     splits = multi.select("items", F.col("support").alias("support"),
                           F.explode(masks).alias("mask"))
-    ante = F.filter("items", lambda x, i: F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1)
-    cons = F.filter("items", lambda x, i: F.shiftright(F.col("mask"), i).bitwiseAND(1) == 0)
+    ante = F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 1)")
+    cons = F.expr("filter(items, (x, i) -> ((mask >> i) & 1) = 0)")
     splits = splits.select(ante.alias("antecedents"), cons.alias("consequents"), "support")
     sup = itemsets.select("items", "support")
     sa = sup.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
