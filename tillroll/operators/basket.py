@@ -37,13 +37,16 @@ RARE_ITEM_SHARE = 0.005
 MAX_LEN = 3
 
 
+def _grouped(df: DataFrame, key: str, item: str) -> DataFrame:
+    return (df.filter(F.col(key).isNotNull() & F.col(item).isNotNull())
+            .groupBy(F.col(key).cast("string").alias("order_id"), F.col(item).cast("string").alias("item"))
+            .agg(F.sum("quantity").alias("_q")))
+
+
 def presence(df: DataFrame, order_col: str | None = None, item: str = "product_name") -> DataFrame:
     """Distinct ``(order_id, item)`` pairs where the summed quantity is > 0."""
     key = order_col or order_key(df.columns)
-    return (df.filter(F.col(key).isNotNull() & F.col(item).isNotNull())
-            .groupBy(F.col(key).cast("string").alias("order_id"), F.col(item).cast("string").alias("item"))
-            .agg(F.sum("quantity").alias("_q"))
-            .filter(F.col("_q") > 0).drop("_q"))
+    return _grouped(df, key, item).filter(F.col("_q") > 0).drop("_q")
 
 
 def order_count(df: DataFrame, order_col: str | None = None, item: str = "product_name") -> int:
@@ -63,13 +66,20 @@ def item_counts(pairs: DataFrame, n_orders: int, min_support: float) -> DataFram
 
 
 class BasketResult:
-    """Itemsets and rules of one mining run (lazy DataFrames)."""
+    """Itemsets and rules of one mining run (lazy DataFrames over persisted
+    intermediates; call :meth:`unpersist` when done)."""
 
-    def __init__(self, itemsets: DataFrame, rules: DataFrame, n_orders: int, items: DataFrame):
+    def __init__(self, itemsets: DataFrame, rules: DataFrame, n_orders: int, items: DataFrame,
+                 cached=()):
         self.itemsets = itemsets
         self.rules = rules
         self.n_orders = n_orders
         self.items = items
+        self._cached = list(cached)
+
+    def unpersist(self) -> None:
+        for df in self._cached:
+            df.unpersist()
 
 
 def _support(cnt, n):
@@ -98,7 +108,7 @@ def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFA
                 .select(F.col("a.order_id").alias("order_id"), F.col("a.item").alias("x"),
                         F.col("b.item").alias("y")))
         l2c = (occ2.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt"))
-               .filter(_support(F.col("cnt"), n_orders) >= F.lit(min_support)))
+               .filter(_support(F.col("cnt"), n_orders) >= F.lit(min_support))).persist()
         levels.append(l2c.select(F.array("x", "y").alias("items"), F.lit(2).alias("n_items"), "cnt"))
         if max_len >= 3:
             l2 = l2c.select("x", "y")
@@ -153,13 +163,21 @@ def rule_order():
 def mine(df: DataFrame, order_col: str | None = None, item: str = "product_name",
          min_support: float = DEFAULT_MIN_SUPPORT, min_lift: float = DEFAULT_MIN_LIFT,
          max_len: int = MAX_LEN) -> BasketResult:
-    """Itemsets and rules for a clean sales table."""
+    """Itemsets and rules for a clean sales table.
+
+    The grouped ``(order, item)`` table is persisted (memory and disk; it is
+    rebuilt from lineage if an executor is lost) because the order count,
+    the item counts and both join levels read it.  Item counts and
+    itemsets are small aggregates and are persisted too.
+    """
     key = order_col or order_key(df.columns)
-    pairs = presence(df, key, item)
-    n = order_count(df, key, item)
-    ic = item_counts(pairs, n, min_support) if n else None
-    sets = frequent_itemsets(pairs, n, min_support, max_len, items=ic)
-    return BasketResult(sets, association_rules(sets, min_lift), n, ic)
+    grouped = _grouped(df, key, item).persist()
+    n = grouped.agg(F.count_distinct("order_id").alias("n")).first()["n"]
+    pairs = grouped.filter(F.col("_q") > 0).drop("_q")
+    ic = item_counts(pairs, n, min_support).persist() if n else None
+    sets = frequent_itemsets(pairs, n, min_support, max_len, items=ic).persist()
+    cached = [grouped, sets] + ([ic] if ic is not None else [])
+    return BasketResult(sets, association_rules(sets, min_lift), n, ic, cached)
 
 
 def summary(rules: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
@@ -37,99 +38,117 @@ def _is_time(dt) -> bool:
 def _as_number(c: str, dt):
     col = F.col(f"`{c}`")
     if _is_time(dt):
-        return F.timestamp_diff("MICROSECOND", _EPOCH, col.cast("timestamp_ntz")).cast("double")
+        return F.timestamp_diff("MICROSECOND", _epoch(), col.cast("timestamp_ntz")).cast("double")
     return col.cast("double")
 
 
-def exact_quantiles(values: DataFrame, probs, buckets: int = 4096,
-                    gather_limit: int = 100_000) -> list:
-    """Linear-interpolated quantiles of column ``v`` (double) of ``values``.
+def grouped_quantiles(values: DataFrame, probs, buckets: int = 4096,
+                      gather_limit: int = 100_000) -> dict:
+    """Exact linear-interpolated quantiles of ``v`` for every key ``k`` of a
+    long table ``(k int, v double)``.
 
     Same definition as NumPy / pandas ``quantile`` (position ``q * (n-1)``),
-    nulls and NaN ignored.  ``values`` should be cached by the caller when
-    it is expensive; each narrowing pass re-reads it.
+    nulls and NaN ignored.  Each pass is one job for all keys at once:
+    a per-key summary, then histogram passes over the still-open value
+    ranges (at most ``buckets`` rows per range come back), then one job
+    that fetches the values of ranges holding at most ``gather_limit``
+    rows.  The caller should persist ``values``; every pass re-reads it.
+    Returns ``{k: [quantile per prob]}``.
     """
-    v = F.col("v")
+    v, k = F.col("v"), F.col("k")
     base = values.filter(v.isNotNull() & ~F.isnan(v))
-    fin = ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    s = base.agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(v == F.lit(float("-inf"))).alias("neg"),
-                 F.count_if(v == F.lit(float("inf"))).alias("pos"),
-                 F.min(F.when(fin, v)).alias("lo"), F.max(F.when(fin, v)).alias("hi")).first()
-    n = s["n"]
-    if n == 0:
-        return [None for _ in probs]
-    ranks = set()
-    for q in probs:
-        pos = q * (n - 1)
-        ranks.add(int(math.floor(pos)))
-        ranks.add(int(math.ceil(pos)))
-    found: dict[int, float] = {}
-    # pending: list of [lo, hi, offset, count, ranks]
-    pending = []
-    fin_ranks = []
-    for r in sorted(ranks):
-        if r < s["neg"]:
-            found[r] = float("-inf")
-        elif r >= n - s["pos"]:
-            found[r] = float("inf")
-        else:
-            fin_ranks.append(r)
-    if fin_ranks:
-        pending.append([s["lo"], s["hi"], s["neg"], n - s["neg"] - s["pos"], fin_ranks])
+    fin = F.abs(v) != F.lit(float("inf"))
+    stats = {r["k"]: r for r in base.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(v == F.lit(float("-inf"))).alias("neg"),
+        F.count_if(v == F.lit(float("inf"))).alias("pos"),
+        F.min(F.when(fin, v)).alias("lo"), F.max(F.when(fin, v)).alias("hi")).collect()}
+    found: dict = {}
+    pending = []                       # [key, lo, hi, offset, count, ranks]
+    for key, s in stats.items():
+        n = s["n"]
+        ranks = sorted({int(math.floor(q * (n - 1))) for q in probs} |
+                       {int(math.ceil(q * (n - 1))) for q in probs})
+        fin_ranks = []
+        for r in ranks:
+            if r < s["neg"]:
+                found[(key, r)] = float("-inf")
+            elif r >= n - s["pos"]:
+                found[(key, r)] = float("inf")
+            else:
+                fin_ranks.append(r)
+        if fin_ranks:
+            pending.append([key, s["lo"], s["hi"], s["neg"], n - s["neg"] - s["pos"], fin_ranks])
+
+    def inside(p):
+        return (k == p[0]) & (v >= F.lit(p[1])) & (v <= F.lit(p[2]))
+
     for _ in range(200):
         if not pending:
             break
-        nxt = []
-        small = [p for p in pending if p[3] <= gather_limit or p[0] == p[1]]
-        big = [p for p in pending if not (p[3] <= gather_limit or p[0] == p[1])]
+        small = [p for p in pending if p[4] <= gather_limit or p[1] == p[2]]
+        big = [p for p in pending if not (p[4] <= gather_limit or p[1] == p[2])]
+        fetch = []
         for p in small:
-            lo, hi, off, _, rs = p
-            if lo == hi:
-                for r in rs:
-                    found[r] = lo
-                continue
-            vals = [row[0] for row in base.filter((v >= lo) & (v <= hi))
-                    .orderBy("v").select("v").collect()]
-            for r in rs:
-                found[r] = vals[r - off]
+            if p[1] == p[2]:
+                for r in p[5]:
+                    found[(p[0], r)] = p[1]
+            else:
+                fetch.append(p)
+        if fetch:
+            tag = F.lit(None).cast("int")
+            for i, p in enumerate(fetch):             # ranges are disjoint
+                tag = F.when(inside(p), F.lit(i)).otherwise(tag)
+            got: dict = {}
+            for row in base.select(tag.alias("i"), "v").filter(F.col("i").isNotNull()).collect():
+                got.setdefault(row["i"], []).append(row["v"])
+            for i, p in enumerate(fetch):
+                vals = sorted(got.get(i, []))
+                for r in p[5]:
+                    found[(p[0], r)] = vals[r - p[3]]
+        nxt = []
         if big:
-            parts = []
-            for i, (lo, hi, off, cnt, rs) in enumerate(big):
-                width = hi - lo
+            expr = F.lit(None)
+            for i, p in enumerate(big):
+                width = p[2] - p[1]
                 if math.isinf(width):
-                    rel = (v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+                    rel = (v / 2 - F.lit(p[1] / 2)) / F.lit(p[2] / 2 - p[1] / 2)
                 else:
-                    rel = (v - F.lit(lo)) / F.lit(width)
+                    rel = (v - F.lit(p[1])) / F.lit(width)
                 b = F.least(F.floor(rel * buckets), F.lit(buckets - 1)).cast("int")
-                parts.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(i).alias("i"), b.alias("b"))))
-            hist = (base.select(F.col("v").alias("v_"), F.explode(F.array(*parts)).alias("x"))
-                    .filter(F.col("x").isNotNull())
+                expr = F.when(inside(p), F.struct(F.lit(i).alias("i"), b.alias("b"))).otherwise(expr)
+            hist = (base.select(F.col("v"), expr.alias("x")).filter(F.col("x").isNotNull())
                     .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c"), F.min("v_").alias("mn"), F.max("v_").alias("mx")))
-            by_interval: dict[int, list] = {}
+                    .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")))
+            by_range: dict = {}
             for row in hist.collect():
-                by_interval.setdefault(row["i"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
-            for i, (lo, hi, off, cnt, rs) in enumerate(big):
-                acc = off
-                targets = {}
-                for b, c, mn, mx in sorted(by_interval.get(i, [])):
-                    sub = [r for r in rs if acc <= r < acc + c]
+                by_range.setdefault(row["i"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
+            for i, p in enumerate(big):
+                acc = p[3]
+                for b, c, mn, mx in sorted(by_range.get(i, [])):
+                    sub = [r for r in p[5] if acc <= r < acc + c]
                     if sub:
-                        targets[b] = [mn, mx, acc, c, sub]
+                        nxt.append([p[0], mn, mx, acc, c, sub])
                     acc += c
-                nxt.extend(targets.values())
         pending = nxt
-    out = []
-    for q in probs:
-        pos = q * (n - 1)
-        lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-        a, b = found[lo_r], found[hi_r]
-        frac = pos - lo_r
-        out.append(a if lo_r == hi_r or a == b else a + (b - a) * frac)
+    out = {}
+    for key, s in stats.items():
+        n, res = s["n"], []
+        for q in probs:
+            pos = q * (n - 1)
+            lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
+            a, b = found[(key, lo_r)], found[(key, hi_r)]
+            res.append(a if lo_r == hi_r or a == b else a + (b - a) * (pos - lo_r))
+        out[key] = res
     return out
 
 
+def exact_quantiles(values: DataFrame, probs, **kw) -> list:
+    """Quantiles of column ``v`` of ``values`` (see :func:`grouped_quantiles`)."""
+    res = grouped_quantiles(values.select(F.lit(0).alias("k"), F.col("v")), probs, **kw)
+    return res.get(0, [None for _ in probs])
+
+
 def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
              decimals: int | None = 2) -> DataFrame:
     """count, mean, std (n-1), min, quartiles, max of numeric and date/time
@@ -156,12 +175,14 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
         for i in range(len(fields)):
             quart[i] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * 3
     else:
-        nums = nums.persist()
+        long = nums.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
+                                              for i in range(len(fields))]))).persist()
         try:
-            for i in range(len(fields)):
-                quart[i] = exact_quantiles(nums.select(F.col(f"n{i}").alias("v")), probs)
+            got = grouped_quantiles(long, probs)
         finally:
-            nums.unpersist()
+            long.unpersist()
+        for i in range(len(fields)):
+            quart[i] = got.get(i, [None] * 3)
     rows = []
     for i, f in enumerate(fields):
         is_time = _is_time(f.dataType)
@@ -175,6 +196,6 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
     raw = F.col("raw")
     value = F.when(~F.col("is_time"), F.round(raw, decimals) if decimals is not None else raw)
     value_time = F.when(F.col("is_time") & raw.isNotNull(),
-                        F.timestamp_add("MICROSECOND", F.round(raw).cast("bigint"), _EPOCH))
+                        F.timestamp_add("MICROSECOND", F.round(raw).cast("bigint"), _epoch()))
     return small.select("position", "column", "stat_pos", "statistic",
                         value.alias("value"), value_time.alias("value_time"))
