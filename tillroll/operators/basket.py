@@ -8,18 +8,20 @@ Plan, all in the long form ``(order_id, item)`` (no order x item matrix):
    removes repeated lines before the shuffle;
 2. item counts; rare items (floor ``max(1, floor(0.005 N))``) and
    infrequent ones are removed with a left-semi join;
-3. pairs: self-join on the order key with ``a < b``, counted per pair;
-4. triples: pair occurrences joined on ``(order, first item)``, so one big
-   order is spread over its first items, then kept only if the candidate
-   triple has all three sub-pairs frequent (Apriori pruning) and counted;
+3. baskets: one sorted array of frequent items per order (bounded by the
+   number of frequent items, not by the order's lines); an order with
+   more than ``CHUNK`` items is salted into chunks of first-item positions
+   that run as separate tasks;
+4. pairs and triples are generated from the arrays in sorted order and
+   counted with a partial aggregate; triples are kept only if all three
+   sub-pairs are frequent (Apriori candidates);
 5. rules: each itemset explodes into its ``2^k - 2`` splits by bitmask;
    antecedent and consequent supports come from the itemset table by an
    equi-join on the sorted item array.
 
 No side is forced into a broadcast: the candidate and itemset tables are
 aggregates, so AQE sees their real size and broadcasts them only when they
-are small; otherwise they stay shuffle joins.  AQE's skew-join handling
-splits an order key that holds a large share of the pairs.
+are small; otherwise they stay shuffle joins.
 """
 
 from __future__ import annotations
@@ -86,9 +88,47 @@ def _support(cnt, n):
     return cnt / F.lit(float(n))
 
 
+# Orders with more items than this are cut into chunks of first-item
+# positions that run as separate tasks (salting of large orders).
+CHUNK = 32
+
+_PAIRS = ("flatten(transform(slice(items, c * {k} + 1, {k}), (x, j) -> "
+          "transform(slice(items, c * {k} + j + 2, n), y -> named_struct('x', x, 'y', y))))")
+_TRIPLES = ("flatten(transform(slice(items, c * {k} + 1, {k}), (x, j) -> "
+            "flatten(transform(slice(items, c * {k} + j + 2, n), (y, l) -> "
+            "transform(slice(items, c * {k} + j + l + 3, n), z -> named_struct('x', x, 'y', y, 'z', z))))))")
+
+
+def baskets(pairs: DataFrame, chunk: int = CHUNK, partitions: int | None = None) -> DataFrame:
+    """One row per (order, chunk): the order's sorted distinct items and the
+    chunk number ``c``.  An order of ``n`` items has ``ceil(n / chunk)``
+    chunks; chunk ``c`` generates the combinations whose first item sits at
+    positions ``c*chunk .. c*chunk+chunk-1``.  Chunks of large orders are
+    hash-partitioned on ``(order, chunk)`` into a fixed number of
+    partitions, so one huge order is spread over many tasks; ordinary
+    orders stay where the grouping put them."""
+    spark = pairs.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    bk = (pairs.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+          .withColumn("n", F.size("items")))
+    small = bk.filter(F.col("n") <= chunk).withColumn("c", F.lit(0))
+    big = (bk.filter(F.col("n") > chunk)
+           .withColumn("c", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / chunk).cast("int") - 1)))
+           .repartition(n_parts, "order_id", "c"))
+    return small.unionByName(big)
+
+
 def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFAULT_MIN_SUPPORT,
-                      max_len: int = MAX_LEN, items: DataFrame | None = None) -> DataFrame:
-    """``items array<string>`` (sorted), ``n_items``, ``cnt``, ``support``."""
+                      max_len: int = MAX_LEN, items: DataFrame | None = None,
+                      chunk: int = CHUNK, cached: list | None = None) -> DataFrame:
+    """``items array<string>`` (sorted), ``n_items``, ``cnt``, ``support``.
+
+    Level 2 and 3 counts come from the per-order item arrays: each order
+    emits its item pairs (triples) in sorted order, a partial aggregate
+    counts them before the shuffle.  Triples are kept only when all three
+    sub-pairs are frequent (Apriori candidates, joined by AQE as a broadcast
+    when that table is small).
+    """
     if not 1 <= max_len <= MAX_LEN:
         raise ValueError(f"max_len must be 1..{MAX_LEN}")
     spark = pairs.sparkSession
@@ -101,27 +141,26 @@ def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFA
     freq1 = ic.filter("frequent").select("item", "cnt")
     l1 = freq1.select(F.array("item").alias("items"), F.lit(1).alias("n_items"), "cnt")
     levels = [l1]
+    keep = (lambda c: F.col(c) / F.lit(float(n_orders)) >= F.lit(min_support))
     if max_len >= 2:
         tf = pairs.join(freq1.select("item"), "item", "left_semi")   # occurrences of frequent items
-        a, b = tf.alias("a"), tf.alias("b")
-        occ2 = (a.join(b, (F.col("a.order_id") == F.col("b.order_id")) & (F.col("a.item") < F.col("b.item")))
-                .select(F.col("a.order_id").alias("order_id"), F.col("a.item").alias("x"),
-                        F.col("b.item").alias("y")))
-        l2c = (occ2.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt"))
-               .filter(_support(F.col("cnt"), n_orders) >= F.lit(min_support))).persist()
+        bk = baskets(tf, chunk).persist()
+        if cached is not None:
+            cached.append(bk)
+        p2 = bk.select(F.explode(F.expr(_PAIRS.format(k=chunk))).alias("p")).select("p.x", "p.y")
+        l2c = p2.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")).persist()
+        if cached is not None:
+            cached.append(l2c)
         levels.append(l2c.select(F.array("x", "y").alias("items"), F.lit(2).alias("n_items"), "cnt"))
         if max_len >= 3:
             l2 = l2c.select("x", "y")
-            occ2f = occ2.join(l2, ["x", "y"], "left_semi")
-            p, q = occ2f.alias("p"), occ2f.alias("q")
-            # candidates: (x,y), (x,z) frequent with y < z and (y,z) frequent
-            occ3 = (p.join(q, (F.col("p.order_id") == F.col("q.order_id")) & (F.col("p.x") == F.col("q.x"))
-                           & (F.col("p.y") < F.col("q.y")))
-                    .select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.y").alias("z")))
+            xz = l2.select(F.col("x"), F.col("y").alias("z"))
             yz = l2.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            l3 = (occ3.join(yz, ["y", "z"], "left_semi")
-                  .groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("cnt"))
-                  .filter(_support(F.col("cnt"), n_orders) >= F.lit(min_support)))
+            c3 = (l2.join(xz, "x").filter(F.col("y") < F.col("z"))
+                  .join(yz, ["y", "z"], "left_semi").select("x", "y", "z"))
+            p3 = bk.select(F.explode(F.expr(_TRIPLES.format(k=chunk))).alias("t")).select("t.x", "t.y", "t.z")
+            l3 = (p3.join(c3, ["x", "y", "z"], "left_semi")
+                  .groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")))
             levels.append(l3.select(F.array("x", "y", "z").alias("items"), F.lit(3).alias("n_items"), "cnt"))
     out = levels[0]
     for lv in levels[1:]:
@@ -175,8 +214,9 @@ def mine(df: DataFrame, order_col: str | None = None, item: str = "product_name"
     n = grouped.agg(F.count_distinct("order_id").alias("n")).first()["n"]
     pairs = grouped.filter(F.col("_q") > 0).drop("_q")
     ic = item_counts(pairs, n, min_support).persist() if n else None
-    sets = frequent_itemsets(pairs, n, min_support, max_len, items=ic).persist()
-    cached = [grouped, sets] + ([ic] if ic is not None else [])
+    cached = [grouped] + ([ic] if ic is not None else [])
+    sets = frequent_itemsets(pairs, n, min_support, max_len, items=ic, cached=cached).persist()
+    cached.append(sets)
     return BasketResult(sets, association_rules(sets, min_lift), n, ic, cached)
 
 
