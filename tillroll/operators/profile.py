@@ -163,31 +163,38 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
     if not fields:
         raise ValueError("no numeric or date/time column to describe")
     nums = df.select(*[_as_number(f.name, f.dataType).alias(f"n{i}") for i, f in enumerate(fields)])
-    moments = nums.agg(*[e for i in range(len(fields)) for e in (
-        F.count(f"n{i}").alias(f"cnt{i}"), F.avg(f"n{i}").alias(f"avg{i}"),
-        F.stddev_samp(f"n{i}").alias(f"std{i}"), F.min(f"n{i}").alias(f"min{i}"),
-        F.max(f"n{i}").alias(f"max{i}"))]).first()
     probs = [0.25, 0.5, 0.75]
-    quart = {}
+    quart, moments = {}, {}
     if approx:
-        row = nums.agg(*[F.percentile_approx(f"n{i}", probs, accuracy).alias(f"q{i}")
-                         for i in range(len(fields))]).first()
+        row = nums.agg(*[e for i in range(len(fields)) for e in (
+            F.count(f"n{i}").alias(f"cnt{i}"), F.avg(f"n{i}").alias(f"avg{i}"),
+            F.stddev_samp(f"n{i}").alias(f"std{i}"), F.min(f"n{i}").alias(f"min{i}"),
+            F.max(f"n{i}").alias(f"max{i}"),
+            F.percentile_approx(f"n{i}", probs, accuracy).alias(f"q{i}"))]).first()
         for i in range(len(fields)):
+            moments[i] = {m: row[f"{m}{i}"] for m in ("cnt", "avg", "std", "min", "max")}
             quart[i] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * 3
     else:
+        # one long (column, value) table read by every pass; the input
+        # (often a parse of raw text) is computed once
         long = nums.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
                                               for i in range(len(fields))]))).persist()
         try:
+            for r in long.groupBy("k").agg(F.count("v").alias("cnt"), F.avg("v").alias("avg"),
+                                           F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
+                                           F.max("v").alias("max")).collect():
+                moments[r["k"]] = r.asDict()
             got = grouped_quantiles(long, probs)
         finally:
             long.unpersist()
         for i in range(len(fields)):
             quart[i] = got.get(i, [None] * 3)
+    empty = {"cnt": 0, "avg": None, "std": None, "min": None, "max": None}
     rows = []
     for i, f in enumerate(fields):
         is_time = _is_time(f.dataType)
-        stats = [moments[f"cnt{i}"], moments[f"avg{i}"], None if is_time else moments[f"std{i}"],
-                 moments[f"min{i}"], *quart[i], moments[f"max{i}"]]
+        m = moments.get(i, empty)
+        stats = [m["cnt"], m["avg"], None if is_time else m["std"], m["min"], *quart[i], m["max"]]
         for k, (name, val) in enumerate(zip(STATS, stats)):
             rows.append((i, f.name, k, name, None if val is None else float(val),
                          is_time and name != "count"))
