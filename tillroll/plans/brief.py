@@ -1,49 +1,73 @@
 """Business brief: the aggregate facts handed to an assistant, as one long
 table ``(section, rank, label, value, text)``.
 
-Each part is a small aggregate of the clean table; the caller should
-persist the clean table first so the parts share one scan.
+One pass over the sales table: a single ``GROUPING SETS ((), (weekday),
+(product))`` aggregate (partial aggregation before its shuffle) yields the
+totals, the weekday sums and the product sums together.  That aggregate
+(one row per product plus eight) is persisted, and every section is a
+small projection or top-k of it, so the fact table is scanned once.
+(Without the persist each union branch would prune the aggregate
+differently and rescan the facts.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import products, trend
+from ..functions.exprs import weekday_name
 
 _COLS = ["section", "rank", "label", "value", "text"]
 
 
-def _rows(df: DataFrame, section: str, rank, label, value, text=None) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), F.col(rank).cast("int").alias("rank")
-                     if isinstance(rank, str) else F.lit(rank).cast("int").alias("rank"),
-                     (F.col(label) if isinstance(label, str) else label).cast("string").alias("label"),
-                     (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"),
-                     (text if text is not None else F.lit(None)).cast("string").alias("text"))
+def _row(df: DataFrame, section: str, rank, label, value, text=None) -> DataFrame:
+    def c(x):
+        return F.col(x) if isinstance(x, str) else x
+    return df.select(F.lit(section).alias("section"), c(rank).cast("int").alias("rank"),
+                     c(label).cast("string").alias("label"), c(value).cast("double").alias("value"),
+                     (c(text) if text is not None else F.lit(None)).cast("string").alias("text"))
 
 
-def business_brief(sales: DataFrame) -> DataFrame:
-    k = sales.agg(F.coalesce(F.sum("total_value"), F.lit(0.0)).alias("rev"),
-                  F.count(F.lit(1)).alias("n"),
-                  F.min("order_date").alias("d0"), F.max("order_date").alias("d1"))
-    k = k.withColumn("aov", F.coalesce(F.try_divide(F.col("rev"), F.col("n")), F.lit(0.0)))
+def _ranked(df: DataFrame, value: str, key: str, n: int | None, ascending: bool = False) -> DataFrame:
+    order = [F.col(value).asc() if ascending else F.col(value).desc(), F.col(key).asc()]
+    top = df.orderBy(*order).limit(n) if n else df
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))   # <= n (or 7) rows
+
+
+def brief_aggregate(sales: DataFrame) -> DataFrame:
+    """Totals, weekday sums and product sums in one grouping-sets pass."""
+    return (sales.select(weekday_name("order_date").alias("day"), F.col("product_name").alias("product"),
+                      "total_value", "quantity", "order_date")
+         .groupingSets([[], ["day"], ["product"]], "day", "product")
+         .agg(F.coalesce(F.sum("total_value"), F.lit(0.0)).alias("v"), F.sum("quantity").alias("q"),
+              F.count(F.lit(1)).alias("n"), F.min("order_date").alias("d0"), F.max("order_date").alias("d1"),
+              F.grouping_id().alias("gid")))
+
+
+def business_brief(sales: DataFrame, aggregate: DataFrame | None = None) -> DataFrame:
+    """The brief.  ``aggregate`` (from :func:`brief_aggregate`) may be given
+    by a caller that manages its caching; otherwise it is built and
+    persisted here."""
+    g = aggregate if aggregate is not None else brief_aggregate(sales).persist()
+    k = g.filter(F.col("gid") == 3)                        # () : one row
+    days = g.filter(F.col("gid") == 1).select("day", "v")  # (weekday) : <= 7 rows
+    prods = g.filter((F.col("gid") == 2) & F.col("product").isNotNull()).select("product", "v", "q")
+    aov = F.coalesce(F.try_divide(F.col("v"), F.col("n")), F.lit(0.0))
+    wk = _ranked(days, "v", "day", None)
+    last = wk.agg(F.max("rank").alias("m"))
     parts = [
-        _rows(k, "kpi", 1, F.lit("Total Revenue"), "rev"),
-        _rows(k, "kpi", 2, F.lit("Total Orders"), "n"),
-        _rows(k, "kpi", 3, F.lit("Average Order Value"), "aov"),
-        _rows(k, "dates", 1, F.lit("first"), F.lit(None), F.date_format("d0", "yyyy-MM-dd")),
-        _rows(k, "dates", 2, F.lit("last"), F.lit(None), F.date_format("d1", "yyyy-MM-dd")),
+        _row(k, "kpi", F.lit(1), F.lit("Total Revenue"), "v"),
+        _row(k, "kpi", F.lit(2), F.lit("Total Orders"), "n"),
+        _row(k, "kpi", F.lit(3), F.lit("Average Order Value"), aov),
+        _row(k, "dates", F.lit(1), F.lit("first"), F.lit(None), F.date_format("d0", "yyyy-MM-dd")),
+        _row(k, "dates", F.lit(2), F.lit("last"), F.lit(None), F.date_format("d1", "yyyy-MM-dd")),
+        _row(wk, "weekday", "rank", "day", "v"),
+        _row(wk.filter(F.col("rank") == 1), "best_day", F.lit(1), "day", "v"),
+        _row(wk.join(last, F.col("rank") == F.col("m")), "worst_day", F.lit(1), "day", "v"),
+        _row(_ranked(prods, "v", "product", 5), "top_revenue", "rank", "product", "v"),
+        _row(_ranked(prods, "q", "product", 5), "top_volume", "rank", "product", "q"),
+        _row(_ranked(prods, "v", "product", 3, ascending=True), "bottom_revenue", "rank", "product", "v"),
     ]
-    wk = trend.weekday_ranking(sales)
-    parts.append(_rows(wk, "weekday", "rank", "day", "total_value"))
-    bw = trend.weekday_best_worst(sales)
-    parts.append(_rows(bw, "best_day", 1, "best_day", "best_revenue"))
-    parts.append(_rows(bw, "worst_day", 1, "worst_day", "worst_revenue"))
-    parts.append(_rows(products.top_by(sales, "total_value", 5), "top_revenue", "rank", "product", "value"))
-    parts.append(_rows(products.top_by(sales, "quantity", 5), "top_volume", "rank", "product", "value"))
-    parts.append(_rows(products.top_by(sales, "total_value", 3, ascending=True),
-                       "bottom_revenue", "rank", "product", "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
