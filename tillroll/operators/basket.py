@@ -99,7 +99,8 @@ _TRIPLES = ("flatten(transform(slice(items, c * {k} + 1, {k}), (x, j) -> "
             "transform(slice(items, c * {k} + j + l + 3, n), z -> named_struct('x', x, 'y', y, 'z', z))))))")
 
 
-def baskets(pairs: DataFrame, chunk: int = CHUNK, partitions: int | None = None) -> DataFrame:
+def baskets(pairs: DataFrame, chunk: int = CHUNK, partitions: int | None = None,
+            cached: list | None = None) -> DataFrame:
     """One row per (order, chunk): the order's sorted distinct items and the
     chunk number ``c``.  An order of ``n`` items has ``ceil(n / chunk)``
     chunks; chunk ``c`` generates the combinations whose first item sits at
@@ -111,6 +112,9 @@ def baskets(pairs: DataFrame, chunk: int = CHUNK, partitions: int | None = None)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     bk = (pairs.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
           .withColumn("n", F.size("items")))
+    if cached is not None:          # both branches below read the arrays once
+        bk = bk.persist()
+        cached.append(bk)
     small = bk.filter(F.col("n") <= chunk).withColumn("c", F.lit(0))
     big = (bk.filter(F.col("n") > chunk)
            .withColumn("c", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / chunk).cast("int") - 1)))
@@ -144,9 +148,7 @@ def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFA
     keep = (lambda c: F.col(c) / F.lit(float(n_orders)) >= F.lit(min_support))
     if max_len >= 2:
         tf = pairs.join(freq1.select("item"), "item", "left_semi")   # occurrences of frequent items
-        bk = baskets(tf, chunk).persist()
-        if cached is not None:
-            cached.append(bk)
+        bk = baskets(tf, chunk, cached=cached if cached is not None else [])
         p2 = bk.select(F.explode(F.expr(_PAIRS.format(k=chunk))).alias("p")).select("p.x", "p.y")
         l2c = p2.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")).persist()
         if cached is not None:

@@ -23,13 +23,20 @@ ABC_LABELS = ["A-Grade (Top 80% of Revenue)", "B-Grade (Next 15% of Revenue)",
               "C-Grade (Bottom 5% of Revenue)"]
 
 
-def rollup(df: DataFrame, item: str = "product_name") -> DataFrame:
+def rollup(df: DataFrame, item: str = "product_name", persist: bool = True) -> DataFrame:
     """Per product: revenue, quantity, unweighted mean unit price, and share
-    of the revenue of all named products in percent."""
+    of the revenue of all named products in percent.
+
+    The per-product aggregate (one row per product) is persisted by
+    default: the share's total, the cumulative sums and the rankings all
+    read it, and without the cache each of them would re-read the facts.
+    """
     per = (df.filter(F.col(item).isNotNull())
            .groupBy(F.col(item).alias("product"))
            .agg(F.sum("total_value").alias("revenue"), F.sum("quantity").alias("quantity"),
                 F.avg("unit_price").alias("avg_price")))
+    if persist:
+        per = per.persist()
     total = per.agg(F.sum("revenue")).scalar()          # scalar subquery, run once
     return per.withColumn("revenue_pct", F.col("revenue") / total * 100)
 
