@@ -165,3 +165,22 @@ def test_revenue_shares_sum(spark):
     r = products.rollup(df)
     assert r.agg(F.sum("revenue_pct")).first()[0] == pytest.approx(100.0)
     assert r.agg(F.sum("revenue")).first()[0] == pytest.approx(15.0)
+
+
+def test_prefix_sum_splits_hot_tie(spark):
+    import random as _r
+    rnd = _r.Random(9)
+    names = [f"{rnd.choice(['ab', 'b', 'abc', 'zz', 'é'])}{i:05d}" for i in range(4000)]
+    data = [(n, 5.0 if i % 3 else float(rnd.randint(1, 100))) for i, n in enumerate(names)]
+    df = spark.createDataFrame(data, "product string, revenue double")
+    ours = prefix.descending_running_sum(df, "revenue", "product", buckets=8)
+    w = Window.orderBy(F.col("revenue").desc(), F.col("product").asc())
+    ref = df.select("product", F.row_number().over(w).alias("p"),
+                    F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+    j = ours.join(ref, "product").collect()
+    assert all(r["position"] == r["p"] for r in j)
+    assert max(abs(r["cum_value"] - r["c"]) / r["c"] for r in j) < 1e-12
+    # the tie (two thirds of the rows) is spread over several window partitions
+    spread = (df.withColumn("k", prefix.name_key("product")).filter("revenue = 5.0")
+              .agg(F.countDistinct("k")).first()[0])
+    assert spread > 1
