@@ -61,6 +61,10 @@ def q_source_shape(spark, d):
     return reader.source_shape(fixtures.raw_sales(spark, d))
 
 
+def q_preview_raw(spark, d):
+    return cleaning.preview(fixtures.raw_sales(spark, d), 10)
+
+
 def q_clean_sales(spark, d):
     c = _clean(spark, d)
     return c.select(_ts("order_date").alias("order_date"), "product_name", "quantity", "unit_price",
@@ -142,6 +146,10 @@ def q_revenue_last_n(spark, d):
     return _series(trend.last_n(trend.daily(_sales(spark, d)), TAIL_DAYS))
 
 
+def q_revenue_last30_sum(spark, d):
+    return trend.tail_sum(trend.daily(_sales(spark, d)), 30).select(_r("last30_sum", 2))
+
+
 def q_revenue_ma7(spark, d):
     t = trend.moving_average(trend.daily(_sales(spark, d)), 7)
     return t.select(_day("period").alias("period"), _r("total_value", 2), _r("ma7", 4))
@@ -347,6 +355,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "source_shape": q_source_shape,
+        "preview_raw": q_preview_raw,
         "clean_sales": q_clean_sales,
         "preview_clean": q_preview_clean,
         "kpi_headline": q_kpi_headline,
@@ -363,6 +372,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "revenue_by_month": q_revenue_by_month,
         "weekday_best_worst": q_weekday_best_worst,
         "revenue_last_n": q_revenue_last_n,
+        "revenue_last30_sum": q_revenue_last30_sum,
         "revenue_ma7": q_revenue_ma7,
         "product_rollup": q_product_rollup,
         "product_headline": q_product_headline,

@@ -167,6 +167,9 @@ def build() -> dict[str, str]:
                          "FROM raw_sales")
     cols = (f"{_ts('order_date')} AS order_date, product_name, quantity, unit_price, transaction_id, "
             "customer_id, total_value")
+    raw_cols = ["InvoiceDate", "Description", "Quantity", "UnitPrice", "InvoiceNo", "CustomerID", "ExtraCol"]
+    q["preview_raw"] = (f"WITH {RAW_SALES_SQL} SELECT * FROM raw_sales ORDER BY "
+                        + ", ".join(f"{c} NULLS FIRST" for c in raw_cols) + " LIMIT 10")
     q["clean_sales"] = f"{C} SELECT {cols} FROM clean_raw"
     q["preview_clean"] = (f"{C} SELECT {cols} FROM clean_raw ORDER BY order_date NULLS FIRST, "
                           "product_name NULLS FIRST, quantity NULLS FIRST, unit_price NULLS FIRST, "
@@ -217,6 +220,8 @@ SELECT b.day AS best_day, round(b.v, 2) AS best_revenue, x.day AS worst_day, rou
 FROM b, x"""
     q["revenue_last_n"] = (f"{_daily_cte('day')} SELECT {_day('period')} AS period, "
                            "round(total_value, 2) AS total_value FROM series ORDER BY period DESC LIMIT 60")
+    q["revenue_last30_sum"] = (f"{_daily_cte('day')} SELECT round(coalesce(sum(total_value), 0.0), 2) AS last30_sum "
+                               "FROM (SELECT total_value FROM series ORDER BY period DESC LIMIT 30) t")
     q["revenue_ma7"] = f"""{_daily_cte('day')}
 SELECT {_day('period')} AS period, round(total_value, 2) AS total_value,
        round(CASE WHEN count(*) OVER w = 7 AND count(*) OVER () > 7 THEN avg(total_value) OVER w END, 4) AS ma7

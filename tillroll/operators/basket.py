@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_words
+from ..session import ensure_checkpoint_dir
 from ..sources.schema import order_key
 
 # fixed values: defaults and the rare-item floor
@@ -206,20 +207,29 @@ def mine(df: DataFrame, order_col: str | None = None, item: str = "product_name"
          max_len: int = MAX_LEN) -> BasketResult:
     """Itemsets and rules for a clean sales table.
 
-    The grouped ``(order, item)`` table is persisted (memory and disk; it is
-    rebuilt from lineage if an executor is lost) because the order count,
-    the item counts and both join levels read it.  Item counts and
-    itemsets are small aggregates and are persisted too.
+    The grouped ``(order, item)`` table is persisted while mining (memory
+    and disk; rebuilt from lineage if an executor is lost) because the
+    order count, the item counts and both levels read it.  The resulting
+    itemsets are checkpointed (see below) and the intermediates released.
     """
     key = order_col or order_key(df.columns)
     grouped = _grouped(df, key, item).persist()
     n = grouped.agg(F.count_distinct("order_id").alias("n")).first()["n"]
     pairs = grouped.filter(F.col("_q") > 0).drop("_q")
     ic = item_counts(pairs, n, min_support).persist() if n else None
-    cached = [grouped] + ([ic] if ic is not None else [])
-    sets = frequent_itemsets(pairs, n, min_support, max_len, items=ic, cached=cached).persist()
-    cached.append(sets)
-    return BasketResult(sets, association_rules(sets, min_lift), n, ic, cached)
+    work = [grouped]
+    sets = frequent_itemsets(pairs, n, min_support, max_len, items=ic, cached=work)
+    # The itemset table is small (frequent sets only).  A reliable checkpoint
+    # in the shared checkpoint folder cuts the lineage: rules, graph and
+    # reports start from a shallow plan, and a lost executor does not send
+    # the mining back to the fact table.  The mining intermediates are then
+    # released at once.
+    ensure_checkpoint_dir(df.sparkSession)
+    computed = sets.persist()              # computed once, then written by the checkpoint
+    sets = computed.checkpoint(eager=True)
+    for w in work + [computed]:
+        w.unpersist()
+    return BasketResult(sets, association_rules(sets, min_lift), n, ic, [ic] if ic is not None else [])
 
 
 def summary(rules: DataFrame) -> DataFrame:
@@ -268,7 +278,8 @@ def graph(rules: DataFrame, max_rules: int = 15) -> tuple[DataFrame, DataFrame]:
     t = top_rules(rules, max_rules)
     ends = t.select("rank", F.array_min("antecedents").alias("a_full"),
                     F.array_min("consequents").alias("c_full"), "lift")
-    ends = ends.withColumn("a", first_words("a_full")).withColumn("c", first_words("c_full"))
+    ends = (ends.withColumn("a", first_words("a_full")).withColumn("c", first_words("c_full"))
+            .persist())                                  # <= max_rules rows, read three times
     edges = (ends.groupBy(F.least("a", "c").alias("src"), F.greatest("a", "c").alias("dst"))
              .agg(F.max_by("lift", "rank").alias("weight")))
     seen = (ends.select("a", "a_full", (F.col("rank") * 2).alias("k"))
