@@ -184,3 +184,17 @@ def test_stream_ingest(spark, tmp_path):
     got = sorted(r["total_value"] for r in spark.read.parquet(out).collect())
     assert got == [5.0, 6.0]
     assert os.path.isdir(ck)
+
+
+def test_stream_daily_revenue(spark, tmp_path):
+    src = tmp_path / "in2"
+    src.mkdir()
+    (src / "a.csv").write_text("InvoiceDate,Description,Quantity,UnitPrice\n"
+                               "2024-01-01 10:00,a,2,3\n2024-01-01 12:00,b,1,4\n2024-01-02,c,1,5\n")
+    cols = ["InvoiceDate", "Description", "Quantity", "UnitPrice"]
+    daily = ingest.daily_revenue_stream(ingest.clean_stream(spark, str(src), cols))
+    q = (daily.writeStream.format("memory").queryName("daily_rev_test").outputMode("complete")
+         .option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {r["period"]: r["total_value"] for r in spark.table("daily_rev_test").collect()}
+    assert got == {dt.date(2024, 1, 1): 10.0, dt.date(2024, 1, 2): 5.0}

@@ -119,3 +119,19 @@ def test_export_roundtrip(spark, tmp_path):
     back = clean(read_csv(spark, out + "/*.csv", encoding="UTF-8"))
     assert sorted(r["total_value"] for r in back.collect()) == [2.0, 6.0]
     assert "transaction_id" in back.columns
+
+
+def test_typed_parquet_filters_reach_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+    raw = spark.createDataFrame([(dt.datetime(2024, 1, 1), "p", 2, 3.0), (dt.datetime(2024, 1, 2), "q", 0, 3.0)],
+                                "InvoiceDate timestamp_ntz, Description string, Quantity int, UnitPrice double")
+    path = str(tmp_path / "typed.parquet")
+    raw.write.parquet(path)
+    out = clean(spark.read.parquet(path))
+    assert [r["total_value"] for r in out.collect()] == [6.0]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(Quantity), IsNotNull(UnitPrice), IsNotNull(InvoiceDate)" in plan \
+        or "GreaterThan(Quantity,0)" in plan
+    assert "Generate" not in plan                      # typed input: plain projection
+    assert out.schema["quantity"].dataType.simpleString() == "double"
+    assert F is not None

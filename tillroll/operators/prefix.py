@@ -25,6 +25,9 @@ from ..functions.exprs import bucket_of
 from ..session import default_parallelism
 
 
+MAX_BUCKETS = 512
+
+
 def raw_bounds(df: DataFrame, value: str, buckets: int, accuracy: int = 10_000) -> list[float]:
     """Cut points splitting ``value`` into ~equal buckets (with repeats)."""
     if buckets <= 1:
@@ -51,7 +54,9 @@ def descending_running_sum(df: DataFrame, value: str, key: str, buckets: int | N
                            cum_col: str = "cum_value", pos_col: str = "position") -> DataFrame:
     """Add the running sum of ``value`` and the 1-based position in the
     order ``value DESC, key ASC``."""
-    n_buckets = buckets or default_parallelism(df.sparkSession)
+    # one bucket per shuffle partition, at most MAX_BUCKETS: the cut points
+    # become a CASE tree that must stay small enough for code generation
+    n_buckets = buckets or min(default_parallelism(df.sparkSession), MAX_BUCKETS)
     raw = raw_bounds(df, value, n_buckets)
     bounds = sorted(set(raw))
     # bucket 0 holds the largest values

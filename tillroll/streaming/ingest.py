@@ -56,7 +56,10 @@ def start_ingest(stream: DataFrame, table_path: str, checkpoint: str | None = No
 def daily_revenue_stream(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Running revenue per calendar day of a clean stream (late rows within
     the watermark still count)."""
-    return (stream.withWatermark("order_date", watermark)
-            .groupBy(F.window("order_date", "1 day").alias("w"))
+    # watermarks need a zoned TIMESTAMP; the wall-clock time is read in the
+    # session zone (UTC in get_spark), so day windows are calendar days
+    return (stream.withColumn("event_time", F.col("order_date").cast("timestamp"))
+            .withWatermark("event_time", watermark)
+            .groupBy(F.window("event_time", "1 day").alias("w"))
             .agg(F.sum("total_value").alias("total_value"))
             .select(F.to_date(F.col("w.start")).alias("period"), "total_value"))
