@@ -303,7 +303,8 @@ _MODELS: dict = {}
 
 
 def _models(spark, d):
-    key = (d, tuple(sorted(MODEL_ARGS.items())))
+    # fitted once per session and table folder (the fits are the slow part)
+    key = (spark.sparkContext.applicationId, d, tuple(sorted(MODEL_ARGS.items())))
     if key not in _MODELS:
         _MODELS[key] = forecast.train(trend.daily(_sales(spark, d)).persist(), **MODEL_ARGS)
     return _MODELS[key]

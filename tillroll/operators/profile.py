@@ -43,7 +43,7 @@ def _as_number(c: str, dt):
 
 
 def grouped_quantiles(values: DataFrame, probs, buckets: int = 4096,
-                      gather_limit: int = 100_000) -> dict:
+                      gather_limit: int = 100_000, moments: dict | None = None) -> dict:
     """Exact linear-interpolated quantiles of ``v`` for every key ``k`` of a
     long table ``(k int, v double)``.
 
@@ -53,7 +53,9 @@ def grouped_quantiles(values: DataFrame, probs, buckets: int = 4096,
     ranges (at most ``buckets`` rows per range come back), then one job
     that fetches the values of ranges holding at most ``gather_limit``
     rows.  The caller should persist ``values``; every pass re-reads it.
-    Returns ``{k: [quantile per prob]}``.
+    Returns ``{k: [quantile per prob]}``.  When a ``moments`` dict is
+    given, the first pass also fills it with ``{k: {cnt, avg, std, min,
+    max}}`` of the non-null values.
     """
     v, k = F.col("v"), F.col("k")
     base = values.filter(v.isNotNull() & ~F.isnan(v))
@@ -62,7 +64,12 @@ def grouped_quantiles(values: DataFrame, probs, buckets: int = 4096,
         F.count(F.lit(1)).alias("n"),
         F.count_if(v == F.lit(float("-inf"))).alias("neg"),
         F.count_if(v == F.lit(float("inf"))).alias("pos"),
-        F.min(F.when(fin, v)).alias("lo"), F.max(F.when(fin, v)).alias("hi")).collect()}
+        F.min(F.when(fin, v)).alias("lo"), F.max(F.when(fin, v)).alias("hi"),
+        F.avg(v).alias("avg"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max")).collect()}
+    if moments is not None:
+        for key, r in stats.items():
+            moments[key] = {"cnt": r["n"], "avg": r["avg"], "std": r["std"], "min": r["min"], "max": r["max"]}
     found: dict = {}
     pending = []                       # [key, lo, hi, offset, count, ranks]
     for key, s in stats.items():
@@ -180,11 +187,7 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
         long = nums.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
                                               for i in range(len(fields))]))).persist()
         try:
-            for r in long.groupBy("k").agg(F.count("v").alias("cnt"), F.avg("v").alias("avg"),
-                                           F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-                                           F.max("v").alias("max")).collect():
-                moments[r["k"]] = r.asDict()
-            got = grouped_quantiles(long, probs)
+            got = grouped_quantiles(long, probs, moments=moments)
         finally:
             long.unpersist()
         for i in range(len(fields)):
