@@ -182,14 +182,16 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
             moments[i] = {m: row[f"{m}{i}"] for m in ("cnt", "avg", "std", "min", "max")}
             quart[i] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * 3
     else:
-        # one long (column, value) table read by every pass; the input
-        # (often a parse of raw text) is computed once
-        long = nums.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
-                                              for i in range(len(fields))]))).persist()
+        # The numeric projection (one row of doubles per input row) is
+        # persisted once, so the input (often a parse of raw text) is
+        # computed once; each pass unpivots it to (column, value) on the fly.
+        wide = nums.persist()
+        long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
+                                              for i in range(len(fields))])))
         try:
             got = grouped_quantiles(long, probs, moments=moments)
         finally:
-            long.unpersist()
+            wide.unpersist()
         for i in range(len(fields)):
             quart[i] = got.get(i, [None] * 3)
     empty = {"cnt": 0, "avg": None, "std": None, "min": None, "max": None}
