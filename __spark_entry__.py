@@ -12,8 +12,15 @@ timestamps as ISO text, item sets as sorted items joined by ", ".
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# importable however the driver loads this file (the package sits beside it)
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
