@@ -26,7 +26,7 @@ are small; otherwise they stay shuffle joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_words
@@ -59,12 +59,22 @@ def order_count(df: DataFrame, order_col: str | None = None, item: str = "produc
             .agg(F.count_distinct(key).alias("n")).first()["n"])
 
 
-def item_counts(pairs: DataFrame, n_orders: int, min_support: float) -> DataFrame:
-    """Orders per item, with the rare-item floor and the support flag."""
-    floor_ = max(1, int(n_orders * RARE_ITEM_SHARE))
+def _n_col(n_orders) -> Column:
+    """N as a column: an int becomes a literal; a scalar subquery (from
+    ``DataFrame.scalar()``) stays one, so it runs inside the same query
+    instead of a separate driver round trip."""
+    return n_orders if isinstance(n_orders, Column) else F.lit(int(n_orders)).cast("bigint")
+
+
+def item_counts(pairs: DataFrame, n_orders, min_support: float) -> DataFrame:
+    """Orders per item, with the rare-item floor and the support flag.
+
+    ``n_orders`` is an int or a scalar-subquery column."""
+    n = _n_col(n_orders)
+    floor_ = F.greatest(F.lit(1).cast("bigint"), F.floor(n * F.lit(RARE_ITEM_SHARE)).cast("bigint"))
     return (pairs.groupBy("item").agg(F.count(F.lit(1)).alias("cnt"))
             .withColumn("kept", F.col("cnt") >= floor_)
-            .withColumn("support", F.col("cnt") / F.lit(float(n_orders)))
+            .withColumn("support", _support(F.col("cnt"), n))
             .withColumn("frequent", F.col("kept") & (F.col("support") >= F.lit(min_support))))
 
 
@@ -72,21 +82,28 @@ class BasketResult:
     """Itemsets and rules of one mining run (lazy DataFrames over persisted
     intermediates; call :meth:`unpersist` when done)."""
 
-    def __init__(self, itemsets: DataFrame, rules: DataFrame, n_orders: int, items: DataFrame,
+    def __init__(self, itemsets: DataFrame, rules: DataFrame, n_orders, items: DataFrame,
                  cached=()):
         self.itemsets = itemsets
         self.rules = rules
-        self.n_orders = n_orders
+        self._n = n_orders
         self.items = items
         self._cached = list(cached)
 
+    @property
+    def n_orders(self) -> int:
+        """N, the order count (one scalar job the first time it is asked)."""
+        if isinstance(self._n, DataFrame):
+            self._n = self._n.first()[0]
+        return self._n
+
     def unpersist(self) -> None:
         for df in self._cached:
             df.unpersist()
 
 
 def _support(cnt, n):
-    return cnt / F.lit(float(n))
+    return cnt / (n if isinstance(n, Column) else F.lit(float(n)))
 
 
 # Orders with more items than this are cut into chunks of first-item
@@ -123,7 +140,7 @@ def baskets(pairs: DataFrame, chunk: int = CHUNK, partitions: int | None = None,
     return small.unionByName(big)
 
 
-def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFAULT_MIN_SUPPORT,
+def frequent_itemsets(pairs: DataFrame, n_orders, min_support: float = DEFAULT_MIN_SUPPORT,
                       max_len: int = MAX_LEN, items: DataFrame | None = None,
                       chunk: int = CHUNK, cached: list | None = None) -> DataFrame:
     """``items array<string>`` (sorted), ``n_items``, ``cnt``, ``support``.
@@ -133,20 +150,24 @@ def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFA
     counts them before the shuffle.  Triples are kept only when all three
     sub-pairs are frequent (Apriori candidates, joined by AQE as a broadcast
     when that table is small).
+
+    ``n_orders`` is an int or a scalar-subquery column.  The plan is lazy:
+    the "fewer than two kept products -> nothing" rule is a scalar
+    subquery on the item counts that gates the frequent items, so no job
+    runs here.
     """
     if not 1 <= max_len <= MAX_LEN:
         raise ValueError(f"max_len must be 1..{MAX_LEN}")
     spark = pairs.sparkSession
-    empty = spark.createDataFrame([], "items array<string>, n_items int, cnt bigint, support double")
-    if n_orders == 0:
-        return empty
-    ic = items if items is not None else item_counts(pairs, n_orders, min_support)
-    if ic.filter("kept").limit(2).count() < 2:          # fewer than two products: nothing to mine
-        return empty
-    freq1 = ic.filter("frequent").select("item", "cnt")
+    if not isinstance(n_orders, Column) and n_orders == 0:
+        return spark.createDataFrame([], "items array<string>, n_items int, cnt bigint, support double")
+    n = _n_col(n_orders)
+    ic = items if items is not None else item_counts(pairs, n, min_support)
+    two_kept = ic.agg(F.count_if(F.col("kept")).alias("k")).scalar() >= F.lit(2)
+    freq1 = ic.filter(F.col("frequent") & two_kept).select("item", "cnt")
     l1 = freq1.select(F.array("item").alias("items"), F.lit(1).alias("n_items"), "cnt")
     levels = [l1]
-    keep = (lambda c: F.col(c) / F.lit(float(n_orders)) >= F.lit(min_support))
+    keep = (lambda c: _support(F.col(c), n) >= F.lit(min_support))
     if max_len >= 2:
         tf = pairs.join(freq1.select("item"), "item", "left_semi")   # occurrences of frequent items
         bk = baskets(tf, chunk, cached=cached if cached is not None else [])
@@ -168,7 +189,7 @@ def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFA
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return out.withColumn("support", _support(F.col("cnt"), n_orders))
+    return out.withColumn("support", _support(F.col("cnt"), n))
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = DEFAULT_MIN_LIFT) -> DataFrame:
@@ -214,9 +235,13 @@ def mine(df: DataFrame, order_col: str | None = None, item: str = "product_name"
     """
     key = order_col or order_key(df.columns)
     grouped = _grouped(df, key, item).persist()
-    n = grouped.agg(F.count_distinct("order_id").alias("n")).first()["n"]
+    # N is a scalar subquery: the order count, the item counts and both
+    # levels run as one query (started by the checkpoint below), with no
+    # driver round trip in between.
+    n_df = grouped.agg(F.count_distinct("order_id").alias("n"))
+    n = n_df.scalar()
     pairs = grouped.filter(F.col("_q") > 0).drop("_q")
-    ic = item_counts(pairs, n, min_support).persist() if n else None
+    ic = item_counts(pairs, n, min_support).persist()
     work = [grouped]
     sets = frequent_itemsets(pairs, n, min_support, max_len, items=ic, cached=work)
     # The itemset table is small (frequent sets only).  A reliable checkpoint
@@ -229,7 +254,8 @@ def mine(df: DataFrame, order_col: str | None = None, item: str = "product_name"
     sets = computed.checkpoint(eager=True)
     for w in work + [computed]:
         w.unpersist()
-    return BasketResult(sets, association_rules(sets, min_lift), n, ic, [ic] if ic is not None else [])
+    n_count = _grouped(df, key, item).agg(F.count_distinct("order_id").alias("n"))   # lazy, on demand
+    return BasketResult(sets, association_rules(sets, min_lift), n_count, ic, [ic])
 
 
 def summary(rules: DataFrame) -> DataFrame:

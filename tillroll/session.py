@@ -21,6 +21,13 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Coalesce shuffle partitions to the advisory size (64 MB unless the
+    # caller sets ``spark.sql.adaptive.advisoryPartitionSizeInBytes``)
+    # rather than keeping one small partition per core: post-aggregate
+    # stages over a few thousand groups run as one or two tasks instead of
+    # dozens of near-empty ones, and on a busy cluster the task count
+    # follows the data volume.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
