@@ -6,7 +6,7 @@ One pass over the sales table: a single ``GROUPING SETS ((), (weekday),
 totals, the weekday sums and the product sums together.  That aggregate
 (one row per product plus eight) is persisted, and every section is a
 small projection or top-k of it, so the fact table is scanned once.
-(Without the persist each union branch would prune the aggregate
+(Without the persist each of the five union branches would prune the aggregate
 differently and rescan the facts.)
 """
 
@@ -28,6 +28,20 @@ def _row(df: DataFrame, section: str, rank, label, value, text=None) -> DataFram
                      (c(text) if text is not None else F.lit(None)).cast("string").alias("text"))
 
 
+def _rows(df: DataFrame, specs) -> DataFrame:
+    """Several brief lines per input row, in one projection.  Each spec is
+    ``(section, rank, label, value, text[, condition])``; a line whose
+    condition is false is left out."""
+    lines = []
+    for spec in specs:
+        section, rank, label, value, text = spec[:5]
+        st = F.struct(F.lit(section).alias("section"), rank.cast("int").alias("rank"),
+                      label.cast("string").alias("label"), value.cast("double").alias("value"),
+                      (text if text is not None else F.lit(None)).cast("string").alias("text"))
+        lines.append(F.when(spec[5], st) if len(spec) > 5 else st)
+    return df.select(F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
+
+
 def _ranked(df: DataFrame, value: str, key: str, n: int | None, ascending: bool = False) -> DataFrame:
     order = [F.col(value).asc() if ascending else F.col(value).desc(), F.col(key).asc()]
     top = df.orderBy(*order).limit(n) if n else df
@@ -53,17 +67,18 @@ def business_brief(sales: DataFrame, aggregate: DataFrame | None = None) -> Data
     days = g.filter(F.col("gid") == 1).select("day", "v")  # (weekday) : <= 7 rows
     prods = g.filter((F.col("gid") == 2) & F.col("product").isNotNull()).select("product", "v", "q")
     aov = F.coalesce(F.try_divide(F.col("v"), F.col("n")), F.lit(0.0))
-    wk = _ranked(days, "v", "day", None)
-    last = wk.agg(F.max("rank").alias("m"))
+    wk = _ranked(days, "v", "day", None).withColumn("m", F.max("rank").over(Window.partitionBy()))  # <= 7 rows
     parts = [
-        _row(k, "kpi", F.lit(1), F.lit("Total Revenue"), "v"),
-        _row(k, "kpi", F.lit(2), F.lit("Total Orders"), "n"),
-        _row(k, "kpi", F.lit(3), F.lit("Average Order Value"), aov),
-        _row(k, "dates", F.lit(1), F.lit("first"), F.lit(None), F.date_format("d0", "yyyy-MM-dd")),
-        _row(k, "dates", F.lit(2), F.lit("last"), F.lit(None), F.date_format("d1", "yyyy-MM-dd")),
-        _row(wk, "weekday", "rank", "day", "v"),
-        _row(wk.filter(F.col("rank") == 1), "best_day", F.lit(1), "day", "v"),
-        _row(wk.join(last, F.col("rank") == F.col("m")), "worst_day", F.lit(1), "day", "v"),
+        # the one totals row gives the KPI and date lines
+        _rows(k, [("kpi", F.lit(1), F.lit("Total Revenue"), F.col("v"), None),
+                  ("kpi", F.lit(2), F.lit("Total Orders"), F.col("n"), None),
+                  ("kpi", F.lit(3), F.lit("Average Order Value"), aov, None),
+                  ("dates", F.lit(1), F.lit("first"), F.lit(None), F.date_format("d0", "yyyy-MM-dd")),
+                  ("dates", F.lit(2), F.lit("last"), F.lit(None), F.date_format("d1", "yyyy-MM-dd"))]),
+        # each weekday row gives its ranking line, and the best / worst line
+        _rows(wk, [("weekday", F.col("rank"), F.col("day"), F.col("v"), None),
+                   ("best_day", F.lit(1), F.col("day"), F.col("v"), None, F.col("rank") == 1),
+                   ("worst_day", F.lit(1), F.col("day"), F.col("v"), None, F.col("rank") == F.col("m"))]),
         _row(_ranked(prods, "v", "product", 5), "top_revenue", "rank", "product", "v"),
         _row(_ranked(prods, "q", "product", 5), "top_volume", "rank", "product", "q"),
         _row(_ranked(prods, "v", "product", 3, ascending=True), "bottom_revenue", "rank", "product", "v"),
