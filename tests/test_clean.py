@@ -40,6 +40,22 @@ def test_date_formats(spark):
     assert out[0]["order_date"] == dt.datetime(2010, 12, 1, 8, 26)
 
 
+def test_format_guard_matches_plain_parse(spark):
+    # the literal-character guard only skips parses that cannot succeed
+    from pyspark.sql import functions as F
+    from tillroll.functions.exprs import DEFAULT_DATE_FORMATS, to_timestamp_ntz
+    texts = ["12/1/2010 8:26", "12/1/2010 8:26:59", "12/1/2010", "2010/12/1 8:26", "2010/12/1",
+             "1.12.2010 8:26", "1.12.2010", "2010-12-01", "2010-12-01 08:26:00", "not a date",
+             "12/1/2010 8", "1.12", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    s = F.trim(F.col("t"))
+    plain = F.coalesce(s.try_cast("timestamp_ntz"),
+                       *[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in DEFAULT_DATE_FORMATS])
+    rows = df.select("t", to_timestamp_ntz("t").alias("g"), plain.alias("p")).collect()
+    assert all(r["g"] == r["p"] for r in rows)
+    assert sum(r["g"] is not None for r in rows) == 9
+
+
 def test_null_product_kept_and_total(spark):
     raw = _raw(spark, [("2024-01-01", None, "2", "3.5", "o")])
     out = clean(raw).collect()

@@ -54,10 +54,28 @@ def to_timestamp_ntz(c, formats=DEFAULT_DATE_FORMATS, data_type: T.DataType | No
     s = F.trim(col.cast("string"))
     parts = [s.try_cast("timestamp_ntz")]
     for fmt in formats or ():
-        parts.append(F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"))
+        parsed = F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
+        seps = _literal_chars(fmt)
+        if seps:
+            # A format's literal characters must all occur in the text for it
+            # to match; checking that first skips the failing parse (which
+            # throws and catches inside the JVM) for text of another shape.
+            guard = F.lit(True)
+            for ch in seps:
+                guard = guard & s.contains(ch)
+            parsed = F.when(guard, parsed)
+        parts.append(parsed)
     return F.coalesce(*parts)
 
 
+def _literal_chars(fmt: str) -> list[str]:
+    """Distinct literal (non-letter) characters of a datetime pattern, or
+    none when the pattern has quoted text or optional sections."""
+    if any(c in fmt for c in "'[]{}#"):
+        return []
+    return sorted({c for c in fmt if not c.isalpha()})
+
+
 def positive(c) -> Column:
     """``c > 0`` where NaN and null both fail (Spark orders NaN above all)."""
     col = F.col(c) if isinstance(c, str) else c
