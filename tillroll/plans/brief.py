@@ -1,13 +1,17 @@
 """Business brief: the aggregate facts handed to an assistant, as one long
 table ``(section, rank, label, value, text)``.
 
-One pass over the sales table: a single ``GROUPING SETS ((), (weekday),
-(product))`` aggregate (partial aggregation before its shuffle) yields the
-totals, the weekday sums and the product sums together.  That aggregate
-(one row per product plus eight) is persisted, and every section is a
-small projection or top-k of it, so the fact table is scanned once.
-(Without the persist each of the five union branches would prune the aggregate
-differently and rescan the facts.)
+One pass over the sales table: a plain aggregate per ``(weekday,
+product)`` (partial aggregation before its shuffle; at most seven rows per
+product) is persisted, and the totals, the weekday sums and the product
+sums are small re-aggregations of it.  Every section is a projection or a
+top-k of those, so the fact table is scanned once.
+
+A ``GROUPING SETS ((), (weekday), (product))`` aggregate would give the
+same three levels, but its Expand feeds three copies of every fact row
+into the hash aggregate, and inside the self-union below only one branch
+matched the cached grouping-sets plan: the other branches scanned the
+facts again.
 """
 
 from __future__ import annotations
@@ -49,13 +53,11 @@ def _ranked(df: DataFrame, value: str, key: str, n: int | None, ascending: bool
 
 
 def brief_aggregate(sales: DataFrame) -> DataFrame:
-    """Totals, weekday sums and product sums in one grouping-sets pass."""
-    return (sales.select(weekday_name("order_date").alias("day"), F.col("product_name").alias("product"),
-                      "total_value", "quantity", "order_date")
-         .groupingSets([[], ["day"], ["product"]], "day", "product")
-         .agg(F.coalesce(F.sum("total_value"), F.lit(0.0)).alias("v"), F.sum("quantity").alias("q"),
-              F.count(F.lit(1)).alias("n"), F.min("order_date").alias("d0"), F.max("order_date").alias("d1"),
-              F.grouping_id().alias("gid")))
+    """Sums per (weekday, product) in one pass over the facts."""
+    return (sales.groupBy(weekday_name("order_date").alias("day"), F.col("product_name").alias("product"))
+            .agg(F.sum("total_value").alias("v"), F.sum("quantity").alias("q"),
+                 F.count(F.lit(1)).alias("n"), F.min("order_date").alias("d0"),
+                 F.max("order_date").alias("d1")))
 
 
 def business_brief(sales: DataFrame, aggregate: DataFrame | None = None) -> DataFrame:
@@ -63,9 +65,11 @@ def business_brief(sales: DataFrame, aggregate: DataFrame | None = None) -> Data
     by a caller that manages its caching; otherwise it is built and
     persisted here."""
     g = aggregate if aggregate is not None else brief_aggregate(sales).persist()
-    k = g.filter(F.col("gid") == 3)                        # () : one row
-    days = g.filter(F.col("gid") == 1).select("day", "v")  # (weekday) : <= 7 rows
-    prods = g.filter((F.col("gid") == 2) & F.col("product").isNotNull()).select("product", "v", "q")
+    k = g.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"),              # one row
+              F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+    days = g.groupBy("day").agg(F.sum("v").alias("v"))                     # <= 7 rows
+    prods = (g.filter(F.col("product").isNotNull())
+             .groupBy("product").agg(F.sum("v").alias("v"), F.sum("q").alias("q")))
     aov = F.coalesce(F.try_divide(F.col("v"), F.col("n")), F.lit(0.0))
     wk = _ranked(days, "v", "day", None).withColumn("m", F.max("rank").over(Window.partitionBy()))  # <= 7 rows
     parts = [
