@@ -66,3 +66,16 @@ def test_brief_sections(spark):
     assert secs["best_day"][0]["label"] == min(secs["weekday"], key=lambda r: r["rank"])["label"]
     total = b.filter((F.col("section") == "kpi") & (F.col("rank") == 1)).first()["value"]
     assert abs(total - _sales(spark).agg(F.sum("total_value")).first()[0]) < 1e-9
+
+
+def test_brief_reads_the_facts_once(spark):
+    # every union branch must read the persisted (weekday, product) aggregate;
+    # a branch that misses the cache would scan and join the facts again
+    from tillroll.plans import fixtures
+    s = fixtures.sales(spark, "/root/testdata/sf0.001")
+    plan = brief.business_brief(s)._jdf.queryExecution().optimizedPlan()
+    top = [ln for ln in plan.treeString().splitlines()]
+    assert sum("InMemoryRelation" in ln for ln in top) == 5
+    assert not any("Relation [" in ln and "parquet" in ln for ln in top)
+    assert not any("Expand" in ln for ln in top)
+    spark.catalog.clearCache()
