@@ -79,3 +79,11 @@ def test_brief_reads_the_facts_once(spark):
     assert not any("Relation [" in ln and "parquet" in ln for ln in top)
     assert not any("Expand" in ln for ln in top)
     spark.catalog.clearCache()
+
+
+def test_weekday_label_equals_formatted_name(spark):
+    from tillroll.functions.exprs import weekday_label, weekday_name
+    df = spark.createDataFrame([(f"2024-01-0{i}",) for i in range(1, 8)], "d string").select(
+        F.to_date("d").alias("d"))
+    rows = df.select(weekday_name("d").alias("a"), weekday_label(F.weekday("d")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and len({r["a"] for r in rows}) == 7

@@ -98,6 +98,18 @@ def weekday_name(d) -> Column:
     return F.date_format(col, "EEEE")
 
 
+# fixed values: weekday names in the order of ``weekday()`` (Monday = 0)
+WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+def weekday_label(idx) -> Column:
+    """Name of weekday number ``idx`` (Monday = 0), the same text as
+    ``weekday_name``.  Grouping on ``weekday()`` and naming the (at most
+    seven) groups afterwards avoids formatting a string for every row."""
+    col = F.col(idx) if isinstance(idx, str) else idx
+    return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), col + 1)
+
+
 def weekday_monday0(d) -> Column:
     """Monday = 0 .. Sunday = 6."""
     col = F.col(d) if isinstance(d, str) else d

@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import month_end, week_end_sunday, weekday_name
+from ..functions.exprs import WEEKDAY_NAMES, month_end, week_end_sunday, weekday_label
 
-# fixed values: weekday names in display order
-WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+# weekday names in display order (Monday first)
+WEEKDAYS = WEEKDAY_NAMES
 GRAINS = ("day", "week", "month")
 
 
@@ -89,8 +89,8 @@ def by_weekday(df: DataFrame) -> DataFrame:
     """Revenue per weekday, Monday..Sunday, weekdays without sales = 0."""
     spark = df.sparkSession
     days = spark.createDataFrame([(i, d) for i, d in enumerate(WEEKDAYS)], "weekday int, day string")
-    sums = df.groupBy(weekday_name("order_date").alias("day")).agg(F.sum("total_value").alias("v"))
-    return (F.broadcast(days).join(sums, "day", "left")   # 7 rows by construction
+    sums = df.groupBy(F.weekday("order_date").alias("weekday")).agg(F.sum("total_value").alias("v"))
+    return (F.broadcast(days).join(sums, "weekday", "left")   # 7 rows by construction
             .select("weekday", "day", F.coalesce("v", F.lit(0.0)).alias("total_value")))
 
 
@@ -102,14 +102,16 @@ def by_month_label(df: DataFrame) -> DataFrame:
 
 def weekday_ranking(df: DataFrame) -> DataFrame:
     """Weekdays with sales ranked by revenue (ties: name), one row per day."""
-    sums = df.groupBy(weekday_name("order_date").alias("day")).agg(F.sum("total_value").alias("total_value"))
+    sums = (df.groupBy(F.weekday("order_date").alias("_wd")).agg(F.sum("total_value").alias("total_value"))
+            .select(weekday_label("_wd").alias("day"), "total_value"))
     w = Window.orderBy(F.col("total_value").desc(), F.col("day").asc())   # <= 7 rows
     return sums.withColumn("rank", F.row_number().over(w))
 
 
 def weekday_best_worst(df: DataFrame) -> DataFrame:
     """Best and worst weekday (days without any sale are not considered)."""
-    sums = df.groupBy(weekday_name("order_date").alias("day")).agg(F.sum("total_value").alias("v"))
+    sums = (df.groupBy(F.weekday("order_date").alias("_wd")).agg(F.sum("total_value").alias("v"))
+            .select(weekday_label("_wd").alias("day"), "v"))
     ranked = sums.agg(F.sort_array(F.collect_list(F.struct((-F.col("v")).alias("k"), F.col("day"),
                                                            F.col("v")))).alias("a"))   # <= 7 entries
     return ranked.select(F.col("a")[0]["day"].alias("best_day"), F.col("a")[0]["v"].alias("best_revenue"),

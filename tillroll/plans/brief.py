@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import weekday_name
+from ..functions.exprs import weekday_label
 
 _COLS = ["section", "rank", "label", "value", "text"]
 
@@ -54,10 +54,11 @@ def _ranked(df: DataFrame, value: str, key: str, n: int | None, ascending: bool
 
 def brief_aggregate(sales: DataFrame) -> DataFrame:
     """Sums per (weekday, product) in one pass over the facts."""
-    return (sales.groupBy(weekday_name("order_date").alias("day"), F.col("product_name").alias("product"))
+    return (sales.groupBy(F.weekday("order_date").alias("_wd"), F.col("product_name").alias("product"))
             .agg(F.sum("total_value").alias("v"), F.sum("quantity").alias("q"),
                  F.count(F.lit(1)).alias("n"), F.min("order_date").alias("d0"),
-                 F.max("order_date").alias("d1")))
+                 F.max("order_date").alias("d1"))
+            .select(weekday_label("_wd").alias("day"), "product", "v", "q", "n", "d0", "d1"))
 
 
 def business_brief(sales: DataFrame, aggregate: DataFrame | None = None) -> DataFrame:
