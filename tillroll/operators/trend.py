@@ -96,8 +96,9 @@ def by_weekday(df: DataFrame) -> DataFrame:
 
 def by_month_label(df: DataFrame) -> DataFrame:
     """Revenue per ``yyyy-MM`` label (months without sales are absent)."""
-    return (df.groupBy(F.date_format("order_date", "yyyy-MM").alias("month"))
-            .agg(F.sum("total_value").alias("total_value")))
+    return (df.groupBy(F.trunc(F.to_date("order_date"), "month").alias("_m"))   # a date, not text per row
+            .agg(F.sum("total_value").alias("total_value"))
+            .select(F.date_format("_m", "yyyy-MM").alias("month"), "total_value"))
 
 
 def weekday_ranking(df: DataFrame) -> DataFrame:
