@@ -24,6 +24,10 @@ if _HERE not in sys.path:
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    from tillroll.llm import queries as llm_queries
+except ImportError:          # the training-data subpackage is optional
+    llm_queries = None
 from tillroll.operators import basket, clean as cleaning, forecast, kpi, products, profile, trend
 from tillroll.plans import brief, fixtures, report
 from tillroll.sources import reader
@@ -415,9 +419,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_models": q_report_models,
         "business_brief": q_business_brief,
         "report_all": q_report_all,
+        **(llm_queries.queries() if llm_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import build
-    return build()
+    return build() | (llm_queries.oracle_sql() if llm_queries else {})
