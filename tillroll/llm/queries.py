@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, toxicity
+from . import bpe, ngram_join, packing, quality, substring, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -31,6 +31,15 @@ def op4_byte_bpe(spark, d):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_ngram_join(spark, d):
+    return ngram_join.classes(_documents(spark, d).select("doc_id", "text"))
+
+
+def op7_substring_dedup(spark, d):
+    out = substring.judge(_documents(spark, d).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def toxicity_chain(spark, docs: DataFrame, d) -> toxicity.Chain:
     labels = spark.read.parquet(f"{d}/labels.parquet")
     return toxicity.train(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
@@ -48,7 +57,8 @@ def op10_packing(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_byte_bpe, op8_toxicity, op10_packing)}
+    return {f.__name__: f for f in (
+        op1_quality_rules, op4_byte_bpe, op6_ngram_join, op7_substring_dedup, op8_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
