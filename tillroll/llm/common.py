@@ -143,6 +143,7 @@ class Words:
         self.end = np.flatnonzero(solid & ~after) + 1
         self.first = np.searchsorted(self.start, off)
         self.solid = solid
+        self.offsets = off
 
     def __len__(self) -> int:
         return len(self.start)
@@ -155,17 +156,74 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """One uint64 per word: a polynomial over mixed bytes, then mixed."""
-        if not len(self):
-            return np.zeros(0, np.uint64)
+        """One uint64 per word."""
         size = self.end - self.start
-        base = np.cumsum(size) - size
-        power = np.full(int(size.max()), _ODD[1], np.uint64)
-        power[0] = 1
-        power = np.cumprod(power)
-        at = np.arange(int(size.sum())) - np.repeat(base, size)
-        h = np.add.reduceat(_BYTE[self.data[self.solid]] * power[at], base)
-        return mixed(h + size.astype(np.uint64) * _ODD[2])
+        return span_hashes(self.data[self.solid], np.cumsum(size) - size)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One uint64 per span of ``data``; spans begin at ``start`` (the first
+    at 0) and leave nothing out: a polynomial over mixed bytes, then mixed."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = np.diff(np.append(start, len(data)))
+    power = np.full(int(size.max()), _ODD[1], np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    at = np.arange(len(data)) - np.repeat(start, size)
+    h = np.add.reduceat(_BYTE[data] * power[at], start)
+    return mixed(h + size.astype(np.uint64) * _ODD[2])
+
+
+# ------------------------------------------------- spans that tokenizers split
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_ASCII_SIGN = np.zeros(256, bool)
+_ASCII_SIGN[33:127] = True
+_ASCII_SIGN &= ~_ASCII_LETTER
+
+
+def sign_cuts(data: np.ndarray) -> np.ndarray:
+    """Where an ASCII digit or sign follows a Latin letter: every pattern
+    that matches runs of letters ends a piece there."""
+    letter = _ASCII_LETTER[data]
+    accented = np.zeros(len(data), bool)            # U+00E0 .. U+00FF but the division sign
+    accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0xA0) & (data[1:] <= 0xBF) & (data[1:] != 0xB7)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _ASCII_SIGN[data[1:]] & (letter | accented)[:-1]
+    return cut
+
+
+class IdTable:
+    """Ids of spans, encoded once per distinct span and kept, within a bound,
+    under the span's hash for later slices."""
+
+    def __init__(self, encode_many, most: int):
+        self.encode_many, self.most = encode_many, most
+        self.known: dict[int, bytes] = {}
+
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray,
+                hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in order, number of ids of each span)."""
+        if not len(hashes):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > self.most:
+            self.known.clear()
+        keys = found.tolist()
+        got = list(map(self.known.get, keys))
+        new = [i for i, g in enumerate(got) if g is None]
+        raw = data.tobytes()
+        lo, hi = start[first[new]].tolist(), end[first[new]].tolist()
+        for i, ids in zip(new, self.encode_many([raw[a:b] for a, b in zip(lo, hi)])):
+            got[i] = ids
+            if hi and len(ids) <= 256:
+                self.known[keys[i]] = ids
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), "<u4")
+        count = size[back]
+        at = np.repeat((np.cumsum(size) - size)[back] - (np.cumsum(count) - count), count)
+        return flat[at + np.arange(len(at))], count
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:

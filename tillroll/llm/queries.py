@@ -3,10 +3,10 @@ whole table, reduced to the columns the checks compare."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, quality, substring, toxicity
+from . import bpe, common, embedding_dedup, lm, merkle, ngram_join, packing, quality, substring, toxicity, url_filter
 
 
 def _vocabulary(name: str) -> str:
@@ -22,6 +22,15 @@ def op1_quality_rules(spark, d):
     return quality.judge(_documents(spark, d).select("doc_id", "source", "text"))
 
 
+def op2_lm_scoring(spark, d):
+    return lm.score(_documents(spark, d))
+
+
+def op3_url_filter(spark, d):
+    out = url_filter.judge(spark.read.parquet(f"{d}/pages.parquet"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op4_byte_bpe(spark, d):
     import public_tokenizers
     path = _vocabulary("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +40,10 @@ def op4_byte_bpe(spark, d):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_embedding_dedup(spark, d):
+    return embedding_dedup.classes(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 def op6_ngram_join(spark, d):
     return ngram_join.classes(_documents(spark, d).select("doc_id", "text"))
 
@@ -51,6 +64,47 @@ def op8_toxicity(spark, d):
     return out.select("doc_id", "p_low_quality", "p_toxic", (~F.col("rejected")).alias("kept"))
 
 
+#: Pages of one archive file; which records the second replica holds changed or not at all.
+ARCHIVE_PAGES = 1024
+CHANGED, LOST = "page_id * 2654435761 % 1009 < 3", "page_id * 2654435761 % 1009 = 7"
+
+
+def replicas(spark, d) -> tuple[DataFrame, DataFrame]:
+    """WARC response records of all pages, in archives in order of page_id,
+    and a second copy in which some records are damaged and some lost."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
+                    F.lit("\r\nContent-Length: "), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("\r\n\r\n"))
+    record = F.concat(head, F.coalesce("html", F.lit("")), F.lit("\r\n\r\n"))
+    archive = F.expr(f"page_id div {ARCHIVE_PAGES}")
+    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pages.select("page_id", archive.alias("archive"), F.octet_length(record).cast("long").alias("size"))
+    offsets = sizes.select("page_id", "archive", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    offsets = common.stored(offsets, "offsets")
+    one = pages.select("page_id", record.alias("payload")).join(offsets, "page_id")
+    two = one.where(~F.expr(LOST)).withColumn("payload", F.when(
+        F.expr(CHANGED), F.overlay("payload", F.lit("#"), F.lit(9))).otherwise(F.col("payload")))
+    return one, two
+
+
+def op9_merkle_fixity(spark, d):
+    one, two = replicas(spark, d)
+    out = merkle.audit(one, two, record_id="page_id")
+    return out.select(F.col("record_id").alias("page_id"), F.col("archive").cast("long").alias("archive"),
+                      "record_offset", "status")
+
+
+OP9_SQL = f"""
+WITH r AS (SELECT page_id, page_id // {ARCHIVE_PAGES} AS archive, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, archive, strlen('WARC/1.0') + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Target-URI: ') + strlen(u)
+    + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(h) AS VARCHAR)) + 4 + strlen(h) + 4 AS size FROM r),
+o AS (SELECT page_id, archive, coalesce(sum(size) OVER (PARTITION BY archive ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset FROM s)
+SELECT page_id, archive::BIGINT AS archive, record_offset, CASE WHEN {CHANGED} THEN 'changed' ELSE 'missing' END AS status
+FROM o WHERE {CHANGED} OR {LOST}
+"""
+
+
 def op10_packing(spark, d):
     pieces = packing.pack(_documents(spark, d), _vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -58,8 +112,9 @@ def op10_packing(spark, d):
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_quality_rules, op4_byte_bpe, op6_ngram_join, op7_substring_dedup, op8_toxicity, op10_packing)}
+        op1_quality_rules, op2_lm_scoring, op3_url_filter, op4_byte_bpe, op5_embedding_dedup, op6_ngram_join,
+        op7_substring_dedup, op8_toxicity, op9_merkle_fixity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL}
+    return {"op1_quality_rules": quality.SQL, "op9_merkle_fixity": OP9_SQL}
