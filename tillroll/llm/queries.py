@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import bpe, common, embedding_dedup, lm, merkle, ngram_join, packing, quality, substring, toxicity, url_filter
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -33,7 +33,7 @@ def op3_url_filter(spark, d):
 
 def op4_byte_bpe(spark, d):
     import public_tokenizers
-    path = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(_documents(spark, d).select("doc_id", "text"), path, public_tokenizers.PATTERN)
     back = bpe.decode(coded.select("doc_id", "n_tokens", "ids"), path)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -106,14 +106,20 @@ FROM o WHERE {CHANGED} OR {LOST}
 
 
 def op10_packing(spark, d):
-    pieces = packing.pack(_documents(spark, d), _vocabulary("word_bpe_49k.json"))
+    pieces = packing.pack(_documents(spark, d), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def pipeline(spark, d):
+    import corpus_pipeline
+    out = corpus_pipeline.run(spark, d)
+    return out.drop("ids")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_lm_scoring, op3_url_filter, op4_byte_bpe, op5_embedding_dedup, op6_ngram_join,
-        op7_substring_dedup, op8_toxicity, op9_merkle_fixity, op10_packing)}
+        op7_substring_dedup, op8_toxicity, op9_merkle_fixity, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
