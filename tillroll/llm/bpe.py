@@ -29,6 +29,8 @@ from . import common
 
 #: Cached pieces (all at most 64 bytes long) and token pairs per worker.
 CACHE_PIECES, CACHE_PAIRS = 400_000, 2_000_000
+#: The pattern that the public rank files go with (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes looked ahead for the longest match; longer than any token of the public files.
 LONGEST = 256
 
@@ -175,20 +177,21 @@ class Encoder:
 
 
 class TextEncoder:
-    """Whole texts: pieces by a pattern, each piece's ids cached as bytes.
+    """Whole texts: pieces by a pattern, each distinct span encoded once.
 
-    No piece of the pattern crosses the place before a single space between
-    two other characters, so what stands between such spaces is looked up
-    whole; only what is new there is split by the pattern.
+    For the public pattern the spans are found on the bytes of a slice of
+    texts at once: a piece never crosses the place before a word's space, the
+    ends of other white space, or the place where a sign or digit follows a
+    letter.  Texts with white space beyond ASCII are split by the pattern.
     """
 
     def __init__(self, ranks, pattern: str):
         import regex
         self.encoder = Encoder(ranks)
         self.find = regex.compile(pattern).findall
-        self.wide = regex.compile(r"\s |\s\Z| \s").search
+        self.plain = pattern == PATTERN
+        self.table = common.IdTable(lambda spans: [self.pieces(s.decode("utf-8", "replace")) for s in spans], CACHE_PIECES)
         self.cache: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> bytes:
         """The text split by the pattern."""
@@ -202,27 +205,45 @@ class TextEncoder:
                         cache.clear()
                     cache[piece] = ids
             out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        if self.wide(text):
-            return self.pieces(text)
-        head, *rest = text.split(" ")
-        spaced = self.spaced
-        try:
-            return self.pieces(head) + b"".join(map(spaced.__getitem__, rest))
-        except KeyError:
-            if len(spaced) >= CACHE_PIECES:
-                spaced.clear()
-        out = [self.pieces(head)]
-        for chunk in rest:
-            ids = spaced.get(chunk)
-            if ids is None:
-                ids = self.pieces(" " + chunk)
-                if len(chunk) <= 64:
-                    spaced[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (large_binary) as little-endian uint32."""
+        if not self.plain:
+            return [self.pieces(t.decode("utf-8", "replace")) for t in texts.to_pylist()]
+        w = common.Words(texts, lower=False)
+        data, off = w.data, w.offsets
+        begin = np.zeros(len(data) + 1, bool)
+        begin[off] = True                                    # texts
+        begin[:-1] |= common.sign_cuts(data) & w.solid
+        begin[w.end] = True                                  # white space after a word
+        at = w.start[~begin[w.start] | (begin[w.start] & ~np.isin(w.start, off))]
+        at = at[at > 0]
+        spaced = data[at - 1] == 32
+        begin[at[~spaced]] = True                            # a word after other white space,
+        begin[at - 1] = True                                 # whose last character stands alone
+        begin[len(data)] = False
+        start = np.flatnonzero(begin)
+        # a word's space belongs to it
+        end = np.append(start[1:], len(data))
+        ids, count = self.table.look_up(data, start, end, common.span_hashes(data, start))
+        upto = np.concatenate([[0], np.cumsum(count)])
+        edge = upto[np.searchsorted(start, off)]
+        raw = np.ascontiguousarray(ids, "<u4").tobytes()
+        out = [raw[4 * a:4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        for i in np.unique(np.searchsorted(off, np.flatnonzero(_wide_space(data)), "right") - 1).tolist():
+            out[i] = self.pieces(texts[i].as_py().decode("utf-8", "replace"))
+        return out
+
+
+def _wide_space(data: np.ndarray) -> np.ndarray:
+    """Where white space beyond ASCII, or what some count as such, begins."""
+    one = np.append(data[1:], 0)
+    two = np.append(data[2:], [0, 0])[: len(data)]
+    e2 = (data == 0xE2) & (((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF)))
+                           | ((one == 0x81) & (two == 0x9F)))
+    return (((data >= 0x1C) & (data <= 0x1F)) | (data == 0xC2) & ((one == 0x85) | (one == 0xA0)) | e2
+            | (data == 0xE1) & (one == 0x9A) & (two == 0x80) | (data == 0xE3) & (one == 0x80) & (two == 0x80))
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -242,7 +263,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     def run(batches):
         enc = common.per_worker(("bpe", key, pattern), lambda: TextEncoder(ranks, pattern))
         for part, raw in common.slices(batches, text):
-            got = [enc.encode(b.decode("utf-8", "replace")) for b in raw.to_pylist()]
+            got = enc.encode(raw)
             cols = [part.column(part.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(
                 cols + [pa.array(got, pa.binary()), pa.array([len(g) // 4 for g in got], pa.int64())],

@@ -21,6 +21,7 @@ empty table gives no pieces.  Columns besides the named ones are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -44,30 +45,72 @@ PIECES = T.StructType([
 
 
 class ChunkTokenizer:
-    """Ids of whole texts; the ids of runs between ASCII white space, which
-    the vocabulary's splitting never crosses, are cached as bytes."""
+    """Ids of whole texts with bounded caches.
+
+    Runs between ASCII white space are looked up whole; the vocabulary's
+    splitting never crosses that.  A new run of plain Latin text is
+    normalised and split by the vocabulary's own pattern, so that only new
+    words reach the tokenizer; any other run goes there whole.
+    """
 
     def __init__(self, tokenizer_json: str):
+        import regex
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(tokenizer_json)
-        self.cache: dict[bytes, bytes] = {}
-
-    def fill(self, texts: list[list[bytes]]) -> None:
-        """Encode all chunks not yet known in one call."""
-        new = {c for chunks in texts for c in chunks if c not in self.cache}
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = {c for chunks in texts for c in chunks}
-        todo = list(new)
-        got = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in todo], add_special_tokens=False)
-        for c, e in zip(todo, got):
-            self.cache[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.fill(split)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        self.table = common.IdTable(self.many, CACHE_CHUNKS)
+        self.words: dict[str, bytes] = {}
+        self.find = None
+        plan = json.loads(tokenizer_json)
+        steps = [n["type"] for n in (plan.get("normalizer") or {}).get("normalizers", [])]
+        splits = (plan.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.special = {a["content"][:2] for a in plan.get("added_tokens", [])}
+        if steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("invert") \
+                and splits[1]["type"] == "ByteLevel" and not splits[1].get("add_prefix_space"):
+            self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
+
+    def pieces(self, chunk: bytes) -> list[str]:
+        """What of a run is encoded by itself."""
+        text = chunk.decode("utf-8", "replace")
+        if self.find is None or max(text) > "\u024f" or any(s in text for s in self.special):
+            return [text]
+        return self.find(text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text))
+
+    def many(self, chunks: list[bytes]) -> list[bytes]:
+        words = self.words
+        if len(words) > CACHE_CHUNKS:
+            words.clear()
+        split = [self.pieces(c) for c in chunks]
+        todo = list({p for ps in split for p in ps if p not in words})
+        for p, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False)):
+            words[p] = np.array(e.ids, "<u4").tobytes()
+        return [words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps]) for ps in split]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (large_binary) as little-endian uint32."""
+        w = common.Words(texts, lower=False)
+        cut = common.sign_cuts(w.data) if self.find is not None else np.zeros(len(w.data), bool)
+        if self.special and cut.any():
+            # the words that may hold a special token stay whole
+            first = np.frombuffer("".join(sorted({s[0] for s in self.special})).encode(), np.uint8)
+            odd = np.isin(w.data, first)
+            if odd.any():
+                which = np.searchsorted(w.start, np.flatnonzero(odd & w.solid), "right") - 1
+                for k in np.unique(which).tolist():
+                    cut[w.start[k]:w.end[k]] = False
+        begin = np.zeros(len(w.data), bool)
+        begin[w.start] = True
+        begin |= cut & w.solid
+        start = np.flatnonzero(begin)
+        end = np.append(start[1:], len(w.data))
+        word = np.searchsorted(w.start, start, "right") - 1
+        end = np.minimum(end, w.end[word]) if len(start) else end[:0]
+        size = end - start
+        hashes = common.span_hashes(w.data[w.solid], np.cumsum(size) - size)
+        ids, count = self.table.look_up(w.data, start, end, hashes)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        edge = upto[np.searchsorted(word, w.first)]
+        raw = np.ascontiguousarray(ids, "<u4").tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
 def pack_block(tokens: np.ndarray, loss: np.ndarray, max_tokens: int, max_segments: int,
@@ -163,7 +206,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
 
         pending = 0
         for part, raw in common.slices(batches, text):
-            ids = [e + end for e in tok.encode(raw.to_pylist())]
+            ids = [e + end for e in tok.encode(raw)]
             who = part.column(0).to_pylist()
             bears = [bool(x) for x in part.column(2).to_pylist()] if loss else [True] * len(ids)
             for d, e, b in zip(who, ids, bears):
