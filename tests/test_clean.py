@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 
 from tillroll.operators.clean import clean, preview
-from tillroll.sources import schema
+from tillroll.functions import exprs
+from tillroll.sources import reader, schema, writer
 from tillroll.sources.reader import detect_charset, read_csv, read_sales, source_shape
 from tillroll.sources.writer import export_clean
 
@@ -151,3 +152,62 @@ def test_typed_parquet_filters_reach_scan(spark, tmp_path):
     assert "Generate" not in plan                      # typed input: plain projection
     assert out.schema["quantity"].dataType.simpleString() == "double"
     assert F is not None
+
+
+AWKWARD = ('InvoiceDate,Description,Quantity,UnitPrice,InvoiceNo\n'
+           '2024-01-01,"12"" RULER, BLUE",5,10.5,A1\n'
+           '2024-01-02,  PADDED ,"\t5",\xa02,A2\n'
+           '2024-01-03,"a ""quoted"" name",1,1,A3\n'
+           '3/10/2024 2:30,café,1,1,A4\n')
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "iso-8859-1"])
+def test_csv_round_trip(spark, tmp_path, encoding):
+    src = tmp_path / "in.csv"
+    src.write_bytes(AWKWARD.encode(encoding))
+    first = clean(reader.read_sales(spark, str(src)))
+    names = {r["product_name"]: (r["quantity"], r["unit_price"]) for r in first.collect()}
+    assert names == {'12" RULER, BLUE': (5.0, 10.5), "  PADDED ": (5.0, 2.0), 'a "quoted" name': (1.0, 1.0), "café": (1.0, 1.0)}
+    writer.export_clean(first, str(tmp_path / "out"))
+    again = clean(reader.read_csv(spark, str(tmp_path / "out")))
+    key = lambda r: r["transaction_id"]
+    assert sorted(again.collect(), key=key) == sorted(first.collect(), key=key)
+
+
+def test_quoted_line_break(spark, tmp_path):
+    src = tmp_path / "lines.csv"
+    src.write_text('date,Item,qty,Price\n2024-01-01,"two\nlines",2,3\n2024-01-02,b,1,1\n')
+    rows = clean(reader.read_csv(spark, str(src), multi_line=True)).collect()
+    assert sorted(r["product_name"] for r in rows) == ["b", "two\nlines"]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        reader.read_csv(spark, str(src)).count()                   # refused, not lost
+    assert reader.read_csv(spark, str(src), malformed="keep").count() == 3
+
+
+def test_dates_ignore_the_session_zone(spark):
+    raw = spark.createDataFrame([("3/10/2024 2:30",), ("2024-03-10 02:30:00",), ("11/3/2024 1:30:15",)], "d string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [str(r[0]) for r in raw.select(exprs.to_timestamp_ntz("d").cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == ["2024-03-10 02:30:00", "2024-03-10 02:30:00", "2024-11-03 01:30:15"]
+
+
+def test_text_input_is_pruned(spark, tmp_path):
+    rows = [("2024-01-01", "a", "1", "2", "o", "c")]
+    spark.createDataFrame(rows, "InvoiceDate string, Description string, Quantity string, UnitPrice string, "
+                                "InvoiceNo string, CustomerID string").write.parquet(str(tmp_path / "p"))
+    from tillroll.operators import kpi
+    status = kpi.load_status(clean(spark.read.parquet(str(tmp_path / "p"))))
+    plan = status._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema"):]
+    assert "Quantity" in schema and "Description" not in schema and "CustomerID" not in schema
+    assert status.first()["records"] == 1
+
+
+def test_display_forms(spark):
+    df = spark.createDataFrame([(1234.5, 4.25), (-0.5, -3.14)], "a double, b double")
+    got = [tuple(r) for r in df.select(exprs.plain_money("a"), exprs.signed_percent("b"), exprs.money("a")).collect()]
+    assert got == [("£1234.50", "+4.2%", "£1,234.50"), ("£-0.50", "-3.1%", "£-0.50")]

@@ -30,31 +30,44 @@ DEFAULT_DATE_FORMATS = (
 )
 
 
+# White space that may stand around a number or date (as text readers strip it).
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def stripped(c) -> Column:
+    """Text without white space at both ends."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.btrim(col.cast("string"), F.lit(BLANKS))
+
+
 def to_number(c, data_type: T.DataType | None = None) -> Column:
     """Text or numeric column to DOUBLE; anything not a number -> null."""
     col = F.col(c) if isinstance(c, str) else c
     if data_type is not None and isinstance(data_type, T.NumericType):
         return col.cast("double")
-    s = F.trim(col.cast("string"))
+    s = stripped(col)
     return F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
 
 
 def to_timestamp_ntz(c, formats=DEFAULT_DATE_FORMATS, data_type: T.DataType | None = None) -> Column:
     """Text, date or timestamp column to TIMESTAMP_NTZ; unparseable -> null.
 
-    ISO text goes through ``try_cast`` (no time zone involved).  Other
-    formats are tried in order with ``try_to_timestamp`` and converted to
-    wall-clock time in the session zone.
+    ISO text goes through ``try_cast``.  Other formats are tried in order and
+    read as wall-clock time: the text is parsed with an explicit zero offset
+    and the instant's distance from the epoch is added to the epoch's wall
+    clock, so the session's time zone (and its daylight saving) plays no part.
     """
     col = F.col(c) if isinstance(c, str) else c
     if isinstance(data_type, (T.TimestampNTZType,)):
         return col
     if isinstance(data_type, (T.TimestampType, T.DateType)):
         return col.cast("timestamp_ntz")
-    s = F.trim(col.cast("string"))
+    s = stripped(col)
     parts = [s.try_cast("timestamp_ntz")]
     for fmt in formats or ():
-        parsed = F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
+        instant = F.try_to_timestamp(F.concat(s, F.lit(" Z")), F.lit(fmt + " X"))
+        parsed = F.timestamp_add("MICROSECOND", F.unix_micros(instant),
+                                 F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
         seps = _literal_chars(fmt)
         if seps:
             # A format's literal characters must all occur in the text for it
@@ -130,6 +143,19 @@ def money(c, digits: int = 2, symbol: str = "£") -> Column:
     return F.concat(F.lit(symbol), F.format_number(col, digits))
 
 
+def plain_money(c, digits: int = 2, symbol: str = "£") -> Column:
+    """Currency text without thousands separators."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.concat(F.lit(symbol), F.replace(F.format_number(col, digits), F.lit(","), F.lit("")))
+
+
+def signed_percent(c, digits: int = 1) -> Column:
+    """``c`` with its sign and a percent sign: ``+4.2%``, ``-0.5%``."""
+    col = F.col(c) if isinstance(c, str) else c
+    text = F.format_number(col, digits)
+    return F.concat(F.when(text.startswith("-"), F.lit("")).otherwise(F.lit("+")), text, F.lit("%"))
+
+
 def percent(c, digits: int = 1, scale: float = 1.0) -> Column:
     """``c * scale`` as text with a percent sign (``scale=100`` for fractions)."""
     col = F.col(c) if isinstance(c, str) else c

@@ -37,27 +37,28 @@ def clean(raw: DataFrame, mapping: dict | None = None, formats=DEFAULT_DATE_FORM
     """
     m = resolve_mapping(raw.columns, mapping)
     types = {f.name: f.dataType for f in raw.schema.fields}
-    cols = []
+    parsed, plain = [], []
     parses = False
     for target, source in m.items():
         src = F.col(f"`{source}`")
         if target == "quantity" or target == "unit_price":
-            cols.append(to_number(src, types[source]).alias(target))
+            parsed.append(to_number(src, types[source]).alias(target))
             parses = parses or isinstance(types[source], T.StringType)
         elif target == "order_date":
-            cols.append(to_timestamp_ntz(src, formats, types[source]).alias(target))
+            parsed.append(to_timestamp_ntz(src, formats, types[source]).alias(target))
             parses = parses or isinstance(types[source], T.StringType)
         else:
-            cols.append(src.cast("string").alias(target))
+            plain.append(src.cast("string").alias(target))
     if parses:
-        # Text input: parse every value once.  The one-element inline is a
-        # generator, which Catalyst does not push the filter below, so the
-        # regex and date parsing are not repeated inside the filter (or
-        # inside join conditions when the input is itself a join).
-        typed = raw.select(F.inline(F.array(F.struct(*cols))))
+        # Text input: parse every value once.  The one-element inline holds
+        # just the three parsed columns, which the filter needs in any case;
+        # Catalyst does not push the filter below a generator, so the regex
+        # and date parsing are not repeated in it, while the other columns
+        # stay ordinary ones and are pruned from the scan when unused.
+        typed = raw.select(*plain, F.inline(F.array(F.struct(*parsed)))).select(*m)
     else:
         # Typed input: plain projection, so the filter can reach the scan.
-        typed = raw.select(*cols)
+        typed = raw.select(*parsed, *plain).select(*m)
     out = (typed.withColumn("total_value", F.col("quantity") * F.col("unit_price"))
            .filter(positive("quantity") & positive("unit_price") & F.col("order_date").isNotNull()))
     if require_rows and out.isEmpty():

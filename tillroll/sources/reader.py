@@ -15,28 +15,55 @@ from pyspark.sql import functions as F
 CHARSETS = ["UTF-8", "ISO-8859-1"]
 
 
+_CHARSETS: dict = {}
+
+
 def detect_charset(spark: SparkSession, path) -> str:
     """``UTF-8`` if every line of the input is valid UTF-8, else ISO-8859-1.
 
-    One distributed pass: each task checks its lines, the driver receives a
-    single boolean.  Pass ``encoding=`` to :func:`read_csv` to skip it.
+    One distributed pass over the whole input: each task checks its lines,
+    the driver receives a single boolean.  The answer is kept per path for
+    the life of the application (:func:`forget_charsets` drops it).  Pass
+    ``encoding=`` to :func:`read_csv` where the charset is known.
     """
-    lines = spark.read.text(path)
-    ok = lines.agg(F.coalesce(F.min(F.is_valid_utf8("value").cast("int")), F.lit(1))
-                   .alias("ok")).first()["ok"]
-    return CHARSETS[0] if ok == 1 else CHARSETS[1]
+    key = (spark.sparkContext.applicationId, tuple([path] if isinstance(path, str) else path))
+    if key not in _CHARSETS:
+        lines = spark.read.text(path)
+        ok = lines.agg(F.coalesce(F.min(F.is_valid_utf8("value").cast("int")), F.lit(1))
+                       .alias("ok")).first()["ok"]
+        _CHARSETS[key] = CHARSETS[0] if ok == 1 else CHARSETS[1]
+    return _CHARSETS[key]
+
 
+def forget_charsets() -> None:
+    _CHARSETS.clear()
 
-def read_csv(spark: SparkSession, path, encoding: str | None = None,
-             multi_line: bool = False, sep: str = ",") -> DataFrame:
-    """Header CSV, every column a string."""
+
+def read_csv(spark: SparkSession, path, encoding: str | None = None, multi_line: bool = False,
+             sep: str = ",", malformed: str = "fail") -> DataFrame:
+    """Header CSV (RFC 4180: fields in double quotes, a quote inside doubled),
+    every column a string.
+
+    ``multi_line=True`` allows line breaks inside quoted fields; such a file
+    is read by one task, so it is opt-in.  A record with more or fewer fields
+    than the header (also what a quoted line break looks like without
+    ``multi_line``) fails the job, so that no row is lost unseen;
+    ``malformed="keep"`` keeps it with the fields it has.  The check needs
+    every field of a record, so the parser splits whole records whatever
+    columns are asked for.
+    """
+    if malformed not in ("fail", "keep"):
+        raise ValueError("malformed is 'fail' or 'keep'")
     cs = encoding or detect_charset(spark, path)
     return (spark.read.option("header", True)
             .option("inferSchema", False)
             .option("encoding", cs)
             .option("multiLine", multi_line)
             .option("sep", sep)
-            .option("mode", "PERMISSIVE")
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("mode", "FAILFAST" if malformed == "fail" else "PERMISSIVE")
+            .option("columnPruning", malformed == "keep")
             .csv(path))
 
 

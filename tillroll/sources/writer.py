@@ -18,7 +18,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if fmt == "csv":
-        w.option("header", True).option("encoding", "UTF-8").csv(path)
+        # RFC 4180: a quote inside a field is doubled, and blanks around a value are part of it
+        (w.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "parquet":
         w.parquet(path)
     else:

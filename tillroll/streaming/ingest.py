@@ -1,7 +1,8 @@
 """Incremental loading: sales files dropped into a folder are cleaned with
 the same :func:`tillroll.operators.clean.clean` plan and appended to a
-Parquet table, exactly once per file (Structured Streaming file source and
-sink with a checkpoint in the cluster's shared checkpoint folder).
+Parquet table, once per file (Structured Streaming file source and sink).
+That holds across restarts because the checkpoint folder is the caller's: it
+must be in shared storage, belong to one table, and be given every time.
 
 The daily revenue of the appended table is then the ordinary batch
 operator :func:`tillroll.operators.trend.daily` over that table;
@@ -18,7 +19,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exprs import DEFAULT_DATE_FORMATS
 from ..operators.clean import clean
-from ..session import ensure_checkpoint_dir
 
 
 def read_stream(spark: SparkSession, source_dir: str, columns, fmt: str = "csv",
@@ -30,7 +30,8 @@ def read_stream(spark: SparkSession, source_dir: str, columns, fmt: str = "csv",
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        return r.option("header", True).csv(source_dir)
+        return (r.option("header", True).option("quote", '"').option("escape", '"')
+                .option("mode", "FAILFAST").option("columnPruning", False).csv(source_dir))
     return r.parquet(source_dir)
 
 
@@ -39,16 +40,11 @@ def clean_stream(spark: SparkSession, source_dir: str, columns, mapping: dict |
     return clean(read_stream(spark, source_dir, columns, fmt), mapping, formats)
 
 
-def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
-    return checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-
-
-def start_ingest(stream: DataFrame, table_path: str, checkpoint: str | None = None,
-                 available_now: bool = True, name: str = "sales_ingest") -> StreamingQuery:
-    """Append the cleaned stream to a Parquet table (exactly once per file)."""
-    spark = stream.sparkSession
-    w = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", _checkpoint(spark, name, checkpoint)))
+def start_ingest(stream: DataFrame, table_path: str, checkpoint: str,
+                 available_now: bool = True) -> StreamingQuery:
+    """Append the cleaned stream to a Parquet table; files that the
+    ``checkpoint`` folder already lists are not read again."""
+    w = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start(table_path)
 
