@@ -50,13 +50,13 @@ def test_exact_quantiles_match_numpy(spark):
     vals = [float(rnd.choice([1, 2, 3, 5, 8, 13])) for _ in range(5000)] + [rnd.random() * 1e6 for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = profile.exact_quantiles(df, probs, buckets=16, gather_limit=50)
+    got = profile.exact_quantiles(df, probs, grid=7)
     want = np.quantile(np.array(vals), probs)
     for g, w in zip(got, want):
         assert g == w or abs(g - w) <= 1e-9 * max(1.0, abs(w))
     inf = vals + [float("inf"), float("-inf"), float("nan")]
     dfi = spark.createDataFrame([(v,) for v in inf], "v double")
-    lo, mid, hi = profile.exact_quantiles(dfi, [0.0, 0.5, 1.0], buckets=16, gather_limit=50)
+    lo, mid, hi = profile.exact_quantiles(dfi, [0.0, 0.5, 1.0], grid=7)
     assert lo == float("-inf") and hi == float("inf")
     assert mid == np.quantile(np.array(vals + [float("inf"), float("-inf")]), 0.5)
 
@@ -180,7 +180,14 @@ def test_prefix_sum_splits_hot_tie(spark):
     j = ours.join(ref, "product").collect()
     assert all(r["position"] == r["p"] for r in j)
     assert max(abs(r["cum_value"] - r["c"]) / r["c"] for r in j) < 1e-12
-    # the tie (two thirds of the rows) is spread over several window partitions
-    spread = (df.withColumn("k", prefix.name_key("product")).filter("revenue = 5.0")
-              .agg(F.countDistinct("k")).first()[0])
-    assert spread > 1
+
+
+def test_prefix_sum_splits_ties_with_a_long_common_prefix(spark):
+    names = [f"Product 00000 {i:05d}" for i in range(20_000)]
+    df = spark.createDataFrame([(n, 5.0) for n in names], "product string, revenue double")
+    ranges = {r["_range"]: r["count"] for r in
+              prefix.ordered_ranges(df, "revenue", "product", 8).groupBy("_range").count().collect()}
+    assert len(ranges) >= 7 and max(ranges.values()) < 6_000
+    ours = {r["product"]: (r["position"], r["cum_value"]) for r in
+            prefix.descending_running_sum(df, "revenue", "product", buckets=8).collect()}
+    assert ours == {n: (i + 1, 5.0 * (i + 1)) for i, n in enumerate(names)}

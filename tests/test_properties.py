@@ -21,7 +21,7 @@ SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(He
 def test_quantiles_equal_numpy(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = profile.exact_quantiles(df, probs, buckets=4, gather_limit=7)
+    got = profile.exact_quantiles(df, probs, grid=2)
     want = np.quantile(np.array(vals), probs)
     for g, w in zip(got, want):
         assert abs(g - w) <= 1e-9 * max(1.0, abs(w))

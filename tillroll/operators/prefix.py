@@ -1,19 +1,13 @@
 """Running totals in a global order without a single-partition window.
 
 ``sum(x) OVER (ORDER BY ...)`` with no PARTITION BY sends every row to one
-task.  Here the rows are first cut into ordered buckets whose number is a
-pure function of the sort value (boundaries from one ``percentile_approx``
-pass, a small array), the running sum is taken per bucket in parallel,
-and each bucket adds the total of all buckets before it (a table with one
-row per bucket, broadcast).  Equal sort values always share a bucket, so
-ties keep their secondary order.
-
-A value held by many rows (a long tail of products with the same revenue)
-shows up as a repeated boundary.  Its rows are split further by name:
-sub-buckets cut an order-preserving number made of the first seven UTF-8
-bytes of the key (zero padded), so names sharing that prefix stay
-together and the global order is exact, while one hot tie no longer lands
-in one task.
+task.  Here the rows are range-partitioned on the full order (value
+descending, then key), so equal values are split by their keys, however
+long the keys' common prefix.  The ranges are written once to the reliable
+checkpoint folder with their number, then each range takes its running sum
+in parallel and adds the total of all ranges before it (one row per range).
+Because the numbered rows are stored, a lost executor cannot move a row to
+another range, and every row finds its offset.
 """
 
 from __future__ import annotations
@@ -21,72 +15,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket_of
-from ..session import default_parallelism
-
-
-MAX_BUCKETS = 512
-
-
-def raw_bounds(df: DataFrame, value: str, buckets: int, accuracy: int = 10_000) -> list[float]:
-    """Cut points splitting ``value`` into ~equal buckets (with repeats)."""
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(value, probs, accuracy).alias("b")).first()
-    if row is None or row["b"] is None:
-        return []
-    return sorted(float(x) for x in row["b"])
-
-
-def value_bounds(df: DataFrame, value: str, buckets: int, accuracy: int = 10_000) -> list[float]:
-    """Sorted distinct cut points splitting ``value`` into ~equal buckets."""
-    return sorted(set(raw_bounds(df, value, buckets, accuracy)))
+from ..session import default_parallelism, ensure_checkpoint_dir
 
 
-def name_key(key: str):
-    """Order-preserving BIGINT of the first 7 UTF-8 bytes of ``key``."""
-    head = F.substring(F.col(key).cast("binary"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("bigint")
+def ordered_ranges(df: DataFrame, value: str, key: str, ranges: int | None = None,
+                   range_col: str = "_range") -> DataFrame:
+    """``df`` with the number of its range in ``value DESC, key ASC``; stored
+    (checkpointed), so the numbers are fixed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    n = ranges or default_parallelism(df.sparkSession)
+    return (df.repartitionByRange(n, F.col(value).desc(), F.col(key).asc())
+            .withColumn(range_col, F.spark_partition_id()).checkpoint(eager=True))
 
 
 def descending_running_sum(df: DataFrame, value: str, key: str, buckets: int | None = None,
                            cum_col: str = "cum_value", pos_col: str = "position") -> DataFrame:
     """Add the running sum of ``value`` and the 1-based position in the
-    order ``value DESC, key ASC``."""
-    # one bucket per shuffle partition, at most MAX_BUCKETS: the cut points
-    # become a CASE tree that must stay small enough for code generation
-    n_buckets = buckets or min(default_parallelism(df.sparkSession), MAX_BUCKETS)
-    raw = raw_bounds(df, value, n_buckets)
-    bounds = sorted(set(raw))
-    # bucket 0 holds the largest values
-    b = (F.lit(len(bounds)) - bucket_of(F.col(value), bounds)).cast("int") if bounds else F.lit(0)
-    tagged = df.withColumn("_bucket", b)
-    # hot ties: a value repeated among the cut points holds >= 1/buckets of the rows
-    hot = sorted({v for v in raw if raw.count(v) > 1})
-    sub = F.lit(0)
-    if hot:
-        n_sub = max(raw.count(v) for v in hot) + 1
-        probs = [i / n_sub for i in range(1, n_sub)]
-        names = (tagged.filter(F.col(value).isin(hot))
-                 .groupBy(value).agg(F.percentile_approx(name_key(key), probs, 10_000).alias("nb"))
-                 .collect())                                   # one small row per hot value
-        for r in names:
-            nb = sorted(set(float(x) for x in r["nb"]))
-            sub = F.when(F.col(value) == F.lit(r[value]), bucket_of(name_key(key), nb)).otherwise(sub)
-    tagged = tagged.withColumn("_sub", sub.cast("int"))
-    parts = ["_bucket", "_sub"]
+    order ``value DESC, key ASC``; ``buckets`` ranges (default: one per
+    shuffle partition)."""
+    tagged = ordered_ranges(df, value, key, buckets)
     order = [F.col(value).desc(), F.col(key).asc()]
-    w_local = (Window.partitionBy(*parts).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (tagged.withColumn("_cum", F.sum(value).over(w_local))
-             .withColumn("_pos", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))))
-    totals = tagged.groupBy(*parts).agg(F.sum(value).alias("_t"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
-    offsets = totals.select(*parts,
-                            F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_off"),
+    own = Window.partitionBy("_range").orderBy(*order)
+    local = tagged.select("*", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"),
+                          F.row_number().over(own).alias("_pos"))
+    totals = tagged.groupBy("_range").agg(F.sum(value).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)      # one row per range
+    offsets = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_off"),
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_noff"))
-    return (local.join(F.broadcast(offsets), parts)          # <= buckets^2 rows
+    return (local.join(F.broadcast(offsets), "_range")                               # one row per range
             .withColumn(cum_col, F.col("_cum") + F.col("_off"))
             .withColumn(pos_col, (F.col("_pos") + F.col("_noff")).cast("bigint"))
-            .drop("_bucket", "_sub", "_cum", "_pos", "_off", "_noff"))
+            .drop("_range", "_cum", "_pos", "_off", "_noff"))

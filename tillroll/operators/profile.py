@@ -1,10 +1,13 @@
 """Data profile: column info and descriptive statistics.
 
-Exact quartiles are computed without ever sorting or gathering the column:
-a few histogram passes narrow each wanted rank down to a value range, and
-only a range holding at most ``gather_limit`` values is fetched (sorted)
-to the driver.  Every pass is one aggregate whose result is bounded by the
-bucket count.  ``approx=True`` uses ``percentile_approx`` in one pass.
+Exact quartiles are found by counting, at every size in the same way.  Each
+pass is one aggregate over the values: it counts them between a few cut points
+and on those points, and takes approximate percentiles of each piece, whose
+values next to a wanted rank are the next cut points.  A rank is found when
+its piece holds a single value.  Every pass divides the open range's count
+by some hundreds, so even 10**12 values take about six passes; no value
+range is ever fetched or sorted.
+``approx=True`` uses ``percentile_approx`` in one pass.
 """
 
 from __future__ import annotations
@@ -15,6 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import bucket_of
+
+#: Percentiles taken of each piece; the two on either side of a rank become cut points.
+GRID = 999
+
+
 def _epoch():
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -42,110 +51,71 @@ def _as_number(c: str, dt):
     return col.cast("double")
 
 
-def grouped_quantiles(values: DataFrame, probs, buckets: int = 4096,
-                      gather_limit: int = 100_000, moments: dict | None = None) -> dict:
+def _piece(v, cuts: list[float]):
+    """Number of a value's piece: odd on a cut point, even between two."""
+    n = bucket_of(v, cuts)
+    on = F.element_at(F.array(*[F.lit(float("nan")), *[F.lit(c) for c in cuts]]), n + 1) == v
+    return (2 * n - F.when(on, 1).otherwise(0)).cast("int")
+
+
+def grouped_quantiles(values: DataFrame, probs, grid: int = GRID, moments: dict | None = None) -> dict:
     """Exact linear-interpolated quantiles of ``v`` for every key ``k`` of a
-    long table ``(k int, v double)``.
+    long table ``(k int, v double)`` with few keys.
 
     Same definition as NumPy / pandas ``quantile`` (position ``q * (n-1)``),
-    nulls and NaN ignored.  Each pass is one job for all keys at once:
-    a per-key summary, then histogram passes over the still-open value
-    ranges (at most ``buckets`` rows per range come back), then one job
-    that fetches the values of ranges holding at most ``gather_limit``
-    rows.  The caller should persist ``values``; every pass re-reads it.
-    Returns ``{k: [quantile per prob]}``.  When a ``moments`` dict is
-    given, the first pass also fills it with ``{k: {cnt, avg, std, min,
-    max}}`` of the non-null values.
+    nulls and NaN ignored.  The first pass is a summary with percentiles per
+    key, the others count and cut the ranges that are still open; what
+    returns to the driver is bounded by keys, probabilities and ``grid``.
+    Returns ``{k: [quantile per prob]}``.  When a ``moments`` dict is given,
+    the first pass also fills it with ``{k: {cnt, avg, std, min, max}}`` of
+    the non-null values.
     """
     v, k = F.col("v"), F.col("k")
     base = values.filter(v.isNotNull() & ~F.isnan(v))
-    fin = F.abs(v) != F.lit(float("inf"))
+    inner = [(i + 1) / (grid + 1) for i in range(grid)]
+    splits = F.percentile_approx("v", inner, 10 * (grid + 1)).alias("splits")
     stats = {r["k"]: r for r in base.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(v == F.lit(float("-inf"))).alias("neg"),
-        F.count_if(v == F.lit(float("inf"))).alias("pos"),
-        F.min(F.when(fin, v)).alias("lo"), F.max(F.when(fin, v)).alias("hi"),
-        F.avg(v).alias("avg"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        F.max(v).alias("max")).collect()}
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("avg"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"), splits).collect()}
     if moments is not None:
         for key, r in stats.items():
             moments[key] = {"cnt": r["n"], "avg": r["avg"], "std": r["std"], "min": r["min"], "max": r["max"]}
     found: dict = {}
-    pending = []                       # [key, lo, hi, offset, count, ranks]
-    for key, s in stats.items():
-        n = s["n"]
-        ranks = sorted({int(math.floor(q * (n - 1))) for q in probs} |
-                       {int(math.ceil(q * (n - 1))) for q in probs})
-        fin_ranks = []
-        for r in ranks:
-            if r < s["neg"]:
-                found[(key, r)] = float("-inf")
-            elif r >= n - s["pos"]:
-                found[(key, r)] = float("inf")
-            else:
-                fin_ranks.append(r)
-        if fin_ranks:
-            pending.append([key, s["lo"], s["hi"], s["neg"], n - s["neg"] - s["pos"], fin_ranks])
-
-    def inside(p):
-        return (k == p[0]) & (v >= F.lit(p[1])) & (v <= F.lit(p[2]))
-
-    for _ in range(200):
-        if not pending:
-            break
-        small = [p for p in pending if p[4] <= gather_limit or p[1] == p[2]]
-        big = [p for p in pending if not (p[4] <= gather_limit or p[1] == p[2])]
-        fetch = []
-        for p in small:
-            if p[1] == p[2]:
-                for r in p[5]:
-                    found[(p[0], r)] = p[1]
-            else:
-                fetch.append(p)
-        if fetch:
-            tag = F.lit(None).cast("int")
-            for i, p in enumerate(fetch):             # ranges are disjoint
-                tag = F.when(inside(p), F.lit(i)).otherwise(tag)
-            got: dict = {}
-            for row in base.select(tag.alias("i"), "v").filter(F.col("i").isNotNull()).collect():
-                got.setdefault(row["i"], []).append(row["v"])
-            for i, p in enumerate(fetch):
-                vals = sorted(got.get(i, []))
-                for r in p[5]:
-                    found[(p[0], r)] = vals[r - p[3]]
-        nxt = []
-        if big:
-            expr = F.lit(None)
-            for i, p in enumerate(big):
-                width = p[2] - p[1]
-                if math.isinf(width):
-                    rel = (v / 2 - F.lit(p[1] / 2)) / F.lit(p[2] / 2 - p[1] / 2)
-                else:
-                    rel = (v - F.lit(p[1])) / F.lit(width)
-                b = F.least(F.floor(rel * buckets), F.lit(buckets - 1)).cast("int")
-                expr = F.when(inside(p), F.struct(F.lit(i).alias("i"), b.alias("b"))).otherwise(expr)
-            hist = (base.select(F.col("v"), expr.alias("x")).filter(F.col("x").isNotNull())
-                    .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")))
-            by_range: dict = {}
-            for row in hist.collect():
-                by_range.setdefault(row["i"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
-            for i, p in enumerate(big):
-                acc = p[3]
-                for b, c, mn, mx in sorted(by_range.get(i, [])):
-                    sub = [r for r in p[5] if acc <= r < acc + c]
-                    if sub:
-                        nxt.append([p[0], mn, mx, acc, c, sub])
-                    acc += c
-        pending = nxt
+    open_ = []                         # (key, least, greatest, values before, ranks, cut points)
+
+    def near(points, before, n, ranks):
+        """Percentiles next to the ranks' places among ``n`` values."""
+        at = {min(max(int((x - before + 0.5) / n * (grid + 1)) + d, 0), grid - 1) for x in ranks for d in (-2, -1, 0, 1)}
+        return sorted({points[i] for i in at})
+
+    for key, r in stats.items():
+        ranks = sorted({f(q * (r["n"] - 1)) for q in probs for f in (math.floor, math.ceil)})
+        open_.append((key, r["min"], r["max"], 0, ranks, near(r["splits"], 0, r["n"], ranks)))
+    while open_:
+        tag = F.lit(None)
+        for i, (key, lo, hi, _, _, points) in enumerate(open_):          # disjoint ranges
+            inside = (k == key) & (v >= F.lit(lo)) & (v <= F.lit(hi))
+            tag = F.when(inside, F.struct(F.lit(i).alias("i"), _piece(v, points).alias("b"))).otherwise(tag)
+        rows = (base.select("v", tag.alias("x")).filter(F.col("x").isNotNull())
+                .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), splits).collect())
+        left = []
+        for i, (key, _, _, before, ranks, _) in enumerate(open_):
+            for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["b"]):
+                mine = [x for x in ranks if before <= x < before + r["n"]]
+                if mine and r["lo"] == r["hi"]:
+                    found.update({(key, x): r["lo"] for x in mine})
+                elif mine:
+                    left.append((key, r["lo"], r["hi"], before, mine, near(r["splits"], before, r["n"], mine)))
+                before += r["n"]
+        open_ = left
     out = {}
-    for key, s in stats.items():
-        n, res = s["n"], []
+    for key, r in stats.items():
+        res = []
         for q in probs:
-            pos = q * (n - 1)
-            lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-            a, b = found[(key, lo_r)], found[(key, hi_r)]
-            res.append(a if lo_r == hi_r or a == b else a + (b - a) * (pos - lo_r))
+            pos = q * (r["n"] - 1)
+            a, b = found[(key, math.floor(pos))], found[(key, math.ceil(pos))]
+            res.append(a if a == b else a + (b - a) * (pos - math.floor(pos)))
         out[key] = res
     return out
 
@@ -182,16 +152,10 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
             moments[i] = {m: row[f"{m}{i}"] for m in ("cnt", "avg", "std", "min", "max")}
             quart[i] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * 3
     else:
-        # The numeric projection (one row of doubles per input row) is
-        # persisted once, so the input (often a parse of raw text) is
-        # computed once; each pass unpivots it to (column, value) on the fly.
-        wide = nums.persist()
-        long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
+        # each pass unpivots the numeric columns to (column, value) on the fly
+        long = nums.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
                                               for i in range(len(fields))])))
-        try:
-            got = grouped_quantiles(long, probs, moments=moments)
-        finally:
-            wide.unpersist()
+        got = grouped_quantiles(long, probs, moments=moments)
         for i in range(len(fields)):
             quart[i] = got.get(i, [None] * 3)
     empty = {"cnt": 0, "avg": None, "std": None, "min": None, "max": None}
