@@ -8,13 +8,15 @@ Plan, all in the long form ``(order_id, item)`` (no order x item matrix):
    removes repeated lines before the shuffle;
 2. item counts; rare items (floor ``max(1, floor(0.005 N))``) and
    infrequent ones are removed with a left-semi join;
-3. baskets: one sorted array of frequent items per order (bounded by the
-   number of frequent items, not by the order's lines); an order with
-   more than ``CHUNK`` items is salted into chunks of first-item positions
-   that run as separate tasks;
-4. pairs and triples are generated from the arrays in sorted order and
-   counted with a partial aggregate; triples are kept only if all three
-   sub-pairs are frequent (Apriori candidates);
+3. occurrences: one row per (order, frequent item) with the order's later
+   items in sorted order; items are bounded by the number of frequent ones,
+   so an order of any length is many small rows, never one large array of
+   combinations;
+4. pairs are counted with a partial aggregate.  For triples the later items
+   of an occurrence are first cut to the frequent partners of its item (an
+   array per item, joined), then extended only by items that keep all three
+   pairs frequent, and counted with a partial aggregate; no triple is
+   shuffled before it is counted;
 5. rules: each itemset explodes into its ``2^k - 2`` splits by bitmask;
    antecedent and consequent supports come from the itemset table by an
    equi-join on the sorted item array.
@@ -29,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import first_words
+from ..functions.exprs import first_words, percent
 from ..session import ensure_checkpoint_dir
 from ..sources.schema import order_key
 
@@ -89,51 +91,19 @@ def _support(cnt, n):
     return cnt / F.lit(float(n))
 
 
-# Orders with more items than this are cut into chunks of first-item
-# positions that run as separate tasks (salting of large orders).
-CHUNK = 32
-
-_PAIRS = ("flatten(transform(slice(items, c * {k} + 1, {k}), (x, j) -> "
-          "transform(slice(items, c * {k} + j + 2, n), y -> named_struct('x', x, 'y', y))))")
-_TRIPLES = ("flatten(transform(slice(items, c * {k} + 1, {k}), (x, j) -> "
-            "flatten(transform(slice(items, c * {k} + j + 2, n), (y, l) -> "
-            "transform(slice(items, c * {k} + j + l + 3, n), z -> named_struct('x', x, 'y', y, 'z', z))))))")
-
-
-def baskets(pairs: DataFrame, chunk: int = CHUNK, partitions: int | None = None,
-            cached: list | None = None) -> DataFrame:
-    """One row per (order, chunk): the order's sorted distinct items and the
-    chunk number ``c``.  An order of ``n`` items has ``ceil(n / chunk)``
-    chunks; chunk ``c`` generates the combinations whose first item sits at
-    positions ``c*chunk .. c*chunk+chunk-1``.  Chunks of large orders are
-    hash-partitioned on ``(order, chunk)`` into a fixed number of
-    partitions, so one huge order is spread over many tasks; ordinary
-    orders stay where the grouping put them."""
-    spark = pairs.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    bk = (pairs.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-          .withColumn("n", F.size("items")))
-    if cached is not None:          # both branches below read the arrays once
-        bk = bk.persist()
-        cached.append(bk)
-    small = bk.filter(F.col("n") <= chunk).withColumn("c", F.lit(0))
-    big = (bk.filter(F.col("n") > chunk)
-           .withColumn("c", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / chunk).cast("int") - 1)))
-           .repartition(n_parts, "order_id", "c"))
-    return small.unionByName(big)
+def occurrences(pairs: DataFrame) -> DataFrame:
+    """One row per (order, item): ``x`` and the order's items after it, in
+    sorted order (``later``)."""
+    orders = pairs.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return (orders.select("items", F.posexplode("items").alias("at", "x"))
+            .select("x", F.expr("slice(items, at + 2, size(items))").alias("later")))
 
 
 def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFAULT_MIN_SUPPORT,
                       max_len: int = MAX_LEN, items: DataFrame | None = None,
-                      chunk: int = CHUNK, cached: list | None = None) -> DataFrame:
-    """``items array<string>`` (sorted), ``n_items``, ``cnt``, ``support``.
-
-    Level 2 and 3 counts come from the per-order item arrays: each order
-    emits its item pairs (triples) in sorted order, a partial aggregate
-    counts them before the shuffle.  Triples are kept only when all three
-    sub-pairs are frequent (Apriori candidates, joined by AQE as a broadcast
-    when that table is small).
-    """
+                      cached: list | None = None) -> DataFrame:
+    """``items array<string>`` (sorted), ``n_items``, ``cnt``, ``support``;
+    every subset of a counted triple is frequent (Apriori)."""
     if not 1 <= max_len <= MAX_LEN:
         raise ValueError(f"max_len must be 1..{MAX_LEN}")
     spark = pairs.sparkSession
@@ -149,20 +119,24 @@ def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFA
     keep = (lambda c: F.col(c) / F.lit(float(n_orders)) >= F.lit(min_support))
     if max_len >= 2:
         tf = pairs.join(freq1.select("item"), "item", "left_semi")   # occurrences of frequent items
-        bk = baskets(tf, chunk, cached=cached if cached is not None else [])
-        p2 = bk.select(F.explode(F.expr(_PAIRS.format(k=chunk))).alias("p")).select("p.x", "p.y")
-        l2c = p2.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")).persist()
+        occ = occurrences(tf)
+        if cached is not None:          # both levels read it
+            occ = occ.persist()
+            cached.append(occ)
+        l2c = (occ.select("x", F.explode("later").alias("y")).groupBy("x", "y")
+               .agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")))
         if cached is not None:
+            l2c = l2c.persist()
             cached.append(l2c)
         levels.append(l2c.select(F.array("x", "y").alias("items"), F.lit(2).alias("n_items"), "cnt"))
         if max_len >= 3:
-            l2 = l2c.select("x", "y")
-            xz = l2.select(F.col("x"), F.col("y").alias("z"))
-            yz = l2.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            c3 = (l2.join(xz, "x").filter(F.col("y") < F.col("z"))
-                  .join(yz, ["y", "z"], "left_semi").select("x", "y", "z"))
-            p3 = bk.select(F.explode(F.expr(_TRIPLES.format(k=chunk))).alias("t")).select("t.x", "t.y", "t.z")
-            l3 = (p3.join(c3, ["x", "y", "z"], "left_semi")
+            partners = l2c.groupBy("x").agg(F.array_sort(F.collect_list("y")).alias("partners"))   # one row per item
+            two = (occ.join(partners, "x")
+                   .select("x", F.array_intersect("later", "partners").alias("ys")).filter(F.size("ys") > 1)
+                   .select("x", "ys", F.posexplode("ys").alias("at", "y"))
+                   .select("x", "y", F.expr("slice(ys, at + 2, size(ys))").alias("zs")).filter(F.size("zs") > 0))
+            l3 = (two.join(partners.select(F.col("x").alias("y"), "partners"), "y")
+                  .select("x", "y", F.explode(F.array_intersect("zs", "partners")).alias("z"))
                   .groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")))
             levels.append(l3.select(F.array("x", "y", "z").alias("items"), F.lit(3).alias("n_items"), "cnt"))
     out = levels[0]
@@ -233,9 +207,11 @@ def mine(df: DataFrame, order_col: str | None = None, item: str = "product_name"
 
 
 def summary(rules: DataFrame) -> DataFrame:
-    """Number of rules, strongest lift, highest confidence."""
-    return rules.agg(F.count(F.lit(1)).alias("n_rules"), F.max("lift").alias("max_lift"),
-                     F.max("confidence").alias("max_confidence"))
+    """Number of rules, strongest lift, highest confidence, with display text."""
+    return (rules.agg(F.count(F.lit(1)).alias("n_rules"), F.max("lift").alias("max_lift"),
+                      F.max("confidence").alias("max_confidence"))
+            .withColumn("lift_text", F.concat(F.format_number("max_lift", 1), F.lit("x")))
+            .withColumn("confidence_text", percent("max_confidence", 0, 100)))
 
 
 def top_rules(rules: DataFrame, n: int) -> DataFrame:
@@ -256,8 +232,8 @@ def cross_sell(rules: DataFrame, n: int = 5) -> DataFrame:
 
 def rule_table(rules: DataFrame, max_rules: int = 15) -> DataFrame:
     """The rule table: first ``max_rules`` rules with formatted numbers."""
-    if not 5 <= max_rules <= 50:
-        raise ValueError("max_rules is 5..50")
+    if max_rules < 1:
+        raise ValueError("max_rules must be positive")
     t = top_rules(rules, max_rules)
     return t.select("rank", F.array_join("antecedents", ", ").alias("antecedent"),
                     F.array_join("consequents", ", ").alias("consequent"),
