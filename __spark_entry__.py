@@ -21,7 +21,7 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 try:
@@ -176,14 +176,14 @@ def q_product_rollup(spark, d):
 
 
 def q_product_headline(spark, d):
-    return products.headline(_rollup(spark, d)).select("top_product", _r("top_revenue", 2),
-                                                       _r("top_share", 6))
+    return products.headline(_rollup(spark, d)).select("top_product", _r("top_revenue", 2), _r("top_share", 6),
+                                                       "revenue_text", "share_text")
 
 
 def q_product_top_n(spark, d):
     t = products.top_n(_rollup(spark, d), TOP_N)
     return t.select("rank", "product", _r("revenue", 2), _r("quantity", 2), _r("avg_price", 6),
-                    _r("revenue_pct", 6), "revenue_text", "quantity_text", "revenue_pct_text")
+                    _r("revenue_pct", 6), "revenue_text", "quantity_text", "avg_price_text", "revenue_pct_text")
 
 
 def q_product_top10(spark, d):
@@ -317,7 +317,7 @@ def _models(spark, d):
     # fitted once per session and table folder (the fits are the slow part)
     key = (spark.sparkContext.applicationId, d, tuple(sorted(MODEL_ARGS.items())))
     if key not in _MODELS:
-        _MODELS[key] = forecast.train(trend.daily(_sales(spark, d)).persist(), **MODEL_ARGS)
+        _MODELS[key] = forecast.train(trend.daily(_sales(spark, d)), **MODEL_ARGS)
     return _MODELS[key]
 
 
@@ -347,6 +347,58 @@ def q_report_models(spark, d):
     return forecast.model_table(_models(spark, d).scores).drop("time_text")
 
 
+def q_forecast_band(spark, d):
+    """Half width of the band and the days that a forecast covers."""
+    daily = trend.daily(_sales(spark, d))
+    return daily.agg((F.stddev_samp("total_value") * forecast.BAND_STD_SHARE).alias("band"), F.max("period").alias("last")).select(
+        _r("band", 2), _day(F.date_add("last", 1)).alias("first_day"), _day(F.date_add("last", forecast.HORIZON)).alias("last_day"))
+
+
+def q_forecast_lag7_scores(spark, d):
+    """Score formulas on a model without training: last week's value."""
+    test = forecast.features(trend.daily(_sales(spark, d)))
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    test = (test.withColumn("n", n).filter(F.col("day_index") >= F.floor(F.col("n") * forecast.TRAIN_SHARE))
+            .withColumn("pred", F.greatest(F.col("lag7"), F.lit(0.0))))
+    return test.agg(*forecast.score_expr()).select(_r("sse", 0), _r("ybar", 2), _r("mae", 2), _r("rmse", 2))
+
+
+def q_forecast_actuals(spark, d):
+    """The days that models are scored on, with their actual values."""
+    f = forecast.features(trend.daily(_sales(spark, d)))
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    return (f.withColumn("n", n).filter(F.col("day_index") >= F.floor(F.col("n") * forecast.TRAIN_SHARE))
+            .select("day_index", _day("period").alias("period"), _r("y", 2)))
+
+
+def q_report_contents(spark, d):
+    """All cells of the report tables that need no model, in long form."""
+    tables = report.report_tables(_sales(spark, d), REPORT_N, basket_item=BASKET_ITEM, min_support=BASKET_SUPPORT,
+                                  min_lift=BASKET_LIFT, include_forecast=False)
+    return report.contents(tables)
+
+
+def q_clean_product_rollup(spark, d):
+    return products.rollup(_clean(spark, d)).select("product", _r("revenue", 2), _r("quantity", 2), _r("avg_price", 6),
+                                                    _r("revenue_pct", 6))
+
+
+def q_clean_product_abc(spark, d):
+    return products.abc(products.rollup(_clean(spark, d))).select(
+        "position", "product", _r("revenue", 2), _r("cum_revenue", 2), _r("cum_pct", 6), "category", "revenue_text")
+
+
+def q_clean_revenue_daily(spark, d):
+    return _series(trend.revenue(_clean(spark, d), "day"))
+
+
+def q_clean_basket_itemsets(spark, d):
+    """Itemsets of the product's first word; products without name count nowhere."""
+    df = _clean(spark, d).withColumn("word", F.element_at(F.split("product_name", " "), 1))
+    s = basket.mine(df, "transaction_id", "word", BASKET_SUPPORT, BASKET_LIFT).itemsets
+    return s.select(F.array_join("items", ", ").alias("items"), "n_items", "cnt", _r("support", 6))
+
+
 def q_business_brief(spark, d):
     b = brief.business_brief(_sales(spark, d))
     return b.select("section", "rank", "label", _r("value", 2), "text")
@@ -417,6 +469,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_kpis": q_forecast_kpis,
         "forecast_backtest": q_forecast_backtest,
         "report_models": q_report_models,
+        "forecast_band": q_forecast_band,
+        "forecast_lag7_scores": q_forecast_lag7_scores,
+        "forecast_actuals": q_forecast_actuals,
+        "report_contents": q_report_contents,
+        "clean_product_rollup": q_clean_product_rollup,
+        "clean_product_abc": q_clean_product_abc,
+        "clean_revenue_daily": q_clean_revenue_daily,
+        "clean_basket_itemsets": q_clean_basket_itemsets,
         "business_brief": q_business_brief,
         "report_all": q_report_all,
         **(llm_queries.queries() if llm_queries else {}),

@@ -66,6 +66,10 @@ abc AS (SELECT *, CASE WHEN cum_pct <= 0.8 THEN 'A-Grade (Top 80% of Revenue)'
                        ELSE 'C-Grade (Bottom 5% of Revenue)' END AS category FROM cum2)"""
 
 
+def _plain_money(x, digits=2):
+    return f"'£' || format('{{:.{digits}f}}', {x})"
+
+
 def _money(x, digits=2):
     return f"'£' || format('{{:,.{digits}f}}', {x})"
 
@@ -191,7 +195,7 @@ k AS (SELECT sum(total_value) AS rev, count(*) AS n, avg(total_value) AS mean,
              count(DISTINCT product_name) AS prods FROM sales)
 SELECT 1 AS pos, 'Total Revenue' AS metric, round(rev, 2) AS value, {_money('rev')} AS display FROM k
 UNION ALL SELECT 2, 'Total Orders', CAST(n AS DOUBLE), format('{{:,}}', n) FROM k
-UNION ALL SELECT 3, 'Average Order Value', round(mean, 2), {_money('mean')} FROM k
+UNION ALL SELECT 3, 'Average Order Value', round(mean, 2), {_plain_money('mean')} FROM k
 UNION ALL SELECT 4, 'Unique Products Sold', CAST(prods AS DOUBLE), format('{{:,}}', prods) FROM k"""
     prof = [("order_date", "timestamp_ntz"), ("product_name", "string"), ("quantity", "double"),
             ("unit_price", "double"), ("transaction_id", "string"), ("customer_id", "string"),
@@ -230,13 +234,14 @@ FROM series WINDOW w AS (ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT RO
                            "round(quantity, 2) AS quantity, round(avg_price, 6) AS avg_price, "
                            "round(revenue_pct, 6) AS revenue_pct FROM roll")
     q["product_headline"] = (f"{_rollup_cte()} SELECT substr(product, 1, 25) || '...' AS top_product, "
-                             "round(revenue, 2) AS top_revenue, round(revenue_pct, 6) AS top_share "
+                             "round(revenue, 2) AS top_revenue, round(revenue_pct, 6) AS top_share, "
+                             f"{_money('revenue', 0)} AS revenue_text, format('{{:,.1f}}', revenue_pct) || '%' AS share_text "
                              "FROM roll ORDER BY revenue DESC, product ASC LIMIT 1")
     q["product_top_n"] = f"""{_rollup_cte()}
 SELECT row_number() OVER (ORDER BY revenue DESC, product ASC) AS rank, product, round(revenue, 2) AS revenue,
        round(quantity, 2) AS quantity, round(avg_price, 6) AS avg_price, round(revenue_pct, 6) AS revenue_pct,
        {_money('revenue')} AS revenue_text, format('{{:,.0f}}', quantity) AS quantity_text,
-       format('{{:,.1f}}', revenue_pct) || '%' AS revenue_pct_text
+       {_plain_money('avg_price')} AS avg_price_text, format('{{:,.1f}}', revenue_pct) || '%' AS revenue_pct_text
 FROM roll ORDER BY revenue DESC, product ASC LIMIT 10"""
     q["product_top10"] = f"""{_rollup_cte()},
 t AS (SELECT product, revenue FROM roll ORDER BY revenue DESC, product ASC LIMIT 10)
@@ -334,6 +339,39 @@ k AS (SELECT floor(count(*) * 0.8) AS k FROM f)
 SELECT CASE WHEN day_index < k THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows,
        {_day('min(period)')} AS first_day, {_day('max(period)')} AS last_day
 FROM f, k GROUP BY 1"""
+    q["forecast_band"] = (f"{_daily_cte('day')} SELECT round(stddev_samp(total_value) * 0.4, 2) AS band, "
+                          f"{_day('max(period) + 1')} AS first_day, {_day('max(period) + 30')} AS last_day FROM series")
+    q["forecast_lag7_scores"] = f"""{feats},
+t AS (SELECT y, greatest(lag7, 0.0) AS p FROM f WHERE day_index >= (SELECT floor(count(*) * 0.8) FROM f))
+SELECT round(sum((y - p) * (y - p)), 0) AS sse, round(avg(y), 2) AS ybar, round(avg(abs(y - p)), 2) AS mae,
+       round(sqrt(avg((y - p) * (y - p))), 2) AS rmse FROM t"""
+    q["forecast_actuals"] = f"""{feats}
+SELECT day_index, {_day('period')} AS period, round(y, 2) AS y FROM f
+WHERE day_index >= (SELECT floor(count(*) * 0.8) FROM f)"""
+    n2 = "format('{:,.2f}', %s)"
+    q["report_contents"] = f"""{b}, {_top_rules(10)},
+k AS (SELECT sum(total_value) AS rev, count(*) AS n, avg(total_value) AS mean, count(DISTINCT product_name) AS prods FROM sales),
+dd AS (SELECT strftime(order_date, '%Y-%m-%d') AS d, sum(total_value) AS v FROM sales GROUP BY 1),
+pv AS (SELECT product_name AS p, sum(total_value) AS v FROM sales WHERE product_name IS NOT NULL GROUP BY 1),
+pr10 AS (SELECT row_number() OVER (ORDER BY v DESC, p ASC) AS r, p, v FROM pv ORDER BY v DESC, p ASC LIMIT 10),
+c AS (SELECT 'summary' AS t, '1' AS r, ['metric', 'display'] AS cs, ['Total Revenue', {_money('rev')}] AS ts FROM k
+UNION ALL SELECT 'summary', '2', ['metric', 'display'], ['Total Orders', format('{{:,}}', n)] FROM k
+UNION ALL SELECT 'summary', '3', ['metric', 'display'], ['Average Order Value', {_plain_money('mean')}] FROM k
+UNION ALL SELECT 'summary', '4', ['metric', 'display'], ['Unique Products Sold', format('{{:,}}', prods)] FROM k
+UNION ALL SELECT 'daily', d, ['order_day', 'total_value'], [d, {n2 % 'v'}] FROM dd
+UNION ALL SELECT 'top5', CAST(r AS VARCHAR), ['product', 'value'], [p, {n2 % 'v'}] FROM pr10 WHERE r <= 5
+UNION ALL SELECT 'top_products', CAST(r AS VARCHAR), ['product', 'revenue_text'],
+    [CASE WHEN length(p) > 40 THEN substr(p, 1, 40) || '...' ELSE p END, {_money('v')}] FROM pr10
+UNION ALL SELECT 'basket', CAST(rank AS VARCHAR), ['antecedent', 'consequent', 'lift_text'],
+    [substr(antecedents, 1, 30), substr(consequents, 1, 30), format('{{:,.1f}}', lift) || 'x'] FROM top)
+SELECT t AS "table", r AS "row", unnest(cs) AS "column", unnest(ts) AS text FROM c"""
+    cleaned = f"{C}, sales AS (SELECT * FROM clean_raw)"
+    for name, base in (("clean_product_rollup", "product_rollup"), ("clean_product_abc", "product_abc"),
+                       ("clean_revenue_daily", "revenue_daily")):
+        q[name] = q[base].replace(S, cleaned, 1)
+    word = "split_part(product_name, ' ', 1)"
+    q["clean_basket_itemsets"] = (_basket_cte(word).replace(S, cleaned, 1)
+                                  + " SELECT array_to_string(items, ', ') AS items, n_items, cnt, round(support, 6) AS support FROM sup")
     q["business_brief"] = f"""{S},
 k AS (SELECT coalesce(sum(total_value), 0.0) AS rev, count(*) AS n, min(order_date) AS d0,
              max(order_date) AS d1 FROM sales),

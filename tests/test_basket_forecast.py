@@ -79,16 +79,31 @@ def test_lift_symmetric_and_antimonotone(spark):
                 assert sup[sub] >= s
 
 
-def test_salted_chunks_equal_plain(spark):
+def test_large_order(spark):
+    names = [f"item {i:04d}" for i in range(1000)]
+    rare = [names[i:i + 2] for i in range(0, 1000, 2)]
+    df = _orders(spark, [names] + rare + rare)
+    pairs = basket.presence(df, "transaction_id")
+    sets = basket.frequent_itemsets(pairs, 400, 2 / 400)
+    got = {r["n_items"]: r["count"] for r in sets.groupBy("n_items").count().collect()}
+    assert got == {1: 1000, 2: 500}             # only pairs that occur again; no triple of the large order is
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi, (((x" not in plan
+
+
+def test_triples_of_frequent_pairs(spark):
     import random
+    from itertools import combinations
     rnd = random.Random(11)
     bs = [rnd.sample("abcdefghij", rnd.randint(1, 9)) for _ in range(200)]
-    df = _orders(spark, bs)
-    pairs = basket.presence(df, "transaction_id")
-    a = basket.frequent_itemsets(pairs, 200, 0.02, chunk=2)
-    b = basket.frequent_itemsets(pairs, 200, 0.02, chunk=64)
-    key = [F.array_join("items", ","), "cnt"]
-    assert sorted(a.select(*key).collect()) == sorted(b.select(*key).collect())
+    pairs = basket.presence(_orders(spark, bs), "transaction_id")
+    want = {}
+    for b in bs:
+        for k in (1, 2, 3):
+            for c in combinations(sorted(set(b)), k):
+                want[c] = want.get(c, 0) + 1
+    got = {tuple(r["items"]): r["cnt"] for r in basket.frequent_itemsets(pairs, 200, 0.1).collect()}
+    assert got == {c: n for c, n in want.items() if n >= 20}
 
 
 def test_itemsets_match_fpgrowth(spark):
@@ -161,6 +176,40 @@ def test_recursive_forecast_linear_matches_manual(spark):
     assert all(r["lower"] >= 0 and r["upper"] >= r["value"] for r in fc)
 
 
+def test_stepwise_path_equals_predictions(spark):
+    vals = [50 + (i % 7) * 10 + i for i in range(40)]
+    fm = forecast.train(_daily(spark, vals), rf_trees=3, rf_depth=2, gbt_rounds=2, gbt_depth=2)
+    name = "Random Forest"
+    fc = [r["value"] for r in forecast.recursive_forecast(fm, 8, model_name=name).orderBy("step").collect()]
+    recent = [float(v) for v in vals][-30:]
+    day = dt.date(2024, 1, 1) + dt.timedelta(days=39)
+    for i, got in enumerate(fc, 1):
+        d = day + dt.timedelta(days=i)
+        x = [39.0 + i, d.weekday(), d.month, float(d.weekday() > 4), np.mean(recent[-7:]), np.mean(recent), recent[-1], recent[-7]]
+        want = max(0.0, fm.models[name].predict(Vectors.dense(x)))
+        assert got == pytest.approx(want)
+        recent = (recent + [want])[-30:]
+    fm.release()
+
+
+def test_two_series(spark):
+    a = [100.0 + 2 * i for i in range(40)]
+    b = [500.0 + 5 * (i % 7) for i in range(33)]
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i), v) for s, vs in (("a", a), ("b", b)) for i, v in enumerate(vs)]
+    daily = spark.createDataFrame(rows, "shop string, period date, total_value double")
+    feats = {(r["shop"], int(r["day_index"])): r for r in forecast.features(daily, series="shop").collect()}
+    assert len(feats) == 73 and feats["b", 0]["lag1"] == pytest.approx(np.mean(b)) and feats["a", 9]["lag7"] == a[2]
+    fm = forecast.train(daily, series="shop", rf_trees=3, rf_depth=3, gbt_rounds=2, gbt_depth=2)
+    assert {r["shop"]: r["n"] for r in fm.test.groupBy("shop").agg(F.count("*").alias("n")).collect()} == {"a": 8, "b": 7}
+    for name in forecast.MODEL_NAMES[:2]:
+        fc = forecast.recursive_forecast(fm, 4, model_name=name).collect()
+        first = {r["shop"]: r["date"] for r in fc if r["step"] == 1}
+        assert len(fc) == 8 and first == {"a": dt.date(2024, 2, 10), "b": dt.date(2024, 2, 3)}
+        width = {r["shop"]: r["upper"] - r["value"] for r in fc}
+        assert width["a"] == pytest.approx(0.4 * np.std(a, ddof=1)) and width["b"] == pytest.approx(0.4 * np.std(b, ddof=1))
+    fm.release()
+
+
 def test_growth_null_when_last30_zero(spark):
     vals = [10.0] * 20 + [0.0] * 30
     daily = _daily(spark, vals)
@@ -182,8 +231,22 @@ def test_stream_ingest(spark, tmp_path):
     q = ingest.start_ingest(ingest.clean_stream(spark, str(src), cols), out, checkpoint=ck)
     q.awaitTermination(120)
     got = sorted(r["total_value"] for r in spark.read.parquet(out).collect())
-    assert got == [5.0, 6.0]
+    assert got == [5.0, 6.0]                    # the file of the first run is not read again
     assert os.path.isdir(ck)
+    with pytest.raises(TypeError):
+        ingest.start_ingest(ingest.clean_stream(spark, str(src), cols), out)      # a checkpoint must be named
+
+
+def test_stream_ingest_after_restart(spark, tmp_path):
+    """A new file lands when another session goes on with the checkpoint."""
+    src, out, ck = tmp_path / "in3", str(tmp_path / "table3"), str(tmp_path / "ck3")
+    src.mkdir()
+    head = "InvoiceDate,Description,Quantity,UnitPrice\n"
+    cols = ["InvoiceDate", "Description", "Quantity", "UnitPrice"]
+    for k, session in enumerate((spark, spark.newSession())):
+        (src / f"{k}.csv").write_text(head + f"2024-01-0{k + 1},a,1,{k + 1}\n")
+        ingest.start_ingest(ingest.clean_stream(session, str(src), cols), out, checkpoint=ck).awaitTermination(120)
+    assert sorted(r["total_value"] for r in spark.read.parquet(out).collect()) == [1.0, 2.0]
 
 
 def test_stream_daily_revenue(spark, tmp_path):

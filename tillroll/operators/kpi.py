@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import money, whole_days_between
+from ..functions.exprs import money, plain_money, whole_days_between
 
 
 def _distinct(col: str, approx: bool):
@@ -67,7 +67,7 @@ def summary_table(df: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("pos"), F.lit("Total Orders").alias("metric"),
                  F.col("n").cast("double").alias("value"), F.format_number(F.col("n"), 0).alias("display")),
         F.struct(F.lit(3).alias("pos"), F.lit("Average Order Value").alias("metric"),
-                 F.col("mean").alias("value"), money("mean").alias("display")),
+                 F.col("mean").alias("value"), plain_money("mean").alias("display")),
         F.struct(F.lit(4).alias("pos"), F.lit("Unique Products Sold").alias("metric"),
                  F.col("prods").cast("double").alias("value"),
                  F.format_number(F.col("prods"), 0).alias("display")),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cut, money
+from ..functions.exprs import cut, money, plain_money
 from .prefix import descending_running_sum
 
 # fixed values: ABC cut points and class labels
@@ -55,7 +55,7 @@ def top_n(products: DataFrame, n: int = 10, by: str = "revenue") -> DataFrame:
     return t.select("rank", "product", "revenue", "quantity", "avg_price", "revenue_pct",
                     money("revenue").alias("revenue_text"),
                     F.format_number("quantity", 0).alias("quantity_text"),
-                    money("avg_price").alias("avg_price_text"),
+                    plain_money("avg_price").alias("avg_price_text"),
                     F.concat(F.format_number("revenue_pct", 1), F.lit("%")).alias("revenue_pct_text"))
 
 
@@ -75,16 +75,19 @@ def top_by(df: DataFrame, measure: str = "total_value", n: int = 5, ascending: b
 
 
 def headline(products: DataFrame) -> DataFrame:
-    """Top product (name cut to 25 characters plus '...'), revenue, share."""
+    """Top product (name cut to 25 characters plus '...'), revenue, share,
+    with display text."""
     t = _top(products, "revenue", 1)
     return t.select(cut("product", 25, always=True).alias("top_product"),
-                    F.col("revenue").alias("top_revenue"), F.col("revenue_pct").alias("top_share"))
+                    F.col("revenue").alias("top_revenue"), F.col("revenue_pct").alias("top_share"),
+                    money("revenue", 0).alias("revenue_text"),
+                    F.concat(F.format_number("revenue_pct", 1), F.lit("%")).alias("share_text"))
 
 
 def report_top(df: DataFrame, n: int = 10, item: str = "product_name") -> DataFrame:
     """Report table: rank, name cut at 40 characters, revenue."""
-    if not 5 <= n <= 20:
-        raise ValueError("report lists 5 to 20 products")
+    if n < 1:
+        raise ValueError("n must be positive")
     t = top_by(df, "total_value", n, item=item)
     return t.select("rank", cut(F.col("product").cast("string"), 40).alias("product"),
                     F.col("value").alias("revenue"), money("value").alias("revenue_text"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import money
 from ..operators import basket, forecast, kpi, products, trend
 from ..sources.writer import write_table
 
@@ -33,7 +34,7 @@ def report_tables(sales: DataFrame, n_products: int = 10, include_products: bool
         try:
             fm = models or forecast.train(trend.daily(sales), **model_args)
             out["models"] = forecast.model_table(fm.scores).select(
-                "model_pos", "model", "r2", "mae", "r2_text", "mae_text",
+                "model_pos", "model", "r2", "mae", "r2_text", money("mae").alias("mae_text"),
                 F.lit(fm.champion).alias("champion"))
         except trend.ShortHistoryError:
             pass                                            # under 14 days: section skipped
@@ -49,6 +50,28 @@ def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "csv") -> l
     return written
 
 
+#: Text columns of the report tables, as they are printed.
+_PRINTED = {"summary": ("pos", ["metric", "display"]), "daily": ("order_day", ["order_day", "total_value"]),
+            "top5": ("rank", ["product", "value"]), "top_products": ("rank", ["product", "revenue_text"]),
+            "basket": ("rank", ["antecedent", "consequent", "lift_text"]),
+            "models": ("model_pos", ["model", "r2_text", "mae_text"])}
+
+
+def contents(tables: dict[str, DataFrame]) -> DataFrame:
+    """The report as rows ``table``, ``row`` (its sort key), ``column``, ``text``."""
+    parts = []
+    for name, df in tables.items():
+        key, cols = _PRINTED[name]
+        kinds = dict(df.dtypes)
+        text = {c: F.format_number(c, 2) if kinds[c] == "double" else F.col(c).cast("string") for c in cols}
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), text[c].alias("text")) for c in cols])
+        parts.append(df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("row"), F.inline(cells)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def report_index(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per report table with its row count."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
