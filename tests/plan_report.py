@@ -15,7 +15,7 @@ from contextlib import redirect_stdout
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 QUERIES = ["clean_sales", "kpi_metrics", "revenue_daily", "revenue_ma7", "product_abc", "basket_itemsets",
-           "business_brief"]
+           "business_brief", "load_status"]
 
 
 def tree_and_scans(df) -> tuple[str, list[str]]:
@@ -35,16 +35,26 @@ def tree_and_scans(df) -> tuple[str, list[str]]:
     return tree, sorted(set(scans))
 
 
+def mining_plan(spark, sf):
+    """Itemsets as planned, before ``mine`` runs and stores them."""
+    from tillroll.operators import basket
+    from tillroll.plans import fixtures
+    import __spark_entry__ as E
+    sales = fixtures.sales(spark, sf)
+    n = basket.order_count(sales, "transaction_id", E.BASKET_ITEM)
+    return basket.frequent_itemsets(basket.presence(sales, "transaction_id", E.BASKET_ITEM), n, E.BASKET_SUPPORT)
+
+
 def main():
     from tillroll.session import get_spark
     import __spark_entry__ as E
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_spark("local[8]", 8)
+    spark = get_spark("local[2]", 8)
     out = ["# Physical plans of headline queries", "",
            f"Generated by `tests/plan_report.py` at `{sf}` (AQE on; the tree is the initial plan, AQE may",
            "turn shuffle joins of small sides into broadcast joins at run time).", ""]
     for name in QUERIES:
-        df = E.queries()[name](spark, sf)
+        df = mining_plan(spark, sf) if name == "basket_itemsets" else E.queries()[name](spark, sf)
         tree, scans = tree_and_scans(df)
         out += [f"## {name}", "", "```", tree, "```", ""]
         out += [f"- {s}" for s in scans] + [""]
