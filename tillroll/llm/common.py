@@ -24,7 +24,8 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which every executor sees.
 
-    Set here only where the session has none (tests, a single machine).
+    A scratch folder is made only for a single-machine session that names
+    none (tests); on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-llm-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

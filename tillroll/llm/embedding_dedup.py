@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .components import components
+from .components import components, join_labels
 
 THRESHOLD, TILE, SAMPLE, BLOCK = 0.95, 4096, 4096, 512
 
@@ -82,22 +82,6 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return code, scale, np.linalg.norm(near, axis=1) * up, np.linalg.norm(unit - near, axis=1) * up
 
 
-def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the classes of a[i] and b[i] (labels point to smaller indices)."""
-    while len(a):
-        la, lb = label[a], label[b]
-        open_ = la != lb
-        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-        if not len(a):
-            return
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label[:] = up
-
-
 def tile_links(x: np.ndarray, unit: np.ndarray, weight: np.ndarray, side: np.ndarray, same: bool,
                threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Weighted link counts and component labels of one pair of tiles.
@@ -136,7 +120,7 @@ def tile_links(x: np.ndarray, unit: np.ndarray, weight: np.ndarray, side: np.nda
             sure[at] = cos >= threshold
         a, b = r[a[sure]], cols[b[sure]]
         count += np.bincount(a, weight[b], n).astype(np.int64) + np.bincount(b, weight[a], n).astype(np.int64)
-        _join_labels(label, a, b)
+        join_labels(label, a, b)
     return count, label
 
 

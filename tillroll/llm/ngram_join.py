@@ -2,28 +2,25 @@
 n-grams, by prefix filters under several global orders.
 
 If two sets have a similarity of at least t, a set x shares at least
-``a = ceil(t |x|)`` shingles with any partner.  Under any global order, the
-first ``|x| - a + k`` shingles of both then share at least k (k no larger
-than what either set allows).  Three orders are used and their filters
-intersected before a pair is verified:
-
-1. Hash order.  Each set keeps its first ``|x| - a + k`` shingles, k =
-   ``keep * |x|``.  Only these are shuffled, once, packed per slice of texts.
-2. Rarity order within those.  Shingles are ordered by the number of sets
-   that keep them, then by hash; as at least k are shared, all but the first
-   ``kept - k + 1`` may be ignored, the most frequent ones.  Shingles of a
-   single set match nothing, so most sets have no index entry at all.
-3. Reversed hash order: a candidate pair must also share one of the last
-   ``|x| - a + 1`` shingles; checked on the sets themselves, with their
-   sizes, before the full intersection.
-
-Links are wanted as components.  Candidates of an index shingle are first
-verified against one leader per shingle, in two rounds with different
-leaders; that settles groups of copies in a number of pairs that is linear
-in the group.  What is left are pairs of sets that share an index shingle,
-are in different components and were not verified: these are all verified,
-except where the similarities of both to the shingle's leader exclude a link
-(Jaccard distance is a metric).  No candidate is capped or dropped.
+``a = ceil(t |x|)`` shingles with any partner.  So under any global order of
+shingles the first ``|x| - a + 1`` shingles of both have one in common.
+Three orders are used, and a pair must pass all three before it is verified:
+
+1. Rarity: by the number of sets that hold a shingle, then by hash.  The
+   counts take one shuffle, packed per slice of texts.  A shingle of a single
+   set matches nothing, so a set has index entries only if at least ``a`` of
+   its shingles are shared, and most sets have none.
+2. Hash order, and 3. reversed hash order: tested on the sets themselves,
+   with their sizes, before the full intersection.
+
+Links are wanted as components.  Two rounds of *blocks* settle groups of
+copies: a set goes to the block of one of its most frequent index shingles,
+a block is dealt into chunks of ``CHUNK`` sets, and all pairs of a chunk are
+filtered and verified there by matrix products; a chunk returns a spanning
+forest, never its pairs.  So a group of m copies costs m / CHUNK chunks a
+round.  What is left are pairs of sets that share an index shingle, were in
+no chunk together and are in different components: all of them are verified.
+No candidate is capped or dropped.
 
 Cases.  Null and empty texts have no shingles and link with nothing.  Texts
 of fewer than ``size`` words have one shingle, all their words.  Equal sets
@@ -37,22 +34,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .components import components
+from .components import components, join_labels
 
 SIZE = 5
 #: Similarity as a fraction of integers.
 NUM, DEN = 75, 100
-#: k of the first order as a share of the set.
-KEEP = 0.5
 #: Shingles of one packed part (about 60 MB in a task), whatever the table's size.
 PART = 3_000_000
 #: Frequent shingles that are dealt over several parts (a bounded list).
 HOT = 8192
+#: Sets whose pairs are verified together.
+CHUNK = 2048
 _END = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 _SETS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
@@ -72,11 +69,6 @@ def _need(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def _k(n):
-    """k of the first order; at most what the set needs to share."""
-    return np.maximum(1, (n * KEEP).astype(np.int64))
-
-
 def shingle_sets(raw: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, shingle hash) of distinct shingles, sorted by both."""
     w = common.Words(raw, lower=True)
@@ -109,21 +101,15 @@ def _set_keys(owner: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, first, common.mixed(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64))
 
 
-def _prefix_mask(size: np.ndarray, first: np.ndarray, owner: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Shingles kept under the first order (hashes are sorted per text)."""
-    kept = size - _need(size, num, den) + _k(size)
-    return np.arange(len(owner)) - first[owner] < kept[owner]
-
-
-def _find_sets(size: int, num: int, den: int):
+def _find_sets(size: int):
     def run(batches):
         for part, raw in common.slices(batches, "_x"):
             owner, grams = shingle_sets(raw, size)
             n, first, key = _set_keys(owner, grams, len(raw))
-            # shingles that many sets of this slice keep: candidates for the hot list
+            # shingles that many sets of this slice hold: candidates for the hot list
             some = np.zeros(len(raw), bool)
             some[np.unique(key, return_index=True)[1]] = True
-            keep = _prefix_mask(n, first, owner, num, den) & some[owner]
+            keep = some[owner]
             found, count = np.unique(grams[keep], return_counts=True)
             hot = count >= max(8, some.sum() // 100)
             note = np.column_stack([found[hot], count[hot].astype(np.uint64)]).tobytes()
@@ -134,7 +120,7 @@ def _find_sets(size: int, num: int, den: int):
 
 
 def _spread(tokens: np.ndarray, keys: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    """Part of each kept shingle; hot ones are dealt by set as well."""
+    """Part of each shingle; hot ones are dealt by set as well."""
     where = tokens
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
@@ -142,14 +128,14 @@ def _spread(tokens: np.ndarray, keys: np.ndarray, hot: np.ndarray, parts: int) -
     return (common.mixed(where ^ _END) % np.uint64(parts)).astype(np.int32)
 
 
-def _pack(size: int, hot: np.ndarray, parts: int, num: int, den: int):
+def _pack(size: int, hot: np.ndarray, parts: int):
     def run(batches):
         for part, raw in common.slices(batches, "_x", 2 * common.SLICE_BYTES):
             owner, grams = shingle_sets(raw, size)
             n, first, key = _set_keys(owner, grams, len(raw))
             some = np.zeros(len(raw), bool)
             some[np.unique(key, return_index=True)[1]] = True
-            keep = _prefix_mask(n, first, owner, num, den) & some[owner]
+            keep = some[owner]                          # of equal sets in the slice one
             owner, grams = owner[keep], grams[keep]
             if not len(owner):
                 continue
@@ -173,7 +159,7 @@ def _blob(table: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def _count_shared(hot: np.ndarray, parts: int):
-    """Of one part: shingles that several sets keep, regrouped by set."""
+    """Of one part: shingles that several sets hold, regrouped by set."""
     def run(table: pa.Table) -> pa.Table:
         count = _blob(table, "counts", np.uint32)
         key = np.repeat(_blob(table, "keys", np.uint64), count)
@@ -205,7 +191,7 @@ def _count_shared(hot: np.ndarray, parts: int):
 
 
 def _choose_index(num: int, den: int):
-    """Of one part of sets: the index shingles left by the second order."""
+    """Of one part of sets: the index shingles under the order by rarity."""
     def run(table: pa.Table) -> pa.Table:
         key, n = _blob(table, "keys", np.uint64), _blob(table, "sizes", np.uint32).astype(np.int64)
         token, df = _blob(table, "tokens", np.uint64), _blob(table, "df", np.uint32)
@@ -214,8 +200,7 @@ def _choose_index(num: int, den: int):
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         shared = np.diff(np.append(start, len(key)))
         size = n[start]
-        k = _k(_need(size, num, den))               # no partner is smaller than that
-        left = np.maximum(shared - k + 1, 0)        # kept - k + 1, less the shingles of one set only
+        left = np.maximum(shared - _need(size, num, den) + 1, 0)       # the prefix less the shingles of one set only
         take = np.arange(len(key)) - np.repeat(start, shared) < np.repeat(left, shared)
         return pa.Table.from_arrays([common.i64(token[take]), common.i64(key[take]),
                                      pa.array(n[take].astype(np.int32))], names=_INDEX.names)
@@ -235,56 +220,114 @@ def _bag_rows(size: int, out: T.StructType):
 
 def overlap(x: np.ndarray, y: np.ndarray, num: int, den: int) -> int:
     """Size of the intersection of two sorted sets, or -1 if the sizes or the
-    third order exclude a link."""
+    orders by hash exclude a link."""
     a, b = len(x), len(y)
     if not a or not b or den * min(a, b) < num * max(a, b):
         return -1
-    tail_x, tail_y = x[_need(a, num, den) - 1:], y[_need(b, num, den) - 1:]
-    at = np.minimum(np.searchsorted(tail_y, tail_x), len(tail_y) - 1)
-    if not (tail_y[at] == tail_x).any():
-        return -1
+    p, q = a - _need(a, num, den) + 1, b - _need(b, num, den) + 1
+    for one, two in ((x[:p], y[:q]), (x[a - p:], y[b - q:])):
+        at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+        if not (two[at] == one).any():
+            return -1
     at = np.minimum(np.searchsorted(y, x), b - 1)
     return int((y[at] == x).sum())
 
 
-def _verify_rows(num: int, den: int, out: T.StructType, exact: bool):
-    """Similarity of each pair; ``exact``: also below the threshold, which
-    the leaders' rounds need for their distances."""
+def shared_counts(row: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
+    """(m, m) numbers of tokens that two of ``m`` sets share; ``row`` and
+    ``token`` list the sets' entries."""
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+    df = np.diff(np.append(start, len(token)))
+    out = np.zeros((m, m), np.float32)
+    for k in range(2, 17):                              # tokens of few sets: their pairs
+        at = start[df == k]
+        if len(at):
+            who = row[at[:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            for lo in range(0, len(who), 1 << 15):
+                w = who[lo:lo + (1 << 15)]
+                np.add.at(out, (w[:, i].ravel(), w[:, j].ravel()), 1)
+    out += out.T
+    many = np.flatnonzero(df > 16)                      # the others: a product of 0/1 matrices
+    for lo in range(0, len(many), 2048):
+        part = many[lo:lo + 2048]
+        x = np.zeros((m, len(part)), np.float32)
+        at = np.repeat(start[part] - (np.cumsum(df[part]) - df[part]), df[part]) + np.arange(int(df[part].sum()))
+        x[row[at], np.repeat(np.arange(len(part)), df[part])] = 1
+        out += x @ x.T
+    return out
+
+
+def chunk_links(bags: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs (i < j) of a chunk of sorted sets."""
+    m = len(bags)
+    n = np.array([len(b) for b in bags])
+    row = np.repeat(np.arange(m), n)
+    token = np.concatenate(bags)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    prefix = n - _need(n, num, den) + 1
+    pass_ = den * np.minimum(n[:, None], n[None]) >= num * np.maximum(n[:, None], n[None])
+    pass_ &= np.triu(np.ones((m, m), bool), 1)
+    for inside in (at < prefix[row], at >= (n - prefix)[row]):          # both orders by hash
+        if not pass_.any():
+            break
+        pass_ &= shared_counts(row[inside], token[inside], m) > 0
+    if not pass_.any():
+        return np.zeros(0, int), np.zeros(0, int)
+    both = shared_counts(row, token, m)
+    i, j = np.nonzero(pass_)
+    c = both[i, j].astype(np.int64)
+    linked = den * c >= num * (n[i] + n[j] - c)
+    return i[linked], j[linked]
+
+
+def _chunk_rows(num: int, den: int):
+    """Of one part: a spanning forest of the links of every chunk in it."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("chunk", "ascending"), ("key", "ascending")])
+        chunk, key, bag = table["chunk"].to_numpy(), table["key"].to_numpy(), table["bag"].to_pylist()
+        edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            if hi - lo < 2:
+                continue
+            i, j = chunk_links([np.frombuffer(x, np.uint64) for x in bag[lo:hi]], num, den)
+            label = np.arange(hi - lo)
+            join_labels(label, i, j)
+            moved = np.flatnonzero(label != np.arange(hi - lo))
+            a.append(key[lo:hi][moved])
+            b.append(key[lo:hi][label[moved]])
+        return pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    return run
+
+
+def _verify_rows(num: int, den: int):
     def run(batches):
         for batch in batches:
             x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bx", "by"))
-            inter = np.zeros(len(x), np.int64)
-            total = np.zeros(len(x), np.int64)
-            last, other = None, None
+            good = np.zeros(len(x), bool)
             for i, (p, q) in enumerate(zip(x, y)):
-                if q != last:
-                    last, other = q, np.frombuffer(q, np.uint64)
-                mine = np.frombuffer(p, np.uint64)
-                total[i] = len(mine) + len(other)
-                if exact:
-                    at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-                    inter[i] = int((other[at] == mine).sum())
-                else:
-                    inter[i] = max(overlap(mine, other, num, den), 0)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(1 - inter / (total - inter)),
-                pa.array(den * inter >= num * (total - inter))], names=out.names)
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                c = overlap(p, q, num, den)
+                good[i] = c > 0 and den * c >= num * (len(p) + len(q) - c)
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
     return run
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
-    """``a``, ``b``, ``d`` (Jaccard distance) and ``linked`` of pairs of keys."""
-    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-                        T.StructField("d", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+def _verified(pairs: DataFrame, bags: DataFrame, num: int, den: int) -> DataFrame:
+    """The linked ones of pairs of keys."""
     one = pairs.join(bags.select(F.col("key").alias("a"), F.col("bag").alias("bx")), "a")
     both = one.join(bags.select(F.col("key").alias("b"), F.col("bag").alias("by")), "b").select("a", "b", "bx", "by")
-    return both.mapInArrow(_verify_rows(num, den, out, exact), out)
+    return both.mapInArrow(_verify_rows(num, den), "a long, b long")
 
 
-def shingle_classes(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> DataFrame:
+def shingle_classes(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """``_id``, ``n_shingles``, ``_key`` (hash of the set) of every row."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_x"))
-    return common.stored(keyed.mapInArrow(_find_sets(size, num, den), _SETS), "sets")
+    return common.stored(keyed.mapInArrow(_find_sets(size), _SETS), "sets")
 
 
 def index(docs: DataFrame, sets: DataFrame, text: str, size: int, num: int, den: int) -> DataFrame:
@@ -296,7 +339,7 @@ def index(docs: DataFrame, sets: DataFrame, text: str, size: int, num: int, den:
     hot = np.sort(notes["token"].to_numpy().astype(np.int64).view(np.uint64))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // PART + 1)
-    packed = docs.select(F.col(text).alias("_x")).mapInArrow(_pack(size, hot, parts, num, den), _PACKED)
+    packed = docs.select(F.col(text).alias("_x")).mapInArrow(_pack(size, hot, parts), _PACKED)
     shared = packed.groupBy("part").applyInArrow(_count_shared(hot, parts), _SHARED)
     return common.stored(shared.groupBy("part").applyInArrow(_choose_index(num, den), _INDEX), "index")
 
@@ -321,38 +364,37 @@ def links(docs: DataFrame, sets: DataFrame, text: str, size: int, num: int, den:
     own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_x"))
     bags = common.stored(own.join(named, "_id").select("key", "_x").mapInArrow(_bag_rows(size, bag), bag), "bags")
 
-    # leaders: two rounds with different ones
-    found, at = None, ix.select("token", "key", "n")
-    for turn in (F.xxhash64("key"), F.xxhash64(F.lit(1), "key")):
-        lead = at.groupBy("token").agg(F.min(F.struct(turn.alias("o"), F.col("key").alias("lead"))).alias("l")).select(
-            "token", F.col("l.lead").alias("lead"))
-        pairs = (at.join(lead, "token").where("key <> lead")
-                 .select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct())
-        if found is not None:
-            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        got = common.stored(_verified(pairs, bags, num, den, True), "led")
-        found = got if found is None else found.unionByName(got)
-    comp = common.stored(components(found.where("linked").select("a", "b"), "a", "b"), "comp")
-
-    # what is left: pairs of different components under one index shingle
-    first = ix.groupBy("token").agg(F.min(F.struct(F.xxhash64("key").alias("o"), F.col("key").alias("lead"))).alias("l")).select(
-        "token", F.col("l.lead").alias("lead"))
-    known = ix.join(comp.withColumnRenamed("node", "key"), "key", "left").select(
-        "token", "key", "n", F.coalesce("component", "key").alias("c"))
-    open_ = (known.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token"))
-    rest = (known.join(open_, "token").join(first, "token")
-            .withColumn("a", F.greatest("key", "lead")).withColumn("b", F.least("key", "lead"))
-            .join(found.select("a", "b", "d"), ["a", "b"], "left")
-            .select("token", "key", "n", "c", F.coalesce("d", F.lit(0.0)).alias("d")))
-    rest = common.stored(rest, "rest")
-    far = 1.0 - num / den
+    # two rounds of blocks: the most frequent index shingle, and one of about that frequency
+    sizes = common.stored(ix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
+    by_set = ix.join(sizes, "token").groupBy("key").agg(
+        F.max(F.struct("c", F.col("token").alias("t"))).alias("x"),
+        F.max(F.struct(F.floor(F.log2("c")), F.xxhash64(F.lit(1), "token"), F.col("token").alias("t"), "c")).alias("y"))
+
+    def chunk(block, turn: int):
+        salt = F.pmod(F.xxhash64(F.lit(turn), "key"), F.ceil(block["c"] / CHUNK))
+        return F.xxhash64(F.lit(turn), block["t"], salt)
+
+    blocks = common.stored(by_set.select("key", chunk(F.col("x"), 1).alias("chunk1"), chunk(F.col("y"), 2).alias("chunk2")), "blocks")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // CHUNK + 1)
+    in_block = bags.join(blocks, "key")
+    rounds = [in_block.select(F.pmod(F.col(c), F.lit(parts)).alias("part"), F.col(c).alias("chunk"), "key", "bag")
+              .groupBy("part").applyInArrow(_chunk_rows(num, den), "a long, b long") for c in ("chunk1", "chunk2")]
+    comp = common.stored(components(rounds[0].unionByName(rounds[1]), "a", "b"), "comp")
+
+    # what is left: pairs under one index shingle, in no chunk together, of different components
+    known = common.stored(
+        ix.join(blocks, "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
+        .select("token", "key", "n", "chunk1", "chunk2", F.coalesce("component", "key").alias("c")), "known")
+    open_ = common.stored(
+        known.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("chunk1").alias("k0"),
+                                   F.max("chunk1").alias("k1")).where("c0 < c1 AND k0 < k1").select("token"), "open")
+    rest = known.join(open_, "token")
     x, y = rest.alias("x"), rest.alias("y")
     pairs = (x.join(y, F.expr("x.token = y.token AND x.key > y.key AND x.c <> y.c"
-                              f" AND abs(x.d - y.d) <= {far} + 1e-9"
+                              " AND x.chunk1 <> y.chunk1 AND x.chunk2 <> y.chunk2"
                               f" AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"))
-             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-             .join(found.select("a", "b"), ["a", "b"], "left_anti"))
-    late = _verified(pairs, bags, num, den, False).where("linked").select("a", "b")
+             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+    late = _verified(pairs, bags, num, den)
     # the components so far are stars, so these edges and the late ones are all
     return comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)
 
@@ -361,7 +403,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
             den: int = DEN) -> DataFrame:
     """One row per document: its id, ``n_shingles`` and ``component_id``, the
     smallest id reachable by links (itself without links)."""
-    sets = shingle_classes(docs, doc_id, text, size, num, den)
+    sets = shingle_classes(docs, doc_id, text, size)
     comp = common.stored(components(links(docs, sets, text, size, num, den, doc_id), "a", "b"), "classes")
     named = (sets.where("n_shingles > 0").groupBy("_key").agg(F.min("_id").alias("_least"))
              .join(comp.withColumnRenamed("node", "_key"), "_key", "left")
