@@ -32,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SPACES = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
 
@@ -122,7 +124,8 @@ def boilerplate(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", t
                .where((F.col("_docs") > min_docs) & (F.col("_families") >= min_families * F.col("_docs"))))
     over = (counted.join(hosts, "_host").where(F.col("_docs") > share * F.col("_docs_of_host"))
             .select("_host", "_line", "_docs", "_families"))
-    return per_doc, over
+    # stored, so that the join with the lines has a plain shuffle on either side, which can be split
+    return per_doc, common.stored(over, "boilerplate")
 
 
 def judge(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text",

@@ -141,8 +141,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     paths = runs.groupBy("_fp", "_path").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
     groups = paths.groupBy("_fp").agg(F.min("_least").alias("_a"), F.max("_most").alias("_b"),
                                       F.count(F.lit(1)).alias("_paths")).where("_a < _b").select("_fp", "_paths")
-    nodes = paths.join(groups, "_fp").where("_paths > 1 OR _least < _most").select(
-        "_fp", "_path", "_least", "_paths")
+    # stored, so that both sides of the join with the runs are plain shuffles, which can be split
+    nodes = common.stored(paths.join(groups, "_fp").where("_paths > 1 OR _least < _most").select(
+        "_fp", "_path", "_least", "_paths"), "nodes")
     marked = common.stored(
         runs.join(nodes, ["_fp", "_path"]).where("_id > _least OR _paths > 1")
         .select("_id", "_t", "_start", "_len", (F.col("_id") > F.col("_least")).alias("_whole")), "marked")
@@ -152,8 +153,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     windows = common.stored(
         laid_out.join(branch, ["_id", "_t"]).select("_id", "_t", "_x", "_spans")
         .mapInArrow(_window_rows(size), _WINDOWS), "windows")
-    deep = (windows.groupBy("_node").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
-            .where("_least < _most").select("_node", "_least"))
+    deep = common.stored(windows.groupBy("_node").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
+                         .where("_least < _most").select("_node", "_least"), "deep")
     single = (windows.join(deep, "_node").where("_id > _least")
               .select("_id", "_t", "_start", F.lit(1).alias("_len")))
     return marked.where("_whole").select("_id", "_t", "_start", "_len").unionByName(single)
