@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from . import common
 
 #: Pieces that compete for a sequence; a bound on memory, not on results.
 BLOCK = 4096
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
@@ -58,7 +59,6 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.table = common.IdTable(self.many, CACHE_CHUNKS)
-        self.words: dict[str, bytes] = {}
         self.find = None
         plan = json.loads(tokenizer_json)
         steps = [n["type"] for n in (plan.get("normalizer") or {}).get("normalizers", [])]
@@ -69,20 +69,25 @@ class ChunkTokenizer:
             self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
 
     def pieces(self, chunk: bytes) -> list[str]:
-        """What of a run is encoded by itself."""
+        """What of a run is encoded by itself.
+
+        Up to U+024F there is nothing to compose, and lower case does not
+        depend on the neighbours, so ``lower`` is the vocabulary's whole
+        normalisation there.
+        """
         text = chunk.decode("utf-8", "replace")
-        if self.find is None or max(text) > "\u024f" or any(s in text for s in self.special):
+        if self.find is None or not text.isascii() and max(text) > "\u024f":
             return [text]
-        return self.find(text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text))
+        low = text.lower()
+        if low.isalpha():
+            return [low]
+        return [text] if any(s in text for s in self.special) else self.find(low)
 
     def many(self, chunks: list[bytes]) -> list[bytes]:
-        words = self.words
-        if len(words) > CACHE_CHUNKS:
-            words.clear()
         split = [self.pieces(c) for c in chunks]
-        todo = list({p for ps in split for p in ps if p not in words})
-        for p, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False)):
-            words[p] = np.array(e.ids, "<u4").tobytes()
+        todo = list({p for ps in split for p in ps})
+        words = {p: array("I", e.ids).tobytes()
+                 for p, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False))}
         return [words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps]) for ps in split]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
