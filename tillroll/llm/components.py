@@ -44,10 +44,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Null ends are dropped; a node linked only to itself is its own component.
     """
-    pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    loops = pairs.where("u = v").select("u").distinct()
-    now = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                 .distinct(), "edges")
+    pairs = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+                   .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    loops = pairs.where("u = v").select("u")
+    now = pairs.where("u <> v")
     while not _stars(now):
         now = stored(_small(stored(_large(now), "stars")), "stars")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -389,11 +389,15 @@ def links(docs: DataFrame, sets: DataFrame, text: str, size: int, num: int, den:
         known.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("chunk1").alias("k0"),
                                    F.max("chunk1").alias("k1")).where("c0 < c1 AND k0 < k1").select("token"), "open")
     rest = known.join(open_, "token")
+    own_open = rest.groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    rest = common.stored(rest.join(own_open, "key"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
+    # each pair once: under the smallest open shingle that both have
     pairs = (x.join(y, F.expr("x.token = y.token AND x.key > y.key AND x.c <> y.c"
                               " AND x.chunk1 <> y.chunk1 AND x.chunk2 <> y.chunk2"
-                              f" AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"))
-             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+                              f" AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
+                              " AND x.token = array_min(array_intersect(x.tokens, y.tokens))"))
+             .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
     late = _verified(pairs, bags, num, den)
     # the components so far are stars, so these edges and the late ones are all
     return comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)
