@@ -57,3 +57,22 @@ def test_repeated_rows_do_not_add_up(docs_df, prose):
 def test_no_python_in_plan(docs_df):
     plan = quality.judge(docs_df([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+NOTICE = "we and all our partners store cookies on your device to show adverts that suit you and to count visits"
+
+
+def test_more_depleted_than_good_pages(docs_df, prose):
+    rows = [(i, f"{NOTICE}\n{prose(12)}\n{prose(12)}") for i in range(20)]
+    rows += [(100 + i, f"{NOTICE}\n{prose(4)}") for i in range(25)]
+    v = verdicts(docs_df(rows))
+    assert all(v[i].n_removed == 20 and v[i].kept for i in range(20))
+    assert all(v[100 + i].n_removed == 20 and not v[100 + i].kept and not v[100 + i].base_failed for i in range(25))
+    assert {r.doc_id for r in quality.clean(docs_df(rows)).collect()} == set(range(20))
+
+
+def test_footer_with_a_large_copy_group(docs_df, prose):
+    page = "\n".join(prose(12) for _ in range(5))
+    rows = [(i, f"{page}\n{NOTICE}") for i in range(1200)] + [(2000 + i, f"{prose(30)}\n{NOTICE}") for i in range(12)]
+    v = verdicts(docs_df(rows))
+    assert all(x.n_removed == 20 and x.kept for x in v.values())

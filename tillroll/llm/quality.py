@@ -4,13 +4,16 @@ Every line of every text is normalised (lower case, runs of white space as
 one space, runs of digits as ``0``) and hashed with its host.  A line is
 boilerplate of its host if it stands in more distinct documents than both
 limits allow: ``min_docs``, and ``share`` of the host's documents.  Lines
-under ``min_words`` words (chance repeats) and over ``max_words`` (passages,
-the matter of substring dedup) are left alone.
+under ``min_words`` words and over ``MAX_WORDS`` words are left alone.
 
 A group of copies repeats all its lines, yet that is for near-duplicate
-removal, which keeps one.  So a line also counts the *families* of its
-documents, told apart by their longest line, and only a line whose documents
-come from many families (``min_families`` of their number) is boilerplate.
+removal, which keeps one.  So a line over the limits is only a candidate, and
+counts the *families* of its documents as well.  A document's family is its
+longest line; if that is a candidate, but the document is mostly lines that
+are none, it is the longest of those.  A candidate is boilerplate if its
+families are over the same two limits (the share being that of the host's
+families, which copies do not add to), or are ``min_families`` of its
+documents.
 
 A document is rejected if its base rules fail (too short, or too much of it
 in repeated 8-word windows) or if it is depleted: boilerplate lines hold
@@ -21,8 +24,8 @@ host is a host of its own.  Rows with equal id, host and text count as one
 document; each gets its own result row.  Null ids are allowed.  Extra
 columns are ignored.  An empty table gives an empty result.
 
-Shuffles: one row per distinct (host, line, document), hashes only; texts
-are not shuffled by ``judge``.  Counts have map-side partial sums, so a line
+Shuffles: one row per distinct (host, line, document) and one per document
+with its line hashes; texts are not shuffled by ``judge``.  Counts have map-side partial sums, so a line
 that a third of all documents hold is no hot key; the join of lines with
 their counts is a sort-merge join that adaptive execution may split.
 """
@@ -97,34 +100,55 @@ def base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return out.withColumn("base_failed", failed)
 
 
-def _lines(docs: DataFrame, host: str, doc_id: str, text: str, min_words: int, max_words: int) -> DataFrame:
-    """One row per line: ``_host``, ``_line``, ``_id``, ``_text``, ``_family``, ``_n`` (words)."""
+def _lines(docs: DataFrame, host: str, doc_id: str, text: str) -> DataFrame:
+    """One row per document with lines: ``_host``, ``_id``, ``_text`` and
+    ``_lines`` (hash, length, words)."""
     norm = F.transform(F.filter(F.split(F.col(text), "\n"), _has_word), normalised)
-    kept = docs.where(F.col(text).isNotNull()).select(
-        F.xxhash64(F.col(host)).alias("_host"), F.col(doc_id).alias("_id"),
-        F.xxhash64(F.col(text)).alias("_text"), let(norm, lambda ls: F.struct(
-            F.xxhash64(F.array_max(F.transform(ls, lambda x: F.struct(F.length(x).alias("n"), x.alias("l"))))["l"]).alias("family"),
-            F.transform(ls, lambda x: F.struct(
-                F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n"))).alias("lines"))).alias("_d"))
-    return (kept.select("_host", "_id", "_text", F.col("_d.family").alias("_family"), F.explode("_d.lines").alias("_l"))
-            .where((F.col("_l.n") >= min_words) & (F.col("_l.n") <= max_words))
-            .select("_host", F.col("_l.h").alias("_line"), "_id", "_text", "_family", F.col("_l.n").cast("long").alias("_n")))
+    lines = F.transform(norm, lambda x: F.struct(
+        F.length(x).alias("len"), F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("n")))
+    return docs.where(F.col(text).isNotNull()).select(
+        F.xxhash64(F.col(host)).alias("_host"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"),
+        lines.alias("_lines"))
+
+
+def _families(by_doc: DataFrame, candidates: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """``by_doc`` with ``_family`` and ``_hits``, the candidate lines it holds."""
+    hits = (per_doc.join(candidates.select("_host", "_line"), ["_host", "_line"])
+            .groupBy("_host", "_id", "_text").agg(F.collect_set("_line").alias("_hits")))
+    both = by_doc.alias("d").join(hits.alias("h"), F.expr(
+        "d._host = h._host AND d._id <=> h._id AND d._text = h._text"), "left").select("d._host", "d._lines", "h._hits")
+    hit = lambda x: F.array_contains(F.coalesce("_hits", F.array().cast("array<long>")), x["h"])
+    n = lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    longest, own = F.array_max("_lines"), F.filter("_lines", lambda x: ~hit(x))
+    of = F.when(hit(longest) & (n(own) >= DEPLETED * n(F.col("_lines"))), F.array_max(own)).otherwise(longest)
+    return both.select("_host", "_hits", of["h"].alias("_family"))
 
 
 def boilerplate(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text",
                 min_docs: int = MIN_DOCS, share: float = SHARE, min_families: float = MIN_FAMILIES,
-                min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
+                min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lines of each document with their words, lines over the limits)."""
-    per_doc = (_lines(docs, host, doc_id, text, min_words, max_words)
-               .groupBy("_host", "_line", "_id", "_text", "_family").agg(F.sum("_n").alias("_n")))
+    by_doc = _lines(docs, host, doc_id, text)
+    per_doc = (by_doc.select("_host", "_id", "_text", F.explode("_lines").alias("_l"))
+               .groupBy("_host", F.col("_l.h").alias("_line"), "_id", "_text")
+               .agg(F.sum("_l.n").alias("_n"), F.max("_l.n").alias("_width")))
     hosts = (docs.select(F.xxhash64(F.col(host)).alias("_host"))
              .groupBy("_host").agg(F.count(F.lit(1)).alias("_docs_of_host")))
-    counted = (per_doc.groupBy("_host", "_line", "_family").agg(F.count(F.lit(1)).alias("_docs"))
-               .groupBy("_host", "_line").agg(F.sum("_docs").alias("_docs"), F.count(F.lit(1)).alias("_families"))
-               .where((F.col("_docs") > min_docs) & (F.col("_families") >= min_families * F.col("_docs"))))
-    over = (counted.join(hosts, "_host").where(F.col("_docs") > share * F.col("_docs_of_host"))
-            .select("_host", "_line", "_docs", "_families"))
+    limit = F.lit(share)
+    counted = (per_doc.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.max("_width").alias("_width"))
+               .where((F.col("_docs") > min_docs) & F.col("_width").between(min_words, MAX_WORDS)))
     # stored, so that the join with the lines has a plain shuffle on either side, which can be split
+    candidates = common.stored(counted.join(hosts, "_host").where(F.col("_docs") > limit * F.col("_docs_of_host"))
+                               .select("_host", "_line", "_docs", limit.alias("_limit")), "candidates")
+    families = common.stored(_families(by_doc, candidates, per_doc), "families")
+    of_host = (families.where(F.col("_family").isNotNull()).select("_host", "_family").distinct()
+               .groupBy("_host").agg(F.count(F.lit(1)).alias("_families_of_host")))
+    of_line = (families.select("_host", "_family", F.explode("_hits").alias("_line")).distinct()
+               .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_families")))
+    many = (F.col("_families") > min_docs) & (F.col("_families") > F.col("_limit") * F.col("_families_of_host"))
+    over = (candidates.join(of_line, ["_host", "_line"]).join(of_host, "_host")
+            .where(many | (F.col("_families") >= min_families * F.col("_docs")))
+            .select("_host", "_line", "_docs", "_families"))
     return per_doc, common.stored(over, "boilerplate")
 
 
@@ -182,7 +206,9 @@ def clean(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: s
     return both.select(*[column(c) for c in keep])
 
 
-#: DuckDB SQL for ``judge`` over ``documents`` with the limits above.
+#: DuckDB SQL for ``judge`` over ``documents`` with the limits above, by a
+#: narrower rule: of families (the longest line, always) only their share of
+#: the documents counts.
 SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
     list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
