@@ -76,3 +76,15 @@ def test_footer_with_a_large_copy_group(docs_df, prose):
     rows = [(i, f"{page}\n{NOTICE}") for i in range(1200)] + [(2000 + i, f"{prose(30)}\n{NOTICE}") for i in range(12)]
     v = verdicts(docs_df(rows))
     assert all(x.n_removed == 20 and x.kept for x in v.values())
+
+
+def test_lines_of_every_length(docs_df, prose):
+    menu = "\n".join(f"{a} {b}" for a in ("log", "sign", "share", "read", "go") for b in ("in", "out", "up", "on", "to", "it"))
+    legal = prose(70)
+    rows = [(i, f"{menu}\n{prose(90)}\n{legal}\n{prose(80)}") for i in range(20)]
+    rows += [(100, f"{menu}\n{prose(5)}"), (101, f"{legal}\n{prose(6)}")]
+    rows += [(200 + i, f"{prose(30)}\n{'by chance' if i < 12 else prose(3)}", "b") for i in range(130)]
+    v = verdicts(docs_df(rows))
+    assert all(v[i].n_removed == 60 + 70 and v[i].kept for i in range(20))
+    assert v[100].n_removed == 60 and v[101].n_removed == 70 and not v[100].kept and not v[101].kept
+    assert all(v[200 + i].n_removed == 0 for i in range(130))

@@ -4,7 +4,8 @@ Every line of every text is normalised (lower case, runs of white space as
 one space, runs of digits as ``0``) and hashed with its host.  A line is
 boilerplate of its host if it stands in more distinct documents than both
 limits allow: ``min_docs``, and ``share`` of the host's documents.  Lines
-under ``min_words`` words and over ``MAX_WORDS`` words are left alone.
+under ``min_words`` words repeat by chance, so their share is
+``short_share``; lines of any length are judged.
 
 A group of copies repeats all its lines, yet that is for near-duplicate
 removal, which keeps one.  So a line over the limits is only a candidate, and
@@ -42,6 +43,7 @@ _TRIM = " \t\n\x0b\x0c\r"
 
 MIN_DOCS, SHARE, MIN_FAMILIES, DEPLETED = 10, 0.01, 0.5, 0.5
 MIN_WORDS, MAX_WORDS = 4, 50
+SHORT_SHARE = 0.1
 WINDOW = 8
 
 
@@ -126,7 +128,7 @@ def _families(by_doc: DataFrame, candidates: DataFrame, per_doc: DataFrame) -> D
 
 def boilerplate(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text",
                 min_docs: int = MIN_DOCS, share: float = SHARE, min_families: float = MIN_FAMILIES,
-                min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+                min_words: int = MIN_WORDS, short_share: float = SHORT_SHARE) -> tuple[DataFrame, DataFrame]:
     """(lines of each document with their words, lines over the limits)."""
     by_doc = _lines(docs, host, doc_id, text)
     per_doc = (by_doc.select("_host", "_id", "_text", F.explode("_lines").alias("_l"))
@@ -134,9 +136,9 @@ def boilerplate(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", t
                .agg(F.sum("_l.n").alias("_n"), F.max("_l.n").alias("_width")))
     hosts = (docs.select(F.xxhash64(F.col(host)).alias("_host"))
              .groupBy("_host").agg(F.count(F.lit(1)).alias("_docs_of_host")))
-    limit = F.lit(share)
+    limit = F.when(F.col("_width") < min_words, F.lit(short_share)).otherwise(F.lit(share))
     counted = (per_doc.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.max("_width").alias("_width"))
-               .where((F.col("_docs") > min_docs) & F.col("_width").between(min_words, MAX_WORDS)))
+               .where(F.col("_docs") > min_docs))
     # stored, so that the join with the lines has a plain shuffle on either side, which can be split
     candidates = common.stored(counted.join(hosts, "_host").where(F.col("_docs") > limit * F.col("_docs_of_host"))
                                .select("_host", "_line", "_docs", limit.alias("_limit")), "candidates")
@@ -207,8 +209,8 @@ def clean(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: s
 
 
 #: DuckDB SQL for ``judge`` over ``documents`` with the limits above, by a
-#: narrower rule: of families (the longest line, always) only their share of
-#: the documents counts.
+#: narrower rule: lines of ``MIN_WORDS`` to ``MAX_WORDS`` words only, and of
+#: families (the longest line, always) only their share of the documents.
 SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
     list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
