@@ -72,3 +72,25 @@ def test_third_order_never_excludes_links():
         linked = 100 * inter >= 75 * (len(x) + len(y) - inter) and inter
         if linked:
             assert ngram_join.overlap(x, y, 75, 100) == inter
+
+
+def changed(text, *at):
+    w = text.split()
+    for i in at:
+        w[i] = f"new{i}"
+    return " ".join(w)
+
+
+def test_near_copies_without_id(docs_df, prose):
+    a, b = prose(100), prose(100)
+    rows = [(None, a), (10, a), (11, changed(a, 20)), (None, changed(a, 20)), (12, changed(a, 60))]
+    rows += [(20, b), (None, changed(b, 10, 30)), (21, changed(b, 10, 30, 50, 70))]      # linked by a text without id
+    res = sorted((r.doc_id or -1, r.component_id) for r in ngram_join.classes(docs_df(rows)).collect())
+    assert res == [(-1, 10), (-1, 10), (-1, 20), (10, 10), (11, 10), (12, 10), (20, 20), (21, 20)]
+
+
+def test_two_texts_under_one_id(docs_df, prose):
+    x, y = prose(100), prose(100)
+    rows = [(30, x), (30, y), (25, changed(x, 50)), (32, changed(y, 50))]
+    res = sorted((r.doc_id, r.component_id) for r in ngram_join.classes(docs_df(rows)).collect())
+    assert res == [(25, 25), (30, 25), (30, 30), (32, 30)]

@@ -53,7 +53,8 @@ CHUNK = 2048
 _END = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 _SETS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
-                      T.StructField("_key", T.LongType()), T.StructField("_hot", T.BinaryType())])
+                      T.StructField("_key", T.LongType()), T.StructField("_t", T.LongType()),
+                      T.StructField("_hot", T.BinaryType())])
 _PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()),
                         T.StructField("sizes", T.BinaryType()), T.StructField("counts", T.BinaryType()),
                         T.StructField("tokens", T.BinaryType())])
@@ -114,7 +115,7 @@ def _find_sets(size: int):
             hot = count >= max(8, some.sum() // 100)
             note = np.column_stack([found[hot], count[hot].astype(np.uint64)]).tobytes()
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array(n.astype(np.int64)), common.i64(key),
+                part.column(0), pa.array(n.astype(np.int64)), common.i64(key), part.column(1),
                 pa.array([note] + [None] * (len(raw) - 1), pa.binary())], names=_SETS.names)
     return run
 
@@ -325,8 +326,8 @@ def _verified(pairs: DataFrame, bags: DataFrame, num: int, den: int) -> DataFram
 
 
 def shingle_classes(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """``_id``, ``n_shingles``, ``_key`` (hash of the set) of every row."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_x"))
+    """``_id``, ``n_shingles``, ``_key`` (hash of the set), ``_t`` (hash of the text) of every row."""
+    keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_x"))
     return common.stored(keyed.mapInArrow(_find_sets(size), _SETS), "sets")
 
 
@@ -357,12 +358,16 @@ def links(docs: DataFrame, sets: DataFrame, text: str, size: int, num: int, den:
     """Edges ``a``, ``b`` between keys, enough for every component; every
     pair of linked sets is in one component of them."""
     ix = index(docs, sets, text, size, num, den)
-    reps = (sets.where("n_shingles > 0").groupBy("_key").agg(F.min(F.struct("_id", "n_shingles")).alias("_r"))
-            .select(F.col("_key").alias("key"), F.col("_r._id").alias("_id")))
-    named = ix.select("key").distinct().join(reps, "key").where(F.col("_id").isNotNull())
+    # the text of a set: that of its smallest id, or one without id if no row of it has one
+    first = F.min(F.struct(F.col("_id").isNull().alias("_no"), "_id", "_t"))
+    reps = (sets.where("n_shingles > 0").groupBy("_key").agg(first.alias("_r"))
+            .select(F.col("_key").alias("key"), F.col("_r._id").alias("_id"), F.col("_r._t").alias("_t")))
+    named = ix.select("key").distinct().join(reps, "key")
     bag = T.StructType([T.StructField("key", T.LongType()), T.StructField("bag", T.BinaryType())])
-    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_x"))
-    bags = common.stored(own.join(named, "_id").select("key", "_x").mapInArrow(_bag_rows(size, bag), bag), "bags")
+    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_x"))
+    own = own.where(F.col("_id").isNotNull()).unionByName(own.where(F.col("_id").isNull()).dropDuplicates(["_t"]))
+    own = own.alias("o").join(named.alias("n"), F.expr("o._id <=> n._id AND o._t = n._t")).select("n.key", "o._x")
+    bags = common.stored(own.mapInArrow(_bag_rows(size, bag), bag), "bags")
 
     # two rounds of blocks: the most frequent index shingle, and one of about that frequency
     sizes = common.stored(ix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
