@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -122,3 +123,20 @@ def test_edges(docs_df, prose):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     only = lm.score(docs_df([(held, "no training text")])).collect()
     assert only[0].held_out and only[0].train_tokens == 0 and np.isfinite(only[0].score)
+
+
+def test_one_very_long_text_among_short_ones():
+    rng = np.random.default_rng(4)
+    t = [np.append(rng.integers(1, 16, n), 0).astype(np.int32) for n in [200_000] + [100] * 3000]
+    tracemalloc.start()
+    lanes, seen = gru.Lanes(t, 0), 0
+    for x, y, mask, owner, new in lanes.windows():
+        seen += int(mask.sum())
+        long_ = (owner == 0).any(axis=0)
+        assert x.shape == y.shape == new.shape and long_.sum() <= 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lanes.length) > 400 and seen == sum(map(len, t)) and peak < 100e6
+    p = {k: v.astype(np.float32) for k, v in tiny().items()}
+    some = [x[-5000:] for x in t[:300]]
+    assert np.allclose(gru.log_probs(p, some, 0), [gru.log_probs(p, [x], 0)[0] for x in some], rtol=1e-4)

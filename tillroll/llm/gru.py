@@ -77,23 +77,30 @@ class Lanes:
         flat = np.concatenate(texts)
         owner = np.repeat(np.arange(len(texts)), size)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + start[owner]
-        self.y = np.full((self.steps, n), -1, np.int32)
-        self.owner = np.full((self.steps, n), -1, np.int32)
-        self.y[at, lane[owner]] = flat
-        self.owner[at, lane[owner]] = owner
-        self.x = np.empty_like(self.y)
-        self.x[0] = end
-        self.x[1:] = np.maximum(self.y[:-1], 0)
-        self.new = np.zeros((self.steps, n), bool)
-        self.new[start, lane] = True
+        # lane after lane, so that memory follows the tokens, however long one lane is
+        self.base = np.cumsum(self.length) - self.length
+        self.end = end
+        at += self.base[lane[owner]]
+        self.y = np.empty(len(flat), np.int32)
+        self.y[at] = flat
+        self.owner = np.empty(len(flat), np.int32)
+        self.owner[at] = owner
+        self.new = np.zeros(len(flat), bool)
+        self.new[self.base[lane] + start] = True
         self.texts = len(texts)
 
     def windows(self):
         """(inputs, targets, mask, owner, starts), all (time, lane)."""
         for lo in range(0, self.steps, WINDOW):
-            cut = slice(lo, lo + WINDOW), slice(0, int(np.searchsorted(-self.length, -lo, "left")))
-            y = self.y[cut]
-            yield self.x[cut], y, y >= 0, self.owner[cut], self.new[cut]
+            n = int(np.searchsorted(-self.length, -lo, "left"))
+            step = np.arange(lo, min(lo + WINDOW, self.steps))[:, None]
+            mask = step < self.length[:n]
+            at = np.minimum(self.base[:n] + step, len(self.y) - 1)
+            y = np.where(mask, self.y[at], -1)
+            x = np.where(step <= self.length[:n], self.y[at - (step > 0)], 0)
+            if lo == 0:
+                x[0] = self.end
+            yield x, y, mask, np.where(mask, self.owner[at], -1), self.new[at] & mask
 
 
 def _steps(p: dict, x: np.ndarray, new_text: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
@@ -164,12 +171,12 @@ def log_probs(p: dict, texts: list[np.ndarray], end: int) -> np.ndarray:
         return np.zeros(0)
     lanes = Lanes(texts, end)
     total = np.zeros(len(texts))
-    h = np.zeros((lanes.y.shape[1], p["rec"].shape[0]), np.float32)
+    h = np.zeros((len(lanes.length), p["rec"].shape[0]), np.float32)
     for x, y, mask, owner, new in lanes.windows():
         states, _ = _steps(p, x, new, h[: x.shape[1]], False)
         h = states[-1]
         got, _ = _outputs(p, states[mask], y[mask])
-        total += np.bincount(owner[mask], got, len(texts))
+        np.add.at(total, owner[mask], got)
     return total
 
 
@@ -201,7 +208,7 @@ class Trainer:
             return
         lanes = Lanes(texts, self.end)
         n = self.p["rec"].shape[0]
-        h = np.zeros((lanes.y.shape[1], n), np.float32)
+        h = np.zeros((len(lanes.length), n), np.float32)
         p, g = self.p, self.grad
         for x, y, mask, _, new in lanes.windows():
             states, kept = _steps(p, x, new, h[: x.shape[1]], True)
