@@ -63,3 +63,23 @@ def without_repeats(rows, size=50):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def periodic_runs(w, min_len=24, min_periods=3):
+    """(start, length, period) of all runs of a list of words, by comparing at every period."""
+    out = {}
+    for p in range(1, len(w) // min_periods + 1):
+        i = 0
+        while i < len(w) - p:
+            j = i
+            while j < len(w) - p and w[j] == w[j + p]:
+                j += 1
+            if j > i and j + p - i >= max(min_len, min_periods * p):
+                out.setdefault((i, j + p - i), p)
+            i = max(j, i + 1)
+    return sorted((s, n, p) for (s, n), p in out.items())
+
+
+def collapse(w, runs):
+    gone = {i for s, n, p in runs for i in range(s + p, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bpe, common, embedding_dedup, lm, merkle, ngram_join, packing, quality, substring, toxicity, url_filter
+from . import (bpe, centroids, common, embedding_dedup, lm, merkle, mixing, ngram_join, packing, periodic, quality, substring, toxicity,
+               url_filter)
 
 
 def vocabulary(name: str) -> str:
@@ -110,6 +111,37 @@ def op10_packing(spark, d):
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_centroid_clustering(spark, d):
+    return centroids.report(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+def with_period(text):
+    """The text, for one id in ten with its words from some place on repeated periodically."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    def repeated(w):                                      # noqa: E306
+        n, g = F.size(w), F.expr("crc32(cast(cast(doc_id AS string) AS binary)) div 10")
+        a = (g % n).cast("int")
+        p = F.floor((n - a) / (3 + g % 8)).cast("int") + 1
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")
+    found = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.when(h % 10 == 0, quality.let(found, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))).otherwise(text)
+
+
+def op12_periodic_runs(spark, d):
+    docs = _documents(spark, d).select("doc_id", with_period(F.col("text")).alias("text"))
+    found = periodic.runs(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_source_mixing(spark, d):
+    return mixing.mix(_documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark, d):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, d)
@@ -119,8 +151,10 @@ def pipeline(spark, d):
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_lm_scoring, op3_url_filter, op4_byte_bpe, op5_embedding_dedup, op6_ngram_join,
-        op7_substring_dedup, op8_toxicity, op9_merkle_fixity, op10_packing, pipeline)}
+        op7_substring_dedup, op8_toxicity, op9_merkle_fixity, op10_packing, op11_centroid_clustering, op12_periodic_runs,
+        op13_source_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op9_merkle_fixity": OP9_SQL}
+    return {"op1_quality_rules": quality.SQL, "op9_merkle_fixity": OP9_SQL, "op11_centroid_clustering": centroids.SQL,
+            "op13_source_mixing": mixing.SQL}
