@@ -30,7 +30,7 @@ except ImportError:          # the training-data subpackage is optional
     llm_queries = None
 from tillroll.operators import basket, clean as cleaning, forecast, kpi, products, profile, trend
 from tillroll.plans import brief, fixtures, report
-from tillroll.sources import reader
+from tillroll.sources import dates, reader
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -82,6 +82,16 @@ def q_clean_sales(spark, d):
                     "transaction_id", "customer_id", "total_value")
 
 
+def q_date_layouts(spark, d):
+    return dates.count_layouts(fixtures.day_first_sales(spark, d), "InvoiceDate")
+
+
+def q_clean_day_first(spark, d):
+    c = cleaning.clean(fixtures.day_first_sales(spark, d))
+    return c.select(_ts("order_date").alias("order_date"), "product_name", "quantity", "unit_price",
+                    "transaction_id", "customer_id", "total_value")
+
+
 def q_preview_clean(spark, d):
     p = cleaning.preview(_clean(spark, d), 20)
     return p.select(_ts("order_date").alias("order_date"), "product_name", "quantity", "unit_price",
@@ -421,6 +431,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "source_shape": q_source_shape,
         "preview_raw": q_preview_raw,
         "clean_sales": q_clean_sales,
+        "date_layouts": q_date_layouts,
+        "clean_day_first": q_clean_day_first,
         "preview_clean": q_preview_clean,
         "kpi_headline": q_kpi_headline,
         "kpi_metrics": q_kpi_metrics,

@@ -7,7 +7,7 @@ no code path with the Spark plans.
 
 from __future__ import annotations
 
-from tillroll.plans.fixtures import CLEAN_RAW_SQL, RAW_SALES_SQL, SALES_SQL
+from tillroll.plans.fixtures import CLEAN_RAW_SQL, DAY_FIRST_SQL, RAW_SALES_SQL, SALES_SQL
 
 S = f"WITH {SALES_SQL}"
 C = f"WITH {RAW_SALES_SQL}, {CLEAN_RAW_SQL}"
@@ -45,6 +45,24 @@ spine AS (SELECT {spine} AS period FROM agg),
 series AS (SELECT spine.period, coalesce(agg.v, 0.0) AS total_value FROM spine LEFT JOIN agg USING (period))"""
 
 
+#: Date layouts in the order in which ties are decided, with the DuckDB formats of those that a slash or ISO date can have.
+LAYOUTS = (["yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyy MM dd", "yyyyMMdd"]
+           + ["MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "MM dd yyyy", "dd MM yyyy", "dd.MM.yyyy", "MM.dd.yyyy"]
+           + ["MM/dd/yy", "dd/MM/yy", "MM-dd-yy", "dd-MM-yy", "MM dd yy", "dd MM yy", "dd.MM.yy", "MM.dd.yy"]
+           + ["yyyy MMM dd", "MMM dd yyyy", "dd MMM yyyy", "MMM dd yy", "dd MMM yy"])
+LAYOUT_READS = {"yyyy-MM-dd": "['%Y-%m-%d']", "MM/dd/yyyy": "['%m/%d/%Y', '%m/%d/%Y %H:%M']",
+                "dd/MM/yyyy": "['%d/%m/%Y', '%d/%m/%Y %H:%M']"}
+
+
+def _date_layouts() -> str:
+    rows = ", ".join(f"({k}, '{n}', " + (f"(SELECT count(try_strptime(trim(InvoiceDate), {LAYOUT_READS[n]})) FROM raw_sales)"
+                                         if n in LAYOUT_READS else "0") + ")" for k, n in enumerate(LAYOUTS))
+    return f"""WITH {DAY_FIRST_SQL}, t AS (SELECT * FROM (VALUES {rows}) AS v(position, layout, parsed)),
+best AS (SELECT max(parsed) AS n, arg_max(position, (parsed, -position)) AS first, count(*) FILTER (parsed = (SELECT max(parsed) FROM t)) AS many FROM t)
+SELECT position, layout, parsed, (SELECT count(*) FILTER (trim(InvoiceDate) <> '') FROM raw_sales) AS filled,
+  position = first AS elected, parsed = n AND many > 1 AS tied FROM t, best"""
+
+
 def _rollup_cte() -> str:
     return f"""{S},
 per AS (SELECT product_name AS product, sum(total_value) AS revenue, sum(quantity) AS quantity,
@@ -175,6 +193,8 @@ def build() -> dict[str, str]:
     q["preview_raw"] = (f"WITH {RAW_SALES_SQL} SELECT * FROM raw_sales ORDER BY "
                         + ", ".join(f"{c} NULLS FIRST" for c in raw_cols) + " LIMIT 10")
     q["clean_sales"] = f"{C} SELECT {cols} FROM clean_raw"
+    q["clean_day_first"] = f"WITH {DAY_FIRST_SQL} SELECT {cols} FROM clean_raw"
+    q["date_layouts"] = _date_layouts()
     q["preview_clean"] = (f"{C} SELECT {cols} FROM clean_raw ORDER BY order_date NULLS FIRST, "
                           "product_name NULLS FIRST, quantity NULLS FIRST, unit_price NULLS FIRST, "
                           "transaction_id NULLS FIRST, customer_id NULLS FIRST, total_value NULLS FIRST LIMIT 20")

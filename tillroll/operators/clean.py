@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import DEFAULT_DATE_FORMATS, positive, to_number, to_timestamp_ntz
+from ..functions.exprs import positive, to_number, to_timestamp_ntz
+from ..sources import dates
 from ..sources.schema import resolve_mapping
 
 
@@ -19,7 +20,19 @@ class EmptyResultError(ValueError):
     """The clean table has no rows (the load is refused)."""
 
 
-def clean(raw: DataFrame, mapping: dict | None = None, formats=DEFAULT_DATE_FORMATS,
+def _order_date(raw: DataFrame, source: str, formats, data_type):
+    """The date expression: a pinned layout, pinned patterns, or the elected layout."""
+    src = F.col(f"`{source}`")
+    if not isinstance(data_type, T.StringType):
+        return to_timestamp_ntz(src, (), data_type)
+    if formats is None:
+        formats = dates.elect(raw, source)
+    if isinstance(formats, dates.Layout):
+        return dates.read(src, formats)
+    return to_timestamp_ntz(src, formats, data_type)
+
+
+def clean(raw: DataFrame, mapping: dict | None = None, formats=None,
           require_rows: bool = False) -> DataFrame:
     """Raw sales table -> clean sales table.
 
@@ -28,7 +41,11 @@ def clean(raw: DataFrame, mapping: dict | None = None, formats=DEFAULT_DATE_FORM
       targets, then ``total_value``;
     * ``quantity`` / ``unit_price``: numeric text only, else null;
     * ``total_value = quantity * unit_price``;
-    * ``order_date``: ISO text or one of ``formats``, else null;
+    * ``order_date``: text in the column's own layout, else null.  Without
+      ``formats`` the layout is elected (:mod:`tillroll.sources.dates`), which
+      is one aggregate over that column when the plan is built; a
+      :class:`~tillroll.sources.dates.Layout` pins it, a list of patterns
+      reads ISO text or one of them, value by value;
     * rows kept: ``quantity > 0 AND unit_price > 0 AND order_date IS NOT NULL``
       (NaN fails).  ``product_name`` may stay null.
 
@@ -45,7 +62,7 @@ def clean(raw: DataFrame, mapping: dict | None = None, formats=DEFAULT_DATE_FORM
             parsed.append(to_number(src, types[source]).alias(target))
             parses = parses or isinstance(types[source], T.StringType)
         elif target == "order_date":
-            parsed.append(to_timestamp_ntz(src, formats, types[source]).alias(target))
+            parsed.append(_order_date(raw, source, formats, types[source]).alias(target))
             parses = parses or isinstance(types[source], T.StringType)
         else:
             plain.append(src.cast("string").alias(target))

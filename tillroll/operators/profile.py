@@ -1,12 +1,14 @@
 """Data profile: column info and descriptive statistics.
 
-Exact quartiles are found by counting, at every size in the same way.  Each
-pass is one aggregate over the values: it counts them between a few cut points
-and on those points, and takes approximate percentiles of each piece, whose
-values next to a wanted rank are the next cut points.  A rank is found when
-its piece holds a single value.  Every pass divides the open range's count
-by some hundreds, so even 10**12 values take about six passes; no value
-range is ever fetched or sorted.
+Exact quartiles come from a mergeable rank sketch and shrinking brackets.  The
+numeric columns are written once, to a folder of the computation's own.  One
+aggregate over them takes the moments and, per wanted rank, the sketch's values
+next to it: a bracket of a few thousandths of the values, cut in the middle.
+A second counts the pieces and so finds the one that holds the rank, whatever
+the sketch's error.  Only the values of these pieces are written on, and each
+further pass reads the remainder of the one before; a rank is found when its
+piece is one value, or has no more than a few thousand, which are sorted.
+Each pass leaves some thousandths, so even 10**12 values take four.
 ``approx=True`` uses ``percentile_approx`` in one pass.
 """
 
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import bucket_of
+from ..session import scratch_dir
 
-#: Percentiles taken of each piece; the two on either side of a rank become cut points.
-GRID = 999
+#: Accuracy of the sketch: ranks are off by about one in so many.
+GRID = 1000
 
 
 def _epoch():
@@ -51,11 +53,119 @@ def _as_number(c: str, dt):
     return col.cast("double")
 
 
-def _piece(v, cuts: list[float]):
-    """Number of a value's piece: odd on a cut point, even between two."""
-    n = bucket_of(v, cuts)
-    on = F.element_at(F.array(*[F.lit(float("nan")), *[F.lit(c) for c in cuts]]), n + 1) == v
-    return (2 * n - F.when(on, 1).otherwise(0)).cast("int")
+class _Rank:
+    """A wanted rank: the value of that many smaller ones in a column, known to
+    lie in [lo, hi], with ``before`` values of the column below lo and ``n`` in it."""
+
+    def __init__(self, column: int, rank: int, lo: float, hi: float, n: int):
+        self.column, self.rank, self.lo, self.hi, self.before, self.n = column, rank, lo, hi, 0, n
+        self.value = lo if lo == hi else None
+
+    def cuts(self, points) -> None:
+        """Take three values of a sketch as the next cut points, inside [lo, hi]."""
+        self.low, self.mid, self.high = (min(max(p, self.lo), self.hi) for p in points)
+
+    def share(self, grid: int) -> list[float]:
+        at, near = (self.rank - self.before + 0.5) / self.n, 2.0 / grid
+        return [max(at - near, 0.0), at, min(at + near, 1.0)]
+
+    def counts(self, v) -> list:
+        """How many values of [lo, hi] are under, between, on and over the cut points."""
+        inside = (v >= F.lit(self.lo)) & (v <= F.lit(self.hi))
+        low, mid, high = F.lit(self.low), F.lit(self.mid), F.lit(self.high)
+        return [F.count_if(inside & x) for x in (v < low, (v >= low) & (v < mid), v == mid, (v > mid) & (v <= high), v > high)]
+
+    def narrow(self, found: list[int]) -> None:
+        """Go to the piece that holds the rank."""
+        down, up = math.nextafter, math.inf
+        bounds = [(self.lo, down(self.low, -up)), (self.low, down(self.mid, -up)), (self.mid, self.mid),
+                  (down(self.mid, up), self.high), (down(self.high, up), self.hi)]
+        for (lo, hi), n in zip(bounds, found):
+            if self.rank < self.before + n:
+                self.lo, self.hi, self.n = lo, hi, n
+                if lo == hi:
+                    self.value = lo
+                return
+            self.before += n
+
+
+def _column(n: int):
+    return F.col(f"n{n}")
+
+
+def wide_quantiles(wide: DataFrame, n_columns: int, probs, grid: int = GRID) -> tuple[dict, dict]:
+    """Exact quantiles and moments of the double columns ``n0``, ``n1``, .. of a
+    table that is cheap to read again (a stored one): ``({column: [quantile]},
+    {column: moments})``; columns without values are missing in both."""
+    spark = wide.sparkSession
+    value = [F.when(~F.isnan(_column(i)), _column(i)) for i in range(n_columns)]
+
+    def around(q):
+        return max(q - 2 / grid, 0.0), q, min(q + 2 / grid, 1.0)
+    points = sorted({x for q in probs for x in around(q)})
+    first = wide.agg(*[e for i, v in enumerate(value) for e in (
+        F.count(v).alias(f"cnt{i}"), F.avg(v).alias(f"avg{i}"), F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
+        F.max(v).alias(f"max{i}"),
+        F.percentile_approx(v, points, grid).alias(f"q{i}"))]).first()
+    moments, ranks = {}, []
+    for i in range(n_columns):
+        n = first[f"cnt{i}"]
+        if not n:
+            continue
+        moments[i] = {m: first[f"{m}{i}"] for m in ("cnt", "avg", "std", "min", "max")}
+        near = dict(zip(points, first[f"q{i}"]))
+        for q in probs:
+            for rank in {f(q * (n - 1)) for f in (math.floor, math.ceil)}:
+                r = _Rank(i, rank, first[f"min{i}"], first[f"max{i}"], n)
+                r.cuts([near[x] for x in around(q)])
+                ranks.append(r)
+    open_ = [r for r in ranks if r.value is None]
+    with scratch_dir(spark) as folder:
+        if open_:
+            row = wide.agg(*[c.alias(f"c{j}_{k}") for j, r in enumerate(open_)
+                             for k, c in enumerate(r.counts(value[r.column]))]).first()
+            for j, r in enumerate(open_):
+                r.narrow([row[f"c{j}_{k}"] for k in range(5)])
+        rest, level = None, 0
+        open_ = [r for r in open_ if r.value is None]
+        while open_:
+            # the values of the open brackets only, from the table before
+            if rest is None:
+                pairs = F.array(*[F.when((value[r.column] >= F.lit(r.lo)) & (value[r.column] <= F.lit(r.hi)), F.struct(
+                    F.lit(j).alias("j"), value[r.column].alias("v"))) for j, r in enumerate(open_)])
+                part = wide.select(F.inline(F.filter(pairs, lambda x: x.isNotNull())))
+            else:
+                pairs = F.array(*[F.when((F.col("j") == was) & (F.col("v") >= F.lit(r.lo)) & (F.col("v") <= F.lit(r.hi)), F.struct(
+                    F.lit(j).alias("j"), F.col("v").alias("v"))) for j, (was, r) in enumerate(zip(places, open_))])
+                part = rest.select(F.inline(F.filter(pairs, lambda x: x.isNotNull())))
+            part.write.parquet(f"{folder}/{level}")
+            rest, level = spark.read.schema("j int, v double").parquet(f"{folder}/{level}"), level + 1
+            few = [j for j, r in enumerate(open_) if r.n <= 4 * grid]
+            if few:                                     # at most 4 * grid values each
+                for row in rest.where(F.col("j").isin(few)).groupBy("j").agg(F.sort_array(F.collect_list("v")).alias("vs")).collect():
+                    r = open_[row["j"]]
+                    r.value = row["vs"][r.rank - r.before]
+            many = [j for j, r in enumerate(open_) if r.value is None]
+            if many:
+                sketch = [F.percentile_approx(F.when(F.col("j") == j, F.col("v")), open_[j].share(grid), grid).alias(f"q{j}") for j in many]
+                row = rest.where(F.col("j").isin(many)).agg(*sketch).first()
+                for j in many:
+                    open_[j].cuts(row[f"q{j}"])
+                row = rest.agg(*[c.alias(f"c{j}_{k}") for j in many
+                                 for k, c in enumerate(open_[j].counts(F.when(F.col("j") == j, F.col("v"))))]).first()
+                for j in many:
+                    open_[j].narrow([row[f"c{j}_{k}"] for k in range(5)])
+            places = [j for j, r in enumerate(open_) if r.value is None]
+            open_ = [open_[j] for j in places]
+    at = {(r.column, r.rank): r.value for r in ranks}
+    out = {}
+    for i, m in moments.items():
+        out[i] = []
+        for q in probs:
+            pos = q * (m["cnt"] - 1)
+            a, b = at[(i, math.floor(pos))], at[(i, math.ceil(pos))]
+            out[i].append(a if a == b else a + (b - a) * (pos - math.floor(pos)))
+    return out, moments
 
 
 def grouped_quantiles(values: DataFrame, probs, grid: int = GRID, moments: dict | None = None) -> dict:
@@ -63,61 +173,18 @@ def grouped_quantiles(values: DataFrame, probs, grid: int = GRID, moments: dict
     long table ``(k int, v double)`` with few keys.
 
     Same definition as NumPy / pandas ``quantile`` (position ``q * (n-1)``),
-    nulls and NaN ignored.  The first pass is a summary with percentiles per
-    key, the others count and cut the ranges that are still open; what
-    returns to the driver is bounded by keys, probabilities and ``grid``.
-    Returns ``{k: [quantile per prob]}``.  When a ``moments`` dict is given,
-    the first pass also fills it with ``{k: {cnt, avg, std, min, max}}`` of
-    the non-null values.
+    nulls and NaN ignored.  Returns ``{k: [quantile per prob]}``; a ``moments``
+    dict is filled with ``{k: {cnt, avg, std, min, max}}`` of the values.
     """
-    v, k = F.col("v"), F.col("k")
-    base = values.filter(v.isNotNull() & ~F.isnan(v))
-    inner = [(i + 1) / (grid + 1) for i in range(grid)]
-    splits = F.percentile_approx("v", inner, 10 * (grid + 1)).alias("splits")
-    stats = {r["k"]: r for r in base.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("avg"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"), splits).collect()}
+    with scratch_dir(values.sparkSession) as folder:
+        values.write.parquet(folder)
+        stored = values.sparkSession.read.parquet(folder)
+        keys = [r["k"] for r in stored.select("k").distinct().collect()]
+        wide = stored.select(*[F.when(F.col("k") == k, F.col("v").cast("double")).alias(f"n{i}") for i, k in enumerate(keys)])
+        got, found = wide_quantiles(wide, len(keys), probs, grid) if keys else ({}, {})
     if moments is not None:
-        for key, r in stats.items():
-            moments[key] = {"cnt": r["n"], "avg": r["avg"], "std": r["std"], "min": r["min"], "max": r["max"]}
-    found: dict = {}
-    open_ = []                         # (key, least, greatest, values before, ranks, cut points)
-
-    def near(points, before, n, ranks):
-        """Percentiles next to the ranks' places among ``n`` values."""
-        at = {min(max(int((x - before + 0.5) / n * (grid + 1)) + d, 0), grid - 1) for x in ranks for d in (-2, -1, 0, 1)}
-        return sorted({points[i] for i in at})
-
-    for key, r in stats.items():
-        ranks = sorted({f(q * (r["n"] - 1)) for q in probs for f in (math.floor, math.ceil)})
-        open_.append((key, r["min"], r["max"], 0, ranks, near(r["splits"], 0, r["n"], ranks)))
-    while open_:
-        tag = F.lit(None)
-        for i, (key, lo, hi, _, _, points) in enumerate(open_):          # disjoint ranges
-            inside = (k == key) & (v >= F.lit(lo)) & (v <= F.lit(hi))
-            tag = F.when(inside, F.struct(F.lit(i).alias("i"), _piece(v, points).alias("b"))).otherwise(tag)
-        rows = (base.select("v", tag.alias("x")).filter(F.col("x").isNotNull())
-                .groupBy(F.col("x.i").alias("i"), F.col("x.b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), splits).collect())
-        left = []
-        for i, (key, _, _, before, ranks, _) in enumerate(open_):
-            for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["b"]):
-                mine = [x for x in ranks if before <= x < before + r["n"]]
-                if mine and r["lo"] == r["hi"]:
-                    found.update({(key, x): r["lo"] for x in mine})
-                elif mine:
-                    left.append((key, r["lo"], r["hi"], before, mine, near(r["splits"], before, r["n"], mine)))
-                before += r["n"]
-        open_ = left
-    out = {}
-    for key, r in stats.items():
-        res = []
-        for q in probs:
-            pos = q * (r["n"] - 1)
-            a, b = found[(key, math.floor(pos))], found[(key, math.ceil(pos))]
-            res.append(a if a == b else a + (b - a) * (pos - math.floor(pos)))
-        out[key] = res
-    return out
+        moments.update({keys[i]: m for i, m in found.items()})
+    return {keys[i]: qs for i, qs in got.items()}
 
 
 def exact_quantiles(values: DataFrame, probs, **kw) -> list:
@@ -152,10 +219,10 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 1_000_000,
             moments[i] = {m: row[f"{m}{i}"] for m in ("cnt", "avg", "std", "min", "max")}
             quart[i] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * 3
     else:
-        # each pass unpivots the numeric columns to (column, value) on the fly
-        long = nums.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("v"))
-                                              for i in range(len(fields))])))
-        got = grouped_quantiles(long, probs, moments=moments)
+        # the numeric columns are computed and written once; all passes read them
+        with scratch_dir(spark) as folder:
+            nums.write.parquet(folder)
+            got, moments = wide_quantiles(spark.read.schema(nums.schema).parquet(folder), len(fields), probs)
         for i in range(len(fields)):
             quart[i] = got.get(i, [None] * 3)
     empty = {"cnt": 0, "avg": None, "std": None, "min": None, "max": None}

@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.clean import clean
+from ..sources.dates import ISO
+
 
 def _tables(spark: SparkSession, sf_dir: str):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -109,5 +112,32 @@ clean_raw AS (
 
 
 def clean_raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.clean import clean
-    return clean(raw_sales(spark, sf_dir))
+    """``raw_sales`` cleaned; its dates are known to be ISO text."""
+    return clean(raw_sales(spark, sf_dir), formats=ISO)
+
+
+def day_first_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_sales`` with day-first dates, some with a time of day; a few stay
+    ISO text, which another layout than the column's."""
+    c = F.col
+    li, o, p = _tables(spark, sf_dir)
+    when = o.select("o_orderkey", (F.when(c("o_orderkey") % 101 == 7, F.date_format("o_orderdate", "yyyy-MM-dd"))
+                                   .when(c("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d/M/yyyy H:mm"))
+                                   .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("_when"))
+    raw = raw_sales(spark, sf_dir)
+    bad = c("InvoiceDate").isNull() | (c("InvoiceDate") == "not a date")
+    return (raw.join(when, raw["InvoiceNo"].cast("bigint") == when["o_orderkey"])
+            .select(F.when(bad, c("InvoiceDate")).otherwise(c("_when")).alias("InvoiceDate"), *raw.columns[1:]))
+
+
+# day_first_sales and its cleaning, in DuckDB
+DAY_FIRST_SQL = f"""
+{RAW_SALES_SQL.replace("raw_sales AS", "iso_sales AS")},
+raw_sales AS (
+  SELECT i.* REPLACE (CASE WHEN InvoiceDate IS NULL OR InvoiceDate = 'not a date' THEN InvoiceDate
+    WHEN o_orderkey % 101 = 7 THEN strftime(o_orderdate, '%Y-%m-%d')
+    WHEN o_orderkey % 3 = 0 THEN day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) || ' '
+      || hour(o_orderdate) || ':' || strftime(o_orderdate, '%M')
+    ELSE strftime(o_orderdate, '%d/%m/%Y') END AS InvoiceDate)
+  FROM iso_sales AS i JOIN orders ON o_orderkey = CAST(InvoiceNo AS BIGINT)),
+{CLEAN_RAW_SQL.replace("TRY_CAST(trim(InvoiceDate) AS TIMESTAMP)", "try_strptime(trim(InvoiceDate), ['%d/%m/%Y', '%d/%m/%Y %H:%M'])")}"""

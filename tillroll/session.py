@@ -9,6 +9,9 @@ tests; on a cluster the caller brings its own session and only
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -74,6 +77,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+@contextmanager
+def scratch_dir(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the checkpoint folder, removed afterwards: for
+    tables that one computation writes and reads before it returns."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        sc = spark.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Shuffle partition count of the session, used to size bucket counts."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
