@@ -2,8 +2,9 @@
 vectorised words, word hashes and n-gram hashes.
 
 Words are maximal runs of bytes other than space and \\t..\\r.  Hashes are 64
-bits; two different words or n-grams collide with a chance of about 2**-64
-per pair, which the operators accept unless their docstring says otherwise.
+bits, mixed block by block; two different words or n-grams collide with a
+chance of about 2**-64 per pair, which the operators accept unless their
+docstring says otherwise.  Token ids are never looked up by a hash alone.
 """
 
 from __future__ import annotations
@@ -120,9 +121,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
-
-
 class Words:
     """Words of a slice of texts: ``start``/``end`` byte positions in
     ``data`` and ``first``, the index of each text's first word (n + 1)."""
@@ -166,16 +164,20 @@ class Words:
 
 def span_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """One uint64 per span of ``data``; spans begin at ``start`` (the first
-    at 0) and leave nothing out: a polynomial over mixed bytes, then mixed."""
+    at 0) and leave nothing out.  Blocks of 8 bytes are mixed with their
+    place in the span before they are added, so no regular pattern of bytes
+    (as with a polynomial modulo 2**64) makes two spans collide."""
     if not len(start):
         return np.zeros(0, np.uint64)
     size = np.diff(np.append(start, len(data)))
-    power = np.full(int(size.max()), _ODD[1], np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    at = np.arange(len(data)) - np.repeat(start, size)
-    h = np.add.reduceat(_BYTE[data] * power[at], start)
-    return mixed(h + size.astype(np.uint64) * _ODD[2])
+    blocks = (size + 7) >> 3
+    begin = np.cumsum(blocks) - blocks
+    place = np.arange(len(data)) + np.repeat(begin * 8 - start, size)
+    padded = np.zeros(int(blocks.sum()) * 8, np.uint8)
+    padded[place] = data
+    index = np.arange(len(padded) // 8, dtype=np.uint64) - np.repeat(begin, blocks).astype(np.uint64)
+    word = mixed(padded.view("<u8") + mixed((index + np.uint64(1)) * _ODD[1]))
+    return mixed(np.add.reduceat(word, begin) + size.astype(np.uint64) * _ODD[2])
 
 
 # ------------------------------------------------- spans that tokenizers split
@@ -197,30 +199,51 @@ def sign_cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all bytes of the spans, one span after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class IdTable:
     """Ids of spans, encoded once per distinct span and kept, within a bound,
-    under the span's hash for later slices."""
+    under the span's bytes for later slices."""
 
     def __init__(self, encode_many, most: int):
         self.encode_many, self.most = encode_many, most
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a span of each kind, kind of each span): grouped by hash, told
+        apart by their bytes where different ones share it."""
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        same_as = first[back]
+        other = np.flatnonzero(same_as != np.arange(len(hashes)))
+        size = (end - start)[other]
+        equal = size == (end - start)[same_as[other]]
+        other, size = other[equal], size[equal]
+        if equal.all() and (data[_spread(start[other], size)] == data[_spread(start[same_as[other]], size)]).all():
+            return first, back
+        raw = data.tobytes()
+        kinds: dict[bytes, int] = {}
+        back = np.array([kinds.setdefault(raw[a:b], len(kinds)) for a, b in zip(start.tolist(), end.tolist())])
+        return np.unique(back, return_index=True)[1], back
 
     def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray,
                 hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each span)."""
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        first, back = self.distinct(data, start, end, hashes)
         if len(self.known) > self.most:
             self.known.clear()
-        keys = found.tolist()
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
         got = list(map(self.known.get, keys))
         new = [i for i, g in enumerate(got) if g is None]
-        raw = data.tobytes()
-        lo, hi = start[first[new]].tolist(), end[first[new]].tolist()
-        for i, ids in zip(new, self.encode_many([raw[a:b] for a, b in zip(lo, hi)])):
+        for i, ids in zip(new, self.encode_many([keys[i] for i in new])):
             got[i] = ids
-            if hi and len(ids) <= 256:
+            if len(ids) <= 256:
                 self.known[keys[i]] = ids
         size = np.fromiter(map(len, got), np.int64, len(got)) // 4
         flat = np.frombuffer(b"".join(got), "<u4")

@@ -42,7 +42,7 @@ _COUNTS = "h long, c long"
 _BLOCKS = T.StructType([T.StructField("block", T.StringType()), T.StructField("task", T.LongType()),
                         T.StructField("tokens", T.DoubleType()), T.StructField("sum", T.BinaryType())])
 _SCORED = T.StructType([
-    T.StructField("_id", T.LongType()), T.StructField("_t", T.IntegerType()), T.StructField("_class", T.IntegerType()),
+    T.StructField("_id", T.LongType()), T.StructField("_t", T.LongType()), T.StructField("_class", T.IntegerType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("other", T.LongType()),
     T.StructField("base", T.DoubleType()), T.StructField("rest", T.DoubleType()), T.StructField("model", T.DoubleType()),
     T.StructField("tail_h", T.ArrayType(T.LongType())), T.StructField("tail_m", T.ArrayType(T.IntegerType()))])
@@ -156,7 +156,7 @@ def _score_rows(vocabulary: Vocabulary, model: dict):
             yield pa.RecordBatch.from_arrays([*cols[:8], pa.array(got[lo:hi] / np.log(10)), *cols[8:]], schema=schema)
             lo = hi
 
-    schema = pa.schema([("_id", pa.int64()), ("_t", pa.int32()), ("_class", pa.int32()), ("n_tokens", pa.int64()),
+    schema = pa.schema([("_id", pa.int64()), ("_t", pa.int64()), ("_class", pa.int32()), ("n_tokens", pa.int64()),
                         ("known", pa.int64()), ("other", pa.int64()), ("base", pa.float64()), ("rest", pa.float64()),
                         ("model", pa.float64()), ("tail_h", pa.list_(pa.int64())), ("tail_m", pa.list_(pa.int32()))])
 
@@ -212,7 +212,7 @@ def vocabulary_of(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """One row per text: its id, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (unigrams) and ``score`` (the model)."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), F.hash(F.col(text)).alias("_t"),
+    keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_t"),
                         held_out_class(F.col(doc_id)).alias("_class"), F.col(text).alias("_x"))
     training = keyed.where("_class <> 1")
     counts = count_tokens(training.select("_x"))

@@ -44,14 +44,14 @@ from . import common
 SIZE, SEED = 50, 8
 
 _RUNS = T.StructType([T.StructField(c, t) for c, t in (
-    ("_fp", T.LongType()), ("_path", T.LongType()), ("_id", T.LongType()), ("_t", T.IntegerType()),
+    ("_fp", T.LongType()), ("_path", T.LongType()), ("_id", T.LongType()), ("_t", T.LongType()),
     ("_start", T.IntegerType()), ("_len", T.IntegerType()))])
 _WINDOWS = T.StructType([T.StructField(c, t) for c, t in (
-    ("_node", T.LongType()), ("_id", T.LongType()), ("_t", T.IntegerType()), ("_start", T.IntegerType()))])
+    ("_node", T.LongType()), ("_id", T.LongType()), ("_t", T.LongType()), ("_start", T.IntegerType()))])
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.hash(F.col(text)).alias("_t"), F.col(text).alias("_x"))
+    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_x"))
 
 
 def _run_rows(size: int, seed: int):
@@ -70,9 +70,8 @@ def _run_rows(size: int, seed: int):
             first = np.flatnonzero(new)
             length = np.diff(np.append(first, len(at)))
             nth = np.arange(len(at)) - np.repeat(first, length)
-            power = np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64)
-            power[0] = 1
-            path = common.mixed(np.add.reduceat(deep * np.cumprod(power)[nth], first) + length.astype(np.uint64))
+            placed = common.mixed(deep + common.mixed(nth.astype(np.uint64) + np.uint64(1)))
+            path = common.mixed(np.add.reduceat(placed, first) + length.astype(np.uint64))
             own = owner[first]
             start = at[first] - w.first[:-1][own]
             yield pa.RecordBatch.from_arrays([
@@ -164,7 +163,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
           seed: int = SEED) -> DataFrame:
     """One row per document: its id, ``n_words``, ``n_removed`` and ``kept``,
     the kept words joined by one space.  ``_t`` is the hash of the text."""
-    out = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_t", T.IntegerType()),
+    out = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_t", T.LongType()),
                         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                         T.StructField("kept", T.StringType())])
     spans = (repeats(docs, doc_id, text, size, seed).groupBy("_id", "_t")
@@ -184,7 +183,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     changed = marked.groupBy(F.col(doc_id).alias("_id"), "_t").agg(
         F.first("kept").alias("_kept"), F.first("n_words").alias("_n"), F.first("n_removed").alias("_gone"))
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
-                      F.col(doc_id).cast("long").alias("_id"), F.hash(F.col(text)).alias("_t"))
+                      F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_t"))
     both = own.alias("o").join(changed.alias("c"), F.expr("o._id = c._id AND o._t = c._t"), "left").where(
         "c._gone IS NULL OR c._gone < c._n")
 
