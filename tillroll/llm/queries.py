@@ -65,41 +65,53 @@ def op8_toxicity(spark, d):
     return out.select("doc_id", "p_low_quality", "p_toxic", (~F.col("rejected")).alias("kept"))
 
 
-#: Pages of one archive file; which records the second replica holds changed or not at all.
-ARCHIVE_PAGES = 1024
-CHANGED, LOST = "page_id * 2654435761 % 1009 < 3", "page_id * 2654435761 % 1009 = 7"
+#: Mean number of records in an archive file; which records the second replica holds changed or not at all.
+ARCHIVE_PAGES = 64
+CHANGED, LOST = "page_id * 2654435761 % 7 < 3", "page_id * 2654435761 % 7 = 5"
+#: Rows of one source row that are numbered at once.
+_COPIES = 1024
 
 
 def replicas(spark, d) -> tuple[DataFrame, DataFrame]:
-    """WARC response records of all pages, in archives in order of page_id,
-    and a second copy in which some records are damaged and some lost."""
+    """WARC response records of all pages, dealt to archive files by their
+    digest and laid out one after the other, and a second copy in which some
+    are damaged and some lost; records as digests, read and hashed once."""
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
                     F.lit("\r\nContent-Length: "), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("\r\n\r\n"))
     record = F.concat(head, F.coalesce("html", F.lit("")), F.lit("\r\n\r\n"))
-    archive = F.expr(f"page_id div {ARCHIVE_PAGES}")
-    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = pages.select("page_id", archive.alias("archive"), F.octet_length(record).cast("long").alias("size"))
-    offsets = sizes.select("page_id", "archive", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    offsets = common.stored(offsets, "offsets")
-    one = pages.select("page_id", record.alias("payload")).join(offsets, "page_id")
-    two = one.where(~F.expr(LOST)).withColumn("payload", F.when(
-        F.expr(CHANGED), F.overlay("payload", F.lit("#"), F.lit(9))).otherwise(F.col("payload")))
-    return one, two
+    hurt = F.when(F.expr(LOST), F.lit(None)).when(F.expr(CHANGED), merkle.digest_of(F.overlay(F.col("record"), F.lit("#"), F.lit(9))))
+    rows = (pages.select("page_id", F.inline(F.array(F.struct(record.alias("record")))))      # one string for both digests
+            .select("page_id", F.octet_length("record").cast("long").alias("size"), merkle.digest_of(F.col("record")).alias("one"),
+                    hurt.alias("two"), (~F.coalesce(F.expr(LOST), F.lit(False))).alias("there")))
+    rows = common.stored(rows.withColumn("two", F.when(F.col("there"), F.coalesce("two", "one"))), "digests")
+    files = (rows.agg(F.count(F.lit(1))).first()[0] + ARCHIVE_PAGES - 1) // ARCHIVE_PAGES
+    # equal rows are one entry of so many bytes; only then has a place its single owner
+    kinds = rows.groupBy("page_id", "size", "one", "two").agg(F.count(F.lit(1)).alias("m")).select(
+        "*", (F.conv(F.substring("one", 1, 8), 16, 10).cast("long") % max(files, 1)).alias("archive"))
+    before = Window.partitionBy("archive").orderBy("one", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    laid = kinds.withColumn("offset", F.coalesce(F.sum(F.col("size") * F.col("m")).over(before), F.lit(0)))
+    blocks = laid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {_COPIES}"))).alias("b"))
+    each = blocks.select("*", F.explode(F.sequence(F.col("b") * _COPIES, F.least("m", (F.col("b") + 1) * _COPIES) - 1)).alias("k"))
+    each = each.select("page_id", "archive", (F.col("offset") + F.col("k") * F.col("size")).alias("offset"), "one", "two")
+    return (each.select("page_id", "archive", "offset", F.col("one").alias("digest")),
+            each.where(F.col("two").isNotNull()).select("page_id", "archive", "offset", F.col("two").alias("digest")))
 
 
 def op9_merkle_fixity(spark, d):
     one, two = replicas(spark, d)
-    out = merkle.audit(one, two, record_id="page_id")
+    out = merkle.audit(one, two, record_id="page_id", digest="digest")
     return out.select(F.col("record_id").alias("page_id"), F.col("archive").cast("long").alias("archive"),
                       "record_offset", "status")
 
 
 OP9_SQL = f"""
-WITH r AS (SELECT page_id, page_id // {ARCHIVE_PAGES} AS archive, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
-s AS (SELECT page_id, archive, strlen('WARC/1.0') + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Target-URI: ') + strlen(u)
-    + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(h) AS VARCHAR)) + 4 + strlen(h) + 4 AS size FROM r),
-o AS (SELECT page_id, archive, coalesce(sum(size) OVER (PARTITION BY archive ORDER BY page_id
+WITH r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
+    || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM pages),
+s AS (SELECT page_id, strlen(t) AS size, sha256(t) AS h, ('0x' || h[1:8])::BIGINT
+    % greatest((SELECT (count(*) + {ARCHIVE_PAGES - 1}) // {ARCHIVE_PAGES} FROM pages), 1) AS archive FROM r),
+o AS (SELECT page_id, archive, coalesce(sum(size) OVER (PARTITION BY archive ORDER BY h, page_id NULLS FIRST
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset FROM s)
 SELECT page_id, archive::BIGINT AS archive, record_offset, CASE WHEN {CHANGED} THEN 'changed' ELSE 'missing' END AS status
 FROM o WHERE {CHANGED} OR {LOST}
