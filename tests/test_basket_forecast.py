@@ -261,3 +261,20 @@ def test_stream_daily_revenue(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["period"]: r["total_value"] for r in spark.table("daily_rev_test").collect()}
     assert got == {dt.date(2024, 1, 1): 10.0, dt.date(2024, 1, 2): 5.0}
+
+
+def test_itemsets_over_many_buckets(spark, monkeypatch):
+    import random
+    from itertools import combinations
+    rnd = random.Random(5)
+    bs = [rnd.sample("abcdefghijkl", rnd.randint(1, 7)) for _ in range(900)]
+    pairs = basket.presence(_orders(spark, bs), "transaction_id")
+    want = {}
+    for b in bs:
+        for k in (1, 2, 3):
+            for c in combinations(sorted(set(b)), k):
+                want[c] = want.get(c, 0) + 1
+    for orders in (70, 1 << 14):
+        monkeypatch.setattr(basket, "BUCKET_ORDERS", orders)
+        got = {tuple(r["items"]): r["cnt"] for r in basket.frequent_itemsets(pairs, 900, 0.02).collect()}
+        assert got == {c: n for c, n in want.items() if n >= 18}

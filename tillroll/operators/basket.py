@@ -8,15 +8,16 @@ Plan, all in the long form ``(order_id, item)`` (no order x item matrix):
    removes repeated lines before the shuffle;
 2. item counts; rare items (floor ``max(1, floor(0.005 N))``) and
    infrequent ones are removed with a left-semi join;
-3. occurrences: one row per (order, frequent item) with the order's later
-   items in sorted order; items are bounded by the number of frequent ones,
-   so an order of any length is many small rows, never one large array of
-   combinations;
-4. pairs are counted with a partial aggregate.  For triples the later items
-   of an occurrence are first cut to the frequent partners of its item (an
-   array per item, joined), then extended only by items that keep all three
-   pairs frequent, and counted with a partial aggregate; no triple is
-   shuffled before it is counted;
+3. vertical bitmaps: orders are dealt to buckets by hash and numbered densely
+   in them, and an item is a row of 64-bit words per bucket; an order of any
+   length is a bit in each of its items, never a list of combinations;
+4. the support of a pair is the number of bits of an AND, summed over the
+   buckets.  For triples each frequent pair's AND is taken once per bucket and
+   combined with the third items that keep all three pairs frequent.  Joins
+   are by bucket, on which the bitmaps are shuffled already, and sums are
+   partial: what is shuffled on is a number per pair or triple and task.
+   A bucket costs f**2 / 2 ANDs of 64 words for f frequent items, and f is at
+   most the mean number of items of an order divided by the support;
 5. rules: each itemset explodes into its ``2^k - 2`` splits by bitmask;
    antecedent and consequent supports come from the itemset table by an
    equi-join on the sorted item array.
@@ -28,7 +29,7 @@ are small; otherwise they stay shuffle joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_words, percent
@@ -40,6 +41,8 @@ DEFAULT_MIN_SUPPORT = 0.02
 DEFAULT_MIN_LIFT = 1.2
 RARE_ITEM_SHARE = 0.005
 MAX_LEN = 3
+#: Mean number of orders of a bucket; its bitmaps have about a 64th as many words.
+BUCKET_ORDERS = 1 << 14
 
 
 def _grouped(df: DataFrame, key: str, item: str) -> DataFrame:
@@ -91,12 +94,55 @@ def _support(cnt, n):
     return cnt / F.lit(float(n))
 
 
-def occurrences(pairs: DataFrame) -> DataFrame:
-    """One row per (order, item): ``x`` and the order's items after it, in
-    sorted order (``later``)."""
-    orders = pairs.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return (orders.select("items", F.posexplode("items").alias("at", "x"))
-            .select("x", F.expr("slice(items, at + 2, size(items))").alias("later")))
+def item_bitmaps(pairs: DataFrame, n_orders: int) -> DataFrame:
+    """One row per (bucket of orders, item): ``words``, the bucket's orders
+    that hold the item as bits of 64-bit words.
+
+    Orders are dealt to buckets of about ``BUCKET_ORDERS`` by hash and numbered
+    densely within their bucket, in the order of their keys; everything after
+    the one shuffle by bucket stays in it.
+    """
+    buckets = max(1, -(-n_orders // BUCKET_ORDERS))
+    bucket = F.pmod(F.xxhash64("order_id"), F.lit(buckets)).cast("int")
+    number = (F.dense_rank().over(Window.partitionBy("bucket").orderBy("order_id")) - 1).cast("int")
+    placed = pairs.select(bucket.alias("bucket"), "order_id", "item").select("bucket", "item", number.alias("at"))
+    words = (placed.groupBy("bucket", "item", F.expr("at div 64").cast("int").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("bits")))
+    lists = words.groupBy("bucket", "item").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))),
+                         lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
+    return lists.select("bucket", "item", filled.alias("words"))
+
+
+def _both(a, b):
+    """The orders of two bitmaps (the shorter one ends where its last order stands)."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.bitwiseAND(y))
+
+
+def _bits(words):
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
+
+
+def _pair_counts(bitmaps: DataFrame) -> DataFrame:
+    """Orders that hold both of two items, per pair that stands in a bucket together."""
+    x, y = (bitmaps.select("bucket", F.col("item").alias(c), F.col("words").alias(f"w{c}")) for c in "xy")
+    both = x.join(y, "bucket").where("x < y").select("x", "y", _bits(_both(F.col("wx"), F.col("wy"))).alias("n"))
+    return both.where("n > 0").groupBy("x", "y").agg(F.sum("n").alias("cnt"))
+
+
+def _triple_counts(bitmaps: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Orders that hold three items whose three pairs are all frequent: per
+    bucket and frequent pair one AND, then one with each third item."""
+    pair = frequent.select("x", "y")
+    ends = pair.groupBy("x").agg(F.array_sort(F.collect_list("y")).alias("ys"))           # frequent partners of an item
+    thirds = (pair.join(ends, "x").join(ends.select(F.col("x").alias("y"), F.col("ys").alias("zs")), "y")
+              .select("x", "y", F.array_intersect("ys", "zs").alias("zs")).where(F.size("zs") > 0))
+    x, y, z = (bitmaps.select("bucket", F.col("item").alias(c), F.col("words").alias(f"w{c}")) for c in "xyz")
+    two = (x.join(y, "bucket").where("x < y").join(thirds, ["x", "y"])
+           .select("bucket", "x", "y", "zs", _both(F.col("wx"), F.col("wy")).alias("wxy")).where(F.exists("wxy", lambda w: w != 0)))
+    three = two.join(z, "bucket").where(F.array_contains("zs", F.col("z"))).select("x", "y", "z", _bits(_both(F.col("wxy"), F.col("wz"))).alias("n"))
+    return three.where("n > 0").groupBy("x", "y", "z").agg(F.sum("n").alias("cnt"))
 
 
 def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFAULT_MIN_SUPPORT,
@@ -119,25 +165,17 @@ def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFA
     keep = (lambda c: F.col(c) / F.lit(float(n_orders)) >= F.lit(min_support))
     if max_len >= 2:
         tf = pairs.join(freq1.select("item"), "item", "left_semi")   # occurrences of frequent items
-        occ = occurrences(tf)
+        bitmaps = item_bitmaps(tf, n_orders)
         if cached is not None:          # both levels read it
-            occ = occ.persist()
-            cached.append(occ)
-        l2c = (occ.select("x", F.explode("later").alias("y")).groupBy("x", "y")
-               .agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")))
+            bitmaps = bitmaps.persist()
+            cached.append(bitmaps)
+        l2c = _pair_counts(bitmaps).filter(keep("cnt"))
         if cached is not None:
             l2c = l2c.persist()
             cached.append(l2c)
         levels.append(l2c.select(F.array("x", "y").alias("items"), F.lit(2).alias("n_items"), "cnt"))
         if max_len >= 3:
-            partners = l2c.groupBy("x").agg(F.array_sort(F.collect_list("y")).alias("partners"))   # one row per item
-            two = (occ.join(partners, "x")
-                   .select("x", F.array_intersect("later", "partners").alias("ys")).filter(F.size("ys") > 1)
-                   .select("x", "ys", F.posexplode("ys").alias("at", "y"))
-                   .select("x", "y", F.expr("slice(ys, at + 2, size(ys))").alias("zs")).filter(F.size("zs") > 0))
-            l3 = (two.join(partners.select(F.col("x").alias("y"), "partners"), "y")
-                  .select("x", "y", F.explode(F.array_intersect("zs", "partners")).alias("z"))
-                  .groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("cnt")).filter(keep("cnt")))
+            l3 = _triple_counts(bitmaps, l2c).filter(keep("cnt"))
             levels.append(l3.select(F.array("x", "y", "z").alias("items"), F.lit(3).alias("n_items"), "cnt"))
     out = levels[0]
     for lv in levels[1:]:
@@ -216,7 +254,6 @@ def summary(rules: DataFrame) -> DataFrame:
 
 def top_rules(rules: DataFrame, n: int) -> DataFrame:
     """First ``n`` rules in rule order with a 1-based rank (top-k)."""
-    from pyspark.sql import Window
     top = rules.orderBy(*rule_order()).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*rule_order())))   # n rows
 
