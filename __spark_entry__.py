@@ -381,6 +381,41 @@ def q_forecast_actuals(spark, d):
             .select("day_index", _day("period").alias("period"), _r("y", 2)))
 
 
+SERIES = "p_brand"
+
+
+def _series_daily(spark, d):
+    return trend.daily(_sales(spark, d), series=SERIES)
+
+
+def q_forecast_series_models(spark, d):
+    """A linear model of each brand: coefficients and scores."""
+    m, _ = forecast.series_linear(_series_daily(spark, d), SERIES)
+    weights = [F.round(F.get("coefficients", F.lit(i)), 4).alias(f"w_{c}") for i, c in enumerate(forecast.FEATURES)]
+    return m.select(SERIES, "n_days", "n_train", _r("intercept", 2), *weights, _r("r2", 6), _r("mae", 2), _r("rmse", 2))
+
+
+def q_forecast_series_backtest(spark, d):
+    daily = _series_daily(spark, d)
+    m, _ = forecast.series_linear(daily, SERIES)
+    b = forecast.series_backtest(daily, m, SERIES)
+    return b.select(SERIES, "day_index", _day("period").alias("period"), _r("actual", 2), _r("pred", 2))
+
+
+def q_forecast_series_30d(spark, d):
+    daily = _series_daily(spark, d)
+    m, _ = forecast.series_linear(daily, SERIES)
+    return forecast.series_forecast(daily, m, SERIES).select(
+        SERIES, "step", _day("date").alias("date"), _r("value", 2), _r("lower", 2), _r("upper", 2))
+
+
+def q_forecast_short_series(spark, d):
+    """Customers whose orders span too few days for a forecast."""
+    t = trend.history_lengths(_sales(spark, d), "customer_id", period="order_date")
+    return t.filter(F.col("n_days") < forecast.MIN_DAYS).select(
+        "customer_id", "n_days", _day("first_day").alias("first_day"), _day("last_day").alias("last_day"))
+
+
 def q_report_contents(spark, d):
     """All cells of the report tables that need no model, in long form."""
     tables = report.report_tables(_sales(spark, d), REPORT_N, basket_item=BASKET_ITEM, min_support=BASKET_SUPPORT,
@@ -484,6 +519,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_band": q_forecast_band,
         "forecast_lag7_scores": q_forecast_lag7_scores,
         "forecast_actuals": q_forecast_actuals,
+        "forecast_series_models": q_forecast_series_models,
+        "forecast_series_backtest": q_forecast_series_backtest,
+        "forecast_series_30d": q_forecast_series_30d,
+        "forecast_short_series": q_forecast_short_series,
         "report_contents": q_report_contents,
         "clean_product_rollup": q_clean_product_rollup,
         "clean_product_abc": q_clean_product_abc,

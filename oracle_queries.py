@@ -63,6 +63,50 @@ SELECT position, layout, parsed, (SELECT count(*) FILTER (trim(InvoiceDate) <> '
   position = first AS elected, parsed = n AND many > 1 AS tied FROM t, best"""
 
 
+INPUTS = ["day_index", "dow", "month", "weekend", "roll7", "roll30", "lag1", "lag7"]
+
+
+def _series_cte() -> str:
+    """Linear models per brand: features, normal equations in standardised form, one elimination step per input."""
+    n = len(INPUTS)
+    v = f"[{', '.join(INPUTS)}, y]"
+    steps = [f"""g0 AS (SELECT p_brand, i, j, CASE WHEN sd[i] > 0 AND sd[j] > 0 THEN c / sd[i] / sd[j] ELSE 0.0 END AS v
+  FROM cov JOIN spread USING (p_brand) WHERE i <= {n})"""]
+    for k in range(1, n + 1):
+        steps.append(f"""g{k} AS (SELECT a.p_brand, a.i, a.j, CASE WHEN d.v <= 1e-9 THEN CASE WHEN a.i = {k} OR a.j = {k} THEN 0.0 ELSE a.v END
+  WHEN a.i = {k} THEN a.v / d.v ELSE a.v - c.v * r.v / d.v END AS v
+  FROM g{k - 1} AS a JOIN g{k - 1} AS d ON d.p_brand = a.p_brand AND d.i = {k} AND d.j = {k}
+  JOIN g{k - 1} AS r ON r.p_brand = a.p_brand AND r.i = {k} AND r.j = a.j
+  JOIN g{k - 1} AS c ON c.p_brand = a.p_brand AND c.i = a.i AND c.j = {k})""")
+    return f"""{S.replace("WITH", "WITH RECURSIVE", 1)},
+agg AS (SELECT p_brand, CAST(order_date AS DATE) AS period, sum(total_value) AS v FROM sales GROUP BY ALL),
+ends AS (SELECT p_brand, min(period) AS a, max(period) AS b FROM agg GROUP BY 1),
+spine AS (SELECT p_brand, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS period FROM ends WHERE b - a + 1 >= 14),
+series AS (SELECT p_brand, period, coalesce(v, 0.0) AS total_value FROM spine LEFT JOIN agg USING (p_brand, period)),
+f AS (SELECT p_brand, period, total_value AS y, count(*) OVER s AS n_days, CAST(row_number() OVER w - 1 AS DOUBLE) AS day_index,
+  CAST(isodow(period) - 1 AS DOUBLE) AS dow, CAST(month(period) AS DOUBLE) AS month,
+  CAST(CASE WHEN isodow(period) >= 6 THEN 1 ELSE 0 END AS DOUBLE) AS weekend,
+  avg(total_value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS roll7,
+  avg(total_value) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS roll30,
+  coalesce(lag(total_value, 1) OVER w, avg(total_value) OVER s) AS lag1, coalesce(lag(total_value, 7) OVER w, avg(total_value) OVER s) AS lag7
+  FROM series WINDOW w AS (PARTITION BY p_brand ORDER BY period), s AS (PARTITION BY p_brand)),
+train AS (SELECT p_brand, {v} AS x FROM f WHERE day_index < floor(n_days * 0.8)),
+cells AS (SELECT p_brand, x, unnest(range(1, {n + 2})) AS i FROM train),
+means AS (SELECT p_brand, i, avg(x[i]) AS m FROM cells GROUP BY ALL),
+mean AS (SELECT p_brand, list(m ORDER BY i) AS m FROM means GROUP BY 1),
+crossed AS (SELECT p_brand, x, i, unnest(range(1, {n + 2})) AS j FROM cells),
+cov AS (SELECT p_brand, i, j, covar_pop(x[i], x[j]) AS c FROM crossed GROUP BY ALL),
+spread AS (SELECT p_brand, list(sqrt(c) ORDER BY i) AS sd FROM cov WHERE i = j GROUP BY 1),
+{", ".join(steps)},
+slopes AS (SELECT p_brand, list(CASE WHEN sd[i] > 0 THEN v * sd[{n + 1}] / sd[i] ELSE 0.0 END ORDER BY i) AS w
+  FROM g{n} JOIN spread USING (p_brand) WHERE j = {n + 1} GROUP BY 1),
+models AS (SELECT p_brand, w, m[{n + 1}] - list_sum(list_transform(range(1, {n + 1}), lambda i: w[i] * m[i])) AS b
+  FROM slopes JOIN mean USING (p_brand)),
+tested AS (SELECT p_brand, day_index, period, y, n_days,
+  greatest(b + list_sum(list_transform(range(1, {n + 1}), lambda i: w[i] * {v}[i])), 0.0) AS p
+  FROM f JOIN models USING (p_brand) WHERE day_index >= floor(n_days * 0.8))"""
+
+
 def _rollup_cte() -> str:
     return f"""{S},
 per AS (SELECT product_name AS product, sum(total_value) AS revenue, sum(quantity) AS quantity,
@@ -368,6 +412,35 @@ SELECT round(sum((y - p) * (y - p)), 0) AS sse, round(avg(y), 2) AS ybar, round(
     q["forecast_actuals"] = f"""{feats}
 SELECT day_index, {_day('period')} AS period, round(y, 2) AS y FROM f
 WHERE day_index >= (SELECT floor(count(*) * 0.8) FROM f)"""
+    ols = _series_cte()
+    weights = ", ".join(f"round(any_value(w)[{i}], 4) AS w_{c}" for i, c in enumerate(INPUTS, 1))
+    q["forecast_series_models"] = f"""{ols}
+SELECT p_brand, any_value(n_days) AS n_days, any_value(n_days) - count(*) AS n_train, round(any_value(b), 2) AS intercept, {weights},
+  round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(y - p)), 2) AS mae,
+  round(sqrt(avg((y - p) * (y - p))), 2) AS rmse FROM tested JOIN models USING (p_brand) GROUP BY p_brand"""
+    q["forecast_series_backtest"] = f"""{ols}
+SELECT p_brand, day_index, {_day('period')} AS period, round(y, 2) AS actual, round(p, 2) AS pred FROM tested"""
+    q["forecast_series_30d"] = f"""{ols},
+hist AS (SELECT p_brand, max(period) AS last, count(*) AS n, stddev_samp(total_value) * 0.4 AS band,
+  list(total_value ORDER BY period)[-30:] AS recent FROM series GROUP BY 1),
+path AS (SELECT p_brand, 0 AS step, recent, CAST(NULL AS DOUBLE) AS value FROM hist
+  UNION ALL
+  SELECT p_brand, step + 1, list_append(recent, v)[-30:], v FROM (
+    SELECT p_brand, step, recent, greatest(b + w[1] * (n + step) + w[2] * (isodow(last + step + 1) - 1) + w[3] * month(last + step + 1)
+      + w[4] * CASE WHEN isodow(last + step + 1) >= 6 THEN 1 ELSE 0 END + w[5] * list_avg(recent[-7:]) + w[6] * list_avg(recent)
+      + w[7] * recent[-1] + w[8] * recent[-7], 0.0) AS v
+    FROM path JOIN models USING (p_brand) JOIN (SELECT p_brand, last, n FROM hist) AS h USING (p_brand) WHERE step < 30) AS one)
+SELECT p_brand, step, {_day('last + step')} AS date, round(value, 2) AS value, round(greatest(value - band, 0), 2) AS lower,
+  round(value + band, 2) AS upper FROM path JOIN hist USING (p_brand) WHERE step > 0"""
+    q["forecast_short_series"] = f"""{S}
+SELECT customer_id, max(CAST(order_date AS DATE)) - min(CAST(order_date AS DATE)) + 1 AS n_days,
+  {_day('min(order_date)')} AS first_day, {_day('max(order_date)')} AS last_day
+FROM sales GROUP BY 1 HAVING max(CAST(order_date AS DATE)) - min(CAST(order_date AS DATE)) + 1 < 14"""
+    q["report_all"] = f"""{b}, {_top_rules(10)},
+named AS (SELECT count(DISTINCT product_name) AS n FROM sales)
+SELECT 'summary' AS "table", 4::BIGINT AS "rows" UNION ALL SELECT 'daily', count(DISTINCT CAST(order_date AS DATE)) FROM sales
+UNION ALL SELECT 'top5', least(n, 5) FROM named UNION ALL SELECT 'top_products', least(n, 10) FROM named
+UNION ALL SELECT 'basket', count(*) FROM top UNION ALL SELECT 'models', 3"""
     n2 = "format('{:,.2f}', %s)"
     q["report_contents"] = f"""{b}, {_top_rules(10)},
 k AS (SELECT sum(total_value) AS rev, count(*) AS n, avg(total_value) AS mean, count(DISTINCT product_name) AS prods FROM sales),

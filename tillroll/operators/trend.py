@@ -138,6 +138,14 @@ def require_history(series_df: DataFrame, min_days: int = 14) -> int:
     return n
 
 
+def history_lengths(df: DataFrame, series, period: str = "period") -> DataFrame:
+    """``[series...,] n_days``, ``first_day``, ``last_day``: the calendar days
+    that a gap-free daily series of ``df`` has (``df`` may have gaps)."""
+    keys = _series_keys(series)
+    ends = df.groupBy(*keys).agg(F.min(F.to_date(period)).alias("first_day"), F.max(F.to_date(period)).alias("last_day"))
+    return ends.select(*keys, (F.datediff("last_day", "first_day") + 1).alias("n_days"), "first_day", "last_day")
+
+
 def moving_average(series_df: DataFrame, window: int = 7, value: str = "total_value",
                    period: str = "period", series=None) -> DataFrame:
     """Trailing mean over ``window`` rows, null until the frame is full, and

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import money
 from ..operators import basket, forecast, kpi, products, trend
+from ..sources.schema import MissingOrderKeyError
 from ..sources.writer import write_table
 
 
@@ -28,7 +29,7 @@ def report_tables(sales: DataFrame, n_products: int = 10, include_products: bool
             r = rules if rules is not None else basket.mine(
                 sales, item=basket_item, min_support=min_support, min_lift=min_lift).rules
             out["basket"] = basket.report_rules(r, 10)
-        except ValueError:
+        except MissingOrderKeyError:
             pass                                            # no order key: section skipped
     if include_forecast:
         try:

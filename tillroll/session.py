@@ -77,17 +77,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def new_scratch(spark: SparkSession) -> str:
+    """Path of a folder of its own in the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch_dir(spark: SparkSession) -> Iterator[str]:
     """A folder of its own in the checkpoint folder, removed afterwards: for
     tables that one computation writes and reads before it returns."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    path = new_scratch(spark)
     try:
         yield path
     finally:
-        sc = spark.sparkContext
-        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(spark, path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
