@@ -58,9 +58,12 @@ def _date_layouts() -> str:
     rows = ", ".join(f"({k}, '{n}', " + (f"(SELECT count(try_strptime(trim(InvoiceDate), {LAYOUT_READS[n]})) FROM raw_sales)"
                                          if n in LAYOUT_READS else "0") + ")" for k, n in enumerate(LAYOUTS))
     return f"""WITH {DAY_FIRST_SQL}, t AS (SELECT * FROM (VALUES {rows}) AS v(position, layout, parsed)),
-best AS (SELECT max(parsed) AS n, arg_max(position, (parsed, -position)) AS first, count(*) FILTER (parsed = (SELECT max(parsed) FROM t)) AS many FROM t)
-SELECT position, layout, parsed, (SELECT count(*) FILTER (trim(InvoiceDate) <> '') FROM raw_sales) AS filled,
-  position = first AS elected, parsed = n AND many > 1 AS tied FROM t, best"""
+won AS (SELECT position, row_number() OVER (ORDER BY parsed DESC, position) AS use FROM t
+  WHERE parsed > 0 AND (layout <> 'MM/dd/yyyy' OR parsed >= (SELECT parsed FROM t WHERE layout = 'dd/MM/yyyy'))
+    AND (layout <> 'dd/MM/yyyy' OR parsed > (SELECT parsed FROM t WHERE layout = 'MM/dd/yyyy')))
+SELECT position, layout, parsed, (SELECT count(*) FILTER (trim(InvoiceDate) <> '') FROM raw_sales) AS filled, use::INTEGER AS use,
+  layout IN ('MM/dd/yyyy', 'dd/MM/yyyy') AND parsed > 0 AND (SELECT count(DISTINCT parsed) FROM t WHERE layout IN ('MM/dd/yyyy', 'dd/MM/yyyy')) = 1 AS tied
+FROM t LEFT JOIN won USING (position)"""
 
 
 INPUTS = ["day_index", "dow", "month", "weekend", "roll7", "roll30", "lag1", "lag7"]

@@ -18,7 +18,7 @@ def column(spark, texts):
 def elected(spark, *texts):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return dates.elect(column(spark, texts), "t")
+        return dates.elect(column(spark, texts), "t").column
 
 
 def read(spark, layout, *texts):
@@ -38,14 +38,22 @@ def test_day_first_columns(spark):
     assert elected(spark, None, "", "nothing") == dates.ISO
 
 
+def test_strays_are_read_by_their_own_family(spark):
+    df = column(spark, ["13/02/2024", "14/02/2024", "02/13/2024", "2024-05-01", "02-03-2024", "1 Mar 2024"])
+    every = dates.elect(df, "t")
+    assert every.order == (Layout("dmy", "/"), dates.ISO, Layout("dmy", "-"), Layout("dmy", " ", named=True))
+    got = [r["d"] and (r["d"].month, r["d"].day) for r in df.select(dates.read("t", every).alias("d")).collect()]
+    assert got == [(2, 13), (2, 14), None, (5, 1), (3, 2), (3, 1)]
+
+
 def test_ties_are_reported(spark):
-    with pytest.warns(UserWarning, match="MM/dd/yyyy, but dd/MM/yyyy"):
-        assert dates.elect(column(spark, ["02/03/2024", "12/12/2024"]), "t") == Layout("mdy", "/")
+    with pytest.warns(UserWarning, match="MM/dd/yyyy, but another order"):
+        assert dates.elect(column(spark, ["02/03/2024", "12/12/2024"]), "t").column == Layout("mdy", "/")
     assert elected(spark, "02.03.2024") == Layout("dmy", ".")
     rows = {r["layout"]: r for r in dates.count_layouts(column(spark, ["02/03/2024", "13/02/2024", " ", None]), "t").collect()}
     assert len(rows) == len(dates.candidates())
     assert (rows["dd/MM/yyyy"]["parsed"], rows["MM/dd/yyyy"]["parsed"], rows["dd/MM/yyyy"]["filled"]) == (2, 1, 2)
-    assert [k for k, r in rows.items() if r["elected"]] == ["dd/MM/yyyy"] and not any(r["tied"] for r in rows.values())
+    assert {k: r["use"] for k, r in rows.items() if r["use"]} == {"dd/MM/yyyy": 1} and not any(r["tied"] for r in rows.values())
 
 
 def test_reading(spark):
@@ -69,7 +77,7 @@ def test_clean_reads_a_column_by_its_layout(spark):
     cols = "InvoiceDate string, Description string, Quantity string, UnitPrice string"
     raw = spark.createDataFrame([("13/02/2024", "a", "1", "1"), ("02/03/2024", "b", "1", "1"), ("2024-05-01", "c", "1", "1")], cols)
     got = {r["product_name"]: r["order_date"] for r in clean(raw).collect()}
-    assert got == {"a": dt.datetime(2024, 2, 13), "b": dt.datetime(2024, 3, 2)}
+    assert got == {"a": dt.datetime(2024, 2, 13), "b": dt.datetime(2024, 3, 2), "c": dt.datetime(2024, 5, 1)}
     pinned = {r["product_name"]: r["order_date"] for r in clean(raw, formats=Layout("mdy", "/")).collect()}
     assert pinned == {"b": dt.datetime(2024, 2, 3)}
     listed = {r["product_name"]: r["order_date"] for r in clean(raw, formats=["M/d/yyyy"]).collect()}

@@ -27,7 +27,7 @@ def _order_date(raw: DataFrame, source: str, formats, data_type):
         return to_timestamp_ntz(src, (), data_type)
     if formats is None:
         formats = dates.elect(raw, source)
-    if isinstance(formats, dates.Layout):
+    if isinstance(formats, (dates.Layout, dates.Layouts)):
         return dates.read(src, formats)
     return to_timestamp_ntz(src, formats, data_type)
 
@@ -41,11 +41,11 @@ def clean(raw: DataFrame, mapping: dict | None = None, formats=None,
       targets, then ``total_value``;
     * ``quantity`` / ``unit_price``: numeric text only, else null;
     * ``total_value = quantity * unit_price``;
-    * ``order_date``: text in the column's own layout, else null.  Without
-      ``formats`` the layout is elected (:mod:`tillroll.sources.dates`), which
-      is one aggregate over that column when the plan is built; a
-      :class:`~tillroll.sources.dates.Layout` pins it, a list of patterns
-      reads ISO text or one of them, value by value;
+    * ``order_date``: text in the column's own layouts, else null.  Without
+      ``formats`` they are elected (:mod:`tillroll.sources.dates`), which is
+      one aggregate over that column when the plan is built; a
+      :class:`~tillroll.sources.dates.Layout` or ``Layouts`` pins them, a list
+      of patterns reads ISO text or one of them, value by value;
     * rows kept: ``quantity > 0 AND unit_price > 0 AND order_date IS NOT NULL``
       (NaN fails).  ``product_name`` may stay null.
 

@@ -118,10 +118,11 @@ def clean_raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_first_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_sales`` with day-first dates, some with a time of day; a few stay
-    ISO text, which another layout than the column's."""
+    ISO text, and a few have the month first, which the column excludes."""
     c = F.col
     li, o, p = _tables(spark, sf_dir)
     when = o.select("o_orderkey", (F.when(c("o_orderkey") % 101 == 7, F.date_format("o_orderdate", "yyyy-MM-dd"))
+                                   .when(c("o_orderkey") % 103 == 9, F.date_format("o_orderdate", "MM/dd/yyyy"))
                                    .when(c("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d/M/yyyy H:mm"))
                                    .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("_when"))
     raw = raw_sales(spark, sf_dir)
@@ -136,8 +137,9 @@ DAY_FIRST_SQL = f"""
 raw_sales AS (
   SELECT i.* REPLACE (CASE WHEN InvoiceDate IS NULL OR InvoiceDate = 'not a date' THEN InvoiceDate
     WHEN o_orderkey % 101 = 7 THEN strftime(o_orderdate, '%Y-%m-%d')
+    WHEN o_orderkey % 103 = 9 THEN strftime(o_orderdate, '%m/%d/%Y')
     WHEN o_orderkey % 3 = 0 THEN day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) || ' '
       || hour(o_orderdate) || ':' || strftime(o_orderdate, '%M')
     ELSE strftime(o_orderdate, '%d/%m/%Y') END AS InvoiceDate)
   FROM iso_sales AS i JOIN orders ON o_orderkey = CAST(InvoiceNo AS BIGINT)),
-{CLEAN_RAW_SQL.replace("TRY_CAST(trim(InvoiceDate) AS TIMESTAMP)", "try_strptime(trim(InvoiceDate), ['%d/%m/%Y', '%d/%m/%Y %H:%M'])")}"""
+{CLEAN_RAW_SQL.replace("TRY_CAST(trim(InvoiceDate) AS TIMESTAMP)", "try_strptime(trim(InvoiceDate), ['%d/%m/%Y', '%d/%m/%Y %H:%M', '%Y-%m-%d'])")}"""

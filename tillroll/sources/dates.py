@@ -1,20 +1,25 @@
-"""One date layout per text column, elected by the column's own values.
+"""Date layouts of a text column, elected by the column's own values.
 
 ``02/03/2024`` is 2 March or 3 February, and one value cannot tell.  A column
-can: every candidate layout (order of day, month and year, separator, month
-as number or name, two or four digits of year) is counted over all values in
-one aggregate, and the layout that reads most of them reads the column.
-Values that it cannot read are null, as in a loader that infers one format.
+can: every candidate layout (order of day, month and year, sign between them,
+month as number or name, two or four digits of year) is counted over all
+values in one aggregate.  Layouts of one family, alike but for the order of
+day and month, exclude each other: the one that reads more values of the
+column reads all of its family.  The family that reads most is the column's
+layout; values that it cannot read may be of another family that was elected
+(stray ISO dates in a day-first column), and all others are null.
+
+A tie within a family goes to the order that reads more in the whole column;
+if that is a tie as well, it is reported and goes to the earlier candidate
+(month first, but day first between dots).
 
 A time of day may follow the date in any layout, with or without seconds,
 fractions and AM/PM.  ISO text (``2024-02-13``, ``2024-02-13T08:26:00``) is a
-layout of its own and is read by a plain cast.  Two layouts that read equally
-many values are a tie: the earlier candidate wins (ISO, then month first, but
-day first between dots) and the tie is reported.
+layout of its own and is read by a plain cast.
 
 Everything is built-in expressions; the driver receives one row of counts per
-candidate.  :func:`elect` gives a :class:`Layout` that can be kept and pinned
-for later loads or for a stream.
+candidate.  :func:`elect` gives a :class:`Layouts` value that can be kept and
+pinned for later loads or for a stream.
 """
 
 from __future__ import annotations
@@ -57,10 +62,25 @@ class Layout:
     def iso(self) -> bool:
         return self == ISO
 
+    @property
+    def family(self) -> str:
+        """Equal for layouts that differ in the order of day and month only."""
+        return f"{self.order.index('y')}{self.sign}{self.named}{self.short}"
+
 
 ISO = Layout("ymd", "-")
 
 
+@dataclass(frozen=True)
+class Layouts:
+    """Layouts that read a column, the most frequent first."""
+    order: tuple[Layout, ...]
+
+    @property
+    def column(self) -> Layout:
+        return self.order[0]
+
+
 def candidates() -> list[Layout]:
     """All layouts, in the order in which ties are decided."""
     out = [ISO] + [Layout("ymd", s) for s in ("/", ".", " ", "")]
@@ -119,48 +139,64 @@ def _compact(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{8}$"), F.try_make_timestamp_ntz(part(1, 4), part(5, 2), part(7, 2), zero, zero, zero))
 
 
-def read(c, layout: Layout) -> Column:
-    """Text to TIMESTAMP_NTZ by one layout; anything else -> null."""
+def read(c, layouts: Layout | Layouts) -> Column:
+    """Text to TIMESTAMP_NTZ by one layout, or by the first of several that
+    reads a value; anything else -> null."""
     s = stripped(c)
-    if layout.iso:
-        return s.try_cast("timestamp_ntz")
-    if not layout.sign:
-        return _compact(s)
-    # a one-element transform: the match is made once per value
-    return F.get(F.transform(F.array(pieces(s)), lambda x: _from_pieces(x, layout)), F.lit(0))
+    every = (layouts,) if isinstance(layouts, Layout) else layouts.order
+    other = [a for a in every if a.sign and not a.iso]
+    # a one-element transform: the match is made once per value, and only if a cast does not read it
+    matched = (F.get(F.transform(F.array(pieces(s)), lambda x: F.coalesce(*[_from_pieces(x, a) for a in other])), F.lit(0))
+               if other else None)
+    parts = [s.try_cast("timestamp_ntz")] if ISO in every else []
+    parts += [_compact(s)] if any(not a.sign for a in every) else []
+    parts += [matched] if matched is not None else []
+    return F.coalesce(*parts)
 
 
 def count_layouts(df: DataFrame, column: str) -> DataFrame:
     """One row per candidate: ``position``, ``layout``, ``parsed`` (values it
-    reads), ``filled`` (values that are not blank), ``elected`` and ``tied``
-    (another candidate reads as many).  One aggregate, lazily."""
+    reads), ``filled`` (values that are not blank), ``use`` (1 for the
+    column's layout, 2, .. for other elected families, else null) and ``tied``
+    (nothing tells its order of day and month).  One aggregate, lazily."""
     every = candidates()
     s = stripped(F.col(f"`{column}`"))
     # the generator keeps the parts as one computed column
     text = df.select(F.inline(F.array(F.struct(s.alias("s"), pieces(s).alias("x")))))
     reads = [F.col("s").try_cast("timestamp_ntz") if a.iso else _compact(F.col("s")) if not a.sign
              else _from_pieces(F.col("x"), a) for a in every]
-    row = text.agg(F.count_if(F.col("s") != "").alias("filled"),
-                   *[F.count(r).alias(f"n{k}") for k, r in enumerate(reads)])
-    row = row.select("filled", F.array(*[f"n{k}" for k in range(len(every))]).alias("ns"))
-    best = F.array_max("ns")
-    rows = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(a.name).alias("layout"), F.get("ns", F.lit(k)).alias("parsed"),
-                              ((best > 0) & (F.array_position("ns", best) == k + 1)).alias("elected"),
-                              ((best > 0) & (F.get("ns", F.lit(k)) == best)
-                               & (F.size(F.filter("ns", lambda n: n == best)) > 1)).alias("tied"))
-                     for k, a in enumerate(every)])
-    return row.select("filled", F.inline(rows)).select("position", "layout", "parsed", "filled", "elected", "tied")
-
-
-def elect(df: DataFrame, column: str) -> Layout:
-    """The layout that reads most values of a text column (ISO if none reads
-    any); warns when others read as many."""
-    rows = count_layouts(df, column).where("elected OR tied").collect()
-    won = next((r for r in rows if r["elected"]), None)
-    if won is None:
-        return ISO
-    others = [r["layout"] for r in rows if not r["elected"]]
-    if others:
-        warnings.warn(f"dates in {column!r} are ambiguous: read as {won['layout']}, but {', '.join(others)} "
-                      f"read{'s' if len(others) == 1 else ''} as many; pin the format if that is wrong", stacklevel=2)
-    return candidates()[won["position"]]
+    row = text.agg(F.count_if(F.col("s") != "").alias("filled"), *[F.count(r).alias(f"n{k}") for k, r in enumerate(reads)])
+    totals = {o: sum((F.col(f"n{k}") for k, a in enumerate(every) if a.order == o and not a.named), F.lit(0)) for o in ("ymd", "mdy", "dmy")}
+    rows = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(a.name).alias("layout"), F.lit(a.family).alias("family"),
+                              F.col(f"n{k}").alias("parsed"), totals[a.order].alias("total")) for k, a in enumerate(every)])
+    row = row.select("filled", rows.alias("t"))
+
+    def ahead(y, x):
+        more, level = y["parsed"] > x["parsed"], y["parsed"] == x["parsed"]
+        return more | (level & ((y["total"] > x["total"]) | ((y["total"] == x["total"]) & (y["position"] < x["position"]))))
+    won = F.filter("t", lambda x: (x["parsed"] > 0) & ~F.exists("t", lambda y: (y["family"] == x["family"]) & ahead(y, x)))
+    row = row.select("filled", "t", won.alias("won"))
+    level = lambda x, y: ((y["family"] == x["family"]) & (y["position"] != x["position"]) & (y["parsed"] == x["parsed"])
+                          & (y["total"] == x["total"]))
+    out = F.transform("t", lambda x: F.struct(
+        x["position"].alias("position"), x["layout"].alias("layout"), x["parsed"].alias("parsed"),
+        F.when(F.exists("won", lambda y: y["position"] == x["position"]),
+               F.size(F.filter("won", lambda y: (y["parsed"] > x["parsed"]) | ((y["parsed"] == x["parsed"])
+                                                                                & (y["position"] < x["position"])))) + 1).alias("use"),
+        ((x["parsed"] > 0) & F.exists("t", lambda y: level(x, y))).alias("tied")))
+    return row.select("filled", F.inline(out)).select("position", "layout", "parsed", "filled", "use", "tied")
+
+
+def elect(df: DataFrame, column: str) -> Layouts:
+    """The layouts of a text column (ISO if none reads any value); warns where
+    nothing tells days from months."""
+    rows = count_layouts(df, column).where("use IS NOT NULL OR tied").collect()
+    used = sorted((r for r in rows if r["use"]), key=lambda r: r["use"])
+    if not used:
+        return Layouts((ISO,))
+    for r in used:
+        if r["tied"]:
+            warnings.warn(f"dates in {column!r} are ambiguous: read as {r['layout']}, but another order of day and month "
+                          "reads as many; pin the format if that is wrong", stacklevel=2)
+    every = candidates()
+    return Layouts(tuple(every[r["position"]] for r in used))
