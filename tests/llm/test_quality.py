@@ -1,3 +1,7 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from tillroll.llm import quality
 
 
@@ -88,3 +92,37 @@ def test_lines_of_every_length(docs_df, prose):
     assert all(v[i].n_removed == 60 + 70 and v[i].kept for i in range(20))
     assert v[100].n_removed == 60 and v[101].n_removed == 70 and not v[100].kept and not v[101].kept
     assert all(v[200 + i].n_removed == 0 for i in range(130))
+
+
+def test_pages_that_are_mostly_shared_notices(docs_df, prose):
+    notices = "\n".join(prose(24, 900 + k) for k in range(3))
+    rows = [(i, f"{notices}\n{prose(5, i)}") for i in range(60)]
+    v = verdicts(docs_df(rows))
+    assert all(x.n_removed == 72 and not x.kept and not x.base_failed for x in v.values())
+    assert quality.clean(docs_df(rows)).count() == 0
+
+
+def test_copies_count_once_beside_other_pages(docs_df, prose):
+    page = "\n".join(prose(12, 70 + k) for k in range(5))
+    rows = [(i, page) for i in range(300)] + [(1000 + i, prose(40, i)) for i in range(30)]
+    assert all(x.kept and x.n_removed == 0 for x in verdicts(docs_df(rows)).values())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_sql_states_the_rule(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.sql(quality.SQL)
+    got = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_null_repeated_and_clashing_columns(spark, prose):
+    line = "a notice that stands on every page of the host"
+    rows = [(None if i % 4 == 0 else i % 9, f"{prose(30, i)}\n{line}", None if i % 2 else "h", i, i) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, source string, n_words int, _host int")
+    got = quality.judge(df).collect()
+    assert len(got) == 65 and all(r.n_removed == 10 and r.kept for r in got)
+    cleaned = quality.clean(df)
+    assert cleaned.columns == df.columns and cleaned.count() == 65 and cleaned.where(F.col("text").contains("notice")).count() == 0

@@ -7,28 +7,26 @@ limits allow: ``min_docs``, and ``share`` of the host's documents.  Lines
 under ``min_words`` words repeat by chance, so their share is
 ``short_share``; lines of any length are judged.
 
-A group of copies repeats all its lines, yet that is for near-duplicate
-removal, which keeps one.  So a line over the limits is only a candidate, and
-counts the *families* of its documents as well.  A document's family is its
-longest line; if that is a candidate, but the document is mostly lines that
-are none, it is the longest of those.  A candidate is boilerplate if its
-families are over the same two limits (the share being that of the host's
-families, which copies do not add to), or are ``min_families`` of its
-documents.
+Documents are counted by content: those of a host with the same normalised
+lines are one document, so a group of copies, which repeats all its lines,
+makes none of them boilerplate; which copy stays is for near-duplicate removal.
 
 A document is rejected if its base rules fail (too short, or too much of it
 in repeated 8-word windows) or if it is depleted: boilerplate lines hold
 more than ``depleted`` of its words.
 
-Cases.  Null and empty texts have no words and fail the base rules.  A null
-host is a host of its own.  Rows with equal id, host and text count as one
-document; each gets its own result row.  Null ids are allowed.  Extra
-columns are ignored.  An empty table gives an empty result.
-
-Shuffles: one row per distinct (host, line, document) and one per document
-with its line hashes; texts are not shuffled by ``judge``.  Counts have map-side partial sums, so a line
-that a third of all documents hold is no hot key; the join of lines with
-their counts is a sort-merge join that adaptive execution may split.
+Cases.  Null and empty texts have no words and fail the base rules; a host's
+texts without lines count as one document.  A null host is a host of its own.
+Ids are not used: they may be null or repeated, and every row has its own
+result.  Extra columns are ignored.  An empty table gives an empty result.
+
+Each text is cut into lines once and stored as line hashes (two numbers a
+line), which all counting reads.  Shuffles: one row per distinct (host, line,
+document) and the counts; texts are not shuffled.  Partial sums come first, so
+a line that a third of all documents hold is no hot key.  A host's boilerplate
+is gathered to one array, which its limit bounds: a line must be in ``share``
+of the documents, so there are at most 1 / share times the mean number of
+lines of a document.
 """
 
 from __future__ import annotations
@@ -41,9 +39,8 @@ from . import common
 SPACES = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
 
-MIN_DOCS, SHARE, MIN_FAMILIES, DEPLETED = 10, 0.01, 0.5, 0.5
-MIN_WORDS, MAX_WORDS = 4, 50
-SHORT_SHARE = 0.1
+MIN_DOCS, SHARE, DEPLETED = 10, 0.01, 0.5
+MIN_WORDS, SHORT_SHARE = 4, 0.1
 WINDOW = 8
 
 
@@ -80,160 +77,120 @@ def _has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(_TRIM)) != ""
 
 
-def normalised(line: Column) -> Column:
-    text = F.btrim(F.regexp_replace(line, SPACES, " "), F.lit(" "))
-    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
+def lines(text: Column) -> Column:
+    """The normalised lines with a word, in order; the whole text is
+    normalised at once (line breaks apart), then cut."""
+    even = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
+    cut = F.transform(F.split(F.regexp_replace(even, "[0-9]+", "0"), "\n"), lambda x: F.btrim(x, F.lit(" ")))
+    return F.filter(cut, lambda x: x != "")
+
 
+def _hashed(text: Column) -> Column:
+    """Hash and words of each normalised line."""
+    return F.transform(lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
-def base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``_id``, ``_text`` (hash) and the base counts."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(
-        F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"),
-        let(words(F.col(text)), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeat_words(w).alias("n_repeat_words"))).alias("_w"),
+
+def _counts(text: Column) -> Column:
+    """The base counts of a text as one struct."""
+    t = F.coalesce(text, F.lit(""))
+    return let(words(text), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(F.filter(F.split(t, "\n"), _has_word), lambda ls: (
-            F.size(ls) - F.size(F.array_distinct(ls))).cast("long")).alias("n_dup_lines"))
-    out = out.select("_id", "_text", "_w.n_words", "_w.word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
-
-
-def _lines(docs: DataFrame, host: str, doc_id: str, text: str) -> DataFrame:
-    """One row per document with lines: ``_host``, ``_id``, ``_text`` and
-    ``_lines`` (hash, length, words)."""
-    norm = F.transform(F.filter(F.split(F.col(text), "\n"), _has_word), normalised)
-    lines = F.transform(norm, lambda x: F.struct(
-        F.length(x).alias("len"), F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("n")))
-    return docs.where(F.col(text).isNotNull()).select(
-        F.xxhash64(F.col(host)).alias("_host"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"),
-        lines.alias("_lines"))
-
-
-def _families(by_doc: DataFrame, candidates: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """``by_doc`` with ``_family`` and ``_hits``, the candidate lines it holds."""
-    hits = (per_doc.join(candidates.select("_host", "_line"), ["_host", "_line"])
-            .groupBy("_host", "_id", "_text").agg(F.collect_set("_line").alias("_hits")))
-    both = by_doc.alias("d").join(hits.alias("h"), F.expr(
-        "d._host = h._host AND d._id <=> h._id AND d._text = h._text"), "left").select("d._host", "d._lines", "h._hits")
-    hit = lambda x: F.array_contains(F.coalesce("_hits", F.array().cast("array<long>")), x["h"])
-    n = lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    longest, own = F.array_max("_lines"), F.filter("_lines", lambda x: ~hit(x))
-    of = F.when(hit(longest) & (n(own) >= DEPLETED * n(F.col("_lines"))), F.array_max(own)).otherwise(longest)
-    return both.select("_host", "_hits", of["h"].alias("_family"))
-
-
-def boilerplate(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text",
-                min_docs: int = MIN_DOCS, share: float = SHARE, min_families: float = MIN_FAMILIES,
-                min_words: int = MIN_WORDS, short_share: float = SHORT_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(lines of each document with their words, lines over the limits)."""
-    by_doc = _lines(docs, host, doc_id, text)
-    per_doc = (by_doc.select("_host", "_id", "_text", F.explode("_lines").alias("_l"))
-               .groupBy("_host", F.col("_l.h").alias("_line"), "_id", "_text")
-               .agg(F.sum("_l.n").alias("_n"), F.max("_l.n").alias("_width")))
-    hosts = (docs.select(F.xxhash64(F.col(host)).alias("_host"))
-             .groupBy("_host").agg(F.count(F.lit(1)).alias("_docs_of_host")))
-    limit = F.when(F.col("_width") < min_words, F.lit(short_share)).otherwise(F.lit(share))
-    counted = (per_doc.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.max("_width").alias("_width"))
+            F.size(ls) - F.size(F.array_distinct(ls))).cast("long")).alias("n_dup_lines"),
+        _repeat_words(w).alias("n_repeat_words")))
+
+
+def _failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
+
+
+def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS,
+                short_share: float = SHORT_SHARE) -> DataFrame:
+    """Lines over both limits, gathered per host: ``_host``, ``_over``; from
+    ``rows`` of ``_host`` and ``_lines``."""
+    docs = rows.select("_host", F.xxhash64(F.col("_lines.h")).alias("_doc"), "_lines")
+    of_host = docs.select("_host", "_doc").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
+    holds = docs.select("_host", "_doc", F.explode("_lines").alias("_l")).groupBy("_host", F.col("_l.h").alias("_line"), "_doc").agg(
+        F.max("_l.n").alias("_width"))
+    counted = (holds.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.max("_width").alias("_width"))
                .where(F.col("_docs") > min_docs))
-    # stored, so that the join with the lines has a plain shuffle on either side, which can be split
-    candidates = common.stored(counted.join(hosts, "_host").where(F.col("_docs") > limit * F.col("_docs_of_host"))
-                               .select("_host", "_line", "_docs", limit.alias("_limit")), "candidates")
-    families = common.stored(_families(by_doc, candidates, per_doc), "families")
-    of_host = (families.where(F.col("_family").isNotNull()).select("_host", "_family").distinct()
-               .groupBy("_host").agg(F.count(F.lit(1)).alias("_families_of_host")))
-    of_line = (families.select("_host", "_family", F.explode("_hits").alias("_line")).distinct()
-               .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_families")))
-    many = (F.col("_families") > min_docs) & (F.col("_families") > F.col("_limit") * F.col("_families_of_host"))
-    over = (candidates.join(of_line, ["_host", "_line"]).join(of_host, "_host")
-            .where(many | (F.col("_families") >= min_families * F.col("_docs")))
-            .select("_host", "_line", "_docs", "_families"))
-    return per_doc, common.stored(over, "boilerplate")
+    limit = F.when(F.col("_width") < min_words, F.lit(short_share)).otherwise(F.lit(share))
+    over = common.stored(counted.join(of_host, "_host").where(F.col("_docs") > limit * F.col("_all")).select("_host", "_line"), "boilerplate")
+    return over.groupBy("_host").agg(F.collect_list("_line").alias("_over"))
+
+
+def _removed(held: Column, over: Column) -> Column:
+    """Words of the lines that are boilerplate."""
+    gone = F.filter(held, lambda x: F.array_contains(over, x["h"]))
+    return F.when(over.isNull(), 0).otherwise(F.aggregate(gone, F.lit(0), lambda s, x: s + x["n"])).cast("long")
 
 
 def judge(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text",
           depleted: float = DEPLETED, **limits) -> DataFrame:
     """One row per document: the base counts, ``n_removed`` (words in
     boilerplate lines), ``base_failed`` and ``kept``."""
-    per_doc, over = boilerplate(docs, host, doc_id, text, **limits)
-    hit = per_doc.join(over.select("_host", "_line"), ["_host", "_line"]).select("_id", "_text", "_n")
-    removed = hit.groupBy("_id", "_text").agg(F.sum("_n").alias("_removed"), F.count(F.lit(1)).alias("_hits"))
-    # equal rows were summed together above; their number divides it out
-    rows = base(docs, doc_id, text)
-    copies = docs.groupBy(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text")).agg(
-        F.count(F.lit(1)).alias("_rows"))
-    facts = removed.alias("r").join(copies.alias("c"), F.expr("r._id <=> c._id AND r._text = c._text")).select(
-        "r._id", "r._text", F.expr("r._removed div c._rows").alias("_removed"))
-    out = rows.alias("b").join(facts.alias("f"), F.expr("b._id <=> f._id AND b._text = f._text"), "left")
-    n = F.coalesce(F.col("f._removed"), F.lit(0).cast("long"))
-    return out.select(
-        F.col("b._id").alias(doc_id), "b.n_words", "b.word_chars", "b.n_symbols", "b.n_dup_lines", "b.n_repeat_words",
-        "b.base_failed", n.alias("n_removed"),
-        (~F.col("b.base_failed") & (n <= depleted * F.col("b.n_words"))).alias("kept"))
-
-
-def clean(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text",
-          depleted: float = DEPLETED, n_chars: str | None = "n_chars", **limits) -> DataFrame:
+    t = F.col(text)
+    rows = common.stored(docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(host)).alias("_host"), _counts(t).alias("_c"),
+                                     _hashed(t).alias("_lines")), "lines")
+    out = rows.join(boilerplate(rows, **limits), "_host", "left").select(
+        F.col("_id").alias(doc_id), "_c.*", _removed(F.col("_lines"), F.col("_over")).alias("n_removed"))
+    failed = _failed(F.col("n_words"), F.col("n_repeat_words"))
+    return out.select("*", failed.alias("base_failed"), (~failed & (F.col("n_removed") <= depleted * F.col("n_words"))).alias("kept"))
+
+
+def clean(docs: DataFrame, host: str = "source", text: str = "text", depleted: float = DEPLETED,
+          n_chars: str | None = "n_chars", **limits) -> DataFrame:
     """The kept documents, all their columns, without boilerplate lines."""
     keep = docs.columns
-    per_doc, over = boilerplate(docs, host, doc_id, text, **limits)
-    hit = per_doc.join(over.select("_host", "_line"), ["_host", "_line"])
-    by_doc = hit.groupBy("_id", "_text").agg(F.collect_set("_line").alias("_gone"))
-    own = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(doc_id).alias("_id"),
-                      F.xxhash64(F.col(text)).alias("_text"))
-    good = base(docs, doc_id, text).where(~F.col("base_failed")).groupBy("_id", "_text").agg(
-        F.first("n_words").alias("_n_words"))
-    verdict = good.alias("g").join(by_doc.alias("h"), F.expr("g._id <=> h._id AND g._text = h._text"), "left").select(
-        "g._id", "g._text", "g._n_words", "h._gone")
-    both = own.alias("o").join(verdict.alias("v"), F.expr("o._id <=> v._id AND o._text = v._text")).select(
-        "o._row", "v._n_words", "v._gone")
-    left = F.array_join(F.filter(F.split(F.col("_row")[text], "\n"), lambda x: ~(
-        _has_word(x) & F.array_contains(F.col("_gone"), F.xxhash64(normalised(x))))), "\n")
-    both = both.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_row")[text]).otherwise(left))
-    both = both.withColumn("_now", F.when(F.col("_gone").isNull(), F.col("_n_words")).otherwise(
-        F.size(words(F.col("_left"))).cast("long")))
-    both = both.where(F.col("_n_words") - F.col("_now") <= depleted * F.col("_n_words"))
+    rows = common.stored(docs.select(F.xxhash64(F.col(host)).alias("_host"), _hashed(F.col(text)).alias("_lines")), "lines")
+    own = docs.select(F.struct(*keep).alias("_row"), F.xxhash64(F.col(host)).alias("_host"))
+    whole = F.col("_row")[text]
+    both = own.join(boilerplate(rows, **limits), "_host", "left")
+    facts = let(words(whole), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("again")))
+    both = both.select("_row", "_over", facts.alias("_f"), F.when(F.col("_over").isNotNull(), _hashed(whole)).alias("_lines"))
+    both = both.where(~_failed(F.col("_f.n"), F.col("_f.again"))).select("_row", "_over", F.col("_f.n").alias("_n"), _removed(
+        F.col("_lines"), F.col("_over")).alias("_gone"))
+    both = both.where(F.col("_gone") <= depleted * F.col("_n"))
+    # only a text that loses lines is cut again, now as it was written
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.coalesce(
+        F.array_contains(F.col("_over"), F.xxhash64(F.get(lines(x), F.lit(0)))), F.lit(False))), "\n")
+    both = both.withColumn("_left", F.when(F.col("_gone") > 0, left).otherwise(whole))
 
     def column(c: str) -> Column:
         if c == text:
             return F.col("_left").alias(c)
         if n_chars and c == n_chars:
-            return F.when(F.col("_gone").isNull(), F.col("_row")[c]).otherwise(
-                F.length("_left").cast(docs.schema[c].dataType)).alias(c)
+            return F.when(F.col("_gone") > 0, F.length("_left").cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c]).alias(c)
         return F.col("_row")[c].alias(c)
 
     return both.select(*[column(c) for c in keep])
 
 
-#: DuckDB SQL for ``judge`` over ``documents`` with the limits above, by a
-#: narrower rule: lines of ``MIN_WORDS`` to ``MAX_WORDS`` words only, and of
-#: families (the longest line, always) only their share of the documents.
+#: DuckDB SQL for ``judge`` over ``documents`` with the limits above.
 SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
-    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-win AS (SELECT doc_id, i, w[i:i + {WINDOW - 1}] AS g FROM d, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS s(i)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-rep AS (SELECT doc_id, sum(least({WINDOW}, i - coalesce(p, i - {WINDOW})))::BIGINT AS n FROM
-    (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM twice) GROUP BY doc_id),
-ln AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d),
-hw AS (SELECT * FROM ln WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM hw GROUP BY doc_id),
-nm AS (SELECT doc_id, source, regexp_replace(lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')),
-    '[0-9]+', '0', 'g') AS l FROM hw),
-fam AS (SELECT doc_id, max({{'n': length(l), 'l': l}}) AS f FROM nm GROUP BY doc_id),
-pd AS (SELECT source, l, doc_id, f, sum(len(string_split(l, ' '))) AS n FROM nm JOIN fam USING (doc_id)
-    WHERE len(string_split(l, ' ')) BETWEEN {MIN_WORDS} AND {MAX_WORDS} GROUP BY ALL),
-ovr AS (SELECT source, l FROM (SELECT source, l, count(*) AS n, count(DISTINCT f) AS m FROM pd GROUP BY ALL)
-    JOIN (SELECT source, count(*) AS h FROM documents GROUP BY source) USING (source)
-    WHERE n > {MIN_DOCS} AND m >= {MIN_FAMILIES} * n AND n > {SHARE} * h),
-rem AS (SELECT doc_id, sum(n)::BIGINT AS n FROM pd JOIN ovr USING (source, l) GROUP BY doc_id),
-r AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS raw FROM documents),
+nd AS (SELECT r, source, list_transform(raw, lambda x: regexp_replace(lower(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')),
+    '[0-9]+', '0', 'g')) AS ls FROM d),
+win AS (SELECT r, i, w[i:i + {WINDOW - 1}] AS g FROM d, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS s(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(least({WINDOW}, i - coalesce(p, i - {WINDOW})))::BIGINT AS n FROM
+    (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM twice) GROUP BY r),
+own AS (SELECT DISTINCT source, ls FROM nd),
+host AS (SELECT source, count(*) AS h FROM own GROUP BY source),
+held AS (SELECT source, l, count(*) AS n FROM (SELECT DISTINCT source, ls, unnest(ls) AS l FROM own) GROUP BY ALL),
+ovr AS (SELECT held.source, list(l) AS o FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source
+    WHERE n > {MIN_DOCS} AND n > CASE WHEN len(string_split(l, ' ')) < {MIN_WORDS} THEN {SHORT_SHARE}::DOUBLE ELSE {SHARE}::DOUBLE END * h
+    GROUP BY held.source),
+rem AS (SELECT r, list_sum(list_transform(list_filter(ls, lambda x: list_contains(o, x)), lambda x: len(string_split(x, ' ')))) AS n
+    FROM nd JOIN ovr ON nd.source IS NOT DISTINCT FROM ovr.source),
+v AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(raw) - len(list_distinct(raw)))::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(rem.n, 0)::BIGINT AS n_removed
-    FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN rem USING (doc_id)),
-v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r)
-SELECT *, NOT base_failed AND n_removed <= {DEPLETED} * n_words AS kept FROM v
+    FROM d LEFT JOIN rep USING (r) LEFT JOIN rem USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_removed <= {DEPLETED} * n_words AS kept FROM v
 """
