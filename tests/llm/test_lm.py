@@ -140,3 +140,32 @@ def test_one_very_long_text_among_short_ones():
     p = {k: v.astype(np.float32) for k, v in tiny().items()}
     some = [x[-5000:] for x in t[:300]]
     assert np.allclose(gru.log_probs(p, some, 0), [gru.log_probs(p, [x], 0)[0] for x in some], rtol=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    runs = [{r.doc_id: r for r in lm.score(docs.repartition(n), shard_tokens=1 << 17).collect()} for n in (1, 8, 64)]
+    for other in runs[1:]:
+        assert set(other) == set(runs[0])
+        assert all(other[i].score == pytest.approx(r.score, rel=1e-4) for i, r in runs[0].items())
+    held = [r for r in runs[0].values() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.05                                           # log10 per token, three shards of one corpus
+
+
+def test_vocabulary_grows_with_the_corpus():
+    sizes = []
+    for n in (10_000, 1_000_000):
+        c = np.maximum(n // 20 // np.arange(1, 3000), 1)
+        v = lm.Vocabulary(np.arange(10, 10 + len(c), dtype=np.uint64), c, int(c.sum()), len(c))
+        assert (v.side - 1) ** 2 < (c >= np.sqrt(c.sum()) / 2).sum() + 2 <= v.side ** 2
+        sizes.append(v.side)
+    assert sizes[1] > sizes[0]
+
+
+def test_copies_are_dealt_to_all_shards(spark):
+    rows = spark.createDataFrame([(7, "the same text every time") for _ in range(4000)], "_k long, _x string")
+    words = lm.vocabulary_of(lm.count_tokens(rows.select("_x")))
+    coded = rows.mapInArrow(lm._encode_rows(words, 8, 4), "round int, shard long, place long, ids binary")
+    many = [r["count"] for r in coded.groupBy("round", "shard").count().collect()]
+    assert len(many) == 32 and max(many) < 400

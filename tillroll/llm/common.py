@@ -75,6 +75,28 @@ def per_worker(key, make):
     return kept[key[0]][1]
 
 
+def one_blas_thread() -> None:
+    """Products in this Python worker run on one thread: Spark runs a task per
+    core, and threads that wait for each other only spend the others' time.
+    Where the library offers no such setting, nothing changes."""
+    import ctypes
+
+    def once():
+        try:
+            with open("/proc/self/maps") as maps:
+                paths = {line.split()[-1] for line in maps if "openblas" in line}
+        except OSError:
+            return True
+        for path in paths:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+                    break
+        return True
+    per_worker(("blas",), once)
+
+
 # ------------------------------------------------------------- Arrow slices
 def binary(column) -> pa.Array:
     """A text column as large_binary; null becomes the empty text."""

@@ -126,6 +126,7 @@ def tile_links(x: np.ndarray, unit: np.ndarray, weight: np.ndarray, side: np.nda
 
 def _tile_rows(threshold: float):
     def run(table: pa.Table) -> pa.Table:
+        common.one_blas_thread()
         table = table.sort_by("node")
         node = table["node"].to_numpy()
         same = table["i"][0].as_py() == table["j"][0].as_py()

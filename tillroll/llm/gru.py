@@ -15,13 +15,12 @@ import numpy as np
 
 HIDDEN, WINDOW, RATE, LANES = 16, 32, 0.06, 512
 #: Tokens behind one step of the optimiser.
-STEP = 4096
+STEP = 1024
 #: Steps over which the rate rises.
 WARM = 24
-CLASSES, PER_CLASS = 32, 32
 
 
-def initial(counts: np.ndarray, classes: int = CLASSES, per_class: int = PER_CLASS, hidden: int = HIDDEN,
+def initial(counts: np.ndarray, classes: int, per_class: int, hidden: int = HIDDEN,
             seed: int = 1) -> dict[str, np.ndarray]:
     """Parameters; the output starts at the unigram frequencies ``counts``
     (one per word, padded to classes * per_class)."""
@@ -181,15 +180,15 @@ def log_probs(p: dict, texts: list[np.ndarray], end: int) -> np.ndarray:
 
 
 class Trainer:
-    """Adagrad for one replica's texts.  Gradients of successive windows are
+    """Adagrad for one replica's texts, from a given state of the optimiser.  Gradients of successive windows are
     summed until they stand for ``STEP`` tokens, so that the few texts that
     are longer than all others do not make most of the steps."""
 
-    def __init__(self, p: dict, end: int, rate: float = RATE):
+    def __init__(self, p: dict, end: int, rate: float = RATE, square: dict | None = None, steps: int = 0):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.square = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
+        self.square = {k: np.full(v.shape, 1e-6, np.float32) if square is None else square[k].copy() for k, v in p.items()}
         self.grad = {k: np.zeros_like(v) for k, v in p.items()}
-        self.pending, self.tokens, self.steps = 0, 0, 0
+        self.pending, self.tokens, self.steps = 0, 0, steps
         self.rate, self.end = rate, end
 
     def step(self) -> None:
@@ -239,7 +238,7 @@ class Trainer:
                     dh[new[t]] = 0
             flat, words = dgiven.reshape(-1, 3 * n), x.ravel()
             g["bias"] += flat.sum(0)
-            order = np.argsort(words.astype(np.int16), kind="stable")
+            order = np.argsort(words.astype(np.int16 if len(p["emb"]) < 1 << 15 else np.int32), kind="stable")
             ranked = words[order]
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
             g["emb"][ranked[first]] += np.add.reduceat(flat[order], first, axis=0)

@@ -1,15 +1,22 @@
 """Scoring of whole texts by a recurrent language model trained on the corpus.
 
 Tokens are words (A-Z lower-cased) and one end token per text.  Counts cover
-every training token.  The model (``gru``) knows the most frequent words and
-one class for all others; the probability of another word is that class's
-times its smoothed share of the other training tokens.  So ``score`` is the
-log10 probability of the complete text, state carried to its end.
-
-Training passes over every training text once.  Each Spark task trains a
-replica on its texts, and the replicas are averaged by their tokens, first
-after a quarter of the texts, then after the rest.  Averaging sums blocks of
-parameters in three levels of groups, so no task gathers all replicas.
+every training token.  The model (``gru``) knows the words that come at least
+half the square root of all tokens times, so its vocabulary grows with the
+corpus, as the square root of that vocabulary does the classes and the words
+of a class.  All other words are one class; the probability of another word is
+that class's times its smoothed share of the other training tokens.  So
+``score`` is the log10 probability of the complete text, state carried to its
+end.
+
+Training passes over every training text once.  Texts are dealt by hash to
+shards of about ``SHARD_TOKENS`` and to ``ROUNDS`` rounds; how the table is
+partitioned plays no part.  In a round one replica per shard learns the texts
+of its share, all from the same model and the same state of the optimiser;
+models and states are then averaged by tokens, and the next round starts from
+the averages.  So the number of steps that the model makes one after the other
+does not fall with the number of tasks.  Averaging sums blocks of parameters
+in groups of 32, so no task gathers all replicas.
 
 Counts beyond the ``HEAD`` most frequent words (a broadcast of bounded size)
 are joined to the texts' rare words in a shuffle of hashes.
@@ -18,22 +25,26 @@ Cases.  Null and empty texts have the end token only.  Which texts are held
 out depends on the id's text; a null id counts as the empty text.  Repeated
 rows get their own result rows.  Without training texts every word has the
 same chance.  Extra columns are ignored; an empty table gives an empty
-result.  Words are told apart by 64-bit hashes.
+result.  Words are told apart by 64-bit hashes.  Rows of equal id and text go
+to shards in turn, so that copies are no hot shard.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, gru
 
-#: Broadcast counts (12 bytes each); words of the model, two of them special.
-HEAD, VOCABULARY = 1 << 18, gru.CLASSES * gru.PER_CLASS
+#: Broadcast counts (12 bytes each), a bound of the model's words as well.
+HEAD = 1 << 18
+#: Training tokens of a shard, and rounds in which its texts are learnt.
+SHARD_TOKENS, ROUNDS = 1 << 22, 8
 END = np.uint64(0x5EED0E0D5EED0E0D)
 #: Tokens that one pass of the model holds in memory.
 HELD = 1_500_000
@@ -78,7 +89,8 @@ class Vocabulary:
         self.h, self.c = h[order], c[order]
         self.n, self.v = n, v
         top = np.lexsort((self.h, -self.c))
-        top = top[self.h[top] != END][: VOCABULARY - 2]
+        top = top[(self.h[top] != END) & (self.c[top] >= np.sqrt(n) / 2)]
+        self.side = max(4, int(np.ceil(np.sqrt(len(top) + 2))))        # classes, and words of a class
         ends = int(self.c[self.h == END].sum())
         others = n - ends - int(self.c[top].sum())
         self.n_other, self.v_other = others, v - len(top) - (ends > 0)
@@ -105,45 +117,83 @@ class Vocabulary:
         return hit[back], c[back], i[back].astype(np.int32)
 
 
-def _train_rows(vocabulary: Vocabulary, start: dict):
+def _encode_rows(vocabulary: Vocabulary, shards: int, rounds: int):
+    """Texts as word numbers, dealt to rounds and shards by their key."""
+    kind = "<u2" if vocabulary.side ** 2 <= 1 << 16 else "<u4"
+
     def run(batches):
-        model = gru.Trainer(start, vocabulary.end)
-        held, size = [], 0
-        for _, raw in common.slices(batches, "_x"):
+        seen: dict[int, int] = {}
+        for part, raw in common.slices(batches, "_x"):
             h, first = tokens(raw)
-            ids = vocabulary.look_up(h)[2]
-            held += np.split(ids, first[1:-1])
-            size += len(ids)
+            ids = vocabulary.look_up(h)[2].astype(kind)
+            key = part.column(part.schema.get_field_index("_k")).to_numpy().view(np.uint64)
+            turn = np.empty(len(key), np.uint64)
+            for i, k in enumerate(key.tolist()):
+                turn[i] = seen[k] = seen.get(k, -1) + 1
+            place = common.mixed(key + turn)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((place % np.uint64(rounds)).astype(np.int32)),
+                 pa.array((place // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)), common.i64(place),
+                 pa.array([x.tobytes() for x in np.split(ids, first[1:-1])], pa.binary())], names=["round", "shard", "place", "ids"])
+    return run
+
+
+def _learner(vocabulary: Vocabulary, model: dict, square: dict | None, steps: int):
+    kind = "<u2" if vocabulary.side ** 2 <= 1 << 16 else "<u4"
+
+    def run(table: pa.Table) -> pa.Table:
+        common.one_blas_thread()
+        table = table.sort_by("place")
+        trainer = gru.Trainer(model, vocabulary.end, square=square, steps=steps)
+        held, size = [], 0
+        for x in table["ids"].to_pylist():
+            held.append(np.frombuffer(x, kind).astype(np.int32))
+            size += len(held[-1])
             if size >= HELD:
-                model.learn(held)
+                trainer.learn(held)
                 held, size = [], 0
-        model.learn(held)
-        if model.tokens:
-            n = float(model.tokens)
-            for k, v in model.p.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n]),
-                     pa.array([(v.astype(np.float64) * n).tobytes()], pa.binary())], names=_BLOCKS.names)
+        trainer.learn(held)
+        n = float(trainer.tokens)
+        both = [(f"{what}:{k}", v) for what, of in (("p", trainer.p), ("s", trainer.square)) for k, v in of.items()]
+        return pa.Table.from_arrays(
+            [pa.array([k for k, _ in both]), pa.array([table["shard"][0].as_py()] * len(both), pa.int64()), pa.array([n] * len(both)),
+             pa.array([(v.astype(np.float64) * n).tobytes() for _, v in both], pa.binary())], names=_BLOCKS.names)
     return run
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
+    table = table.sort_by("task")
     total = sum(np.frombuffer(b, np.float64) for b in table["sum"].to_pylist())
     return pa.Table.from_arrays(
         [table["block"][:1], table["task"][:1], pa.array([sum(table["tokens"].to_pylist())]),
          pa.array([total.tobytes()], pa.binary())], names=_BLOCKS.names)
 
 
-def _averaged(texts: DataFrame, vocabulary: Vocabulary, start: dict) -> dict:
-    """Parameters after every task trained on its texts; the average weighs
-    tasks by their tokens."""
-    rows = texts.mapInArrow(_train_rows(vocabulary, start), _BLOCKS)
-    for _ in range(2):
-        rows = (rows.withColumn("task", F.expr("task div 32")).groupBy("block", "task")
-                .applyInArrow(lambda t: _add_blocks(t.select(_BLOCKS.names)), _BLOCKS))
-    rows = rows.groupBy("block").applyInArrow(lambda t: _add_blocks(t.select(_BLOCKS.names)), _BLOCKS)
-    got = {r["block"]: np.frombuffer(r["sum"], np.float64) / r["tokens"] for r in rows.collect()}   # one model
-    return {k: (got[k].reshape(v.shape).astype(np.float32) if k in got else v) for k, v in start.items()}
+def train(texts: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> dict:
+    """The model after all rounds over ``texts`` (``_k`` key, ``_x`` text)."""
+    model = gru.initial(vocabulary.counts, vocabulary.side, vocabulary.side)
+    if not vocabulary.n:
+        return model
+    shards = max(1, -(-vocabulary.n // shard_tokens))
+    spark = texts.sparkSession
+    coded = texts.mapInArrow(_encode_rows(vocabulary, shards, rounds), "round int, shard long, place long, ids binary")
+    path = f"{common.shared_dir(spark)}/coded-{uuid.uuid4().hex}"
+    coded.write.partitionBy("round").parquet(path)              # a round reads its own files only
+    square = None
+    for k in range(rounds):
+        part = spark.read.schema("shard long, place long, ids binary, round int").parquet(path).where(F.col("round") == k).drop("round")
+        rows = part.groupBy("shard").applyInArrow(_learner(vocabulary, model, square, k * (vocabulary.n // (shards * rounds * gru.STEP))), _BLOCKS)
+        replicas = shards
+        while replicas > 32:
+            rows = (rows.withColumn("task", F.expr("task div 32")).groupBy("block", "task")
+                    .applyInArrow(lambda t: _add_blocks(t.select(_BLOCKS.names)), _BLOCKS))
+            replicas = -(-replicas // 32)
+        rows = rows.groupBy("block").applyInArrow(lambda t: _add_blocks(t.select(_BLOCKS.names)), _BLOCKS)
+        got = {r["block"]: np.frombuffer(r["sum"], np.float64) / r["tokens"] for r in rows.collect()}   # one model
+        if got:
+            square = {key: got[f"s:{key}"].reshape(v.shape).astype(np.float32) for key, v in model.items()}
+            model = {key: got[f"p:{key}"].reshape(v.shape).astype(np.float32) for key, v in model.items()}
+    return model
 
 
 def _score_rows(vocabulary: Vocabulary, model: dict):
@@ -161,6 +211,7 @@ def _score_rows(vocabulary: Vocabulary, model: dict):
                         ("model", pa.float64()), ("tail_h", pa.list_(pa.int64())), ("tail_m", pa.list_(pa.int32()))])
 
     def run(batches):
+        common.one_blas_thread()
         held, size = [], 0
         for part, raw in common.slices(batches, "_x"):
             h, first = tokens(raw)
@@ -209,7 +260,8 @@ def vocabulary_of(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(got["h"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int64), n, v)
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = HEAD,
+          shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """One row per text: its id, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (unigrams) and ``score`` (the model)."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_t"),
@@ -217,9 +269,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int
     training = keyed.where("_class <> 1")
     counts = count_tokens(training.select("_x"))
     words = vocabulary_of(counts, head)
-    model = gru.initial(words.counts)
-    for part in ("_class = 0", "_class > 1"):
-        model = _averaged(keyed.where(part).select("_x"), words, model)
+    model = train(training.select(F.xxhash64("_id", "_t").alias("_k"), "_x"), words, shard_tokens, rounds)
     scored = common.stored(keyed.select("_id", "_t", "_class", "_x").mapInArrow(_score_rows(words, model), _SCORED), "scored")
     tail = (scored.select("_id", "_t", F.explode(F.arrays_zip("tail_h", "tail_m")).alias("x"))
             .select("_id", "_t", F.col("x.tail_h").alias("h"), F.col("x.tail_m").alias("m")))
