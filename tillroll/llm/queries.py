@@ -29,7 +29,8 @@ def op2_lm_scoring(spark, d):
 
 def op3_url_filter(spark, d):
     out = url_filter.judge(spark.read.parquet(f"{d}/pages.parquet"))
-    return out.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 4).alias("trust"),
+                      F.round("distrust", 4).alias("distrust"))
 
 
 def op4_byte_bpe(spark, d):
@@ -168,5 +169,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op9_merkle_fixity": OP9_SQL, "op11_centroid_clustering": centroids.SQL,
+    return {"op1_quality_rules": quality.SQL, "op3_url_filter": url_filter.SQL, "op9_merkle_fixity": OP9_SQL, "op11_centroid_clustering": centroids.SQL,
             "op13_source_mixing": mixing.SQL}
