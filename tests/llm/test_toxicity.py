@@ -71,3 +71,34 @@ def test_edges(spark, docs_df, prose):
         out = toxicity.score(docs.withColumnRenamed("lang", "p_toxic"), chain)
         assert out.count() == 5 and not any(r.rejected for r in out.collect())
     assert toxicity.score(docs.limit(0), chain).count() == 0
+
+
+def test_every_word_over_the_limit_is_a_feature(spark, docs_df, prose):
+    rng = random.Random(3)
+    marked = [f"mark{k}" for k in range(700)]
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 2
+        rows.append((i, " ".join(prose(10).split() + (rng.sample(marked, 300) if bad else []))))
+        labels.append((i, 1, bad))
+    chain = toxicity.train(docs_df(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), categories())
+    assert len(chain.features) >= 700
+
+
+def test_repeated_ids_stay_within_the_bound(spark, docs_df, prose):
+    docs = docs_df([(k % 30, prose(12) + (" moron" if k % 2 else "")) for k in range(900)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(30)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels, categories(), max_train=20, min_z=1.0)
+    assert toxicity.score(docs, chain).count() == 900
+
+
+def test_sparse_and_dense_rows_agree():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 12)) < 0.2).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ rng.normal(0, 2, 12))))).astype(float)
+    row, col = np.nonzero(x)
+    one = toxicity.fit_logistic(x, y)
+    two = toxicity.fit_logistic(toxicity.Rows(row, col, 300, 12), y)
+    assert np.allclose(one[0], two[0], atol=1e-4) and one[1] == pytest.approx(two[1], abs=1e-4)
+    p = 1 / (1 + np.exp(-(x @ one[0] + one[1])))
+    assert np.abs(x.T @ (p - y) + one[0]).max() < 1e-3 and abs((p - y).sum()) < 1e-3      # the optimum of the ridge loss

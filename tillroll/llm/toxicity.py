@@ -6,20 +6,24 @@ for the earlier categories.  In training those probabilities are
 out-of-fold predictions, so a later link never learns from an earlier one's
 memory of the same row.
 
-Features are words (lower-cased A-Z, stripped of ASCII punctuation at both
-ends by ignoring them in the hash), present or not.  Only words that differ
-between the classes of some category beyond ``min_z`` standard errors are
-used, at most ``max_features`` of them.
+Features are words (lower-cased A-Z, cut at ASCII punctuation, so ``don't`` is
+two words), present or not.  A word is a feature of the chain if its document
+frequencies differ between the classes of some category by ``min_z`` standard
+errors; there is no fixed number of features.
 
 Training takes at most ``max_train`` labelled rows (the documented bound),
-those with the smallest hash of their id; scoring takes every text whole.
+those with the smallest hash of their id, and one text per id; scoring takes
+every text whole.  Frequencies are counted in Spark; the driver receives the
+chosen words and, of each training row, which of them it holds, so that long
+texts do not weigh on it.  The regressions are fitted on these sparse rows.
 The threshold of a category is the one with the best F1 out of fold.
 
 Cases.  Null and empty texts have no words and get the prior; labels that
 are null are left out of that category.  A category without both classes,
 or without labels, predicts its share (0 without labels) and rejects
 nothing.  Repeated rows are scored each; a repeated label of a row counts
-once (its maximum).  Extra columns pass through ``score``.
+once (its maximum); of several texts under one id the one of the smallest
+hash is learnt from.  Extra columns pass through ``score``.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-MAX_TRAIN, MAX_FEATURES, MIN_Z, FOLDS = 20_000, 384, 4.0, 5
+MAX_TRAIN, MIN_Z, FOLDS = 20_000, 4.0, 5
 
 
 @dataclass
@@ -78,21 +82,72 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 15) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; the bias is not shrunk."""
-    a = np.column_stack([x, np.ones(len(x), x.dtype)]).astype(np.float64)
-    w = np.zeros(a.shape[1])
-    ridge = np.full(a.shape[1], l2)
+class Rows:
+    """Training rows: places of the words they hold (``row``, ``col`` of ``k``
+    words), then dense columns."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, k: int, dense: np.ndarray | None = None):
+        self.row, self.col, self.n, self.k = row, col, n, k
+        self.dense = np.zeros((n, 0)) if dense is None else np.asarray(dense, np.float64)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[: self.k][self.col], self.n) + self.dense @ w[self.k:]
+
+    def transposed_dot(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.col, r[self.row], self.k), self.dense.T @ r])
+
+    def where(self, mask: np.ndarray) -> "Rows":
+        at = np.cumsum(mask) - 1
+        hit = mask[self.row]
+        return Rows(at[self.row[hit]], self.col[hit], int(mask.sum()), self.k, self.dense[mask])
+
+    def with_column(self, c: np.ndarray) -> "Rows":
+        return Rows(self.row, self.col, self.n, self.k, np.column_stack([self.dense, c]))
+
+
+def fit_logistic(x: "Rows | np.ndarray", y: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression (the bias is not shrunk) by L-BFGS."""
+    if isinstance(x, np.ndarray):
+        none = np.zeros(0, np.int64)
+        x = Rows(none, none, len(x), 0, x)
+    size = x.k + x.dense.shape[1]
+    ridge = np.full(size + 1, l2)
     ridge[-1] = 1e-6
+
+    def loss(w):
+        m = x.dot(w[:-1]) + w[-1]
+        value = float((np.logaddexp(0, m) - y * m).sum() + 0.5 * (ridge * w * w).sum())
+        r = _sigmoid(m) - y
+        return value, np.append(x.transposed_dot(r), r.sum()) + ridge * w
+
+    w = np.zeros(size + 1)
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        p = _sigmoid(a @ w)
-        grad = a.T @ (y - p) - ridge * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(hess, grad)
-        size = np.abs(step).max()
-        w += step * min(1.0, 4.0 / max(size, 1e-12))
-        if size < 1e-3:
+        if np.abs(grad).max() < 1e-4:
             break
+        q, alphas = grad.copy(), []
+        for s, g in reversed(past):
+            alphas.append((s @ q) / (s @ g))
+            q -= alphas[-1] * g
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / max(1.0, np.abs(grad).max())
+        for (s, g), a in zip(past, reversed(alphas)):
+            q += (a - (g @ q) / (s @ g)) * s
+        rate, slope = 1.0, float(grad @ q)
+        while rate > 1e-10:
+            new_value, new_grad = loss(w - rate * q)
+            if new_value <= value - 1e-4 * rate * slope:
+                break
+            rate /= 2
+        else:
+            break
+        s, g = -rate * q, new_grad - grad
+        w, value, grad = w + s, new_value, new_grad
+        if s @ g > 1e-12:
+            past = [*past[-9:], (s, g)]
     return w[:-1], float(w[-1])
 
 
@@ -108,40 +163,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[at] + low) / 2, 0.05, 0.95))
 
 
-def _chosen(t, h, y: np.ndarray, min_z: float, most: int) -> np.ndarray:
-    """Word hashes whose document frequencies differ between the classes."""
-    found, at = np.unique(h, return_inverse=True)
-    z_best = np.zeros(len(found))
-    for k in range(y.shape[1]):
-        known = ~np.isnan(y[:, k])
-        pos = y[:, k] == 1
-        n1, n0 = int((known & pos).sum()), int((known & ~pos).sum())
-        if not n1 or not n0:
-            continue
-        c1 = np.bincount(at[pos[t] & known[t]], minlength=len(found))
-        c0 = np.bincount(at[~pos[t] & known[t]], minlength=len(found))
-        p1, p0, p = c1 / n1, c0 / n0, (c1 + c0) / (n1 + n0)
-        z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
-        z_best = np.maximum(z_best, np.where(c1 + c0 >= 5, z, 0))
-    keep = np.flatnonzero(z_best >= min_z)
-    keep = keep[np.argsort(-z_best[keep], kind="stable")[:most]]
-    return np.sort(found[keep])
-
-
-def _matrix(t, h, n: int, features: np.ndarray) -> np.ndarray:
-    x = np.zeros((n, len(features)), np.float32)
-    if len(features) and len(h):
-        at = np.minimum(np.searchsorted(features, h), len(features) - 1)
-        hit = features[at] == h
-        x[t[hit], at[hit]] = 1
-    return x
-
-
-def fit_chain(t, h, n: int, y: np.ndarray, names: list[str], folds: int = FOLDS, min_z: float = MIN_Z,
-              max_features: int = MAX_FEATURES) -> Chain:
+def fit_chain(x: Rows, features: np.ndarray, y: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
     """Fit the links in order; ``y`` has a column per category (nan: unknown)."""
-    features = _chosen(t, h, y, min_z, max_features)
-    x = _matrix(t, h, n, features)
+    n = len(x)
     fold = np.arange(n) % folds
     links: list[Link] = []
     for k, name in enumerate(names):
@@ -150,25 +174,62 @@ def fit_chain(t, h, n: int, y: np.ndarray, names: list[str], folds: int = FOLDS,
         if len(np.unique(yk[known])) < 2:
             share = float(yk[known].mean()) if known.any() else 0.0
             bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-            links.append(Link(name, np.zeros(x.shape[1]), bias, 2.0))
+            links.append(Link(name, np.zeros(x.k + x.dense.shape[1]), bias, 2.0))
             oof = np.full(n, share)
         else:
             oof = np.zeros(n)
             for f in range(folds):
-                rest = known & (fold != f)
+                rest, mine = known & (fold != f), fold == f
                 if len(np.unique(yk[rest])) < 2:
-                    oof[fold == f] = yk[known].mean()
+                    oof[mine] = yk[known].mean()
                     continue
-                w, b = fit_logistic(x[rest], yk[rest])
-                oof[fold == f] = _sigmoid(x[fold == f] @ w + b)
-            w, b = fit_logistic(x[known], yk[known])
+                w, b = fit_logistic(x.where(rest), yk[rest])
+                oof[mine] = _sigmoid(x.where(mine).dot(w) + b)
+            w, b = fit_logistic(x.where(known), yk[known])
             links.append(Link(name, w, b, best_threshold(oof[known], yk[known])))
-        x = np.column_stack([x, oof.astype(np.float32)])
+        x = x.with_column(oof)
     return Chain(features, links)
 
 
+def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word hash) of packed sets."""
+    sets = [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
+    if not sets:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+
+
+def choose(sets: DataFrame, ys: list[str], min_z: float = MIN_Z) -> np.ndarray:
+    """Sorted hashes of the words whose document frequencies differ between the
+    classes of a category; counted in Spark from packed sets ``_h``."""
+    classes = [(f"{v}{k}", y, v) for k, y in enumerate(ys) for v in (1, 0)]
+
+    def count(batches):
+        for batch in batches:
+            row, h = _unpacked(batch.column(0))
+            found, at = np.unique(h, return_inverse=True)
+            marks = [batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(ys))]
+            yield pa.RecordBatch.from_arrays(
+                [common.i64(found), *[pa.array(np.bincount(at[marks[ys.index(y)][row] == v], minlength=len(found)).astype(np.int64))
+                                      for _, y, v in classes]], names=["h", *[f"c{c}" for c, _, _ in classes]])
+
+    schema = "h long, " + ", ".join(f"c{c} long" for c, _, _ in classes)
+    total = sets.agg(*[F.count_if(F.col(y) == v).alias(c) for c, y, v in classes]).first()
+    counts = sets.select("_h", *ys).mapInArrow(count, schema).groupBy("h").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c, _, _ in classes])
+    passes = F.lit(False)
+    for k in range(len(ys)):
+        n1, n0 = total[f"1{k}"], total[f"0{k}"]
+        if not n1 or not n0:
+            continue
+        c1, c0 = F.col(f"c1{k}"), F.col(f"c0{k}")
+        p = (c1 + c0) / (n1 + n0)
+        error = F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12)))
+        passes = passes | ((c1 + c0 >= 5) & (F.abs(c1 / n1 - c0 / n0) / error >= min_z))
+    return np.sort(counts.where(passes).select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], doc_id: str = "doc_id",
-          text: str = "text", max_train: int = MAX_TRAIN) -> Chain:
+          text: str = "text", max_train: int = MAX_TRAIN, min_z: float = MIN_Z) -> Chain:
     """``categories``: name -> Column over ``labels`` (1, 0 or null), in chain order."""
     names = list(categories)
     marks = (labels.select(F.col(doc_id).alias("_id"), *[categories[c].cast("double").alias(f"_y{i}")
@@ -176,13 +237,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], doc
              .where(F.col("_id").isNotNull()).groupBy("_id")
              .agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(names))])
              .orderBy(F.xxhash64(F.lit(7), "_id"), "_id").limit(max_train))
-    rows = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-            .join(F.broadcast(marks), "_id"))        # at most max_train rows
+    texts = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(marks.select("_id")), "_id")
+             .groupBy("_id").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")))      # at most max_train rows
+    rows = texts.join(marks, "_id")
     ys = [f"_y{i}" for i in range(len(names))]
     out = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_h", T.BinaryType()),
                         *[T.StructField(c, T.DoubleType()) for c in ys]])
 
-    def sets(batches):
+    def pack(batches):
         for part, raw in common.slices(batches, "_t"):
             t, h, n = _word_sets(raw)
             cut = np.searchsorted(t, np.arange(n + 1))
@@ -191,13 +253,27 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], doc
                 [part.column(0).cast(pa.int64()), pa.array(packed, pa.binary()),
                  *[part.column(part.schema.get_field_index(c)) for c in ys]], names=out.names)
 
-    got = rows.select("_id", "_t", *ys).mapInArrow(sets, out).toArrow().sort_by("_id")
-    hs = [np.frombuffer(b, np.uint64) for b in got["_h"].to_pylist()]
-    n = len(hs)
-    t = np.repeat(np.arange(n), [len(x) for x in hs]) if n else np.zeros(0, np.int64)
-    h = np.concatenate(hs) if n else np.zeros(0, np.uint64)
+    sets = common.stored(rows.select("_id", "_t", *ys).mapInArrow(pack, out), "word-sets")
+    features = choose(sets, ys, min_z)
+
+    def held(batches):
+        for batch in batches:
+            row, h = _unpacked(batch.column(1))
+            at = np.minimum(np.searchsorted(features, h), max(len(features) - 1, 0))
+            hit = features[at] == h if len(features) else np.zeros(len(h), bool)
+            cut = np.searchsorted(row[hit], np.arange(batch.num_rows + 1))
+            places = at[hit].astype("<i4")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([places[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), *batch.columns[2:]],
+                names=out.names)
+
+    got = sets.mapInArrow(held, out).toArrow().sort_by("_id")                         # of each row its chosen words
+    places = [np.frombuffer(b, "<i4") for b in got["_h"].to_pylist()]
+    n = len(places)
+    row = np.repeat(np.arange(n), [len(x) for x in places]) if n else np.zeros(0, np.int64)
+    col = np.concatenate(places).astype(np.int64) if n else np.zeros(0, np.int64)
     y = np.column_stack([got[c].to_numpy(zero_copy_only=False) for c in ys]).astype(float) if n else np.zeros((0, len(ys)))
-    return fit_chain(t, h, n, y, names)
+    return fit_chain(Rows(row, col, n, len(features)), features, y, names)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_", verdict: str = "rejected",
