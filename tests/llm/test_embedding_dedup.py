@@ -54,3 +54,30 @@ def test_edges(spark):
     alone = [(i, 0, i) for i in (1, 2, 3, 4, 5, 6, 9)]
     assert have == sorted(alone + [(7, 3, 7), (8, 3, 7), (8, 3, 7), (-1, 3, 7), (10, 1, 10), (11, 1, 10)])
     assert ed.classes(df.limit(0)).count() == 0
+
+
+def test_tied_projections_are_split(spark):
+    rng = np.random.default_rng(5)
+    x = np.zeros((500, 12), np.float32)                           # a main direction, and sparse vectors across it
+    x[:200, 0] = 1
+    x[:200, 1:] = rng.normal(0, 0.02, (200, 11))
+    for k in range(200, 500):
+        i, j = rng.choice(np.arange(1, 12), 2, replace=False)
+        x[k, i], x[k, j] = rng.choice([1, 2, 3, 20], 2)
+    direction = {12: np.eye(12)[0]}
+    cuts, parts = {12: np.array([0.5])}, {12: np.array([-(-300 // 64), -(-200 // 64)])}
+    want = brute(x.astype(np.float64))
+    have = {r.vec_id: (r.n_links, r.component_id) for r in ed.classes(table(spark, x), tile=64).collect()}
+    assert have == want
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    names = ["dim", "i", "j", "tile", "node", "weight", "vec"]
+    out = T.StructType([T.StructField(c, T.LongType()) for c in names])
+    node = rng.integers(0, 1 << 60, 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array([12] * 500, pa.int32()), pa.array([1] * 500, pa.int64()), pa.array(
+        [row.astype("<f8").tobytes() for row in x], pa.binary())], names=["node", "dim", "weight", "vec"])
+    dealt = pa.Table.from_batches(ed._tiles(direction, cuts, parts, 0.1, out)(iter([batch])))
+    own = dealt.group_by("tile").aggregate([("node", "count_distinct")])
+    assert own.num_rows == 9 and max(own["node_count_distinct"].to_pylist()) < 110
+    pairs = set(zip(dealt["i"].to_pylist(), dealt["j"].to_pylist()))
+    assert len(pairs) == 5 * 6 // 2 + 4 * 5 // 2                   # parts of a range meet each other, ranges apart do not

@@ -11,7 +11,9 @@ Tiles are ranges of the projection on the main direction of the data.  Unit
 vectors with a cosine of at least t are at most sqrt(2 - 2 t) apart, and so
 are their projections: a vector meets only the tiles that this band touches.
 The direction comes from at most ``SAMPLE`` vectors (it decides how much is
-skipped, not what is found); the tiles hold all vectors.
+skipped, not what is found); the tiles hold all vectors.  A range with more
+vectors than a tile, as when many have one projection, is split by hash into
+parts of that size, and a vector meets all parts of a range it reaches.
 
 Equal vectors are one node with a weight.  A pair of tiles returns sums and a
 spanning forest, one row per vector that has links, never its pairs; so a
@@ -39,6 +41,8 @@ from . import common
 from .components import components, join_labels
 
 THRESHOLD, TILE, SAMPLE, BLOCK = 0.95, 4096, 4096, 512
+#: Least rank error of the cuts, which bounds the sketch that finds them.
+ERROR = 1e-4
 
 _ROWS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("dim", T.IntegerType()),
                       T.StructField("vec", T.BinaryType())])
@@ -139,7 +143,9 @@ def _tile_rows(threshold: float):
     return run
 
 
-def _tiles(direction: dict[int, np.ndarray], cuts: dict[int, np.ndarray], reach: float, out: T.StructType):
+def _tiles(direction: dict[int, np.ndarray], cuts: dict[int, np.ndarray], parts: dict[int, np.ndarray], reach: float,
+           out: T.StructType):
+    """``parts``: per vector length, the number of parts of each range."""
     def run(batches):
         for batch in batches:
             dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
@@ -151,6 +157,11 @@ def _tiles(direction: dict[int, np.ndarray], cuts: dict[int, np.ndarray], reach:
                 p = unit @ direction[int(dim)]
                 cut = cuts[int(dim)]
                 low, tile, high = (np.searchsorted(cut, p + d, "right") for d in (-reach, 0.0, reach))
+                part_of = parts[int(dim)]
+                base = np.cumsum(part_of) - part_of
+                key = batch.column(batch.schema.get_field_index("node")).to_numpy()[at].view(np.uint64)
+                tile = base[tile] + (key % part_of[tile].astype(np.uint64)).astype(np.int64)
+                low, high = base[low], base[high] + part_of[high] - 1
                 many = high - low + 1
                 row = np.repeat(np.arange(len(at)), many)
                 to = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
@@ -175,6 +186,14 @@ def _projected(direction: dict[int, np.ndarray]):
     return run
 
 
+def _ranged(cut: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            found, many = np.unique(np.searchsorted(cut, batch.column(0).to_numpy(), "right"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(many, pa.int64())], names=["r", "n"])
+    return run
+
+
 def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row per vector: its id, ``n_links`` (other vectors linked
@@ -187,20 +206,24 @@ def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         .select(F.xxhash64("dim", "vec").alias("node"), "dim", "vec", "weight", "least"), "nodes")
     direction: dict[int, np.ndarray] = {}
     cuts: dict[int, np.ndarray] = {}
+    parts: dict[int, np.ndarray] = {}
     for dim, n in sorted(tuple(r) for r in nodes.groupBy("dim").count().collect()):      # a row per vector length
         some = nodes.where(F.col("dim") == dim).select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).toArrow()
         _, unit = _unit(some["vec"].to_pylist())
         direction[dim] = np.linalg.eigh(unit.T @ unit)[1][:, -1]
         k = -(-n // tile)
         p = nodes.where(F.col("dim") == dim).select("dim", "vec").mapInArrow(_projected(direction), "dim int, p double")
-        at = p.approxQuantile("p", [i / k for i in range(1, k)], 0.1 / k) if k > 1 else []
-        cuts[dim] = np.array(sorted(at))
+        at = p.approxQuantile("p", [i / k for i in range(1, k)], max(0.1 / k, ERROR)) if k > 1 else []
+        cuts[dim] = np.unique(at)
+        sizes = p.select("p").mapInArrow(_ranged(cuts[dim]), "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).toArrow()
+        parts[dim] = np.ones(len(cuts[dim]) + 1, np.int64)
+        parts[dim][sizes["r"].to_numpy()] = -(-sizes["n"].to_numpy() // tile)      # a row per range
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     out = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("i", T.IntegerType()),
                         T.StructField("j", T.IntegerType()), T.StructField("tile", T.IntegerType()),
                         T.StructField("node", T.LongType()), T.StructField("weight", T.LongType()),
                         T.StructField("vec", T.BinaryType())])
-    dealt = nodes.select("node", "dim", "vec", "weight").mapInArrow(_tiles(direction, cuts, reach, out), out)
+    dealt = nodes.select("node", "dim", "vec", "weight").mapInArrow(_tiles(direction, cuts, parts, reach, out), out)
     found = common.stored(dealt.groupBy("dim", "i", "j").applyInArrow(_tile_rows(threshold), _FOUND), "tiles")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.select("node", "root"), "node", "root")
