@@ -42,10 +42,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _softmax(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of ``y`` in each row of logits, the rows' sums); ``z``
+    becomes its exponentials.  Rows are shifted only where they could leave
+    the range of single precision."""
+    if len(z) and (z.max() > 80 or z.min() < -80):
+        z -= z.max(axis=1, keepdims=True)
+    out = z[np.arange(len(y)), y]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return out - np.log(total), total
+
+
+def _down(z: np.ndarray, total: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Gradient of the log probability by the logits, from ``_softmax``."""
+    z *= (-1 / total)[:, None]
+    z[np.arange(len(y)), y] += 1
+    return z
 
 
 class Lanes:
@@ -130,37 +143,37 @@ def _steps(p: dict, x: np.ndarray, new_text: np.ndarray, h: np.ndarray, keep: bo
 def _outputs(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
     """Log probabilities (natural) of words ``y`` after states ``h``; with
     ``grads`` also adds the output's gradients and returns that of ``h``."""
-    per = p["bw"].shape[1]
+    per, n = p["bw"].shape[1], h.shape[1]
     cls, word = y // per, y % per
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    h, cls, word = h[order], cls[order], word[order]
-    rows = np.arange(len(y))
-    lc = _log_softmax(h @ p["wc"] + p["bc"])
-    out = lc[rows, cls]
+    cls, word = cls[order], word[order]
+    one = np.empty((len(y), n + 1), h.dtype)              # a column of ones carries the biases
+    one[:, :n], one[:, n] = h[order], 1
+    wc = np.vstack([p["wc"], p["bc"]])
+    ww = np.concatenate([p["ww"], p["bw"][:, None, :]], axis=1)
+    z = one @ wc
+    out, total = _softmax(z, cls)
     dh = None
     if grads is not None:
-        d = np.exp(lc, out=lc)
-        np.negative(d, out=d)
-        d[rows, cls] += 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
+        d = _down(z, total, cls)
+        g = one.T @ d
+        grads["wc"] += g[:n]
+        grads["bc"] += g[n]
         dh = d @ p["wc"].T
     edge = np.searchsorted(cls, np.arange(len(p["bc"]) + 1))
     for c in np.flatnonzero(np.diff(edge)):
         cut = slice(edge[c], edge[c + 1])
-        hc = h[cut]
-        lw = _log_softmax(hc @ p["ww"][c] + p["bw"][c])
-        k = rows[: len(hc)]
-        out[cut] += lw[k, word[cut]]
+        z = one[cut] @ ww[c]
+        got, total = _softmax(z, word[cut])
+        out[cut] += got
         if grads is not None:
-            d = np.exp(lw, out=lw)
-            np.negative(d, out=d)
-            d[k, word[cut]] += 1
-            grads["ww"][c] += hc.T @ d
-            grads["bw"][c] += d.sum(0)
+            d = _down(z, total, word[cut])
+            g = one[cut].T @ d
+            grads["ww"][c] += g[:n]
+            grads["bw"][c] += g[n]
             dh[cut] += d @ p["ww"][c].T
     back = np.empty_like(order)
-    back[order] = rows
+    back[order] = np.arange(len(y))
     return out[back].astype(np.float64), None if dh is None else dh[back]
 
 

@@ -51,7 +51,7 @@ HELD = 1_500_000
 
 _COUNTS = "h long, c long"
 _BLOCKS = T.StructType([T.StructField("block", T.StringType()), T.StructField("task", T.LongType()),
-                        T.StructField("tokens", T.DoubleType()), T.StructField("sum", T.BinaryType())])
+                        T.StructField("tokens", T.DoubleType()), T.StructField("mean", T.BinaryType())])
 _SCORED = T.StructType([
     T.StructField("_id", T.LongType()), T.StructField("_t", T.LongType()), T.StructField("_class", T.IntegerType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("other", T.LongType()),
@@ -157,16 +157,18 @@ def _learner(vocabulary: Vocabulary, model: dict, square: dict | None, steps: in
         both = [(f"{what}:{k}", v) for what, of in (("p", trainer.p), ("s", trainer.square)) for k, v in of.items()]
         return pa.Table.from_arrays(
             [pa.array([k for k, _ in both]), pa.array([table["shard"][0].as_py()] * len(both), pa.int64()), pa.array([n] * len(both)),
-             pa.array([(v.astype(np.float64) * n).tobytes() for _, v in both], pa.binary())], names=_BLOCKS.names)
+             pa.array([v.astype("<f4").tobytes() for _, v in both], pa.binary())], names=_BLOCKS.names)
     return run
 
 
-def _add_blocks(table: pa.Table) -> pa.Table:
+def _mean_blocks(table: pa.Table) -> pa.Table:
+    """Blocks of several replicas as one, weighted by tokens."""
     table = table.sort_by("task")
-    total = sum(np.frombuffer(b, np.float64) for b in table["sum"].to_pylist())
+    n = table["tokens"].to_pylist()
+    total = sum(np.frombuffer(b, "<f4") * k for b, k in zip(table["mean"].to_pylist(), n))
     return pa.Table.from_arrays(
-        [table["block"][:1], table["task"][:1], pa.array([sum(table["tokens"].to_pylist())]),
-         pa.array([total.tobytes()], pa.binary())], names=_BLOCKS.names)
+        [table["block"][:1], table["task"][:1], pa.array([sum(n)]),
+         pa.array([(total / sum(n)).astype("<f4").tobytes()], pa.binary())], names=_BLOCKS.names)
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> dict:
@@ -186,13 +188,13 @@ def train(texts: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TO
         replicas = shards
         while replicas > 32:
             rows = (rows.withColumn("task", F.expr("task div 32")).groupBy("block", "task")
-                    .applyInArrow(lambda t: _add_blocks(t.select(_BLOCKS.names)), _BLOCKS))
+                    .applyInArrow(lambda t: _mean_blocks(t.select(_BLOCKS.names)), _BLOCKS))
             replicas = -(-replicas // 32)
-        rows = rows.groupBy("block").applyInArrow(lambda t: _add_blocks(t.select(_BLOCKS.names)), _BLOCKS)
-        got = {r["block"]: np.frombuffer(r["sum"], np.float64) / r["tokens"] for r in rows.collect()}   # one model
+        rows = rows.groupBy("block").applyInArrow(lambda t: _mean_blocks(t.select(_BLOCKS.names)), _BLOCKS)
+        got = {r["block"]: np.frombuffer(r["mean"], "<f4") for r in rows.collect()}   # one model
         if got:
-            square = {key: got[f"s:{key}"].reshape(v.shape).astype(np.float32) for key, v in model.items()}
-            model = {key: got[f"p:{key}"].reshape(v.shape).astype(np.float32) for key, v in model.items()}
+            square = {key: got[f"s:{key}"].reshape(v.shape).copy() for key, v in model.items()}
+            model = {key: got[f"p:{key}"].reshape(v.shape).copy() for key, v in model.items()}
     return model
 
 
