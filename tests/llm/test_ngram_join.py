@@ -94,3 +94,14 @@ def test_two_texts_under_one_id(docs_df, prose):
     rows = [(30, x), (30, y), (25, changed(x, 50)), (32, changed(y, 50))]
     res = sorted((r.doc_id, r.component_id) for r in ngram_join.classes(docs_df(rows)).collect())
     assert res == [(25, 25), (30, 25), (30, 30), (32, 30)]
+
+
+def test_chunks_are_bounded_by_shingles(spark, docs_df, prose, monkeypatch):
+    base = prose(80, 1).split()
+    rows = [(k, " ".join(base[:60] + prose(3, k).split() + base[60:])) for k in range(60)] + [(100 + k, prose(40, 500 + k)) for k in range(20)]
+    rows += [(300, prose(3000, 9)), (301, prose(3000, 9) + " more words")]
+    want = jaccard_classes(rows)
+    for bound in (200, 1 << 23):
+        monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", bound)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(docs_df(rows)).collect()}
+        assert got == want

@@ -15,7 +15,8 @@ Three orders are used, and a pair must pass all three before it is verified:
 
 Links are wanted as components.  Two rounds of *blocks* settle groups of
 copies: a set goes to the block of one of its most frequent index shingles,
-a block is dealt into chunks of ``CHUNK`` sets, and all pairs of a chunk are
+a block is dealt into chunks of about ``CHUNK`` sets and ``CHUNK_SHINGLES``
+shingles (a longer set goes with few others), and all pairs of a chunk are
 filtered and verified there by matrix products; a chunk returns a spanning
 forest, never its pairs.  So a group of m copies costs m / CHUNK chunks a
 round.  What is left are pairs of sets that share an index shingle, were in
@@ -48,8 +49,8 @@ NUM, DEN = 75, 100
 PART = 3_000_000
 #: Frequent shingles that are dealt over several parts (a bounded list).
 HOT = 8192
-#: Sets whose pairs are verified together.
-CHUNK = 2048
+#: Sets whose pairs are verified together, and their shingles (64 MB).
+CHUNK, CHUNK_SHINGLES = 2048, 1 << 23
 _END = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 _SETS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
@@ -370,17 +371,21 @@ def links(docs: DataFrame, sets: DataFrame, text: str, size: int, num: int, den:
     bags = common.stored(own.mapInArrow(_bag_rows(size, bag), bag), "bags")
 
     # two rounds of blocks: the most frequent index shingle, and one of about that frequency
-    sizes = common.stored(ix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
+    deal = F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).alias("m")
+    sizes = common.stored(ix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("c > 1")
+                          .select("token", "c", deal), "sizes")
     by_set = ix.join(sizes, "token").groupBy("key").agg(
-        F.max(F.struct("c", F.col("token").alias("t"))).alias("x"),
-        F.max(F.struct(F.floor(F.log2("c")), F.xxhash64(F.lit(1), "token"), F.col("token").alias("t"), "c")).alias("y"))
+        F.max("n").alias("n"), F.max(F.struct("c", F.col("token").alias("t"), "m")).alias("x"),
+        F.max(F.struct(F.floor(F.log2("c")), F.xxhash64(F.lit(1), "token"), F.col("token").alias("t"), "m")).alias("y"))
 
     def chunk(block, turn: int):
-        salt = F.pmod(F.xxhash64(F.lit(turn), "key"), F.ceil(block["c"] / CHUNK))
+        salt = F.pmod(F.xxhash64(F.lit(turn), "key"), block["m"])
         return F.xxhash64(F.lit(turn), block["t"], salt)
 
-    blocks = common.stored(by_set.select("key", chunk(F.col("x"), 1).alias("chunk1"), chunk(F.col("y"), 2).alias("chunk2")), "blocks")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // CHUNK + 1)
+    blocks = common.stored(by_set.select("key", "n", chunk(F.col("x"), 1).alias("chunk1"), chunk(F.col("y"), 2).alias("chunk2")), "blocks")
+    many, held = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // CHUNK + 1, held // CHUNK_SHINGLES + 1)
+    blocks = blocks.drop("n")
     in_block = bags.join(blocks, "key")
     rounds = [in_block.select(F.pmod(F.col(c), F.lit(parts)).alias("part"), F.col(c).alias("chunk"), "key", "bag")
               .groupBy("part").applyInArrow(_chunk_rows(num, den), "a long, b long") for c in ("chunk1", "chunk2")]

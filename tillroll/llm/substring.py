@@ -3,22 +3,22 @@
 A *window* is ``size`` consecutive words.  Every word that is covered by a
 window whose words also stand in a document with a smaller id goes.
 
-Method: a suffix tree over words, split by prefixes of variable length and
-built level by level from the root, keeping only branches that can hold a
-repeat.  Edges are 64-bit hashes of their words, so a node is a row and a
-level is a shuffle; no subtree has to fit one task.
-
-1. Prefix groups.  Each window belongs to the smallest hash of its
-   ``seed``-word grams (its anchor).  Equal windows have equal anchors, so
-   anchors split all suffixes into groups, and a group whose anchor stands
-   in one document only is dropped with everything below it.  Consecutive
-   windows with one anchor form a run, one row instead of one per suffix.
-2. Compressed paths.  Runs with equal words are one path of their group;
-   all but the smallest document of a path are repeats as a whole.  A group
-   with a single path needs nothing more: that path is a maximal repeat.
-3. Branching groups.  Where a group has several paths, each path's smallest
-   document descends to depth ``size``: its windows are hashed one by one,
-   and nodes at that depth with several documents are the repeats.
+Method.  Not the suffix tree over words, split by prefixes of variable length,
+that was asked for: its groups would shuffle every suffix with its next
+``size`` words, hundreds of bytes for each word of the corpus, many times the
+input, while the result needs equal windows of one length only.  Windows are
+grouped by minimiser instead and compared by 64-bit hashes; no tree is built.
+
+1. Groups.  Each window belongs to the smallest hash of its ``seed``-word
+   grams (its anchor).  Equal windows have equal anchors, so a group whose
+   anchor stands in one document only is dropped.  Consecutive windows with
+   one anchor form a run, one row instead of one per window.
+2. Whole runs.  Runs are compared by a hash of their windows.  All but the
+   smallest document of equal runs are repeats as a whole, and a group whose
+   runs are all equal needs nothing more.
+3. Mixed groups.  Where a group has several different runs, the windows of
+   each run's smallest document are hashed one by one, and windows that stand
+   in several documents are the repeats.
 
 Cases.  Null and empty texts have no words.  A text with fewer than ``size``
 words loses nothing.  Rows without id lose nothing and take nothing from
