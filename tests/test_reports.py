@@ -87,3 +87,17 @@ def test_weekday_label_equals_formatted_name(spark):
         F.to_date("d").alias("d"))
     rows = df.select(weekday_name("d").alias("a"), weekday_label(F.weekday("d")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows) and len({r["a"] for r in rows}) == 7
+
+
+def test_kept_tables_can_be_released(spark):
+    from helpers import sales_df
+    from tillroll import session
+    from tillroll.operators import products
+    from tillroll.plans import brief
+    session.release_kept()
+    sales = sales_df(spark, [("2024-01-01", "a", 1, 2, "o"), ("2024-01-02", "b", 1, 1, "p")])
+    assert products.rollup(sales).count() == 2 and brief.business_brief(sales).count() > 0
+    held = list(session._KEPT)
+    assert len(held) == 2 and all(df.storageLevel.useMemory for df in held)
+    session.release_kept()
+    assert not session._KEPT and not any(df.storageLevel.useMemory for df in held)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_words, percent
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, kept
 from ..sources.schema import order_key
 
 # fixed values: defaults and the rare-item floor
@@ -291,8 +291,7 @@ def graph(rules: DataFrame, max_rules: int = 15) -> tuple[DataFrame, DataFrame]:
     t = top_rules(rules, max_rules)
     ends = t.select("rank", F.array_min("antecedents").alias("a_full"),
                     F.array_min("consequents").alias("c_full"), "lift")
-    ends = (ends.withColumn("a", first_words("a_full")).withColumn("c", first_words("c_full"))
-            .persist())                                  # <= max_rules rows, read three times
+    ends = kept(ends.withColumn("a", first_words("a_full")).withColumn("c", first_words("c_full")))   # <= max_rules rows
     edges = (ends.groupBy(F.least("a", "c").alias("src"), F.greatest("a", "c").alias("dst"))
              .agg(F.max_by("lift", "rank").alias("weight")))
     seen = (ends.select("a", "a_full", (F.col("rank") * 2).alias("k"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cut, money, plain_money
+from ..session import kept
 from .prefix import descending_running_sum
 
 # fixed values: ABC cut points and class labels
@@ -28,15 +29,16 @@ def rollup(df: DataFrame, item: str = "product_name", persist: bool = True) -> D
     of the revenue of all named products in percent.
 
     The per-product aggregate (one row per product) is persisted by
-    default: the share's total, the cumulative sums and the rankings all
-    read it, and without the cache each of them would re-read the facts.
+    default (until ``session.release_kept``): the share's total, the
+    cumulative sums and the rankings all read it, and without the cache each
+    of them would re-read the facts.
     """
     per = (df.filter(F.col(item).isNotNull())
            .groupBy(F.col(item).alias("product"))
            .agg(F.sum("total_value").alias("revenue"), F.sum("quantity").alias("quantity"),
                 F.avg("unit_price").alias("avg_price")))
     if persist:
-        per = per.persist()
+        per = kept(per)
     total = per.agg(F.sum("revenue")).scalar()          # scalar subquery, run once
     return per.withColumn("revenue_pct", F.col("revenue") / total * 100)
 

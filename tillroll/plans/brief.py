@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import weekday_label
+from ..session import kept
 
 _COLS = ["section", "rank", "label", "value", "text"]
 
@@ -64,8 +65,8 @@ def brief_aggregate(sales: DataFrame) -> DataFrame:
 def business_brief(sales: DataFrame, aggregate: DataFrame | None = None) -> DataFrame:
     """The brief.  ``aggregate`` (from :func:`brief_aggregate`) may be given
     by a caller that manages its caching; otherwise it is built and
-    persisted here."""
-    g = aggregate if aggregate is not None else brief_aggregate(sales).persist()
+    persisted here, until ``session.release_kept``."""
+    g = aggregate if aggregate is not None else kept(brief_aggregate(sales))
     k = g.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"),              # one row
               F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
     days = g.groupBy("day").agg(F.sum("v").alias("v"))                     # <= 7 rows

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for the plans in this package.  AQE is what turns
 # sort-merge joins of small aggregated sides into broadcast joins at run
@@ -99,6 +99,23 @@ def scratch_dir(spark: SparkSession) -> Iterator[str]:
         remove_folder(spark, path)
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted for results that read it more than once, until
+    :func:`release_kept`."""
+    df = df.persist()
+    _KEPT.append(df)
+    return df
+
+
+def release_kept() -> None:
+    """Drop all tables that operators keep for results already computed."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Shuffle partition count of the session, used to size bucket counts."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
