@@ -41,13 +41,43 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+#: Folders that this process has written and not removed.
+_WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """Path of a folder of its own in the shared folder, for :func:`release`."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables stored so far (after the first ``since``): for a
+    caller whose results are written, since results read them until then."""
+    from tillroll.session import remove_folder
+    while len(_WRITTEN) > since:
+        remove_folder(spark, _WRITTEN.pop())
+
+
+def settled(spark: SparkSession, make, tag: str) -> DataFrame:
+    """The DataFrame that ``make()`` gives, stored; what was stored on the way
+    to it is removed."""
+    mark = len(_WRITTEN)
+    out = stored(make(), tag)
+    own = _WRITTEN.pop()
+    release(spark, mark)
+    _WRITTEN.append(own)
+    return out
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

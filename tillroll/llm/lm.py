@@ -31,8 +31,6 @@ to shards in turn, so that copies are no hot shard.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -179,7 +177,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TO
     shards = max(1, -(-vocabulary.n // shard_tokens))
     spark = texts.sparkSession
     coded = texts.mapInArrow(_encode_rows(vocabulary, shards, rounds), "round int, shard long, place long, ids binary")
-    path = f"{common.shared_dir(spark)}/coded-{uuid.uuid4().hex}"
+    path = common.new_folder(spark, "coded")
     coded.write.partitionBy("round").parquet(path)              # a round reads its own files only
     square = None
     for k in range(rounds):
