@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again."""
+    """All stages over ``documents``, each result written and read again; the
+    tables that a stage stored on its way are removed then.  The caller removes
+    the rest with ``common.release`` when it has written the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.settled(spark, lambda s=stage, d=docs: s(spark, d, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
