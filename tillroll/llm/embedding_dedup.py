@@ -239,3 +239,18 @@ def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     both = good.unionByName(bad)
     return both.select(F.col("_id").alias(vec_id), "n_links", "component_id",
                        F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The result over ``embeddings`` as DuckDB SQL: every pair, then all that can be reached.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+  AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine AS a JOIN fine AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM fine UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM v LEFT JOIN many USING (vec_id) LEFT JOIN least USING (vec_id)
+"""

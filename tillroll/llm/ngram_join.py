@@ -439,3 +439,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) ->
     mark = common.free_name(docs.columns, "_hash")
     kept = kept.withColumn(mark, F.xxhash64(F.col(text))).dropDuplicates([doc_id, mark]).drop(mark)
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
+#: The result over ``documents`` as DuckDB SQL: intersections of all sets that share a shingle.
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SIZE} THEN [array_to_string(w, ' ')] ELSE list_distinct(
+  list_transform(range(1, len(w) - {SIZE - 2}), lambda i: array_to_string(w[i:i + {SIZE - 1}], ' '))) END AS s FROM w),
+cells AS (SELECT doc_id, unnest(s) AS x FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM cells AS a JOIN cells AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sets AS p ON p.doc_id = a JOIN sets AS q ON q.doc_id = b
+  WHERE {DEN} * n >= {NUM} * (len(p.s) + len(q.s) - n)),
+reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN least USING (doc_id)
+"""

@@ -151,6 +151,32 @@ def op12_periodic_runs(spark, d):
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+#: The same as DuckDB SQL: equal words of a text at every distance, stretches of them as islands.
+OP12_SQL = f"""
+WITH t AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+h AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h,
+  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents, t),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS e FROM h),
+d AS (SELECT doc_id, n, CASE WHEN hit THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1]
+  ELSE w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1] END) ELSE w END AS w FROM g),
+x AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS p FROM x AS a JOIN x AS b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND (b.i - a.i) * 3 <= a.n),
+islands AS (SELECT doc_id, p, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k, i FROM same),
+found AS (SELECT doc_id, min(i) AS start, count(*) + p AS length, p FROM islands GROUP BY doc_id, p, k
+  HAVING count(*) + p >= greatest({periodic.MIN_LEN}, {periodic.MIN_PERIODS} * p)),
+runs AS (SELECT doc_id, start, length, min(p) AS period FROM found GROUP BY ALL),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+texts AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS r FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT x.doc_id, i FROM x JOIN runs ON runs.doc_id = x.doc_id AND i >= start + period AND i < start + length),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(texts.n, 0) AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM d LEFT JOIN texts USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op13_source_mixing(spark, d):
     return mixing.mix(_documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -169,5 +195,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op3_url_filter": url_filter.SQL, "op9_merkle_fixity": OP9_SQL, "op11_centroid_clustering": centroids.SQL,
+    return {"op1_quality_rules": quality.SQL, "op3_url_filter": url_filter.SQL,
+            "op5_embedding_dedup": embedding_dedup.SQL, "op6_ngram_join": ngram_join.SQL, "op7_substring_dedup": substring.SQL,
+            "op9_merkle_fixity": OP9_SQL, "op11_centroid_clustering": centroids.SQL, "op12_periodic_runs": OP12_SQL,
             "op13_source_mixing": mixing.SQL}

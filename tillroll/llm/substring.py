@@ -196,3 +196,17 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         return F.col("_row")[c].alias(c)
 
     return both.select(*[column(c) for c in docs.columns])
+
+
+#: The digests of ``judge`` over ``documents`` as DuckDB SQL: all windows, by their words.
+SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, len(w) AS n, w FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {SIZE - 1}], ' ') AS g FROM words WHERE i + {SIZE - 1} <= n),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE least < doc_id),
+marked AS (SELECT words.doc_id, x, words.i, coalesce(max(again.i) OVER (PARTITION BY words.doc_id ORDER BY words.i
+  ROWS BETWEEN {SIZE - 1} PRECEDING AND CURRENT ROW) IS NOT NULL, FALSE) AS gone FROM words LEFT JOIN again USING (doc_id, i)),
+sums AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
