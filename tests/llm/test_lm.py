@@ -164,8 +164,8 @@ def test_vocabulary_grows_with_the_corpus():
 
 
 def test_copies_are_dealt_to_all_shards(spark):
-    rows = spark.createDataFrame([(7, "the same text every time") for _ in range(4000)], "_k long, _x string")
+    rows = spark.createDataFrame([(7, 1, 0, "the same text every time") for _ in range(4000)], "_id long, _t long, _class int, _x string")
     words = lm.vocabulary_of(lm.count_tokens(rows.select("_x")))
-    coded = rows.mapInArrow(lm._encode_rows(words, 8, 4), "round int, shard long, place long, ids binary")
+    coded = lm.code(rows, words, shard_tokens=3000, rounds=4)
     many = [r["count"] for r in coded.groupBy("round", "shard").count().collect()]
     assert len(many) == 32 and max(many) < 400

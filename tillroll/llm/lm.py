@@ -50,11 +50,14 @@ HELD = 1_500_000
 _COUNTS = "h long, c long"
 _BLOCKS = T.StructType([T.StructField("block", T.StringType()), T.StructField("task", T.LongType()),
                         T.StructField("tokens", T.DoubleType()), T.StructField("mean", T.BinaryType())])
-_SCORED = T.StructType([
+_CODED = T.StructType([
     T.StructField("_id", T.LongType()), T.StructField("_t", T.LongType()), T.StructField("_class", T.IntegerType()),
-    T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("other", T.LongType()),
-    T.StructField("base", T.DoubleType()), T.StructField("rest", T.DoubleType()), T.StructField("model", T.DoubleType()),
+    T.StructField("round", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("place", T.LongType()),
+    T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
+    T.StructField("other", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rest", T.DoubleType()),
     T.StructField("tail_h", T.ArrayType(T.LongType())), T.StructField("tail_m", T.ArrayType(T.IntegerType()))])
+_SCORED = T.StructType([_CODED[c] for c in ("_id", "_t", "_class", "n_tokens", "known", "other", "base", "rest")]
+                       + [T.StructField("model", T.DoubleType())])
 
 
 def held_out_class(doc_id: Column) -> Column:
@@ -115,29 +118,60 @@ class Vocabulary:
         return hit[back], c[back], i[back].astype(np.int32)
 
 
-def _encode_rows(vocabulary: Vocabulary, shards: int, rounds: int):
-    """Texts as word numbers, dealt to rounds and shards by their key."""
-    kind = "<u2" if vocabulary.side ** 2 <= 1 << 16 else "<u4"
+def _ids_of(vocabulary: Vocabulary) -> str:
+    return "<u2" if vocabulary.side ** 2 <= 1 << 16 else "<u4"
+
+
+def _code_rows(vocabulary: Vocabulary, shards: int, rounds: int):
+    """Texts as word numbers, dealt to rounds and shards by their key, with
+    what the head tells of their unigram scores and the words beyond it."""
+    kind = _ids_of(vocabulary)
 
     def run(batches):
         seen: dict[int, int] = {}
         for part, raw in common.slices(batches, "_x"):
             h, first = tokens(raw)
-            ids = vocabulary.look_up(h)[2].astype(kind)
+            hit, c, ids = vocabulary.look_up(h)
+            n = len(raw)
+            owner = np.repeat(np.arange(n), np.diff(first))
+            other = ids == vocabulary.unknown
+            value = np.where(hit, np.log10(c + 0.5), 0.0)
+            add = lambda w: np.bincount(owner, w, n)
+            tail = np.empty(int((~hit).sum()), [("o", np.int64), ("h", np.uint64)])
+            tail["o"], tail["h"] = owner[~hit], h[~hit]
+            tail, many = np.unique(tail, return_counts=True)
+            edge = np.searchsorted(tail["o"], np.arange(n + 1)).astype(np.int32)
             key = part.column(part.schema.get_field_index("_k")).to_numpy().view(np.uint64)
-            turn = np.empty(len(key), np.uint64)
+            turn = np.empty(n, np.uint64)
             for i, k in enumerate(key.tolist()):
                 turn[i] = seen[k] = seen.get(k, -1) + 1
             place = common.mixed(key + turn)
+            packed = ids.astype(kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((place % np.uint64(rounds)).astype(np.int32)),
+                [*[part.column(part.schema.get_field_index(name)) for name in ("_id", "_t", "_class")],
+                 pa.array((place % np.uint64(rounds)).astype(np.int32)),
                  pa.array((place // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)), common.i64(place),
-                 pa.array([x.tobytes() for x in np.split(ids, first[1:-1])], pa.binary())], names=["round", "shard", "place", "ids"])
+                 pa.array([x.tobytes() for x in np.split(packed, first[1:-1])], pa.binary()),
+                 pa.array(np.diff(first).astype(np.int64)), pa.array(add((hit & (c > 0)).astype(float)).astype(np.int64)),
+                 pa.array(add(other.astype(float)).astype(np.int64)), pa.array(add(value)), pa.array(add(np.where(other, value, 0.0))),
+                 pa.ListArray.from_arrays(pa.array(edge), common.i64(np.ascontiguousarray(tail["h"]))),
+                 pa.ListArray.from_arrays(pa.array(edge), pa.array(many.astype(np.int32)))], names=_CODED.names)
     return run
 
 
+def code(keyed: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+    """All texts coded once, stored by round; training and scoring read them."""
+    shards = max(1, -(-vocabulary.n // shard_tokens))
+    path = common.new_folder(keyed.sparkSession, "coded")
+    rows = keyed.select("_id", "_t", "_class", F.xxhash64("_id", "_t").alias("_k"), "_x").mapInArrow(
+        _code_rows(vocabulary, shards, rounds), _CODED)
+    rows.write.partitionBy("round").parquet(path)               # a round reads its own files only
+    names = [c for c in _CODED.names if c != "round"]
+    return keyed.sparkSession.read.schema(T.StructType([*[_CODED[c] for c in names], _CODED["round"]])).parquet(path)
+
+
 def _learner(vocabulary: Vocabulary, model: dict, square: dict | None, steps: int):
-    kind = "<u2" if vocabulary.side ** 2 <= 1 << 16 else "<u4"
+    kind = _ids_of(vocabulary)
 
     def run(table: pa.Table) -> pa.Table:
         common.one_blas_thread()
@@ -169,19 +203,15 @@ def _mean_blocks(table: pa.Table) -> pa.Table:
          pa.array([(total / sum(n)).astype("<f4").tobytes()], pa.binary())], names=_BLOCKS.names)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> dict:
-    """The model after all rounds over ``texts`` (``_k`` key, ``_x`` text)."""
+def train(coded: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> dict:
+    """The model after all rounds over the training texts of ``coded``."""
     model = gru.initial(vocabulary.counts, vocabulary.side, vocabulary.side)
     if not vocabulary.n:
         return model
     shards = max(1, -(-vocabulary.n // shard_tokens))
-    spark = texts.sparkSession
-    coded = texts.mapInArrow(_encode_rows(vocabulary, shards, rounds), "round int, shard long, place long, ids binary")
-    path = common.new_folder(spark, "coded")
-    coded.write.partitionBy("round").parquet(path)              # a round reads its own files only
     square = None
     for k in range(rounds):
-        part = spark.read.schema("shard long, place long, ids binary, round int").parquet(path).where(F.col("round") == k).drop("round")
+        part = coded.where((F.col("round") == k) & (F.col("_class") != 1)).select("shard", "place", "ids")
         rows = part.groupBy("shard").applyInArrow(_learner(vocabulary, model, square, k * (vocabulary.n // (shards * rounds * gru.STEP))), _BLOCKS)
         replicas = shards
         while replicas > 32:
@@ -197,41 +227,29 @@ def train(texts: DataFrame, vocabulary: Vocabulary, shard_tokens: int = SHARD_TO
 
 
 def _score_rows(vocabulary: Vocabulary, model: dict):
+    """Log10 probabilities of coded texts; the other columns pass."""
+    kind = _ids_of(vocabulary)
+
     def finish(held):
-        ids = [i for h in held for i in h[1]]
-        got = gru.log_probs(model, ids, vocabulary.end)
+        batches, texts = [b for b, _ in held], [x for _, part in held for x in part]
+        got = gru.log_probs(model, texts, vocabulary.end) / np.log(10)
         lo = 0
-        for cols, own in held:
-            hi = lo + len(own)
-            yield pa.RecordBatch.from_arrays([*cols[:8], pa.array(got[lo:hi] / np.log(10)), *cols[8:]], schema=schema)
+        for batch in batches:
+            hi = lo + batch.num_rows
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in _SCORED.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(got[lo:hi])], names=_SCORED.names)
             lo = hi
 
-    schema = pa.schema([("_id", pa.int64()), ("_t", pa.int64()), ("_class", pa.int32()), ("n_tokens", pa.int64()),
-                        ("known", pa.int64()), ("other", pa.int64()), ("base", pa.float64()), ("rest", pa.float64()),
-                        ("model", pa.float64()), ("tail_h", pa.list_(pa.int64())), ("tail_m", pa.list_(pa.int32()))])
-
     def run(batches):
         common.one_blas_thread()
         held, size = [], 0
-        for part, raw in common.slices(batches, "_x"):
-            h, first = tokens(raw)
-            hit, c, ids = vocabulary.look_up(h)
-            n = len(raw)
-            owner = np.repeat(np.arange(n), np.diff(first))
-            other = ids == vocabulary.unknown
-            value = np.where(hit, np.log10(c + 0.5), 0.0)
-            add = lambda w: np.bincount(owner, w, n)
-            tail = np.empty(int((~hit).sum()), [("o", np.int64), ("h", np.uint64)])
-            tail["o"], tail["h"] = owner[~hit], h[~hit]
-            tail, many = np.unique(tail, return_counts=True)
-            edge = np.searchsorted(tail["o"], np.arange(n + 1)).astype(np.int32)
-            cols = [part.column(0).cast(pa.int64()), part.column(1), part.column(2), pa.array(np.diff(first).astype(np.int64)),
-                    pa.array(add((hit & (c > 0)).astype(float)).astype(np.int64)), pa.array(add(other.astype(float)).astype(np.int64)),
-                    pa.array(add(value)), pa.array(add(np.where(other, value, 0.0))),
-                    pa.ListArray.from_arrays(pa.array(edge), common.i64(np.ascontiguousarray(tail["h"]))),
-                    pa.ListArray.from_arrays(pa.array(edge), pa.array(many.astype(np.int32)))]
-            held.append((cols, np.split(ids, first[1:-1])))
-            size += len(ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index("ids")
+            texts = [np.frombuffer(x, kind).astype(np.int32) for x in batch.column(at).to_pylist()]
+            held.append((batch, texts))
+            size += sum(map(len, texts))
             if size >= HELD:
                 yield from finish(held)
                 held, size = [], 0
@@ -269,9 +287,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int
     training = keyed.where("_class <> 1")
     counts = count_tokens(training.select("_x"))
     words = vocabulary_of(counts, head)
-    model = train(training.select(F.xxhash64("_id", "_t").alias("_k"), "_x"), words, shard_tokens, rounds)
-    scored = common.stored(keyed.select("_id", "_t", "_class", "_x").mapInArrow(_score_rows(words, model), _SCORED), "scored")
-    tail = (scored.select("_id", "_t", F.explode(F.arrays_zip("tail_h", "tail_m")).alias("x"))
+    coded = code(keyed, words, shard_tokens, rounds)
+    model = train(coded, words, shard_tokens, rounds)
+    scored = common.stored(coded.select("ids", *_SCORED.names[:-1]).mapInArrow(_score_rows(words, model), _SCORED), "scored")
+    tail = (coded.select("_id", "_t", F.explode(F.arrays_zip("tail_h", "tail_m")).alias("x"))
             .select("_id", "_t", F.col("x.tail_h").alias("h"), F.col("x.tail_m").alias("m")))
     seen = F.coalesce("c", F.lit(0))
     rare = (tail.join(counts, "h", "left").groupBy("_id", "_t")
