@@ -56,3 +56,29 @@ def test_empty_documents(spark, planted, tmp_path):
         docs = stage(spark, docs, d)
         assert docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == 0
+
+
+def test_null_repeated_and_very_long_rows(spark, prose, tmp_path):
+    from collections import Counter
+    long_ = prose(30_000, 1)
+    rows = [(i, prose(60, 100 + i), "en", None if i % 3 else "h", 1) for i in range(40)]
+    rows += [(None, prose(60, 300 + i), None, "h", None) for i in range(4)] + [(50, long_, "en", "h", 2), (51, long_ + " end", "en", "h", 2)]
+    rows += rows[:3] + [rows[40]] * 2 + [(7, prose(70, 400), "en", "h", 5), (60, None, None, None, None), (None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, str(tmp_path)), "stage")
+        seen.append(Counter((r.doc_id, r.text) for r in docs.collect()))
+    full = Counter((r[0], r[1]) for r in rows if r[1] is not None)
+    assert seen[0] == seen[1] == full                                             # only rows without text go
+    kept = Counter(set(full)) - Counter([(51, long_ + " end")])                   # one of equal rows, of near copies the first
+    kept.update({k: n - 1 for k, n in full.items() if k[0] is None})              # rows without id stay
+    assert seen[2] == kept
+    assert {i for i, _ in seen[3]} == {i for i, _ in kept}
+    tokens = Counter()
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        tokens[p.doc_id] += p.length
+    assert set(tokens) == {i for i, _ in kept} and tokens[50] > 30_000

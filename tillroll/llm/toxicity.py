@@ -87,17 +87,22 @@ class Rows:
     words), then dense columns."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, n: int, k: int, dense: np.ndarray | None = None):
-        self.row, self.col, self.n, self.k = row, col, n, k
+        self.row, self.col, self.n, self.k = row, col, n, k                # ``row`` ascends
         self.dense = np.zeros((n, 0)) if dense is None else np.asarray(dense, np.float64)
+        self.first = np.searchsorted(row, np.arange(n))
+        self.some = np.append(self.first[1:], len(row)) > self.first
 
     def __len__(self) -> int:
         return self.n
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[: self.k][self.col], self.n) + self.dense @ w[self.k:]
+        out = (self.dense * w[self.k:]).sum(axis=1)
+        if len(self.row):
+            out[self.some] += np.add.reduceat(w[self.col], self.first[self.some])
+        return out
 
     def transposed_dot(self, r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.col, r[self.row], self.k), self.dense.T @ r])
+        return np.concatenate([np.bincount(self.col, r[self.row], self.k), (self.dense * r[:, None]).sum(axis=0)])
 
     def where(self, mask: np.ndarray) -> "Rows":
         at = np.cumsum(mask) - 1
@@ -108,8 +113,10 @@ class Rows:
         return Rows(self.row, self.col, self.n, self.k, np.column_stack([self.dense, c]))
 
 
-def fit_logistic(x: "Rows | np.ndarray", y: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression (the bias is not shrunk) by L-BFGS."""
+def fit_logistic(x: "Rows | np.ndarray", y: np.ndarray, l2: float = 1.0, steps: int = 300,
+                 start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression (the bias is not shrunk) by L-BFGS, from
+    ``start`` (weights, then the bias) if given: the optimum is the same."""
     if isinstance(x, np.ndarray):
         none = np.zeros(0, np.int64)
         x = Rows(none, none, len(x), 0, x)
@@ -123,11 +130,12 @@ def fit_logistic(x: "Rows | np.ndarray", y: np.ndarray, l2: float = 1.0, steps:
         r = _sigmoid(m) - y
         return value, np.append(x.transposed_dot(r), r.sum()) + ridge * w
 
-    w = np.zeros(size + 1)
+    w = np.zeros(size + 1) if start is None else start.copy()
+    enough = max(1e-4, 2e-6 * len(x))                     # of a gradient that sums over the rows
     value, grad = loss(w)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        if np.abs(grad).max() < 1e-4:
+        if np.abs(grad).max() < enough:
             break
         q, alphas = grad.copy(), []
         for s, g in reversed(past):
@@ -178,14 +186,15 @@ def fit_chain(x: Rows, features: np.ndarray, y: np.ndarray, names: list[str], fo
             oof = np.full(n, share)
         else:
             oof = np.zeros(n)
+            w, b = fit_logistic(x.where(known), yk[known])
+            whole = np.append(w, b)
             for f in range(folds):
                 rest, mine = known & (fold != f), fold == f
                 if len(np.unique(yk[rest])) < 2:
                     oof[mine] = yk[known].mean()
                     continue
-                w, b = fit_logistic(x.where(rest), yk[rest])
-                oof[mine] = _sigmoid(x.where(mine).dot(w) + b)
-            w, b = fit_logistic(x.where(known), yk[known])
+                part, at = fit_logistic(x.where(rest), yk[rest], start=whole)
+                oof[mine] = _sigmoid(x.where(mine).dot(part) + at)
             links.append(Link(name, w, b, best_threshold(oof[known], yk[known])))
         x = x.with_column(oof)
     return Chain(features, links)
