@@ -258,11 +258,14 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 class IdTable:
     """Ids of spans, encoded once per distinct span and kept, within a bound,
-    under the span's bytes for later slices."""
+    under the span's bytes for later slices.  When half of the bound is
+    reached, a new generation starts and the one before the last goes; spans
+    that come again move on, so frequent ones stay."""
 
     def __init__(self, encode_many, most: int):
         self.encode_many, self.most = encode_many, most
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,12 +290,18 @@ class IdTable:
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         first, back = self.distinct(data, start, end, hashes)
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
         raw = data.tobytes()
         keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
         got = list(map(self.known.get, keys))
-        new = [i for i, g in enumerate(got) if g is None]
+        new = []
+        for i in [i for i, g in enumerate(got) if g is None]:
+            got[i] = self.older.get(keys[i])
+            if got[i] is None:
+                new.append(i)
+            else:
+                self.known[keys[i]] = got[i]
         for i, ids in zip(new, self.encode_many([keys[i] for i in new])):
             got[i] = ids
             if len(ids) <= 256:

@@ -35,7 +35,7 @@ from . import common
 
 #: Pieces that compete for a sequence; a bound on memory, not on results.
 BLOCK = 4096
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 300_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
