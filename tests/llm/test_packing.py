@@ -92,3 +92,30 @@ def test_loss_column(spark):
         per[p.sequence_id] += p.loss_tokens
     assert max(per.values()) <= 64
     assert sum(p.loss_tokens for p in got) == 501
+
+
+class Counted:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_new_words_reach_the_tokenizer_together(library):
+    """Thousands of new words, odd ones among them: the library's ids, in a few texts."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdeéßñøžĀ"))
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 14, 3000)]
+    words += ["İx", "don't", "a1b22", "<<>>", "日本", "é", "Σ", "x\x85y", "'s", "''s", "w" * 3000]
+    tok = packing.ChunkTokenizer(open(PATH).read())
+    counted = []
+    for name in ("tok", "spaced"):
+        if getattr(tok, name, None):
+            counted.append(Counted(getattr(tok, name)))
+            setattr(tok, name, counted[-1])
+    got = tok.encode(pa.array([" ".join(words).encode(), b"\xff\xfe z\xc3 a"], pa.large_binary()))
+    assert np.frombuffer(got[0], "<u4").tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert np.frombuffer(got[1], "<u4").tolist() == library.encode("�� z� a", add_special_tokens=False).ids
+    assert sum(c.texts for c in counted) < 100

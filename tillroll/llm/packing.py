@@ -22,6 +22,7 @@ empty table gives no pieces.  Columns besides the named ones are ignored.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from array import array
 
@@ -36,6 +37,8 @@ from . import common
 #: Pieces that compete for a sequence; a bound on memory, not on results.
 BLOCK = 4096
 CACHE_CHUNKS = 300_000
+#: New words that the tokenizer gets as one text.
+WORDS_AT_ONCE = 128
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
@@ -49,17 +52,19 @@ class ChunkTokenizer:
     """Ids of whole texts with bounded caches.
 
     Runs between ASCII white space are looked up whole; the vocabulary's
-    splitting never crosses that.  A new run of plain Latin text is
+    splitting never crosses that.  New runs of plain Latin text are
     normalised and split by the vocabulary's own pattern, so that only new
-    words reach the tokenizer; any other run goes there whole.
+    words reach the tokenizer, many in one text with spaces between them: an
+    id that ends a word tells where the next one starts.  Any other run goes
+    there whole and by itself.
     """
 
     def __init__(self, tokenizer_json: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.table = common.IdTable(self.many, CACHE_CHUNKS)
-        self.find = None
+        self.find = self.spaced = None
         plan = json.loads(tokenizer_json)
         steps = [n["type"] for n in (plan.get("normalizer") or {}).get("normalizers", [])]
         splits = (plan.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -67,28 +72,64 @@ class ChunkTokenizer:
         if steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("invert") \
                 and splits[1]["type"] == "ByteLevel" and not splits[1].get("add_prefix_space"):
             self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            suffix, words = plan["model"].get("end_of_word_suffix"), self.tok.get_vocab()
+            if suffix and not splits[1].get("use_regex", True) \
+                    and all(c in words and c + suffix in words for c in pre_tokenizers.ByteLevel.alphabet()):
+                self.closes = np.zeros(max(words.values()) + 1, bool)
+                self.closes[[i for w, i in words.items() if w.endswith(suffix)]] = True
+                at_space = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+                self.spaced = Tokenizer.from_str(json.dumps(plan | {
+                    "normalizer": None, "added_tokens": [],
+                    "pre_tokenizer": plan["pre_tokenizer"] | {"pretokenizers": [at_space, splits[1]]}}))
 
-    def pieces(self, chunk: bytes) -> list[str]:
-        """What of a run is encoded by itself.
+    def pieces(self, chunks: list[bytes]) -> list[tuple[bool, list[str]]]:
+        """What of each run is encoded by itself, and whether that is words in
+        normal form.
 
         Up to U+024F there is nothing to compose, and lower case does not
         depend on the neighbours, so ``lower`` is the vocabulary's whole
         normalisation there.
         """
-        text = chunk.decode("utf-8", "replace")
-        if self.find is None or not text.isascii() and max(text) > "\u024f":
-            return [text]
-        low = text.lower()
-        if low.isalpha():
-            return [low]
-        return [text] if any(s in text for s in self.special) else self.find(low)
+        text = b" ".join(chunks).decode("utf-8", "replace")     # a run holds no space
+        if self.find is None:
+            return [(False, [t]) for t in text.split(" ")]
+        out = []
+        for t, low in zip(text.split(" "), text.lower().split(" ")):
+            if not t.isascii() and max(t) > "\u024f":
+                out.append((False, [t]))
+            elif low.isalpha():
+                out.append((True, [low]))
+            else:
+                out.append((False, [t]) if any(s in t for s in self.special) else (True, self.find(low)))
+        return out
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these words in normal form."""
+        out = []
+        texts = [words[lo:lo + WORDS_AT_ONCE] for lo in range(0, len(words), WORDS_AT_ONCE)]
+        got = self.spaced.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False) if self.spaced else [None] * len(texts)
+        for text, e in zip(texts, got):
+            ids = np.array(e.ids if e else (), "<u4")
+            edge = (np.flatnonzero(self.closes[ids]) + 1).tolist() if e else []
+            if len(edge) == len(text):
+                raw = ids.tobytes()
+                out += [raw[4 * a:4 * b] for a, b in zip([0] + edge, edge)]
+            else:
+                out += self.alone(text)
+        return out
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def many(self, chunks: list[bytes]) -> list[bytes]:
-        split = [self.pieces(c) for c in chunks]
-        todo = list({p for ps in split for p in ps})
-        words = {p: array("I", e.ids).tobytes()
-                 for p, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False))}
-        return [words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps]) for ps in split]
+        if not chunks:
+            return []
+        split = self.pieces(chunks)
+        known = {}
+        for plain, encode in ((True, self.words), (False, self.alone)):
+            todo = list({p for normal, ps in split if normal == plain for p in ps})
+            known[plain] = dict(zip(todo, encode(todo)))
+        return [known[plain][ps[0]] if len(ps) == 1 else b"".join([known[plain][p] for p in ps]) for plain, ps in split]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (large_binary) as little-endian uint32."""
@@ -186,6 +227,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
     cols = [doc_id, text] + ([loss] if loss else [])
 
     def run(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # Spark runs a task per core
         tok = common.per_worker(("tokenizer", key), lambda: ChunkTokenizer(vocabulary))
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 40
