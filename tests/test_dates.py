@@ -2,11 +2,13 @@
 
 import datetime as dt
 import warnings
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators.clean import clean
+from tillroll.plans import fixtures
 from tillroll.sources import dates
 from tillroll.sources.dates import Layout
 
@@ -87,3 +89,27 @@ def test_clean_reads_a_column_by_its_layout(spark):
 def test_names_are_distinct():
     names = [a.name for a in dates.candidates()]
     assert len(set(names)) == len(names)
+
+
+def test_day_first_sales_join_by_order_once(spark, tmp_path):
+    """Layouts of an order join while its lines lie by order: no shuffle of the
+    finished rows; orders, parts and lines that come twice multiply as joins do."""
+    at = dt.datetime(2024, 2, 13, 8, 5)
+    lines = [(k, 1, 2, n, 3.0, "N") for k in (6, 7, 8) for n in (1, 2)] + [(6, 1, 2, 1, 3.0, "N"), (None, 1, 2, 1, 3.0, "N")]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"),
+        "orders": ([(6, 1, at), (7, 2, at), (7, 2, at), (None, 3, at), (8, 3, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "part": ([(1, "RED gizmo", 9.5), (1, "RED gizmo", 9.5)], "p_partkey long, p_name string, p_retailprice double")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = fixtures.day_first_sales(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = Counter((r.InvoiceNo, r.InvoiceDate) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert got == {("6", "13/2/2024 8:05"): 6, ("7", "2024-02-13"): 16, ("8", None): 4}
+    assert df.columns == fixtures.raw_sales(spark, str(tmp_path)).columns
+    assert plan.count("Exchange hashpartitioning") == 5

@@ -42,9 +42,20 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(_lines(spark, sf_dir))
+
+
+def _lines(spark: SparkSession, sf_dir: str, of_order: DataFrame | None = None) -> DataFrame:
+    """Order lines with their order and part; ``of_order`` (keyed ``_order``)
+    joins on the order key as well, while the lines still lie by it."""
     li, o, p = _tables(spark, sf_dir)
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(p, li.l_partkey == p.p_partkey))
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    if of_order is not None:
+        j = j.join(of_order, li.l_orderkey == of_order["_order"])
+    return j.join(p, li.l_partkey == p.p_partkey)
+
+
+def _raw(j: DataFrame, *more: str) -> DataFrame:
     c = F.col
     invoice_date = (F.when(c("l_orderkey") % 97 == 3, F.lit("not a date"))
                     .when(c("l_orderkey") % 89 == 5, F.lit(None).cast("string"))
@@ -65,6 +76,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("l_orderkey").cast("string").alias("InvoiceNo"),
         c("o_custkey").cast("string").alias("CustomerID"),
         c("l_returnflag").alias("ExtraCol"),
+        *more,
     )
 
 
@@ -120,15 +132,14 @@ def day_first_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_sales`` with day-first dates, some with a time of day; a few stay
     ISO text, and a few have the month first, which the column excludes."""
     c = F.col
-    li, o, p = _tables(spark, sf_dir)
-    when = o.select("o_orderkey", (F.when(c("o_orderkey") % 101 == 7, F.date_format("o_orderdate", "yyyy-MM-dd"))
-                                   .when(c("o_orderkey") % 103 == 9, F.date_format("o_orderdate", "MM/dd/yyyy"))
-                                   .when(c("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d/M/yyyy H:mm"))
-                                   .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("_when"))
-    raw = raw_sales(spark, sf_dir)
+    _, o, _ = _tables(spark, sf_dir)
+    when = o.select(c("o_orderkey").alias("_order"), (F.when(c("o_orderkey") % 101 == 7, F.date_format("o_orderdate", "yyyy-MM-dd"))
+                                                       .when(c("o_orderkey") % 103 == 9, F.date_format("o_orderdate", "MM/dd/yyyy"))
+                                                       .when(c("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d/M/yyyy H:mm"))
+                                                       .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("_when"))
+    raw = _raw(_lines(spark, sf_dir, when), "_when")
     bad = c("InvoiceDate").isNull() | (c("InvoiceDate") == "not a date")
-    return (raw.join(when, raw["InvoiceNo"].cast("bigint") == when["o_orderkey"])
-            .select(F.when(bad, c("InvoiceDate")).otherwise(c("_when")).alias("InvoiceDate"), *raw.columns[1:]))
+    return raw.select(F.when(bad, c("InvoiceDate")).otherwise(c("_when")).alias("InvoiceDate"), *raw.columns[1:-1])
 
 
 # day_first_sales and its cleaning, in DuckDB
