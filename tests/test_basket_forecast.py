@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import numpy as np
 import pytest
@@ -278,3 +279,21 @@ def test_itemsets_over_many_buckets(spark, monkeypatch):
         monkeypatch.setattr(basket, "BUCKET_ORDERS", orders)
         got = {tuple(r["items"]): r["cnt"] for r in basket.frequent_itemsets(pairs, 900, 0.02).collect()}
         assert got == {c: n for c, n in want.items() if n >= 18}
+
+
+def test_triples_move_no_pairs_of_bitmaps(spark):
+    """Pairs are combined in their bucket: no shuffle by pair carries bitmaps."""
+    bits = spark.createDataFrame([(b, i, [7 * b + k, 3]) for b in (0, 1) for k, i in enumerate("abcd")],
+                                 "bucket int, item string, words array<bigint>").repartition("bucket")
+    frequent = spark.createDataFrame([("a", "b", 4), ("a", "c", 4), ("b", "c", 4), ("c", "d", 4)], "x string, y string, cnt bigint")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = basket._triple_counts(bits, frequent)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    want = sum((x & y & z).bit_count() for b in (0, 1) for x, y, z in ((7 * b, 7 * b + 1, 7 * b + 2), (3, 3, 3)))
+    assert rows == [("a", "b", "c", want)]
+    assert not re.search(r"hashpartitioning\(x#\d+, y#\d+, \d+\)", plan)

@@ -134,13 +134,14 @@ def _pair_counts(bitmaps: DataFrame) -> DataFrame:
 def _triple_counts(bitmaps: DataFrame, frequent: DataFrame) -> DataFrame:
     """Orders that hold three items whose three pairs are all frequent: per
     bucket and frequent pair one AND, then one with each third item."""
-    pair = frequent.select("x", "y")
-    ends = pair.groupBy("x").agg(F.array_sort(F.collect_list("y")).alias("ys"))           # frequent partners of an item
-    thirds = (pair.join(ends, "x").join(ends.select(F.col("x").alias("y"), F.col("ys").alias("zs")), "y")
-              .select("x", "y", F.array_intersect("ys", "zs").alias("zs")).where(F.size("zs") > 0))
-    x, y, z = (bitmaps.select("bucket", F.col("item").alias(c), F.col("words").alias(f"w{c}")) for c in "xyz")
-    two = (x.join(y, "bucket").where("x < y").join(thirds, ["x", "y"])
-           .select("bucket", "x", "y", "zs", _both(F.col("wx"), F.col("wy")).alias("wxy")).where(F.exists("wxy", lambda w: w != 0)))
+    ends = frequent.groupBy(F.col("x").alias("item")).agg(F.collect_list("y").alias("ys"))   # frequent partners of an item
+    # the partners travel with an item's bitmap, so that pairs of bitmaps never leave their bucket
+    linked = bitmaps.join(ends, "item")
+    x, y = (linked.select("bucket", F.col("item").alias(c), F.col("words").alias(f"w{c}"), F.col("ys").alias(f"s{c}")) for c in "xy")
+    z = bitmaps.select("bucket", F.col("item").alias("z"), F.col("words").alias("wz"))
+    two = (x.join(y, "bucket").where(F.array_contains("sx", F.col("y")))
+           .select("bucket", "x", "y", F.array_intersect("sx", "sy").alias("zs"), _both(F.col("wx"), F.col("wy")).alias("wxy"))
+           .where((F.size("zs") > 0) & F.exists("wxy", lambda w: w != 0)))
     three = two.join(z, "bucket").where(F.array_contains("zs", F.col("z"))).select("x", "y", "z", _bits(_both(F.col("wxy"), F.col("wz"))).alias("n"))
     return three.where("n > 0").groupBy("x", "y", "z").agg(F.sum("n").alias("cnt"))
 
