@@ -36,7 +36,7 @@ from . import common
 
 #: Pieces that compete for a sequence; a bound on memory, not on results.
 BLOCK = 4096
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 #: New words that the tokenizer gets as one text.
 WORDS_AT_ONCE = 128
 
@@ -72,6 +72,7 @@ class ChunkTokenizer:
         if steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("invert") \
                 and splits[1]["type"] == "ByteLevel" and not splits[1].get("add_prefix_space"):
             self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            self.odd = regex.compile("|".join(["[^\\0-\u024f]", *map(regex.escape, sorted(self.special))])).search
             suffix, words = plan["model"].get("end_of_word_suffix"), self.tok.get_vocab()
             if suffix and not splits[1].get("use_regex", True) \
                     and all(c in words and c + suffix in words for c in pre_tokenizers.ByteLevel.alphabet()):
@@ -82,27 +83,6 @@ class ChunkTokenizer:
                     "normalizer": None, "added_tokens": [],
                     "pre_tokenizer": plan["pre_tokenizer"] | {"pretokenizers": [at_space, splits[1]]}}))
 
-    def pieces(self, chunks: list[bytes]) -> list[tuple[bool, list[str]]]:
-        """What of each run is encoded by itself, and whether that is words in
-        normal form.
-
-        Up to U+024F there is nothing to compose, and lower case does not
-        depend on the neighbours, so ``lower`` is the vocabulary's whole
-        normalisation there.
-        """
-        text = b" ".join(chunks).decode("utf-8", "replace")     # a run holds no space
-        if self.find is None:
-            return [(False, [t]) for t in text.split(" ")]
-        out = []
-        for t, low in zip(text.split(" "), text.lower().split(" ")):
-            if not t.isascii() and max(t) > "\u024f":
-                out.append((False, [t]))
-            elif low.isalpha():
-                out.append((True, [low]))
-            else:
-                out.append((False, [t]) if any(s in t for s in self.special) else (True, self.find(low)))
-        return out
-
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each of these words in normal form."""
         out = []
@@ -122,14 +102,29 @@ class ChunkTokenizer:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def many(self, chunks: list[bytes]) -> list[bytes]:
-        if not chunks:
-            return []
-        split = self.pieces(chunks)
-        known = {}
-        for plain, encode in ((True, self.words), (False, self.alone)):
-            todo = list({p for normal, ps in split if normal == plain for p in ps})
-            known[plain] = dict(zip(todo, encode(todo)))
-        return [known[plain][ps[0]] if len(ps) == 1 else b"".join([known[plain][p] for p in ps]) for plain, ps in split]
+        """Ids of each run.
+
+        Up to U+024F there is nothing to compose, and lower case does not
+        depend on the neighbours, so ``lower`` is the vocabulary's whole
+        normalisation there.
+        """
+        text = b" ".join(chunks).decode("utf-8", "replace")     # a run holds no space
+        texts = text.split(" ")
+        if not chunks or self.find is None:
+            return self.alone(texts[:len(chunks)])
+        whole = [i for i, t in enumerate(texts) if self.odd(t)] if self.odd(text) else []
+        low = text.lower().split(" ")
+        split = {i: self.find(t) for i, t in enumerate(low) if not t.isalpha()}
+        for i in whole:
+            split[i], low[i] = [], ""
+        todo = list(dict.fromkeys([t for t in low if t.isalpha()] + [p for ps in split.values() for p in ps]))
+        known = dict(zip(todo, self.words(todo)))
+        out = list(map(known.get, low))
+        for i, ps in split.items():
+            out[i] = b"".join([known[p] for p in ps])
+        for i, ids in zip(whole, self.alone([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (large_binary) as little-endian uint32."""
