@@ -42,11 +42,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _softmax(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _softmax(z: np.ndarray, y: np.ndarray, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """(log probability of ``y`` in each row of logits, the rows' sums); ``z``
     becomes its exponentials.  Rows are shifted only where they could leave
-    the range of single precision."""
-    if len(z) and (z.max() > 80 or z.min() < -80):
+    the range of single precision; with no logit above ``bound`` in size they
+    need not be searched for that."""
+    if len(z) and not bound < 79 and (z.max() > 80 or z.min() < -80):
         z -= z.max(axis=1, keepdims=True)
     out = z[np.arange(len(y)), y]
     np.exp(z, out=z)
@@ -151,7 +152,8 @@ def _outputs(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
     wc = np.vstack([p["wc"], p["bc"]])
     ww = np.concatenate([p["ww"], p["bw"][:, None, :]], axis=1)
     z = one @ wc
-    out, total = _softmax(z, cls)
+    most = max(1.0, float(np.abs(h).max(initial=0)))
+    out, total = _softmax(z, cls, most * float(np.abs(wc).sum(0).max()))
     dh = None
     if grads is not None:
         d = _down(z, total, cls)
@@ -160,10 +162,11 @@ def _outputs(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         grads["bc"] += g[n]
         dh = d @ p["wc"].T
     edge = np.searchsorted(cls, np.arange(len(p["bc"]) + 1))
+    bound = (most * np.abs(ww).sum(1).max(1)).tolist()
     for c in np.flatnonzero(np.diff(edge)):
         cut = slice(edge[c], edge[c + 1])
         z = one[cut] @ ww[c]
-        got, total = _softmax(z, word[cut])
+        got, total = _softmax(z, word[cut], bound[c])
         out[cut] += got
         if grads is not None:
             d = _down(z, total, word[cut])
