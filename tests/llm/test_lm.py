@@ -182,3 +182,44 @@ def test_logits_within_a_bound_are_not_searched():
     assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(want, got))
     far = gru._softmax(z * 100, y, float(np.abs(z).max()) * 100)[0]
     assert np.isfinite(far).all()
+
+
+def test_narrow_windows_share_their_outputs_and_gradients(monkeypatch):
+    """One text longer than all others makes many windows of a few tokens; the
+    costly part runs once per optimiser step, or per gathered group."""
+    rng = np.random.default_rng(5)
+    t = [np.append(rng.integers(1, 16, n), 0).astype(np.int32) for n in [20_000] + [100] * 300]
+    size, windows = sum(map(len, t)), sum(1 for _ in gru.Lanes(t, 0).windows())
+    calls, plain = [], gru._outputs
+    monkeypatch.setattr(gru, "_outputs", lambda p, h, y, g=None: calls.append(len(y)) or plain(p, h, y, g))
+    p = {k: v.astype(np.float32) for k, v in tiny().items()}
+    tr = gru.Trainer(p, 0)
+    tr.learn(t)
+    assert windows > 500 and tr.tokens == size == sum(calls) and tr.steps == len(calls) <= size // gru.STEP + 1
+    calls.clear()
+    gru.log_probs(p, t, 0)
+    assert sum(calls) == size and len(calls) <= size // gru.GROUP + 1
+
+
+def test_windows_side_by_side_give_the_sum_of_their_gradients(monkeypatch):
+    got = []
+    for alone in (False, True):
+        tr = gru.Trainer(tiny(), 0)                  # double precision
+        monkeypatch.setattr(tr, "step", lambda: None)
+        if alone:
+            each = tr._learn_from
+            monkeypatch.setattr(tr, "_learn_from", lambda held: [each([w]) for w in held])
+        tr.learn(texts(9, most=150))
+        got.append(tr.grad)
+    assert all(np.allclose(got[0][k], got[1][k], rtol=1e-9, atol=1e-9) and np.abs(got[0][k]).max() > 0 for k in got[0])
+
+
+def test_blocks_of_rows_do_not_show(monkeypatch):
+    p, rng = tiny(), np.random.default_rng(6)
+    h, y = rng.normal(0, 1, (500, 3)), rng.integers(0, 16, 500)
+    runs = []
+    for rows in (1 << 12, 7):
+        monkeypatch.setattr(gru, "ROWS", rows)
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        runs.append([*gru._outputs(p, h, y, g), *g.values()])
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-9) for a, b in zip(*runs))

@@ -16,6 +16,10 @@ import numpy as np
 HIDDEN, WINDOW, RATE, LANES = 16, 32, 0.06, 1024
 #: Tokens behind one step of the optimiser.
 STEP = 1024
+#: Rows of logits taken at once, so that they stay in a core's cache.
+ROWS = 1 << 12
+#: Tokens that scoring gathers from narrow windows before it takes their outputs.
+GROUP = 1 << 14
 #: Steps over which the rate rises.
 WARM = 24
 
@@ -35,13 +39,6 @@ def initial(counts: np.ndarray, classes: int, per_class: int, hidden: int = HIDD
             "bw": np.log(c / c.sum(1, keepdims=True)).astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def _softmax(z: np.ndarray, y: np.ndarray, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """(log probability of ``y`` in each row of logits, the rows' sums); ``z``
     becomes its exponentials.  Rows are shifted only where they could leave
@@ -49,7 +46,7 @@ def _softmax(z: np.ndarray, y: np.ndarray, bound: float = np.inf) -> tuple[np.nd
     need not be searched for that."""
     if len(z) and not bound < 79 and (z.max() > 80 or z.min() < -80):
         z -= z.max(axis=1, keepdims=True)
-    out = z[np.arange(len(y)), y]
+    out = z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + y]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
     return out - np.log(total), total
@@ -58,7 +55,7 @@ def _softmax(z: np.ndarray, y: np.ndarray, bound: float = np.inf) -> tuple[np.nd
 def _down(z: np.ndarray, total: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Gradient of the log probability by the logits, from ``_softmax``."""
     z *= (-1 / total)[:, None]
-    z[np.arange(len(y)), y] += 1
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + y] += 1
     return z
 
 
@@ -106,7 +103,7 @@ class Lanes:
         """(inputs, targets, mask, owner, starts), all (time, lane)."""
         for lo in range(0, self.steps, WINDOW):
             n = int(np.searchsorted(-self.length, -lo, "left"))
-            step = np.arange(lo, min(lo + WINDOW, self.steps))[:, None]
+            step = np.arange(lo, lo + WINDOW)[:, None]
             mask = step < self.length[:n]
             at = np.minimum(self.base[:n] + step, len(self.y) - 1)
             y = np.where(mask, self.y[at], -1)
@@ -116,28 +113,49 @@ class Lanes:
             yield x, y, mask, np.where(mask, self.owner[at], -1), self.new[at] & mask
 
 
-def _steps(p: dict, x: np.ndarray, new_text: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States after each of the (time, lane) inputs ``x``."""
-    n = h.shape[1]
-    out = np.empty((len(x), *h.shape), np.float32)
-    kept = []
-    given = (p["emb"] + p["bias"])[x]
-    starts = new_text.any(axis=1)
+def _ready(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Input and recurrent weights by gate, (3, ..., hidden) each, so that what
+    a step does to a gate runs over one block of memory; those of the two
+    sigmoids with the sign that the exponential takes."""
+    both = tuple(np.ascontiguousarray(np.moveaxis(m.reshape(len(m), 3, -1), 1, 0)) for m in (p["emb"] + p["bias"], p["rec"]))
+    for m in both:
+        np.negative(m[:2], out=m[:2])
+    return both
+
+
+def _steps(ready: tuple, x: np.ndarray, new_text: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+    """States after each of the (time, lane) inputs ``x``; with ``keep`` also
+    the states before them, the gates with the candidate, and the candidate's
+    recurrent part."""
+    table, weights = ready
+    out = np.empty((len(x), *h.shape), h.dtype)
+    given = np.take(table, x, axis=1)
+    rec, part = np.empty((3, *h.shape), h.dtype), np.empty(h.shape, h.dtype)
+    rec_n = np.empty_like(out) if keep else None
+    starts = new_text.any(axis=1).tolist()
+    last = h
     for t in range(len(x)):
         if starts[t]:
-            h = h * ~new_text[t][:, None]
-        rec = h @ p["rec"]
-        now = given[t]
-        gates = _sigmoid(now[:, : 2 * n] + rec[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = r * rec[:, 2 * n:]
-        new += now[:, 2 * n:]
+            last = last * ~new_text[t][:, None]
+        np.matmul(last, weights, out=rec)
+        gates, new = given[:2, t], given[2, t]
+        gates += rec[:2]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new += np.multiply(gates[1], rec[2], out=part)
         np.tanh(new, out=new)
         if keep:
-            kept.append((h, z, r, new, rec[:, 2 * n:]))
-        h = new + z * (h - new)
-        out[t] = h
-    return out, kept
+            rec_n[t] = rec[2]
+        after = np.subtract(last, new, out=out[t])
+        after *= gates[0]
+        after += new
+        last = after
+    if not keep:
+        return out, ()
+    before = np.concatenate([h[None], out[:-1]])
+    before[new_text] = 0
+    return out, (before, given, rec_n)
 
 
 def _outputs(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
@@ -151,29 +169,39 @@ def _outputs(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
     one[:, :n], one[:, n] = h[order], 1
     wc = np.vstack([p["wc"], p["bc"]])
     ww = np.concatenate([p["ww"], p["bw"][:, None, :]], axis=1)
-    z = one @ wc
     most = max(1.0, float(np.abs(h).max(initial=0)))
-    out, total = _softmax(z, cls, most * float(np.abs(wc).sum(0).max()))
+    bounds = most * float(np.abs(wc).sum(0).max()), most * float(np.abs(ww).sum(1).max())
+    out = np.empty(len(y), h.dtype)
     dh = None
     if grads is not None:
-        d = _down(z, total, cls)
-        g = one.T @ d
-        grads["wc"] += g[:n]
-        grads["bc"] += g[n]
-        dh = d @ p["wc"].T
-    edge = np.searchsorted(cls, np.arange(len(p["bc"]) + 1))
-    bound = (most * np.abs(ww).sum(1).max(1)).tolist()
-    for c in np.flatnonzero(np.diff(edge)):
-        cut = slice(edge[c], edge[c + 1])
-        z = one[cut] @ ww[c]
-        got, total = _softmax(z, word[cut], bound[c])
-        out[cut] += got
+        dh = np.empty_like(h)
+        wc_t, ww_t = np.ascontiguousarray(p["wc"].T), np.ascontiguousarray(p["ww"].transpose(0, 2, 1))
+    for lo in range(0, len(y), ROWS):
+        rows = slice(lo, lo + ROWS)
+        a, c = one[rows], cls[rows]
+        z = a @ wc
+        out[rows], total = _softmax(z, c, bounds[0])
+        if grads is not None:
+            d = _down(z, total, c)
+            g = a.T @ d
+            grads["wc"] += g[:n]
+            grads["bc"] += g[n]
+            np.matmul(d, wc_t, out=dh[rows])
+        # words of one class lie together; only the products are taken class by class
+        edge = np.flatnonzero(np.diff(c, prepend=-1, append=-1))
+        parts = [(k, slice(i, j)) for k, i, j in zip(c[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist())]
+        z = np.empty((len(a), per), h.dtype)
+        for k, cut in parts:
+            np.matmul(a[cut], ww[k], out=z[cut])
+        got, total = _softmax(z, word[rows], bounds[1])
+        out[rows] += got
         if grads is not None:
-            d = _down(z, total, word[cut])
-            g = one[cut].T @ d
-            grads["ww"][c] += g[:n]
-            grads["bw"][c] += g[n]
-            dh[cut] += d @ p["ww"][c].T
+            d = _down(z, total, word[rows])
+            for k, cut in parts:
+                g = a[cut].T @ d[cut]
+                grads["ww"][k] += g[:n]
+                grads["bw"][k] += g[n]
+                dh[rows][cut] += d[cut] @ ww_t[k]
     back = np.empty_like(order)
     back[order] = np.arange(len(y))
     return out[back].astype(np.float64), None if dh is None else dh[back]
@@ -185,13 +213,23 @@ def log_probs(p: dict, texts: list[np.ndarray], end: int) -> np.ndarray:
         return np.zeros(0)
     lanes = Lanes(texts, end)
     total = np.zeros(len(texts))
-    h = np.zeros((len(lanes.length), p["rec"].shape[0]), np.float32)
+    h = np.zeros((len(lanes.length), p["rec"].shape[0]), p["rec"].dtype)
+    ready = _ready(p)
+    held, size = [], 0
+
+    def finish():
+        states, y, owner = map(np.concatenate, zip(*held))
+        return np.bincount(owner, _outputs(p, states, y)[0], len(texts))
+
     for x, y, mask, owner, new in lanes.windows():
-        states, _ = _steps(p, x, new, h[: x.shape[1]], False)
+        states, _ = _steps(ready, x, new, h[: x.shape[1]], False)
         h = states[-1]
-        got, _ = _outputs(p, states[mask], y[mask])
-        total += np.bincount(owner[mask], got, len(texts))
-    return total
+        held.append((states[mask], y[mask], owner[mask]))
+        size += len(held[-1][1])
+        if size >= GROUP:                                # narrow windows share their outputs
+            total += finish()
+            held, size = [], 0
+    return total + finish() if held else total
 
 
 class Trainer:
@@ -221,46 +259,66 @@ class Trainer:
         if not texts:
             return
         lanes = Lanes(texts, self.end)
-        n = self.p["rec"].shape[0]
-        h = np.zeros((len(lanes.length), n), np.float32)
-        p, g = self.p, self.grad
+        h = np.zeros((len(lanes.length), self.p["rec"].shape[0]), self.p["rec"].dtype)
+        held, ready = [], None
         for x, y, mask, _, new in lanes.windows():
-            states, kept = _steps(p, x, new, h[: x.shape[1]], True)
+            ready = ready or _ready(self.p)
+            states, kept = _steps(ready, x, new, h[: x.shape[1]], True)
             h = states[-1]
-            dh_out = np.zeros_like(states)
-            _, dh_out[mask] = _outputs(p, states[mask], y[mask], g)
-            dgiven = np.empty((*x.shape, 3 * n), np.float32)
-            dh = np.zeros_like(h)
-            rec_t = np.ascontiguousarray(p["rec"].T)
-            drec = np.empty((len(h), 3 * n), np.float32)
-            starts = new.any(axis=1)
-            for t in range(len(x) - 1, -1, -1):
-                before, z, r, cand, rec_n = kept[t]
-                dh += dh_out[t]
-                dz = dh * z
-                dnew = dh - dz
-                dnew *= 1 - cand * cand
-                now = dgiven[t]
-                now[:, :n] = dz * (1 - z) * (before - cand)
-                now[:, 2 * n:] = dnew
-                dr = dnew * r
-                now[:, n:2 * n] = dr * (1 - r) * rec_n
-                drec[:, : 2 * n] = now[:, : 2 * n]
-                drec[:, 2 * n:] = dr
-                g["rec"] += before.T @ drec
-                dh = dz + drec @ rec_t
-                if starts[t]:
-                    dh[new[t]] = 0
-            flat, words = dgiven.reshape(-1, 3 * n), x.ravel()
-            g["bias"] += flat.sum(0)
-            order = np.argsort(words.astype(np.int16 if len(p["emb"]) < 1 << 15 else np.int32), kind="stable")
-            ranked = words[order]
-            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            g["emb"][ranked[first]] += np.add.reduceat(flat[order], first, axis=0)
-            count = int(mask.sum())
-            self.pending += count
-            self.tokens += count
+            held.append((x, y, mask, new, states, *kept))
+            self.pending += int(mask.sum())
             if self.pending >= STEP:
-                self.step()
-        if self.pending:
-            self.step()
+                self._learn_from(held)
+                held, ready = [], None
+        if held:
+            self._learn_from(held)
+
+    def _learn_from(self, held: list[tuple]) -> None:
+        """One step from windows that the same parameters were run over.
+        Gradients end at a window's start, so the windows lie side by side."""
+        p, g = self.p, self.grad
+        x, y, mask, new, states, before, gates, rec_n = (
+            part[0] if len(part) == 1 else np.concatenate(part, axis=2 if part[0].ndim == 4 else 1) for part in zip(*held))
+        n = states.shape[2]
+        dh_out = np.zeros_like(states)
+        _, dh_out[mask] = _outputs(p, states[mask], y[mask], g)
+        z, r, cand = gates
+        # by what a state's gradient goes on to the candidate's recurrent part,
+        # the three gates' inputs and the state before
+        d = np.empty((5, *states.shape), states.dtype)
+        np.multiply(cand, cand, out=d[3])
+        np.subtract(1, d[3], out=d[3])
+        np.subtract(1, z, out=d[4])
+        d[3] *= d[4]
+        np.multiply(d[3], r, out=d[0])
+        np.subtract(before, cand, out=d[1])
+        d[1] *= z
+        d[1] *= d[4]
+        np.subtract(1, r, out=d[2])
+        d[2] *= rec_n
+        d[2] *= d[0]
+        d[4] = z
+        back = np.ascontiguousarray(np.moveaxis(p["rec"].reshape(n, 3, n), 1, 0)[[2, 0, 1]].transpose(0, 2, 1))
+        dh = np.zeros(states.shape[1:], states.dtype)
+        to = np.empty((3, *dh.shape), states.dtype)
+        starts = new.any(axis=1)
+        for t in range(len(x) - 1, -1, -1):
+            dh += dh_out[t]
+            now = d[:, t]
+            now *= dh
+            np.matmul(now[:3], back, out=to)
+            np.add(now[4], to[0], out=dh)
+            dh += to[1]
+            dh += to[2]
+            if starts[t]:
+                dh[new[t]] = 0
+        of_rec = before.reshape(-1, n).T @ d[:3].reshape(3, -1, n)
+        g["rec"] += np.hstack(of_rec[[1, 2, 0]])
+        flat, words = np.concatenate(d[1:4].reshape(3, -1, n), axis=1), x.ravel()
+        g["bias"] += flat.sum(0)
+        order = np.argsort(words.astype(np.int16 if len(p["emb"]) < 1 << 15 else np.int32), kind="stable")
+        ranked = words[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        g["emb"][ranked[first]] += np.add.reduceat(flat[order], first, axis=0)
+        self.tokens += self.pending
+        self.step()
