@@ -297,3 +297,16 @@ def test_triples_move_no_pairs_of_bitmaps(spark):
     want = sum((x & y & z).bit_count() for b in (0, 1) for x, y, z in ((7 * b, 7 * b + 1, 7 * b + 2), (3, 3, 3)))
     assert rows == [("a", "b", "c", want)]
     assert not re.search(r"hashpartitioning\(x#\d+, y#\d+, \d+\)", plan)
+
+
+def test_bitmaps_have_the_same_few_words(spark):
+    """Whatever the number of orders, so that ANDs are compiled, not looped over; no order is lost."""
+    n = 5000
+    pairs = spark.range(n).select(F.col("id").cast("string").alias("order_id"), F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit("a"), F.lit("b")))
+                                                                                       .otherwise(F.array(F.lit("a")))).alias("item"))
+    bits = basket.item_bitmaps(pairs, n).persist()
+    got = bits.select("bucket", "item", F.size("words").alias("n"), F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w)).alias("k")).collect()
+    assert {r["n"] for r in got} == {basket.WORDS} and len({(r["bucket"], r["item"]) for r in got}) == len(got) >= 4
+    assert [sum(r["k"] for r in got if r["item"] == i) for i in "ab"] == [n, 1667]
+    assert [tuple(r) for r in basket._pair_counts(bits).collect()] == [("a", "b", 1667)]
+    bits.unpersist()

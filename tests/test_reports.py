@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from helpers import sales_df
-from tillroll.operators import kpi, products, profile
+from tillroll.operators import kpi, products, profile, trend
 from tillroll.plans import brief, report
 from tillroll.sources.writer import export_products
 
@@ -101,3 +101,23 @@ def test_kept_tables_can_be_released(spark):
     assert len(held) == 2 and all(df.storageLevel.useMemory for df in held)
     session.release_kept()
     assert not session._KEPT and not any(df.storageLevel.useMemory for df in held)
+
+
+def test_report_reads_the_sales_once(spark, tmp_path):
+    """All tables but the basket's come from one pass, nulls included."""
+    rows = [(None if i % 11 == 3 else f"2024-02-{1 + i % 28:02d}", None if i % 7 == 2 else f"p{i % 9}", 1,
+             None if i % 5 == 4 else float(i), f"o{i % 40}", "c") for i in range(200)]
+    path = str(tmp_path / "sales")
+    spark.createDataFrame(rows, "d string, product_name string, quantity int, total_value double, transaction_id string, customer_id string") \
+        .withColumn("order_date", F.col("d").cast("timestamp")).drop("d").write.parquet(path)
+    s = spark.read.parquet(path)
+    for part in (s, s.where("false")):
+        tables = report.report_tables(part, 4, include_basket=False, include_forecast=False)
+        plan = report.contents(tables)._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan.lower() and "Join" not in plan
+        want = {"summary": kpi.summary_table(part), "daily": trend.by_date(part), "top5": products.top_by(part, "total_value", 5),
+                "top_products": products.report_top(part, 4)}
+        assert set(want) == set(tables)
+        for name, w in want.items():
+            assert tables[name].columns == w.columns
+            assert sorted(map(str, tables[name].collect())) == sorted(map(str, w.collect())), name

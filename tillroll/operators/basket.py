@@ -8,16 +8,17 @@ Plan, all in the long form ``(order_id, item)`` (no order x item matrix):
    removes repeated lines before the shuffle;
 2. item counts; rare items (floor ``max(1, floor(0.005 N))``) and
    infrequent ones are removed with a left-semi join;
-3. vertical bitmaps: orders are dealt to buckets by hash and numbered densely
-   in them, and an item is a row of 64-bit words per bucket; an order of any
-   length is a bit in each of its items, never a list of combinations;
+3. vertical bitmaps: orders are dealt to groups by hash and numbered densely
+   in them, and an item is a row of ``WORDS`` 64-bit words per bucket of those
+   numbers; an order of any length is a bit in each of its items, never a list
+   of combinations;
 4. the support of a pair is the number of bits of an AND, summed over the
    buckets.  For triples each frequent pair's AND is taken once per bucket and
    combined with the third items that keep all three pairs frequent.  Joins
    are by bucket, on which the bitmaps are shuffled already, and sums are
    partial: what is shuffled on is a number per pair or triple and task.
-   A bucket costs f**2 / 2 ANDs of 64 words for f frequent items, and f is at
-   most the mean number of items of an order divided by the support;
+   A bucket costs f**2 / 2 ANDs of ``WORDS`` words for f frequent items, and f
+   is at most the mean number of items of an order divided by the support;
 5. rules: each itemset explodes into its ``2^k - 2`` splits by bitmask;
    antecedent and consequent supports come from the itemset table by an
    equi-join on the sorted item array.
@@ -41,8 +42,10 @@ DEFAULT_MIN_SUPPORT = 0.02
 DEFAULT_MIN_LIFT = 1.2
 RARE_ITEM_SHARE = 0.005
 MAX_LEN = 3
-#: Mean number of orders of a bucket; its bitmaps have about a 64th as many words.
+#: Mean number of orders that are numbered together.
 BUCKET_ORDERS = 1 << 14
+#: Words of a bitmap, so a bucket has 64 times as many orders; each is a term of one compiled expression.
+WORDS = 32
 
 
 def _grouped(df: DataFrame, key: str, item: str) -> DataFrame:
@@ -96,39 +99,39 @@ def _support(cnt, n):
 
 def item_bitmaps(pairs: DataFrame, n_orders: int) -> DataFrame:
     """One row per (bucket of orders, item): ``words``, the bucket's orders
-    that hold the item as bits of 64-bit words.
+    that hold the item as bits of ``WORDS`` 64-bit words.
 
-    Orders are dealt to buckets of about ``BUCKET_ORDERS`` by hash and numbered
-    densely within their bucket, in the order of their keys; everything after
-    the one shuffle by bucket stays in it.
+    Orders are dealt to groups of about ``BUCKET_ORDERS`` by hash and numbered
+    densely within their group, in the order of their keys; a bucket is a
+    stretch of 64 * ``WORDS`` numbers, so every bitmap has the same few words,
+    whatever the orders.  After the shuffle by group only bitmaps are shuffled.
     """
-    buckets = max(1, -(-n_orders // BUCKET_ORDERS))
-    bucket = F.pmod(F.xxhash64("order_id"), F.lit(buckets)).cast("int")
-    number = (F.dense_rank().over(Window.partitionBy("bucket").orderBy("order_id")) - 1).cast("int")
-    placed = pairs.select(bucket.alias("bucket"), "order_id", "item").select("bucket", "item", number.alias("at"))
-    words = (placed.groupBy("bucket", "item", F.expr("at div 64").cast("int").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("bits")))
-    lists = words.groupBy("bucket", "item").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))),
-                         lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
-    return lists.select("bucket", "item", filled.alias("words"))
+    groups = max(1, -(-n_orders // BUCKET_ORDERS))
+    group = F.pmod(F.xxhash64("order_id"), F.lit(groups)).cast("int")
+    number = (F.dense_rank().over(Window.partitionBy("group").orderBy("order_id")) - 1).cast("int")
+    placed = pairs.select(group.alias("group"), "order_id", "item").select("group", "item", number.alias("at"))
+    words = (placed.groupBy("group", "item", F.expr("at div 64").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("bits"))
+             .groupBy("group", "item", F.expr(f"word div {WORDS}").alias("piece"))
+             .agg(*[F.max(F.when(F.col("word") % WORDS == k, F.col("bits"))).alias(f"w{k}") for k in range(WORDS)]))
+    return words.select(F.expr("shiftleft(cast(group as long), 32) + piece").alias("bucket"), "item",
+                        F.array(*[F.coalesce(f"w{k}", F.lit(0).cast("long")) for k in range(WORDS)]).alias("words")).repartition("bucket")
 
 
-def _both(a, b):
-    """The orders of two bitmaps (the shorter one ends where its last order stands)."""
-    n = F.least(F.size(a), F.size(b))
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.bitwiseAND(y))
+def _both(a: str, b: str):
+    """The orders of two bitmaps, a column per word (null beyond their ends)."""
+    return [F.get(a, F.lit(k)).bitwiseAND(F.get(b, F.lit(k))) for k in range(WORDS)]
 
 
 def _bits(words):
-    return F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
+    return sum(F.coalesce(F.bit_count(w), F.lit(0)) for w in words).cast("long")
 
 
 def _pair_counts(bitmaps: DataFrame) -> DataFrame:
     """Orders that hold both of two items, per pair that stands in a bucket together."""
     x, y = (bitmaps.select("bucket", F.col("item").alias(c), F.col("words").alias(f"w{c}")) for c in "xy")
-    both = x.join(y, "bucket").where("x < y").select("x", "y", _bits(_both(F.col("wx"), F.col("wy"))).alias("n"))
-    return both.where("n > 0").groupBy("x", "y").agg(F.sum("n").alias("cnt"))
+    both = x.join(y, "bucket").where("x < y").select("x", "y", _bits(_both("wx", "wy")).alias("n"))
+    return both.groupBy("x", "y").agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
 def _triple_counts(bitmaps: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -140,10 +143,10 @@ def _triple_counts(bitmaps: DataFrame, frequent: DataFrame) -> DataFrame:
     x, y = (linked.select("bucket", F.col("item").alias(c), F.col("words").alias(f"w{c}"), F.col("ys").alias(f"s{c}")) for c in "xy")
     z = bitmaps.select("bucket", F.col("item").alias("z"), F.col("words").alias("wz"))
     two = (x.join(y, "bucket").where(F.array_contains("sx", F.col("y")))
-           .select("bucket", "x", "y", F.array_intersect("sx", "sy").alias("zs"), _both(F.col("wx"), F.col("wy")).alias("wxy"))
-           .where((F.size("zs") > 0) & F.exists("wxy", lambda w: w != 0)))
-    three = two.join(z, "bucket").where(F.array_contains("zs", F.col("z"))).select("x", "y", "z", _bits(_both(F.col("wxy"), F.col("wz"))).alias("n"))
-    return three.where("n > 0").groupBy("x", "y", "z").agg(F.sum("n").alias("cnt"))
+           .select("bucket", "x", "y", F.array_intersect("sx", "sy").alias("zs"), F.array(*_both("wx", "wy")).alias("wxy"))
+           .where(F.size("zs") > 0))
+    three = two.join(z, "bucket").where(F.array_contains("zs", F.col("z"))).select("x", "y", "z", _bits(_both("wxy", "wz")).alias("n"))
+    return three.groupBy("x", "y", "z").agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
 def frequent_itemsets(pairs: DataFrame, n_orders: int, min_support: float = DEFAULT_MIN_SUPPORT,

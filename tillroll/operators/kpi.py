@@ -55,11 +55,15 @@ def load_status(df: DataFrame) -> DataFrame:
                   F.max("order_date").alias("last_date"))
 
 
-def summary_table(df: DataFrame) -> DataFrame:
-    """Executive summary as metric / value / display rows."""
+def summary_table(df: DataFrame, lines: str | None = None, valued: str | None = None) -> DataFrame:
+    """Executive summary as metric / value / display rows.
+
+    Rows that are sums already name the columns that count their lines
+    (``lines``) and those of them with a value (``valued``)."""
+    n = F.coalesce(F.sum(lines), F.lit(0)) if lines else F.count(F.lit(1))
+    mean = F.try_divide(F.sum("total_value"), F.sum(valued)) if valued else F.avg("total_value")
     k = df.agg(F.coalesce(F.sum("total_value"), F.lit(0.0)).alias("rev"),
-               F.count(F.lit(1)).alias("n"),
-               F.avg("total_value").alias("mean"),
+               n.alias("n"), mean.alias("mean"),
                F.count_distinct("product_name").alias("prods"))
     rows = F.array(
         F.struct(F.lit(1).alias("pos"), F.lit("Total Revenue").alias("metric"),

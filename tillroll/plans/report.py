@@ -10,20 +10,43 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import money
 from ..operators import basket, forecast, kpi, products, trend
+from ..session import ensure_checkpoint_dir
 from ..sources.schema import MissingOrderKeyError
 from ..sources.writer import write_table
 
 
+def totals(sales: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sums of ``total_value`` by day (``order_date``) and by ``product_name``,
+    the latter with the number of ``lines`` and of those ``valued``.
+
+    Both come from one pass over the sales: the report's tables and the daily
+    series of its models read them.  They are a row per day and per product, cut
+    from the sales by a checkpoint; the plan of a table kept in memory would not
+    be known again in the report's union, and each part would read the sales."""
+    ensure_checkpoint_dir(sales.sparkSession)
+    t = sales.select(F.to_date("order_date").alias("order_date"), "product_name", "total_value")
+    computed = (t.groupingSets([["order_date"], ["product_name"]], "order_date", "product_name")
+                .agg(F.grouping("order_date").alias("_product"), F.sum("total_value").alias("total_value"),
+                     F.count(F.lit(1)).alias("lines"), F.count("total_value").alias("valued"))).persist()
+    both = computed.checkpoint(eager=True)           # computed once, then written
+    computed.unpersist()
+    return (both.where("_product = 0").select("order_date", "total_value"),
+            both.where("_product = 1").select("product_name", "total_value", "lines", "valued"))
+
+
 def report_tables(sales: DataFrame, n_products: int = 10, include_products: bool = True,
                   include_basket: bool = True, include_forecast: bool = True,
                   basket_item: str = "product_name", min_support: float = basket.DEFAULT_MIN_SUPPORT,
                   min_lift: float = basket.DEFAULT_MIN_LIFT, rules: DataFrame | None = None,
-                  models: "forecast.ForecastModels | None" = None, **model_args) -> dict[str, DataFrame]:
-    out = {"summary": kpi.summary_table(sales),
-           "daily": trend.by_date(sales),
-           "top5": products.top_by(sales, "total_value", 5)}
+                  models: "forecast.ForecastModels | None" = None,
+                  sums: tuple[DataFrame, DataFrame] | None = None, **model_args) -> dict[str, DataFrame]:
+    """``sums``: :func:`totals` of ``sales`` where the caller has them already."""
+    days, items = sums or totals(sales)
+    out = {"summary": kpi.summary_table(items, "lines", "valued"),
+           "daily": trend.by_date(days),
+           "top5": products.top_by(items, "total_value", 5)}
     if include_products:
-        out["top_products"] = products.report_top(sales, n_products)
+        out["top_products"] = products.report_top(items, n_products)
     if include_basket:
         try:
             r = rules if rules is not None else basket.mine(
@@ -33,7 +56,7 @@ def report_tables(sales: DataFrame, n_products: int = 10, include_products: bool
             pass                                            # no order key: section skipped
     if include_forecast:
         try:
-            fm = models or forecast.train(trend.daily(sales), **model_args)
+            fm = models or forecast.train(trend.daily(days), **model_args)
             out["models"] = forecast.model_table(fm.scores).select(
                 "model_pos", "model", "r2", "mae", "r2_text", money("mae").alias("mae_text"),
                 F.lit(fm.champion).alias("champion"))
